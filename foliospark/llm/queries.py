@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, ngram_join, pii, quality_rules, secrets, suffix_dedup, url_filter
+from . import chat_format, decontam, line_dedup, ngram_join, pii, quality_rules, secrets, sentencepiece_sa, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies: in the folder that ``FOLIOSPARK_TOKENIZERS`` names, else the installed one."""
+    return os.path.join(os.environ.get("FOLIOSPARK_TOKENIZERS", "/opt/tokenizers"), name)
+
+
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymize(docs, key="corpus-key-1")
@@ -65,3 +72,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_decontamination"] = op4_decontamination
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_common_blocks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
+QUERIES["op2_line_dedup"] = op2_line_dedup
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer_file("piece_bpe_32k.model")
+    out = sentencepiece_sa.round_trip(sentencepiece_sa.decode_ids(sentencepiece_sa.encode(docs, model), model))
+    return out.select("doc_id", "n_tokens", "ids", "round_trip")
+
+
+QUERIES["op5_sentencepiece"] = op5_sentencepiece
