@@ -17,7 +17,7 @@ from foliospark.llm.store import materialize
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned rules reject."""
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.apply_rules(docs, rules).where("kept").select(docs.columns)
+    return quality_rules.keep_only(docs, rules)
 
 
 def drop_repeated_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

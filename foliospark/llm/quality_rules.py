@@ -185,3 +185,10 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataF
     base = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     out = with_statistics(docs, text).withColumn("base_failed", base).withColumn("rule", F.expr(rejects(rules)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep_only(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that neither the base rule nor a learned one rejects."""
+    judged = apply_rules(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
+    # the row number keeps Spark from moving the filter below the statistics, where each mention of one would compute it anew
+    return judged.where("kept AND _row >= 0").select(docs.columns)
