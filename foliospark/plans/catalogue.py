@@ -1,16 +1,665 @@
-"""The registered queries over the reference operators, with their SQL."""
+"""The registered queries over the reference operators, each with DuckDB SQL for the same rows where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import banners, forms, pages, stamps, tokens
+from ..functions import text as tx
+from ..operators import compare, layout
+from ..operators import pages as page_ops
+from ..sources.tables import doc_index, docket, page_images, rubric_lines, table, with_tables
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _digest(c: Column) -> Column:
+    return F.md5(c)
+
+
+def _long(c: Column) -> Column:
+    return c.cast("long")
+
+
+# -- DuckDB spellings of shared scalar rules -----------------------------------------------------------------------------
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _d_strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+
+
+def _d_collapse(x: str) -> str:
+    return _d_strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+
+
+def _d_norm(x: str) -> str:
+    return _d_collapse(f"lower({x})")
+
+
+def _d_words(x: str) -> str:
+    return f"(case when {_d_collapse(x)} = '' then 0 else len(string_split({_d_collapse(x)}, ' ')) end)"
+
+
+def _d_lines(x: str) -> str:
+    return f"(case when {x} = '' then []::varchar[] when {x}[-1] = chr(10) then string_split({x}, chr(10))[:-2] else string_split({x}, chr(10)) end)"
+
+
+def _d_has(x: str, words) -> str:
+    return "(" + " or ".join(f"contains({x}, {_q(w)})" for w in words) + ")"
+
+
+def _d_re(x: str, pattern: str, flags: str = "") -> str:
+    return f"regexp_matches({x}, {_q((f'(?{flags})' if flags else '') + pattern)})"
+
+
+def _d_squeeze(x: str) -> str:
+    return _d_strip(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _d_residue(x: str) -> str:
+    for pattern, flags in stamps.DELETIONS:
+        x = f"regexp_replace({x}, {_q(f'(?{flags})' + pattern)}, '', 'g')"
+    return _d_squeeze(x)
+
+
+_D_OPENAI = lambda x: f"greatest(cast(floor(length({_d_collapse(x)}) / 2.05::double) as bigint), cast(floor({_d_words(x)} * 1.5::double) as bigint))"
+_D_GEMINI = lambda x: f"greatest(cast(floor(length({_d_collapse(x)}) / 1.7::double) as bigint), cast(floor({_d_words(x)} * 1.8::double) as bigint))"
+
+
+# -- tokens ----------------------------------------------------------------------------------------------------------------
+@query(f"select source, cast(sum({_D_OPENAI('text')}) as bigint) as openai, cast(sum({_D_GEMINI('text')}) as bigint) as gemini, sum({_D_OPENAI('text')}) > 100000 as over_limit from documents group by source")
+def f7_tokens(spark, d):
+    t = F.col("text")
+    out = _docs(spark, d).groupBy("source").agg(F.sum(tokens.heuristic(t, "openai")).alias("openai"), F.sum(tokens.heuristic(t, "gemini")).alias("gemini"))
+    return out.withColumn("over_limit", tokens.over_limit(F.col("openai"), 100_000))
+
+
+@query(f"select doc_id, {_D_OPENAI('text')} as openai from documents where {_D_OPENAI('text')} > 2000")
+def f8_over_limit(spark, d):
+    return _docs(spark, d).select("doc_id", tokens.heuristic(F.col("text"), "openai").alias("openai")).where(tokens.over_limit(F.col("openai"), 2000))
+
+
+@query(f"with t as (select doc_id, {_D_OPENAI('text')} as actual, n_chars // 3 as estimated from documents) select doc_id, actual, estimated, case when estimated > 0 then abs(actual - estimated)::double / estimated else 0.0::double end as ratio, case when estimated > 0 then abs(actual - estimated)::double / estimated else 0.0::double end > 0.2::double as exceeds from t")
+def f9_divergence(spark, d):
+    out = _docs(spark, d).select("doc_id", tokens.heuristic(F.col("text"), "openai").alias("actual"), F.floor(F.col("n_chars") / 3).cast("long").alias("estimated"))
+    out = out.withColumn("ratio", tokens.divergence(F.col("actual"), F.col("estimated")))
+    return out.withColumn("exceeds", F.col("ratio") > tokens.DIVERGENCE)
+
+
+_LOG = "'Total estimado (documentos selecionados / arquivo sanitizado): openai=' || n_chars || ' gemini=' || (n_chars + 7) || chr(10)"
+
+
+@query(f"with l as (select doc_id, {_LOG} || 'x' || chr(10) || replace({_LOG}, '=', '=1') as log from documents), m as (select doc_id, regexp_extract_all(log, {_q('(?i)' + tokens.ESTIMATE)}, 1) as a, regexp_extract_all(log, {_q('(?i)' + tokens.ESTIMATE)}, 2) as b from l) select doc_id, cast(a[-1] as bigint) as openai, cast(b[-1] as bigint) as gemini from m")
+def e11_estimates(spark, d):
+    one = F.concat(F.lit("Total estimado (documentos selecionados / arquivo sanitizado): openai="), F.col("n_chars").cast("string"), F.lit(" gemini="), (F.col("n_chars") + 7).cast("string"), F.lit("\n"))
+    log = F.concat(one, F.lit("x\n"), F.replace(one, F.lit("="), F.lit("=1")))
+    return _docs(spark, d).select("doc_id", tokens.last_estimate(log, "openai").alias("openai"), tokens.last_estimate(log, "gemini").alias("gemini"))
+
+
+@query(f"select doc_id, cast({_d_words('text')} as bigint) as word_count, cast(length(text) as bigint) as char_count from documents")
+def f5_counts(spark, d):
+    return _docs(spark, d).select("doc_id", _long(tx.word_count(F.col("text"))).alias("word_count"), _long(F.length("text")).alias("char_count"))
+
+
+# -- stamps ----------------------------------------------------------------------------------------------------------------
+@query(f"{with_tables('docket')} select pdf_id, page_no, md5({_d_residue('raw_text')}) as residue, cast(length({_d_residue('raw_text')}) as bigint) as residual_chars from docket")
+def e1_strip(spark, d):
+    r = docket(spark, d).select("pdf_id", "page_no", stamps.residue(F.col("raw_text")).alias("r"))
+    return r.select("pdf_id", "page_no", _digest(F.col("r")).alias("residue"), _long(F.length("r")).alias("residual_chars"))
+
+
+_D_FOLIOS = f"list_concat(regexp_extract_all(raw_text, {_q('(?i)' + stamps.FOLIO)}, 1), list_filter(regexp_extract_all(raw_text, {_q('(?im)' + stamps.FOLIO_LINE)}, 2), lambda x: x <> ''))"
+
+
+@query(f"""{with_tables('docket')} select pdf_id, page_no, page_no as fls, 'Documento assinado eletronicamente por FULANO DE TAL - ' || sig as signature, sig as first_id,
+ case when page_no % 5 = 0 then 'https://pje.trt1.jus.br/valida' end as validation_url, case when page_no % 5 = 0 then '0001234-56.2020.5.01.0001' end as process_number,
+ 'Fls.: ' || page_no || chr(10) || 'Documento assinado eletronicamente por FULANO DE TAL - ' || sig || case when page_no % 5 = 0 then chr(10) || 'https://pje.trt1.jus.br/valida' || chr(10) || 'Número do processo: 0001234-56.2020.5.01.0001' else '' end as raw_stamp from docket""")
+def e2_stamp(spark, d):
+    s = docket(spark, d).select("pdf_id", _long(F.col("page_no")).alias("page_no"), stamps.stamp(F.col("raw_text")).alias("s"))
+    return s.select("pdf_id", "page_no", "s.fls", "s.signature", F.try_element_at("s.signature_ids", F.lit(1)).alias("first_id"), "s.validation_url", "s.process_number", "s.raw_stamp")
+
+
+@query(f"{with_tables('docket')} select pdf_id, page_no, nullif(regexp_extract(raw_text, {_q(stamps.CASE_NUMBER)}), '') as case_number from docket")
+def e3_case_number(spark, d):
+    return docket(spark, d).select("pdf_id", _long(F.col("page_no")).alias("page_no"), stamps.case_number(F.col("pdf_id"), F.col("raw_text")).alias("case_number"))
+
+
+_D_STACKED = "'Fls.: ' || (page_no % 45) || (50 + page_no * 7 % 300) || chr(10) || 'Fls.: ' || page_no || ' ' || (page_no + 3)"
+
+
+@query(f"""{with_tables('docket')}, s as (select pdf_id, page_no, {_D_STACKED} as raw_text from docket), n as (select pdf_id, page_no, list_transform({_D_FOLIOS}, lambda x: cast(x as bigint)) as l from s),
+ e as (select pdf_id, page_no, unnest(l) as v from n), p as (select pdf_id, page_no, v, cast(v as varchar) as t from e),
+ q as (select pdf_id, page_no, v, cast(t[1:1] as bigint) as l1, try_cast(t[2:] as bigint) as r1, cast(t[1:2] as bigint) as l2, try_cast(t[3:] as bigint) as r2, length(t) as n from p),
+ x as (select pdf_id, page_no, case when v <= 0 then []::bigint[] when n between 4 and 6 and l1 between 1 and 40 and r1 between 50 and 9999 and r1 > l1 then [l1, r1]
+  when n between 5 and 6 and l2 between 1 and 40 and r2 between 50 and 9999 and r2 > l2 then [l2, r2] else [v] end as f from q)
+ select pdf_id, page_no, cast(sum(len(f)) as bigint) as n_folios, max(list_max(f)) as folio from x group by pdf_id, page_no""")
+def e4_folios(spark, d):
+    n = F.col("page_no")
+    text = F.concat(F.lit("Fls.: "), (n % 45).cast("string"), (F.lit(50) + n * 7 % 300).cast("string"), F.lit("\nFls.: "), n.cast("string"), F.lit(" "), (n + 3).cast("string"))
+    f = docket(spark, d).select("pdf_id", _long(n).alias("page_no"), stamps.folios(text).alias("f"))
+    return f.select("pdf_id", "page_no", _long(F.size("f")).alias("n_folios"), F.array_max("f").alias("folio"))
+
+
+@query(f"""{with_tables('docket')} select pdf_id, page_no, list_transform(regexp_extract_all(raw_text, {_q('(?im)' + stamps.SIGNATURE_ID)}, 1), lambda x: lower(x))[1] as new_id,
+ list_transform(regexp_extract_all(raw_text, {_q('(?im)' + stamps.STAMP_ID)}, 1), lambda x: lower(x))[1] as stamp_id from docket""")
+def e6_signature_ids(spark, d):
+    t = F.col("raw_text")
+    return docket(spark, d).select("pdf_id", _long(F.col("page_no")).alias("page_no"), F.try_element_at(stamps.signature_ids(t), F.lit(1)).alias("new_id"), F.try_element_at(stamps.stamp_ids(t), F.lit(1)).alias("stamp_id"))
+
+
+def _d_body(x: str) -> str:
+    for pattern in stamps.BODY_DROPS:
+        x = f"regexp_replace({x}, {_q('(?im)' + pattern)}, '', 'g')"
+    return _d_squeeze(x)
+
+
+@query(f"{with_tables('docket')} select pdf_id, page_no, md5({_d_body('raw_text')} || case when page_no % 3 = 0 then chr(10) || chr(10) || 'Documento assinado eletronicamente por FULANO DE TAL - ' || sig else '' end) as body from docket")
+def e8_clean_body(spark, d):
+    body = stamps.clean_body(F.col("raw_text"), F.col("page_no") % 3 == 0, F.array().cast("array<string>"))
+    return docket(spark, d).select("pdf_id", _long(F.col("page_no")).alias("page_no"), _digest(body).alias("body"))
+
+
+@query(f"{with_tables('docket')}, k as (select pdf_id, page_no, sig, lead(sig) over (partition by pdf_id order by page_no) as nxt from docket) select pdf_id, page_no, sig <> coalesce(nxt, '') as keep_signature from k")
+def g1_keep_signature(spark, d):
+    p = docket(spark, d).select("pdf_id", _long(F.col("page_no")).alias("page_no"), stamps.signature_ids(F.col("raw_text")).alias("signature_ids"))
+    return page_ops.keep_signature(p).select("pdf_id", "page_no", "keep_signature")
+
+
+# -- amounts, comparison ---------------------------------------------------------------------------------------------------
+def _slips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reference and extracted texts of each order: the lines, and the same with a few lines lost."""
+    r = rubric_lines(spark, d)
+    text = lambda df: df.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    lost = F.substr(F.md5(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))), F.lit(1), F.lit(1)) == "0"
+    return text(r), text(r.where(~lost))
+
+
+_D_SLIPS = f"""{with_tables('rubric_lines')}, a as (select l_orderkey, string_agg(line, chr(10) order by l_linenumber) as text from rubric_lines group by 1),
+ b as (select l_orderkey, string_agg(line, chr(10) order by l_linenumber) as text from rubric_lines where substr(md5(l_orderkey || ':' || l_linenumber), 1, 1) <> '0' group by 1),
+ av as (select l_orderkey, v, count(*) as r from (select l_orderkey, unnest(regexp_extract_all(text, {_q(forms.MONEY)})) as v from a) group by 1, 2),
+ bv as (select l_orderkey, v, count(*) as e from (select l_orderkey, unnest(regexp_extract_all(text, {_q(forms.MONEY)})) as v from b) group by 1, 2),
+ hits as (select av.l_orderkey, cast(sum(r) as bigint) as n_reference, cast(sum(least(r, coalesce(e, 0))) as bigint) as n_hit from av left join bv using (l_orderkey, v) group by 1)"""
+
+
+@query(f"{_D_SLIPS} select l_orderkey, n_reference, n_hit, n_hit::double / n_reference as recall, n_hit::double / n_reference >= 0.95::double as passes from hits")
+def f10_money_recall(spark, d):
+    reference, extracted = _slips(spark, d)
+    return compare.money_recall(reference, extracted, "l_orderkey", "text", "text").withColumn("passes", F.col("recall") >= 0.95)
+
+
+@query(f"{_D_SLIPS} select count(*) as n_documents, cast(sum(n_reference) as bigint) as n_values, cast(sum(n_hit) as bigint) as n_hits, round(avg(n_hit::double / n_reference), 6) as mean_recall from hits")
+def b8_comparison_report(spark, d):
+    reference, extracted = _slips(spark, d)
+    r = compare.money_recall(reference, extracted, "l_orderkey", "text", "text")
+    return r.agg(F.count("*").alias("n_documents"), F.sum("n_reference").alias("n_values"), F.sum("n_hit").alias("n_hits"), F.round(F.avg("recall"), 6).alias("mean_recall"))
+
+
+@query(f"{_D_SLIPS} select av.l_orderkey, av.v as value, cast(least(r, e) as bigint) as n from av join bv using (l_orderkey, v)")
+def s5_intersect_all(spark, d):
+    values = lambda df: df.select("l_orderkey", F.explode(forms.money_values(F.col("text"))).alias("value"))
+    reference, extracted = _slips(spark, d)
+    return values(reference).intersectAll(values(extracted)).groupBy("l_orderkey", "value").agg(F.count("*").alias("n"))
+
+
+@query(f"{with_tables('rubric_lines')} select l_orderkey, l_linenumber, regexp_extract_all(line || ' <details>9,99</details>', {_q(forms.MONEY)})[1] as money, cast(1 as bigint) as n from rubric_lines")
+def e12_money(spark, d):
+    r = rubric_lines(spark, d).select("l_orderkey", "l_linenumber", forms.money_values(F.concat("line", F.lit(" <details>9,99</details>"))).alias("m"))
+    return r.select("l_orderkey", "l_linenumber", F.get("m", F.lit(0)).alias("money"), _long(F.size("m")).alias("n"))
+
+
+@query(f"""{with_tables('rubric_lines')}, c as (select l_orderkey, l_linenumber, number, {_d_strip("regexp_extract(line, '^(\\d+)\\s+(.+?)\\s+(-?[\\d.]+,\\d{2})$', 2)")} as label, amount as value from rubric_lines)
+ select l_orderkey, l_linenumber, number, label, value, cast(number as int) >= 100 as deduction from c""")
+def i17_rubrics(spark, d):
+    r = rubric_lines(spark, d).select("l_orderkey", "l_linenumber", F.explode(forms.rubrics(F.concat(F.lit(" 07 Antes 1,00 | "), "line"))).alias("r"))
+    return r.select("l_orderkey", "l_linenumber", "r.number", "r.label", "r.value", (forms.number_key(F.col("r.number")) >= 100).alias("deduction"))
+
+
+@query(f"{with_tables('rubric_lines')} select l_orderkey, 'L' || ((row_number() over (partition by l_orderkey order by l_linenumber, number, amount) - 1) // 3) as row_name, cast((row_number() over (partition by l_orderkey order by l_linenumber, number, amount) - 1) % 3 as bigint) as slot, number, amount from rubric_lines")
+def h6_triples(spark, d):
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "number", "amount")) - 1
+    return rubric_lines(spark, d).select("l_orderkey", F.concat(F.lit("L"), F.floor(k / 3).cast("string")).alias("row_name"), _long(k % 3).alias("slot"), "number", "amount")
+
+
+@query(f"""{with_tables('docket')}, r as (select doc_id, 'x Fls.: ' || page_no || ' ' || text || chr(10) || 'fls.: ' || (page_no + 1) || ' b Fls.: ' || page_no || ' last' as md from docket)
+ select doc_id, cast(x as bigint) as fls, md5(s) as section from (select doc_id, unnest([regexp_extract(md, '(?i)fls\\.:\\s*(\\d+) [^b]', 1)]) as x, '' as s, md from r where false) union all
+ select doc_id, page_no as fls, md5('Fls.: ' || page_no || ' last') as section from docket union all select doc_id, page_no + 1, md5('fls.: ' || (page_no + 1) || ' b ') from docket""")
+def a15_sections(spark, d):
+    n = F.col("page_no")
+    md = F.concat(F.lit("x Fls.: "), n.cast("string"), F.lit(" "), F.col("text"), F.lit("\nfls.: "), (n + 1).cast("string"), F.lit(" b Fls.: "), n.cast("string"), F.lit(" last"))
+    out = compare.sections(docket(spark, d).select("doc_id", md.alias("md")), "doc_id", "md")
+    return out.select("doc_id", "fls", _digest(F.col("section")).alias("section"))
+
+
+# -- markup and pages --------------------------------------------------------------------------------------------------------
+def _d_decode(x: str) -> str:
+    x = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#160;", " "), ("&nbsp;", " ")):
+        x = f"replace({x}, {_q(a)}, {_q(b)})"
+    return _d_collapse(x)
+
+
+@query(f"select page_id, {_d_decode(chr(39) + chr(39) + ' || regexp_extract(html, ' + chr(39) + '(?is)<title\\b[^>]*>(.*?)</title>' + chr(39) + ', 1)')} as title from pages")
+def e16_decode(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.decode_markup(F.regexp_extract("html", "(?is)<title\\b[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+@query(f"with b as (select page_id, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1) as l from pages), e as (select page_id, unnest(l) as raw, cast(unnest(range(len(l))) as bigint) as block_no from b), t as (select page_id, block_no, {_d_decode('raw')} as text from e) select page_id, block_no, md5(text) as text from t where text <> ''")
+def a11_xml_blocks(spark, d):
+    b = layout.markup_blocks(table(spark, d, "pages"), "page_id", "html")
+    return b.select("page_id", _long(F.col("block_no")).alias("block_no"), _digest(F.col("text")).alias("text"))
+
+
+@query(f"with s as (select doc_id, string_split(replace(text, chr(10), chr(12)), chr(12)) as l from documents), e as (select doc_id, unnest(l) as t, cast(unnest(range(len(l))) + 1 as bigint) as page_no from s) select doc_id, page_no, md5({_d_strip('t')}) as text from e where {_d_strip('t')} <> ''")
+def a4_split_pages(spark, d):
+    pages_ = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("\f")), "\f", -1)).alias("k", "t")).withColumn("t", tx.strip(F.col("t")))
+    return pages_.where("t <> ''").select("doc_id", _long(F.col("k") + 1).alias("page_no"), _digest(F.col("t")).alias("text"))
+
+
+_D_OVERLAY = lambda x: f"(length({_d_strip(x)}) < 200 or length({_d_strip('array_to_string(list_filter(' + _d_lines(_d_strip(x)) + ', lambda y: ' + _d_strip('y') + f' <> {chr(39)}{chr(39)} and not ' + _d_has('lower(y)', pages.FLUFF) + '), chr(10))')}) < 200)"
+
+
+@query(f"select doc_id, {_D_OVERLAY('text')} as overlay_only from documents")
+def c8_overlay_only(spark, d):
+    return _docs(spark, d).select("doc_id", pages.overlay_only(F.col("text")).alias("overlay_only"))
+
+
+_D_USABLE = lambda x: f"""(not {_D_OVERLAY(x)} and len(regexp_extract_all({x}, {_q(pages.LONG_WORD)})) >= 20
+ and (length({x}) - length(regexp_replace({x}, '\\p{{L}}', '', 'g')))::double / greatest(1, length(regexp_replace({x}, '\\s', '', 'g'))) >= 0.45::double
+ and ({_d_has(f'lower({x})', pages.HINTS)} or len(regexp_extract_all({x}, {_q(pages.LONG_WORD)})) >= 40))"""
+
+
+@query(f"select doc_id, {_D_USABLE('text')} as usable from documents")
+def c9_usable_text(spark, d):
+    return _docs(spark, d).select("doc_id", pages.usable(F.col("text")).alias("usable"))
+
+
+@query(f"with r as (select doc_id, regexp_replace(regexp_replace(regexp_replace({_d_residue('left(text, 60) || chr(10) || ' + _q('3i-PJe Fls 12 Documento assinado por x'))}, '(?i)\\bPJe\\b', ' ', 'g'), '(?i)\\bFls\\.?\\s*:?\\s*\\d+\\b', ' ', 'g'), '(?is)\\bDocumento\\s+assinado\\b.*', ' ', 'g') as t from documents) select doc_id, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 40 as usable from r")
+def c20_ocr_usable(spark, d):
+    return _docs(spark, d).select("doc_id", pages.ocr_usable(F.concat(F.substr("text", F.lit(1), F.lit(60)), F.lit("\n3i-PJe Fls 12 Documento assinado por x"))).alias("usable"))
+
+
+# -- images and classes ---------------------------------------------------------------------------------------------------
+_D_IMAGES = f"""{with_tables('page_images')}, f as (select *, width * height as area, (width >= 600 and height <= 220 and width > 2 * height) as strip, (greatest(width, height) <= 120 and width * height <= 25000) or (width <= 150 and height <= 150) as logo,
+  coalesce(display_height, height::double) / 842 as hr, coalesce(display_width, width::double) / 595 as wr, coalesce(display_height, height::double) as dh, coalesce(display_width, width::double) as dw from page_images),
+ b as (select *, case when strip then false when y is not null then y / 842 <= 0.18::double and hr <= 0.22::double and (wr >= 0.45::double or dw > 2 * dh) else width >= 1200 and height <= 400 and width > 2.5 * height end as header,
+  case when strip or y is null then false else (y + dh) / 842 >= 0.85::double and hr <= 0.18::double end as footer, width >= 1500 and height >= 2000 as scan from f),
+ c as (select *, case when logo then false when strip then true when header or footer then false else scan or (area >= 40000 and height >= 200) or (height >= 900 and height::double / width >= 1.6::double) end as content from b)"""
+
+
+def _judged_images(spark: SparkSession, d: str) -> DataFrame:
+    im = pages.Image()
+    return page_images(spark, d).select("page_no", "num", "width", "height", im.area.alias("area"), im.logo.alias("logo"), im.id_strip.alias("strip"), im.header_banner.alias("header"), im.footer_banner.alias("footer"), im.full_scan.alias("scan"), im.content.alias("content"), im.aspect.alias("aspect"))
+
+
+@query(f"{_D_IMAGES} select num, logo, strip, header, footer, scan, content from c")
+def c7_content_figure(spark, d):
+    return _judged_images(spark, d).select("num", "logo", "strip", "header", "footer", "scan", "content")
+
+
+_D_AGGS = """a as (select page_no, cast(count(*) filter (where content) as bigint) as figures, cast(count(*) filter (where strip) as bigint) as strips, round(max(area::double / (595.0::double * 842.0::double)), 4) as coverage,
+ cast(count(*) filter (where content and height >= 900 and height::double / width >= 1.6::double) as bigint) as tall, cast(count(*) filter (where content and scan) as bigint) as scans from c group by page_no)"""
+
+
+def _image_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    return _judged_images(spark, d).groupBy("page_no").agg(
+        F.count_if("content").alias("figures"), F.count_if("strip").alias("strips"), F.round(F.max(F.col("area") / (pages.A4_WIDTH * pages.A4_HEIGHT)), 4).alias("coverage"),
+        F.count_if(F.col("content") & (F.col("height") >= 900) & (F.col("aspect") >= 1.6)).alias("tall"), F.count_if(F.col("content") & F.col("scan")).alias("scans"),
+    )
+
+
+@query(f"{_D_IMAGES}, {_D_AGGS} select page_no, figures, strips, coverage from a")
+def f4_image_aggs(spark, d):
+    return _image_aggregates(spark, d).select("page_no", "figures", "strips", "coverage")
+
+
+_D_CLASS = f"""{_D_IMAGES}, {_D_AGGS}, p as (select doc_id, {_D_OVERLAY('text')} as overlay, {_D_USABLE('text')} as usable, doc_id % 11 = 0 as forced, coalesce(figures, 0) as figures, coalesce(strips, 0) as strips, coalesce(tall, 0) as tall, coalesce(scans, 0) as scans from documents left join a on a.page_no = doc_id % 97),
+ k as (select *, case when (forced and not usable) or overlay then 'image_page' when usable then case when figures > 0 then 'hybrid' else 'native' end when figures > 0 then 'image_page' else 'native' end as page_class from p),
+ cls as (select doc_id, page_class, case page_class when 'hybrid' then 'petition_hybrid' when 'native' then 'native_text' else case when tall > 0 then 'print_chat' when strips >= 3 then 'govbr_strip_id' when scans > 0 then 'a4_scan' when figures = 0 then 'vector_outline' else 'image_page' end end as subtype from k)"""
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    aggs = _image_aggregates(spark, d)
+    p = _docs(spark, d).select("doc_id", "source", (F.col("doc_id") % 97).alias("page_no"), pages.overlay_only(F.col("text")).alias("overlay"), pages.usable(F.col("text")).alias("usable"), (F.col("doc_id") % 11 == 0).alias("forced"))
+    p = p.join(aggs, "page_no", "left").fillna(0, ["figures", "strips", "tall", "scans"])
+    p = p.withColumn("page_class", pages.page_class(F.col("forced"), F.col("overlay"), F.col("usable"), F.col("figures")))
+    return p.withColumn("subtype", pages.subtype(F.col("page_class"), F.col("tall"), F.col("strips"), F.col("scans"), F.col("figures")))
+
+
+@query(f"{_D_CLASS} select doc_id, page_class, subtype from cls")
+def c10_page_class(spark, d):
+    return _classes(spark, d).select("doc_id", "page_class", "subtype")
+
+
+@query(f"{_D_CLASS} select page_class, count(*) as n_pages from cls group by page_class")
+def f2_class_summary(spark, d):
+    return _classes(spark, d).groupBy("page_class").agg(F.count("*").alias("n_pages"))
+
+
+@query(f"{_D_CLASS}, r as (select doc_id, doc_id - row_number() over (order by doc_id) as run from (select doc_id, source, row_number() over (partition by source order by doc_id) as page_no, page_class from cls join documents using (doc_id)) where false) select source as pdf_id, page_no, run, cast((row_number() over (partition by source, run order by page_no) - 1) // 4 as bigint) as chunk from (select source, page_no, page_no - row_number() over (partition by source order by page_no) as run from (select source, row_number() over (partition by source order by doc_id) as page_no, page_class from cls join documents using (doc_id)) where page_class = 'image_page')")
+def g6_runs(spark, d):
+    p = _classes(spark, d).select(F.col("source").alias("pdf_id"), _long(F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).alias("page_no"), "page_class")
+    return page_ops.image_runs(p)
+
+
+@query(f"{_D_CLASS} select doc_id, cast(case when subtype = 'print_chat' then 220 when doc_id % 3 = 0 then 250 else 200 end as int) as dpi from cls")
+def l10_dpi(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, "trct")
+    return _classes(spark, d).select("doc_id", pages.dpi(kind, F.col("subtype"), page=200, form=250, screenshot=220).alias("dpi"))
+
+
+@query(f"""{_D_CLASS} select source as pdf_id, count(*) as total_pages, cast(count(*) filter (where page_class = 'native') as bigint) as native_pages, cast(count(*) filter (where page_class = 'hybrid') as bigint) as hybrid_pages,
+ cast(count(*) filter (where page_class = 'image_page') as bigint) as image_pages, cast(count(*) filter (where doc_id % 4 = 0) as bigint) as pages_with_tables, cast(count(*) filter (where doc_id % 9 = 0) as bigint) as ocr_failed_pages,
+ cast(sum({_d_words('text')}) as bigint) as total_words, cast(sum(length(text)) as bigint) as total_characters, round(cast(sum(doc_id % 50) as double) / count(*), 2) as avg_time_per_page from cls join documents using (doc_id) group by source""")
+def f1_doc_stats(spark, d):
+    p = _classes(spark, d).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    p = p.select(F.col("source").alias("pdf_id"), "page_class", (F.col("doc_id") % 4 == 0).alias("has_tables"), (F.col("doc_id") % 9 == 0).alias("ocr_failed"), tx.word_count(F.col("text")).alias("word_count"), F.length("text").alias("char_count"), (F.col("doc_id") % 50).cast("double").alias("processing_time"))
+    return page_ops.document_statistics(p)
+
+
+# -- kinds -----------------------------------------------------------------------------------------------------------------
+KIND_TEXTS = (
+    "CONVENÇÃO COLETIVA 2020", "cct", "Cláusula Primeira", "acordo coletivo de trabalho", "Termo de Rescisão do Contrato de Trabalho", "o TRCT anexo", "comunicação de dispensa", "requerimento do seguro desemprego", "Ficha de Registro de Empregados",
+    "recibo de pagamento", "extrato do FGTS", "Senatran", "carteira de identidade", "nada",
+)
+_WORD = lambda w: f"(^|[^a-z0-9]){w}($|[^a-z0-9])"
+_D_CCT = lambda t: f"({_d_re(t, 'conven[cçg][aãá]?o\\s+coletiva')} or {_d_re(t, _WORD('cct'))})"
+_D_ACT = lambda t: f"(contains({t}, 'acordo coletivo de trabalho') or {_d_re(t, 'trabalho\\s*\\(act\\)')} or ({_d_re(t, _WORD('act'))} and contains({t}, 'coletivo')))"
+
+
+@query(f"""with k as (select doc_id, lower(left(text, 200) || ' ' || [{', '.join(_q(t) for t in KIND_TEXTS)}][doc_id % {len(KIND_TEXTS)} + 1]) as t from documents) select doc_id, case
+ when {_D_CCT('t')} or ({_d_re('t', 'cl[aá]usula')} and ({_d_re('t', f'cl[aá]usula\\s+({pages.ORDINALS})')} or len(regexp_extract_all(t, 'cl[aá]usula')) >= 2 or ({_d_re('t', 'par[aá]grafo\\s+(primeiro|segundo|terceiro|quarto|quinto|sexto)')} and {_d_re('t', 'sindicato|categoria|empregad|piso salarial|data-base')}))) then 'cct'
+ when {_D_ACT('t')} then 'act' when contains(t, 'termo de homologação de rescisão') or (contains(t, 'termo de rescisão') and contains(t, 'contrato de trabalho')) or {_d_re('t', _WORD('trct'))} then 'trct'
+ when {_d_has('t', ('comunicação de dispensa', 'seguro-desemprego', 'seguro desemprego'))} or (contains(t, 'requerimento') and contains(t, 'seguro') and contains(t, 'desemprego')) then 'cd_sd'
+ when contains(t, 'ficha de registro de empregado') then 'ficha_registro' when {_d_has('t', ('recibo de pagamento', 'contracheque'))} then 'recibo' when contains(t, 'extrato') and contains(t, 'fgts') then 'fgts'
+ when {_d_has('t', ('carteira nacional de habilita', 'senatran'))} or (contains(t, 'habilita') and {_d_has('t', ('cnh', 'driver license'))}) then 'cnh' when {_d_has('t', ('documento de identificação', 'carteira de identidade'))} then 'identidade' end as kind from k""")
+def c12_doc_kind(spark, d):
+    extra = F.get(F.array(*[F.lit(t) for t in KIND_TEXTS]), (F.col("doc_id") % len(KIND_TEXTS)).cast("int"))
+    return _docs(spark, d).select("doc_id", pages.kind_of_text(F.concat(F.substr("text", F.lit(1), F.lit(200)), F.lit(" "), extra)).alias("kind"))
+
+
+_D_INDEX_NORM = _d_norm("tipo || ' ' || titulo")
+
+
+@query(f"""{with_tables('docket', 'doc_index')}, k as (select pdf_id, doc_id, {_D_INDEX_NORM} as t from doc_index) select pdf_id, doc_id, case when {_d_has('t', ('trct', 'termo de rescisão'))} then 'trct' when {_d_has('t', ('cd/sd', 'comunicação de dispensa'))} or (contains(t, 'seguro') and contains(t, 'desemprego')) then 'cd_sd'
+ when contains(t, 'ficha de registro') then 'ficha_registro' when {_d_has('t', ('contracheque', 'recibo de salário', 'recibo de salario'))} then 'recibo' when contains(t, 'fgts') and contains(t, 'extrato') then 'fgts' when contains(t, 'identificação') and contains(t, 'documento') then 'identidade'
+ when contains(t, 'carteira de trabalho') or {_d_re('t', _WORD('ctps'))} then 'ctps' when {_D_CCT('t')} then 'cct' when {_D_ACT('t')} then 'act' end as kind from k""")
+def c13_tipo_kind(spark, d):
+    return doc_index(spark, d).select("pdf_id", "doc_id", pages.kind_of_index(F.col("tipo"), F.col("titulo")).alias("kind"))
+
+
+_D_FOLD = lambda x: _d_collapse(f"lower(translate({x}, {_q(tx.ACCENTED)}, {_q(tx.PLAIN)}))")
+
+
+@query(f"{with_tables('docket', 'doc_index')}, k as (select pdf_id, doc_id, {_D_FOLD('tipo')} as t from doc_index) select pdf_id, doc_id, {_d_re('t', '^(intimacao|despacho|decisao|sentenca)($|[ (])')} as preserved from k")
+def c16_preserved(spark, d):
+    return doc_index(spark, d).select("pdf_id", "doc_id", pages.preserved(F.col("tipo")).alias("preserved"))
+
+
+_D_RANK = f"case when {_d_has(_d_norm('tipo') + ' || ' + _q(' ') + ' || ' + _d_norm('titulo'), pages.FORCED)} then 0 when not ({_d_re(_d_norm('tipo'), '^(' + '|'.join(pages.GENERIC) + ')')} or contains({_d_norm('tipo')}, 'documento diverso')) and not {_d_has(_d_norm('tipo'), pages.PETITIONS)} then 1 when not ({_d_re(_d_norm('tipo'), '^(' + '|'.join(pages.GENERIC) + ')')} or contains({_d_norm('tipo')}, 'documento diverso')) then 2 else 3 end"
+
+
+@query(f"""{with_tables('docket', 'doc_index')}, s as (select a.pdf_id, a.page_no, a.sig as s1, b.sig as s2 from docket a left join docket b on a.pdf_id = b.pdf_id and b.page_no = a.page_no + 3),
+ e as (select pdf_id, page_no, s1 as doc_id, 0 as pos from s union all select pdf_id, page_no, s2, 1 from s where s2 is not null), h as (select e.pdf_id, e.page_no, e.pos, i.doc_id, i.tipo, i.titulo, {_D_RANK} as rnk from e join doc_index i on e.pdf_id = i.pdf_id and e.doc_id = i.doc_id),
+ best as (select * from (select *, row_number() over (partition by pdf_id, page_no order by rnk, pos) as rn from h) where rn = 1) select s.pdf_id, s.page_no, best.doc_id, best.tipo, best.titulo from s left join best on s.pdf_id = best.pdf_id and s.page_no = best.page_no""")
+def d1_index_join(spark, d):
+    p = docket(spark, d).select("pdf_id", _long(F.col("page_no")).alias("page_no"), "sig")
+    later = p.select("pdf_id", (F.col("page_no") - 3).alias("page_no"), F.col("sig").alias("next"))
+    both = p.join(later, ["pdf_id", "page_no"], "left").select("pdf_id", "page_no", F.array_compact(F.array("sig", "next")).alias("signature_ids"))
+    return page_ops.index_lookup(both, doc_index(spark, d))
+
+
+# -- lines and letterheads -------------------------------------------------------------------------------------------------
+SAMPLE_LINES = ("Maria da Silva Souza", "Rua das Flores, 12", "(21) 98765-4321", "OAB/RJ 12345", "Excelentíssimo Juiz da Vara", "contato@escritorio.example.org", "Fonseca & Braga Advogados", "CPF 123.456.789-00", "www.exemplo.example.org", "conta 60008841-5")
+_D_SAMPLES = f"l as (select doc_id, unnest(list_concat(list_filter({_d_lines('text')}, lambda x: {_d_strip('x')} <> '')[1:2], [[{', '.join(_q(x) for x in SAMPLE_LINES)}][doc_id % {len(SAMPLE_LINES)} + 1]])) as line from documents)"
+_D_MATCH = lambda s, *ps: "(" + " or ".join(_d_re(s, p, "i") for p in ps) + ")"
+_D_NAME = lambda s: f"""(not {_D_MATCH(s, banners.BAR_NUMBER, banners.FIRM, 'advogad', banners.EMAIL, banners.URL)} and not {_d_re(s, banners.PHONE)} and not {_d_re(s, '\\d')} and len(list_filter(regexp_extract_all({s}, {_q(banners.NAME_WORD)}), lambda w: not {_d_re('w', banners.PARTICLE, 'i')})) between 2 and 6
+ and len(list_filter(regexp_extract_all({s}, {_q(banners.NAME_WORD)}), lambda w: not {_d_re('w', banners.PARTICLE, 'i')} and {_d_re('w', '^\\p{Lu}')})) >= greatest(2, len(list_filter(regexp_extract_all({s}, {_q(banners.NAME_WORD)}), lambda w: not {_d_re('w', banners.PARTICLE, 'i')})) - 1))"""
+_D_CONTACT = lambda s: f"(not {_D_MATCH(s, banners.KEEP)} and length({_d_norm(s)}) <= 90 and {_d_words(s)} <= 12 and ({_D_MATCH(s, banners.EMAIL, banners.BAR_NUMBER, banners.URL, banners.FIRM, banners.STREET)} or {_d_re(s, banners.PHONE)} or {_d_re(s, banners.POSTAL_CODE)}))"
+_D_LEAD = lambda s: f"regexp_replace(regexp_replace({s}, {_q(banners.BULLETS)}, ''), '^\\s+', '')"
+_D_BANNER = lambda s: f"(length({_d_norm(s)}) between 8 and 70 and not {_D_MATCH(s, banners.KEEP)} and not {_D_NAME(s)} and {_d_words(s)} <= 10 and not {_d_re(_D_LEAD(s), '^\\p{Ll}')} and not {_D_MATCH(_D_LEAD(s), banners.ACCOUNT)})"
+
+
+def _sample_lines(spark: SparkSession, d: str) -> DataFrame:
+    own = F.get(F.array(*[F.lit(x) for x in SAMPLE_LINES]), (F.col("doc_id") % len(SAMPLE_LINES)).cast("int"))
+    return _docs(spark, d).select("doc_id", F.explode(F.concat(F.slice(tx.filled_lines(F.col("text")), 1, 2), F.array(own))).alias("line")).withColumn("line", tx.strip(F.col("line")))
+
+
+def _per_line(rule: Callable[[Column], Column], name: str):
+    return lambda spark, d: _sample_lines(spark, d).groupBy("doc_id", "line").agg(F.count("*").alias("n")).select("doc_id", "line", "n", rule(F.col("line")).alias(name))
+
+
+def _d_per_line(rule, name: str) -> str:
+    return f"with {_D_SAMPLES}, s as (select doc_id, {_d_strip('line')} as line, count(*) as n from l group by all) select doc_id, line, n, {rule('line')} as {name} from s"
+
+
+for _name, _rule, _sql in (("c17_person_name", banners.person_name, _D_NAME), ("c18_contact", banners.contact, _D_CONTACT), ("c19_banner", banners.banner, _D_BANNER)):
+    _f = _per_line(_rule, _name[4:])
+    _f.__name__ = _name
+    query(_d_per_line(_sql, _name[4:]))(_f)
+
+
+_D_BANDS = f"""{with_tables('docket')}, ln as (select pdf_id, page_no, unnest({_d_lines('residual_text')}) as line, unnest(range(len({_d_lines('residual_text')}))) as line_no from docket),
+ fl as (select *, case when {_d_strip('line')} <> '' then 1 else 0 end as filled from ln),
+ nk as (select *, sum(filled) over (partition by pdf_id, page_no) as n, sum(filled) over (partition by pdf_id, page_no order by line_no) as k from fl),
+ bd as (select *, case when n <= 16 then greatest(1, n // 3) else 8 end as band from nk),
+ bands as (select *, n > 0 and case when filled = 1 then k <= band else k < band end as header, n > 0 and k > n - band as footer, {_D_BANNER(_d_strip('line'))} and filled = 1 as is_banner, {_D_CONTACT(_d_strip('line'))} and filled = 1 as is_contact, {_d_norm('line')} as norm from bd),
+ rh as (select pdf_id, norm, count(distinct page_no) as n_pages from bands where header and is_banner group by 1, 2 having count(distinct page_no) >= 3),
+ rf as (select pdf_id, norm, count(distinct page_no) as n_pages from bands where footer and is_banner group by 1, 2 having count(distinct page_no) >= 3)"""
+
+
+@query(f"{_D_BANDS} select 'header' as band, pdf_id, norm, n_pages from rh union all select 'footer', pdf_id, norm, n_pages from rf")
+def f3_repeated_lines(spark, d):
+    banded = page_ops.page_lines(docket(spark, d))
+    one = lambda band: page_ops.repeated_lines(banded, band).select(F.lit(band).alias("band"), "pdf_id", "norm", "n_pages")
+    return one("header").unionByName(one("footer"))
+
+
+@query(f"""{_D_BANDS}, kept as (select b.pdf_id, b.page_no, string_agg(line, chr(10) order by line_no) as t from bands b left join rh on b.pdf_id = rh.pdf_id and b.norm = rh.norm left join rf on b.pdf_id = rf.pdf_id and b.norm = rf.norm
+ where not (b.filled = 1 and ((header and ((is_banner and rh.norm is not null) or is_contact)) or (footer and ((is_banner and rf.norm is not null) or is_contact)))) group by 1, 2)
+ select d.pdf_id, d.page_no, md5({_d_squeeze("coalesce(t, '')")}) as residual_text from docket d left join kept using (pdf_id, page_no)""")
+def g4_drop_bands(spark, d):
+    out = page_ops.strip_letterheads(docket(spark, d))
+    return out.select("pdf_id", _long(F.col("page_no")).alias("page_no"), _digest(F.col("residual_text")).alias("residual_text"))
+
+
+# -- boxes -----------------------------------------------------------------------------------------------------------------
+_D_WORDS = f"""l as (select doc_id, unnest({_d_lines('text')}[1:4]) as line, unnest(range(len({_d_lines('text')}[1:4]))) as line_no from documents),
+ w as (select doc_id, line_no, unnest(string_split({_d_collapse('line')}, ' ')) as word, unnest(range(len(string_split({_d_collapse('line')}, ' ')))) as word_no from l where {_d_strip('line')} <> ''),
+ words as (select doc_id, line_no, word_no, word, word_no * 40 as x, line_no * 20 as y, greatest(20, length(word) * 8) as w, 16 as h from w)"""
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    top = F.array_join(F.slice(tx.lines(F.col("text")), 1, 4), "\n")
+    return layout.plain_words(_docs(spark, d).select("doc_id", top.alias("text")), "doc_id", "text")
+
+
+@query(f"with {_D_WORDS} select doc_id, line_no, word_no, md5(word) as word, x, y, cast(w as bigint) as w from words")
+def j6_plain_words(spark, d):
+    return _words(spark, d).select("doc_id", _long(F.col("line_no")).alias("line_no"), _long(F.col("word_no")).alias("word_no"), _digest(F.col("word")).alias("word"), _long(F.col("x")).alias("x"), _long(F.col("y")).alias("y"), _long(F.col("w")).alias("w"))
+
+
+@query(f"""with {_D_WORDS}, cells as (select doc_id, c as cell, c * 150 as cx, 10 as cy, 130 as cw, 35 as ch from documents, unnest(range(4)) u(c)),
+ j as (select *, greatest(0, least(x + w, cx + cw) - greatest(x, cx)) * greatest(0, least(y + h, cy + ch) - greatest(y, cy)) as ov from words join cells using (doc_id))
+ select doc_id, cell, count(*) as n_words, cast(sum(x) as bigint) as sum_x from j where (x + w / 2.0 between cx and cx + cw and y + h / 2.0 between cy and cy + ch) or ov::double / greatest(1, w * h) >= 0.45::double group by 1, 2""")
+def d6_words_in_cells(spark, d):
+    cells = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c")).select("doc_id", _long(F.col("c")).alias("cell"), (F.col("c") * 150).alias("cx"), F.lit(10).alias("cy"), F.lit(130).alias("cw"), F.lit(35).alias("ch"))
+    return layout.words_in_cells(_words(spark, d), cells, "doc_id").groupBy("doc_id", "cell").agg(F.count("*").alias("n_words"), _long(F.sum("x")).alias("sum_x"))
+
+
+@query(f"with {_D_WORDS} select doc_id, sum(length(word)) >= 40 as covered from words where x + w / 2.0 between 0 and 300 and y + h / 2.0 between 0 and 45 group by doc_id")
+def d7_blocks_in_rect(spark, d):
+    inside = (F.col("x") + F.col("w") / 2).between(0, 300) & (F.col("y") + F.col("h") / 2).between(0, 45)
+    return _words(spark, d).where(inside).groupBy("doc_id").agg((F.sum(F.length("word")) >= 40).alias("covered"))
+
+
+@query(f"""{with_tables('page_images')}, a as (select page_no, num, row_number() over (partition by page_no order by num) as i from page_images), r as (select page_no, height as rect, row_number() over (partition by page_no order by y nulls first, num) as i from page_images where num % 3 <> 0)
+ select a.page_no, a.num, r.rect from a left join r using (page_no, i)""")
+def d4_ordinal_join(spark, d):
+    im = page_images(spark, d)
+    rects = im.where("num % 3 <> 0").select("page_no", F.col("height").alias("rect"), F.struct("y", "num").alias("place"))
+    return layout.ordinal_join(im.select("page_no", "num"), rects, "page_no", "num", "place").select("page_no", "num", "rect")
+
+
+@query(f"{with_tables('page_images')}, p as (select a.page_no, a.num, b.num as other, greatest(0, least(a.width + a.num % 100, b.width + b.num % 100) - greatest(a.num % 100, b.num % 100)) * greatest(0, least(a.height, b.height)) as i, a.width * a.height as s, b.width * b.height as t from page_images a join page_images b on a.page_no = b.page_no and b.num = a.num + 97) select page_no, num, other, round(i::double / (s + t - i), 6) as iou from p")
+def i13_iou(spark, d):
+    side = lambda p, shift: page_images(spark, d).select("page_no", (F.col("num") + shift).alias("k"), F.col("num").alias(p + "num"), (F.col("num") % 100).alias(p + "x"), F.lit(0).alias(p + "y"), F.col("width").alias(p + "w"), F.col("height").alias(p + "h"))
+    j = side("a_", 97).join(side("b_", 0), ["page_no", "k"])
+    return j.select("page_no", F.col("a_num").alias("num"), F.col("b_num").alias("other"), F.round(layout.iou(layout.box("a_"), layout.box("b_")), 6).alias("iou"))
+
+
+@query(f"{with_tables('page_images')}, o as (select page_no, num, width, case when width - lag(width) over (partition by page_no order by width, num) > 40 then 1 else 0 end as fresh from page_images), c as (select *, sum(fresh) over (partition by page_no order by width, num rows unbounded preceding) as cl from o) select page_no, cast(cl as bigint) as cluster, count(*) as n, cast(floor(avg(width)) as bigint) as centre from c group by 1, 2")
+def g10_clusters(spark, d):
+    return layout.clusters(page_images(spark, d), "page_no", "width", 40)
+
+
+@query("""with c as (select l_orderkey as k, l_suppkey % 3 as r, l_linenumber as col, max(case when l_partkey % 3 = 0 then l_returnflag || l_partkey else '' end) as text from lineitem group by 1, 2, 3), a as (select *, last_value(case when text <> '' then col end ignore nulls) over (partition by k, r order by col, text rows unbounded preceding) as anchor from c)
+ select k, r as row, anchor as col, max(text) as text, count(*) as colspan from a where anchor is not null group by 1, 2, 3""")
+def g12_colspans(spark, d):
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 3).alias("row"), F.col("l_linenumber").alias("col"), F.when(F.col("l_partkey") % 3 == 0, F.concat("l_returnflag", F.col("l_partkey").cast("string"))).otherwise("").alias("text"))
+    return layout.colspans(cells.groupBy("k", "row", "col").agg(F.max("text").alias("text")), "k")
+
+
+@query("""with b as (select l_orderkey as k, l_linenumber * 20 + l_suppkey % 15 as y, l_linenumber as x, 5 + l_partkey % 20 as height, l_linestatus || l_linenumber as text from lineitem), m as (select *, max(y + height) over (partition by k order by y, x, text rows between unbounded preceding and 1 preceding) as bottom from b),
+ f as (select *, case when y - bottom > 14 then 1 else 0 end as fresh from m), g as (select *, sum(fresh) over (partition by k order by y, x, text rows unbounded preceding) as paragraph from f) select k, cast(paragraph as bigint) as paragraph, string_agg(text, ' ' order by y, x, text) as text from g group by 1, 2""")
+def g9_paragraphs(spark, d):
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 20 + F.col("l_suppkey") % 15).alias("y"), F.col("l_linenumber").alias("x"), (F.lit(5) + F.col("l_partkey") % 20).alias("height"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("text"))
+    return layout.paragraphs(b, "k")
+
+
+@query()
+def g7_visual_lines(spark, d):
+    return layout.visual_lines(_words(spark, d), "doc_id").select("doc_id", _long(F.col("line_no")).alias("line_no"), "text")
+
+
+@query(f"{_D_IMAGES}, o as (select page_no, num, row_number() over (partition by page_no order by y nulls last, num) as call_no, count(*) over (partition by page_no) as n from c where content) select page_no, num, call_no, case when n >= 2 then call_no end as caption_no from o")
+def g17_figure_index(spark, d):
+    order = Window.partitionBy("page_no").orderBy(F.col("y").asc_nulls_last(), "num")
+    k, n = _long(F.row_number().over(order)), F.count("*").over(Window.partitionBy("page_no"))
+    figures = page_images(spark, d).where(pages.Image().content)
+    return figures.select("page_no", "num", k.alias("call_no"), F.when(n >= 2, k).alias("caption_no"))
+
+
+@query(f"{with_tables('page_images')} select page_no, median(height) as median_height from page_images group by page_no")
+def f12_median_height(spark, d):
+    return page_images(spark, d).groupBy("page_no").agg(F.percentile("height", F.lit(0.5)).alias("median_height"))
+
+
+# -- scalar functions ------------------------------------------------------------------------------------------------------
+OCR_SAMPLES = ("Fis.: 12 e CER 20000-000", "16 CER 1", "130 Salário e 64.1 130 salario", "8 8º e 81º", "CIC: 1 nydus ru fim", "valor $J5 0.00", "total 4.70540 e 12.34567", "nada a mudar")
+
+
+def _d_ocr(x: str) -> str:
+    out = x
+    for pattern, to in forms.MISREADINGS:
+        flags = "(?i)" if pattern.startswith("(?idU)") else ""
+        out = f"regexp_replace({out}, {_q(flags + pattern.split(')', 1)[1])}, {_q(to.replace('$', chr(92)))}, 'g')"
+    return out
+
+
+@query(f"with s as (select doc_id, [{', '.join(_q(x) for x in OCR_SAMPLES)}][doc_id % {len(OCR_SAMPLES)} + 1] || ' ' || doc_id as t from documents) select doc_id, {_d_ocr('t')} as text from s")
+def i1_ocr_fixes(spark, d):
+    own = F.get(F.array(*[F.lit(x) for x in OCR_SAMPLES]), (F.col("doc_id") % len(OCR_SAMPLES)).cast("int"))
+    return _docs(spark, d).select("doc_id", forms.corrected(F.concat(own, F.lit(" "), F.col("doc_id").cast("string"))).alias("text"))
+
+
+_D_SIMPLE = f"replace(replace(replace(replace(replace(lower(translate(text, {_q(tx.ACCENTED)}, {_q(tx.PLAIN)})), 'gao', 'cao'), 'goes', 'coes'), 'gdo', 'cao'), 'emorecador', 'empregador'), 'empreaador', 'empregador')"
+
+
+@query(f"select doc_id, md5(regexp_replace({_D_SIMPLE}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) as folded from documents")
+def i5_ocr_fold(spark, d):
+    return _docs(spark, d).select("doc_id", _digest(tx.ocr_fold(F.col("text"))).alias("folded"))
+
+
+@query(f"select doc_id, md5({_D_FOLD('text')}) as folded from documents")
+def i7_fold(spark, d):
+    return _docs(spark, d).select("doc_id", _digest(tx.fold(F.col("text"))).alias("folded"))
+
+
+@query(f"select page_id, coalesce(nullif(left(regexp_replace({_d_strip('url')}, '[^\\w.\\-]+', '_', 'g'), 180), ''), 'documento') as name from pages")
+def i9_filename(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.safe_name(F.col("url")).alias("name"))
+
+
+@query("select p_partkey, coalesce(try_cast(replace(p_size || ',5', ',', '.') as double), 0.0) as number_key, lpad(cast(p_partkey % 100 as varchar), 2, '0') as number_text from part")
+def i11_number_keys(spark, d):
+    return table(spark, d, "part").select("p_partkey", forms.number_key(F.concat(F.col("p_size").cast("string"), F.lit(",5"))).alias("number_key"), forms.number_text(F.concat((F.col("p_partkey") % 100).cast("string"), F.lit(",0"))).alias("number_text"))
+
+
+# -- form rows ---------------------------------------------------------------------------------------------------------------
+@query("select o_orderkey, strftime(o_orderdate, '%d/%m/%Y') as start, '1.234,' || lpad(cast(o_orderkey % 100 as varchar), 2, '0') as amount, 'Reajuste ' || o_orderstatus as reason from orders")
+def k4_salary_rows(spark, d):
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    line = F.concat(F.lit("x Salário 01/02/2020 "), day, F.lit(" 1.234,"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("  Reajuste "), F.col("o_orderstatus"), F.lit("  03/04/2021 10:30 y"))
+    r = table(spark, d, "orders").select("o_orderkey", F.explode(forms.salary_rows(line)).alias("r"))
+    return r.select("o_orderkey", "r.start", "r.amount", "r.reason")
+
+
+@query(f"{with_tables('rubric_lines')} select l_orderkey, l_linenumber, lpad(number, 4, '0') as code, 'Verba' as description, case when l_linenumber % 2 = 0 then '30,5' else '' end as reference, amount from rubric_lines")
+def k5_event_rows(spark, d):
+    line = F.concat(F.lpad("number", 4, "0"), F.lit(" Verba "), F.when(F.col("l_linenumber") % 2 == 0, "30,5 ").otherwise(""), F.col("amount"))
+    r = rubric_lines(spark, d).select("l_orderkey", "l_linenumber", forms.event_row(line).alias("r"))
+    return r.select("l_orderkey", "l_linenumber", "r.code", "r.description", "r.reference", "r.amount")
+
+
+@query(f"{with_tables('rubric_lines')} select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then '' else '05/06/2019' end as date, 'DEP ' || number as description, amount, '9,99' as balance from rubric_lines")
+def k6_history_rows(spark, d):
+    line = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "").otherwise("05/06/2019 "), F.lit("DEP "), F.col("number"), F.lit(" "), F.col("amount"), F.lit(" 9,99"))
+    r = rubric_lines(spark, d).select("l_orderkey", "l_linenumber", forms.history_row(line).alias("r"))
+    return r.select("l_orderkey", "l_linenumber", "r.date", "r.description", "r.amount", "r.balance")
+
+
+@query("select c_custkey, 'NOME' as label, c_name as value from customer union all select c_custkey, 'CPF', '1' || c_custkey from customer union all select c_custkey, 'PIS', c_mktsegment from customer")
+def k8_key_values(spark, d):
+    line = F.concat(F.lit("NOME: "), F.col("c_name"), F.lit(" | CPF: 1"), F.col("c_custkey").cast("string"), F.lit(" - pis "), F.col("c_mktsegment"), F.lit(" CTPS:"))
+    r = table(spark, d, "customer").select("c_custkey", F.explode(forms.label_values(line, ["NOME", "NOME DA MÃE", "CPF", "CTPS", "PIS"])).alias("r"))
+    return r.select("c_custkey", "r.label", "r.value")
+
+
+@query("""select n_nationkey, '<table>' || chr(10) || '  <thead>' || chr(10) || '    <tr>' || chr(10) || '        <th>Nome</th>' || chr(10) || '        <th>Chave</th>' || chr(10) || '    </tr>' || chr(10) || '  </thead>' || chr(10) || '  <tbody>' || chr(10) || '    <tr>' || chr(10)
+ || '        <td>' || n_name || ' &lt;&amp;&gt;</td>' || chr(10) || '        <td>' || n_nationkey || '</td>' || chr(10) || '    </tr>' || chr(10) || '  </tbody>' || chr(10) || '</table>' as html from nation""")
+def k11_html_table(spark, d):
+    rows = F.array(F.array(F.concat("n_name", F.lit(" <&>")), F.col("n_nationkey").cast("string")))
+    return table(spark, d, "nation").select("n_nationkey", forms.html_table(["Nome", "Chave"], rows).alias("html"))
+
+
+@query(f"""{with_tables('docket')}, s as (select pdf_id, page_no, '## Página ' || page_no || ' — Fls.: ' || page_no || case when page_no % 9 = 0 then chr(10) || chr(10) || '> **OCR falhou**: `ocr_failed`' else '' end || chr(10) || chr(10) || case when {_d_body('raw_text')} = '' then case when page_no % 9 = 0 then '*Nenhum texto utilizável após falha de OCR.*' else '*Nenhum texto extraído desta página*' end else {_d_body('raw_text')} end as t from docket)
+ select pdf_id, md5('# ' || pdf_id || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by page_no)) as markdown from s group by pdf_id""")
+def l7_markdown(spark, d):
+    body = stamps.clean_body(F.col("raw_text"), F.lit(False), F.array().cast("array<string>"))
+    p = docket(spark, d).select("pdf_id", "page_no", F.col("page_no").alias("fls"), body.alias("body"), (F.col("page_no") % 9 == 0).alias("ocr_failed"), F.lit(None).cast("string").alias("ocr_failure_reason"))
+    return page_ops.markdown(p).select("pdf_id", _digest(F.col("markdown")).alias("markdown"))
+
+
+@query("with o as (select event_id, row_number() over (order by ts desc, event_id desc) as k, event_type from events) select event_id from o where k <= 200 or event_type = 'error'")
+def g18_visible_log(spark, d):
+    e = table(spark, d, "events")
+    # the newest 200 are a top-k, not a sort of all rows
+    newest = e.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(200).select("event_id")
+    return newest.union(e.where("event_type = 'error'").select("event_id")).distinct()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"))
+    return f10_money_recall(spark, sf_dir)
