@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .hashing import Prefix, U, mix, pack, unpack
 from .store import materialize, partitions
 
-BATCH_BYTES, BATCH_DOCS = 24_000_000, 60_000
+#: Text and rows of a batch, and buckets for each shuffle partition: they bound what a worker holds.
+BATCH_BYTES, BATCH_DOCS, SPREAD = 8_000_000, 60_000, 4
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
 _REPLIES = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("names", pa.binary())])
 _NAMES, _COVERED, _OPEN, _WINDOWS = 0, 1, 2, 3
@@ -229,7 +230,7 @@ def _flags(replies: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``kept`` (binary) and ``removed`` (array<struct<start,end>>, bytes) of every document."""
-    buckets = partitions(docs.sparkSession)
+    buckets = SPREAD * partitions(docs.sparkSession)
     mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = "bucket int, kind int, doc_id long, payload binary"
     replies = "doc_id long, kind int, names binary"
