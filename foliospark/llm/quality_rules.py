@@ -7,7 +7,8 @@ one ordered conditional expression: first rule that fits rejects, else the docum
 
 Defined results: a null text has no words and fails the base rule; a document without a label is judged all the same; a
 label that is null is not used, and of several labels of one id each row counts; without labels of both kinds the list is
-empty and only the base rule rejects; repeated rows are judged one by one; other columns are ignored.
+empty and only the base rule rejects; repeated rows are judged one by one; other columns pass through, but those with the
+name of a statistic, which ``with_statistics`` and ``apply_rules`` replace.
 """
 
 from __future__ import annotations
@@ -48,18 +49,18 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
     words = F.filter(F.split(t, WORD_GAP), lambda w: w != "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    out = docs.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w))).withColumn("_l", lines)
+    out = docs.withColumn("_word_hashes", F.transform(words, lambda w: F.xxhash64(w))).withColumn("_filled_lines", lines)
     out = out.withColumns({
-        "n_words": F.size("_h").cast("long"),
+        "n_words": F.size("_word_hashes").cast("long"),
         "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
         "n_symbols": without(SYMBOLS),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("_h")),
+        "n_dup_lines": (F.size("_filled_lines") - F.size(F.array_distinct("_filled_lines"))).cast("long"),
+        "n_repeat_words": _repeat_words(F.col("_word_hashes")),
         "n_upper": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_digits": without("0123456789"),
         "n_marks": without("!?"),
     })
-    return out.drop("_h", "_l")
+    return out.drop("_word_hashes", "_filled_lines")
 
 
 def _per(a: str, b: str) -> str:
@@ -189,6 +190,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataF
 
 def keep_only(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that neither the base rule nor a learned one rejects."""
-    judged = apply_rules(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
+    packed = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("text"))
+    judged = apply_rules(packed, rules).withColumn("_row", F.monotonically_increasing_id())
     # the row number keeps Spark from moving the filter below the statistics, where each mention of one would compute it anew
-    return judged.where("kept AND _row >= 0").select(docs.columns)
+    return judged.where("kept AND _row >= 0").select("_doc.*")
