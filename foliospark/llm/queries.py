@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, line_dedup, ngram_join, pii, quality_rules, secrets, sentencepiece_sa, suffix_dedup, url_filter
+from . import chat_format, decontam, line_dedup, ngram_join, oracles, pii, quality_rules, secrets, sentencepiece_sa, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +49,6 @@ def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op6_url_filter, op7_secret_scan, op8_quality_rules, op10_chat_collapse)}
-ORACLES: dict[str, str] = {}
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,3 +89,6 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_sentencepiece"] = op5_sentencepiece
+
+
+ORACLES = {"op3_suffix_dedup": oracles.REPEATS, "op7_secret_scan": oracles.SECRETS, "op9_ngram_jaccard": oracles.NGRAMS, "op10_chat_collapse": oracles.CHAT}
