@@ -12,23 +12,8 @@ from ..functions import text as tx
 from ..operators import compare, layout
 from ..operators import pages as page_ops
 from ..sources.tables import doc_index, docket, page_images, rubric_lines, table, with_tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from . import extraction  # noqa: F401  (registers its queries)
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
