@@ -142,3 +142,21 @@ def html_table(headers: list[str], rows: Column) -> Column:
     cells = lambda r: F.array_join(F.transform(r, lambda c: F.concat(F.lit("        <td>"), escape_html(c), F.lit("</td>\n"))), "")
     body = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("    <tr>\n"), cells(r), F.lit("    </tr>\n"))), "")
     return F.concat(F.lit("\n".join(head) + "\n"), body, F.lit("  </tbody>\n</table>"))
+
+# fixed values: labels of the simple forms, and spellings that stand for one key
+LABELS = {
+    "cnh": ["NOME E SOBRENOME", "Nome", "CPF", "Nº REGISTRO", "Registro", "VALIDADE", "Validade", "CAT HAB", "Categoria", "NASCIMENTO", "Nacionalidade", "FILIAÇÃO", "Filiação", "DOC IDENTIDADE", "1ª HABILITAÇÃO", "DATA EMISSÃO"],
+    "cd_sd": ["NOME", "NOME DA MÃE", "CPF", "CTPS", "DATA ADMISS", "DATA DISPENSA", "AVISO PRÉVIO", "PIS"],
+    "identidade": ["Nome", "CPF", "RG", "Nascimento", "Filiação", "Naturalidade"],
+    "ctps": ["Nome", "CPF", "PIS", "Nascimento", "Filiação", "CTPS"],
+}
+ALIASES = {
+    "Mãe": "Mae", "Cod Município": "Cód Município", "Cod Atividade": "Cód Atividade", "Titulo Eleitor": "Título Eleitor", "Habilitacao": "Habilitação", "Admissao": "Admissão", "Transferencia": "Transferência", "Observacoes": "Observações", "Conjuge": "Cônjuge",
+    "Gênero": "Genero", "Raca": "Raça", "Serie": "Série", "Emissao": "Emissão", "Orgao": "Orgão", "Órgão": "Orgão", "Secao": "Seção", "Mes": "Mês", "No Conta FGTS": "Nº Conta FGTS", "Cod. Estab.": "Cód. Estab.", "Data Admissao": "Data Admissão",
+    "Data/Cod. Movimentacao": "Data/Cód. Movimentação", "Data Opcao": "Data Opção", "Valor Base para Fins Rescisorios": "Valor Base para Fins Rescisórios", "Saldo": "SALDO",
+}
+
+
+def canonical_label(c: Column) -> Column:
+    """The key that a label's spelling stands for."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), c), c)
