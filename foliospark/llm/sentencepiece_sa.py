@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words that a worker remembers, texts taken at once (code points), and bytes of a word whose ends fit in one number.
-CACHE_WORDS, AT_ONCE, FIT = 400_000, 8_000_000, 63
+#: Words that a worker remembers, words indexed together, code points taken at once, and bytes of a word whose ends fit
+#: in one number.
+CACHE_WORDS, INDEXED_WORDS, AT_ONCE, FIT = 400_000, 60_000, 4_000_000, 63
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -247,7 +248,9 @@ class Encoder:
             words.append(len(mine))
             used += [known.setdefault(w, len(known)) for w in mine]
         if len(known) > before:
-            ids, sizes = encode_words(list(known)[before:], self.v)
+            fresh = list(known)[before:]
+            found = [encode_words(fresh[k : k + INDEXED_WORDS], self.v) for k in range(0, len(fresh), INDEXED_WORDS)]
+            ids, sizes = (np.concatenate([x[k] for x in found]) for k in (0, 1))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])])
             self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
         at = np.array(used, np.int64)
