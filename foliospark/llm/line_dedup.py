@@ -9,7 +9,7 @@ turn), and the aligned common blocks with a telling line are deleted from the la
 
 Defined results: a null text stays null, an empty one empty; blank lines are deleted only inside a block; a document whose
 last line goes has the text ''; of rows with the same id the one with the smallest line sequence stands for the id, and
-only rows with its lines are changed; a row with a null id is left alone; other columns pass through.
+only rows with its text are changed; a row with a null id is left alone; other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ BLANK = 0
 def line_names(text: Column, min_words: int) -> Column:
     """Name of each line: 0 for a blank one, odd for a telling one, else even."""
     def name(x: Column) -> Column:
-        bare = F.regexp_replace(x, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
-        telling = bare.rlike("^(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){%d}[^\\x20\\x09-\\x0D]" % (min_words - 1))
+        bare = F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
+        telling = bare.rlike("^(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]++){%d}[^\\x20\\x09-\\x0D]" % (min_words - 1))
         return F.when(bare == "", F.lit(BLANK).cast("long")).otherwise(F.xxhash64(bare).bitwiseAND(F.lit(-2)).bitwiseOR(telling.cast("long")))
 
     return F.transform(F.split(text, "\n", -1), name)
@@ -108,9 +108,8 @@ def overlaps(lines: DataFrame, rare_share: float) -> DataFrame:
 
 def drop_common_blocks(docs: DataFrame, min_words: int = 4, rare_share: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the common blocks gone from ``text``, and ``n_lines`` and ``n_removed_lines``."""
-    whole = lambda c: F.xxhash64(c)
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), line_names(F.col(text), min_words).alias("lines")).where(F.col("doc_id").isNotNull() & F.col("lines").isNotNull())
-    lines = materialize(named.groupBy("doc_id").agg(F.min("lines").alias("lines")))
+    named = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.struct(line_names(F.col(text), min_words).alias("lines"), F.xxhash64(text).alias("whole")).alias("_s"))
+    lines = materialize(named.groupBy("doc_id").agg(F.min("_s").alias("_s")).select("doc_id", "_s.lines", "_s.whole"))
     pairs = overlaps(lines, rare_share)
     late = lines.select("doc_id", F.col("lines").alias("late"))
     early = lines.select(F.col("doc_id").alias("early"), F.col("lines").alias("first"))
@@ -118,8 +117,8 @@ def drop_common_blocks(docs: DataFrame, min_words: int = 4, rare_share: float =
     pairs = materialize(pairs).join(early, "early").select("doc_id", "first")
     aligned = materialize(pairs).join(late, "doc_id").select("doc_id", "first", "late").mapInArrow(_align, "doc_id long, gone array<int>")
     gone = materialize(aligned.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
-    gone = gone.join(lines, "doc_id").select(F.col("doc_id").alias("_id"), whole("lines").alias("_whole"), "gone").hint("shuffle_hash")
-    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_whole": whole(line_names(F.col(text), min_words))})
+    gone = gone.join(lines, "doc_id").select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), "gone").hint("shuffle_hash")
+    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_whole": F.xxhash64(text)})
     out = keyed.join(gone, ["_id", "_whole"], "left")
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
