@@ -8,8 +8,9 @@ from ..functions import forms, reports
 from ..functions import pages as page_rules
 from ..functions import stamps
 from ..operators import forms as form_ops
+from ..operators import layout
 from ..operators import pages as page_ops
-from ..sources.tables import doc_index, docket, table, with_tables
+from ..sources.tables import doc_index, docket, rubric_lines, table, with_tables
 from .registry import query
 
 
@@ -83,3 +84,30 @@ def d2_second_chance(spark, d):
     # the second chance counts for the exemption only
     both = first.join(second, ["pdf_id", "page_no"])
     return both.select("pdf_id", "page_no", "doc_id", page_rules.preserved(F.coalesce("tipo", "_second")).alias("exempt"))
+
+
+def _listed(spark, d, line):
+    """Texts of one line for each order line, by order."""
+    rows = rubric_lines(spark, d).select("l_orderkey", F.struct("l_linenumber", "number", line.alias("t")).alias("r"))
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["t"]), "\n").alias("t"))
+
+
+@query(f"""{with_tables('rubric_lines')} select l_orderkey, count(*) as n_events, '10,00' as earnings, '2,00' as discounts, case when l_orderkey % 2 = 0 then '8,00' end as net, '12.345.678/0001-90' as company_id, 'ANA' as name,
+ case when count(*) < 3 then 0.35::double when l_orderkey % 2 = 0 then 0.8::double else 0.7::double end as fill_ratio, count(*) >= 3 as ok from rubric_lines group by l_orderkey""")
+def k5_pay_slips(spark, d):
+    slip = _listed(spark, d, F.concat(F.lpad("number", 4, "0"), F.lit(" Verba "), F.col("amount")))
+    top, net = F.lit("Recibo de Pagamento\nNome: ANA\nCNPJ: 12.345.678/0001-90\n"), F.when(F.col("l_orderkey") % 2 == 0, "\nValor Líquido 8,00").otherwise("")
+    return form_ops.pay_slips(slip.withColumn("t", F.concat(top, "t", F.lit("\nTotal Vencimentos Total Descontos 10,00 2,00"), net)), "l_orderkey", "t")
+
+
+@query(f"""{with_tables('rubric_lines')} select l_orderkey, 'ANA SOUZA' as name, '123.45678.90-1' as person_number, null::varchar as company_id, '1.000,00' as balance, count(*) as n_rows, case when count(*) >= 5 then 0.9::double when count(*) >= 2 then 0.8::double else 0.6::double end as fill_ratio, true as ok from rubric_lines group by l_orderkey""")
+def k6_fund_statements(spark, d):
+    rows = _listed(spark, d, F.concat(F.lit("05/06/2019 DEPOSITO "), F.col("number"), F.lit(" "), F.col("amount"), F.lit(" 9,99")))
+    return form_ops.fund_statements(rows.withColumn("t", F.concat(F.lit("Nome: ANA SOUZA\nPIS 123.45678.90-1\nSALDO: R$ 1.000,00\n"), "t")), "l_orderkey", "t")
+
+
+@query()
+def k3_numbered_fields(spark, d):
+    text = F.concat(F.lit("IDENTIFICAÇÃO DO EMPREGADOR\n01 CNPJ 02 Nome\n"), F.col("c_custkey").cast("string"), F.lit(" "), F.col("c_mktsegment"), F.lit("\n10 PIS\n123\n50 Saldo 9,99\n"))
+    words = layout.plain_words(table(spark, d, "customer").select("c_custkey", text.alias("t")), "c_custkey", "t")
+    return form_ops.numbered_fields(words, "c_custkey")

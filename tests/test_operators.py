@@ -44,3 +44,56 @@ def test_lines_follow_the_words_that_joined(spark):
 def test_colspans(spark):
     cells = spark.createDataFrame([("t", 0, 0, ""), ("t", 0, 1, "x"), ("t", 0, 2, ""), ("t", 0, 3, "y")], "k string, row int, col int, text string")
     assert sorted((r.col, r.text, r.colspan) for r in layout.colspans(cells, "k").collect()) == [(1, "x", 2), (3, "y", 1)]
+
+
+def test_numbered_fields(spark):
+    from foliospark.operators import forms
+
+    rows = [
+        (1, 0, 0, "01", 0, 20), (1, 0, 1, "CNPJ", 30, 40), (1, 0, 2, "02", 300, 20), (1, 0, 3, "Nome", 330, 40),
+        (1, 1, 0, "123", 10, 30), (1, 1, 1, "ANA", 310, 30), (1, 1, 2, "SOUZA", 350, 40),
+        (1, 2, 0, "10", 0, 20), (1, 2, 1, "PIS", 30, 30), (1, 2, 2, "456", 80, 20), (1, 3, 0, "50", 0, 20), (1, 3, 1, "Saldo", 30, 30), (1, 3, 2, "9,99", 80, 20),
+    ]
+    words = spark.createDataFrame(rows, "k int, line_no int, word_no int, word string, x int, w int")
+    assert sorted((r.number, r.value) for r in forms.numbered_fields(words, "k").collect()) == [("01", "123"), ("02", "ANA SOUZA"), ("10", "456")]
+
+
+def test_pay_slip_caps(spark):
+    from foliospark.operators import forms
+
+    slip = "Recibo de Pagamento\nNome: ANA\nCNPJ: 12.345.678/0001-90\n0001 Salário 1.000,00\n0002 Hora 30,5 10,00\nValor Líquido 1.010,00"
+    df = spark.createDataFrame([(1, slip), (2, slip + "\n0003 Extra 5,00"), (3, None)], "k int, t string")
+    got = {r.k: (r.n_events, r.fill_ratio, r.ok) for r in forms.pay_slips(df, "k", "t").collect()}
+    assert got == {1: (2, 0.35, False), 2: (3, 0.8, True), 3: (0, 0.0, False)}
+
+
+def test_index_rows_with_wrapped_cells(spark):
+    from foliospark.operators import index
+
+    text = "SUMÁRIO antigo\ncapa\nSUMÁRIO\nId.   Data   Documento                              Tipo\n   Documento de\nabc1234  01/02/2020 10:30  Carteira" + " " * 40 + "Identificação\n   segunda linha\nfed4321  03/04/2021 9:05  Ata" + " " * 40 + "Despacho\nFls.: 3"
+    got = {r.doc_id: (r.titulo, r.tipo) for r in index.parse_index(spark.createDataFrame([("d", text), ("e", "sem")], "pdf_id string, text string")).collect()}
+    assert got == {"abc1234": ("Carteira segunda linha", "Documento de Identificação"), "fed4321": ("Ata", "Despacho")}
+
+
+def test_reading_order(spark):
+    from foliospark.operators import figures
+
+    rows = [("p", "b", 50.0, 10.0, 12.0), ("p", "a", 0.0, 12.0, 12.0), ("p", " ", 0.0, 11.0, 12.0), ("p", "c", 0.0, 60.0, 12.0)]
+    got = figures.reading_order(spark.createDataFrame(rows, "k string, text string, x double, y double, height double"), "k").collect()
+    assert [r.text for r in got] == ["a b\nc"]
+
+
+def test_merged_words_keep_the_surer_one(spark):
+    from foliospark.operators import figures
+
+    rows = [("p", 0, 1, "a", 0, 0, 10, 10, 0.5), ("p", 1, 1, "A", 1, 0, 10, 10, 0.9), ("p", 1, 2, "b", 50, 0, 10, 10, 0.1), ("p", 1, 3, "weak", 0, 1, 10, 10, 0.2)]
+    df = spark.createDataFrame(rows, "k string, source int, word_no int, word string, x int, y int, w int, h int, conf double")
+    assert [r.word for r in figures.merge_words(df, "k").orderBy("x").collect()] == ["A", "b"]
+
+
+def test_figures_between_lines(spark):
+    from foliospark.operators import figures
+
+    bodies = spark.createDataFrame([(1, "l1\nl2\nl3\nl4", 842.0), (2, "", 842.0)], "k int, body string, height double")
+    captions = spark.createDataFrame([(1, 400.0, 1.0, "FIG"), (1, 1.0, 1.0, "TOP"), (2, 1.0, 1.0, "ONLY")], "k int, y double, x double, caption string")
+    assert {r.k: r.body for r in figures.merge_figures(bodies, captions, "k").collect()} == {1: "TOP\n\nl1\nl2\n\nFIG\n\nl3\nl4", 2: "ONLY"}
