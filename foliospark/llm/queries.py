@@ -83,8 +83,7 @@ QUERIES["op2_line_dedup"] = op2_line_dedup
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = tokenizer_file("piece_bpe_32k.model")
-    out = sentencepiece_sa.round_trip(sentencepiece_sa.decode_ids(sentencepiece_sa.encode(docs, model), model))
+    out = sentencepiece_sa.encode(docs, tokenizer_file("piece_bpe_32k.model"), verify=True)
     return out.select("doc_id", "n_tokens", "ids", "round_trip")
 
 

@@ -32,7 +32,7 @@ MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words that a worker remembers, words indexed together, code points taken at once, and bytes of a word whose ends fit
 #: in one number.
-CACHE_WORDS, INDEXED_WORDS, AT_ONCE, FIT = 400_000, 60_000, 4_000_000, 63
+CACHE_WORDS, INDEXED_WORDS, AT_ONCE, FIT = 250_000, 40_000, 1_500_000, 63
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -276,10 +276,11 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``n_tokens``."""
-    docs = docs.drop("ids", "n_tokens")
-    at, names = docs.columns.index(text), [*docs.columns, "ids", "n_tokens"]
+def encode(docs: DataFrame, model_file: str, text: str = "text", verify: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) and ``n_tokens``; with ``verify`` also ``round_trip``, found by decoding the ids in
+    the same worker, so that no second one holds the texts."""
+    docs = docs.drop("ids", "n_tokens", *(["round_trip"] if verify else []))
+    at, names = docs.columns.index(text), [*docs.columns, "ids", "n_tokens", *(["round_trip"] if verify else [])]
     shared = docs.sparkSession.sparkContext.broadcast(vars(load(model_file)))  # the vocabulary file bounds its size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +292,15 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
                 gone = pa.array([t is None for t in texts[lo:hi]])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids), mask=gone)
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes)], names=names)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
-    return docs.mapInArrow(run, schema)
+                added = [lists, pa.array(sizes)]
+                if verify:
+                    ends = np.cumsum(sizes)
+                    same = [t is None or decode(ids[e - n : e], encoder.v) == t.replace(MARK, " ").encode("utf-8", "surrogatepass") for t, e, n in zip(texts[lo:hi], ends, sizes, strict=True)]
+                    added.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=names)
+
+    fields = [*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+    return docs.mapInArrow(run, T.StructType(fields + [T.StructField("round_trip", T.BooleanType())] * verify))
 
 
 def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

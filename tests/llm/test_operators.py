@@ -177,6 +177,8 @@ def test_sentencepiece_equals_the_model(spark):
     for r in out:
         assert r.round_trip
         assert r.ids == (None if texts[r.doc_id] is None else sp.encode(texts[r.doc_id]))
+    again = sentencepiece_sa.encode(frame(spark, list(enumerate(texts))), model, verify=True).collect()
+    assert all(r.round_trip for r in again) and {r.doc_id: r.ids for r in again} == {r.doc_id: r.ids for r in out}
     assert sentencepiece_sa.encode(frame(spark, []), model).collect() == []
 
 
