@@ -9,8 +9,10 @@ Each candidate is checked exactly: the least word edit distance between the whol
 the window (Sellers' algorithm on Myers' bit vectors), at most ``max_share`` of the item's words.
 
 Items are taken in blocks of at most ``block_items``, and each block's keys are broadcast, so their size is bounded;
-every block runs over all texts. Defined results: a null or empty text or item matches nothing; an item with fewer words
-than ``least_words`` is searched as its exact word sequence; equal items are each reported; rows with the same id are
+every block runs over all texts. Items of fewer than ``STEPS`` words are too short for walks: they are cut into one piece
+more than they may have edits, so that some piece stands unchanged in the text, and every occurrence of a piece is a
+candidate. Defined results: a null or empty text or item matches nothing; an item of so few words that ``max_share`` allows
+no edit is searched as its exact word sequence; equal items are each reported; rows with the same id are
 searched one by one and reported once; null ids are left out; other columns are ignored.
 """
 
@@ -33,6 +35,8 @@ _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Steps of a walk, sampled steps (the last among them), and words that a walk must read to give a key.
 STEPS, SAMPLES, LEAST_READ = 12, 6, 5
+#: Words of a piece that are named; a longer one is found by its first words.
+PIECE_WORDS = 8
 #: Texts walked together.
 AT_ONCE = 512
 
@@ -85,6 +89,21 @@ def walk_keys(words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(key[starts])
 
 
+def run_keys(words: np.ndarray, length: int) -> np.ndarray:
+    """Names of all runs of ``length`` words."""
+    n = max(0, len(words) - length + 1)
+    key = np.full(n, length, U)
+    for k in range(length):
+        key = mix(key ^ words[k : k + n]) * U(0x9FB21C651E98DF25)
+    return key
+
+
+def pieces(n_words: int, most: int) -> list[tuple[int, int]]:
+    """Starts and named lengths of ``most`` + 1 pieces of an item: that many edits leave one of them unchanged."""
+    bounds = [k * n_words // (most + 1) for k in range(most + 2)]
+    return [(a, min(b - a, PIECE_WORDS)) for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
+
+
 def edit_hits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
     """(distance, end) of the part of ``text`` nearest to the whole item, the first of equals; None above ``most``."""
     m = len(item)
@@ -106,6 +125,15 @@ def edit_hits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]
     return best
 
 
+def _table(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, their items and offsets, and one bit of 2^20 a key, which spares most texts' keys the search."""
+    key, owners, offsets = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(key, kind="stable")
+    seen = np.zeros(1 << 20, bool)
+    seen[(key >> U(44)).astype(np.int64)] = True
+    return key[by], owners[by], offsets[by], seen
+
+
 class ItemIndex:
     """Sorted LSH keys of one block of items."""
 
@@ -113,23 +141,21 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.most = [int(max_share * len(w)) for w in self.words]
-        lengths = sorted(len(w) for w in self.words if len(w)) or [1]
-        self.tables = []
-        for seed in range(repetitions(max_share / 4, recall, lengths[len(lengths) // 10])):
-            keys, owners, offsets = [], [], []
+        self.tables, self.runs = [], []
+        lengths = sorted(len(w) for w in self.words if len(w) >= STEPS)
+        for seed in range(repetitions(max_share / 4, recall, lengths[len(lengths) // 10]) if lengths else 0):
+            found = []
             for k, w in enumerate(self.words):
                 # a walk needs enough words behind its start
                 starts, key = walk_keys(w, seed)
                 inside = starts <= len(w) - STEPS
-                keys.append(key[inside])
-                owners.append(np.full(inside.sum(), k))
-                offsets.append(starts[inside])
-            key = np.concatenate(keys) if keys else np.zeros(0, U)
-            by = np.argsort(key, kind="stable")
-            # one bit of 2^20 a key spares most texts' keys the search
-            seen = np.zeros(1 << 20, bool)
-            seen[(key >> U(44)).astype(np.int64)] = True
-            self.tables.append((key[by], *(np.concatenate(x)[by] if keys else np.zeros(0, np.int64) for x in (owners, offsets)), seen))
+                found.append((key[inside], np.full(inside.sum(), k), starts[inside]))
+            self.tables.append(_table(found))
+        cut = defaultdict(list)
+        for k, w in enumerate(self.words):
+            for start, length in pieces(len(w), self.most[k]) if len(w) < STEPS else ():
+                cut[length].append((run_keys(w[start : start + length], length), np.array([k]), np.array([start])))
+        self.runs = [(length, _table(found)) for length, found in sorted(cut.items())]
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(number of the text, item, distance, first word, end word) of each item's nearest part in each text."""
@@ -139,10 +165,9 @@ class ItemIndex:
         begins = np.concatenate([[0], np.cumsum(lengths)])
         words = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
         near: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for seed, (keys, owners, offsets, seen) in enumerate(self.tables):
-            if not len(keys):
-                continue
-            at, mine = walk_keys(words, seed)
+        keyed = [(table, walk_keys(words, seed)) for seed, table in enumerate(self.tables)]
+        keyed += [(table, (np.arange(len(words) - length + 1), run_keys(words, length))) for length, table in self.runs]
+        for (keys, owners, offsets, seen), (at, mine) in keyed:
             maybe = seen[(mine >> U(44)).astype(np.int64)]
             at, mine = at[maybe], mine[maybe]
             lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")

@@ -284,3 +284,29 @@ def test_feistel_is_a_permutation(spark):
     rows = df.collect()
     assert sorted(r.p for r in rows) == [f"{k:03d}" for k in range(1000)]
     assert all(r.v == r.b for r in rows) and sum(r.v == r.p for r in rows) < 20
+
+
+def _held(spark, docs, items):
+    got = decontam.find_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r.distance for r in got}
+
+
+def _brute_held(docs, items):
+    asked = [(i, decontam.words_of(t)) for i, t in items]
+    return {(d, i): hit[0] for d, t in docs for i, w in asked if len(w) and (hit := decontam.edit_hits(w, decontam.words_of(t), int(0.2 * len(w))))}
+
+
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(500)]
+    items = [(k, " ".join(rng.sample(vocab, n))) for k, n in enumerate((1, 2, 4, 5, 5, 7, 9, 10, 11, 11))]
+    docs = []
+    for k, (i, t) in enumerate(items * 6):
+        w = t.split(" ")
+        for _ in range(rng.randrange(int(0.2 * len(w)) + 1)):
+            w[rng.randrange(len(w))] = "edited"
+        around = [" ".join(rng.choices(vocab, k=30)) for _ in range(2)]
+        docs.append((k, f"{around[0]} {' '.join(w)}. {around[1]}"))
+    want = _brute_held(docs, items)
+    assert len(want) >= 60 and _held(spark, docs, items) == want
+    assert _held(spark, docs, []) == {} and _held(spark, docs, [(1, ""), (2, None)]) == {}
