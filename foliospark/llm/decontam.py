@@ -1,19 +1,16 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: pieces of items that edits leave unchanged, exact edit verification.
 
-Texts and items are sequences of words (lower-cased, punctuation at the ends dropped). The CGK embedding walks a sequence
-with shared random bits: it writes the current word, and the bit of (step, word) tells whether to go to the next word.
-Edit distance becomes Hamming distance of the walks, and two walks over the same words are the same. A key samples a few
-steps of a walk; equal keys make a candidate. Item windows start at every word of an item; text windows at every word of
-a text. With enough repetitions the candidates reach ``recall`` for items at the edit threshold, see ``repetitions``.
+Texts and items are sequences of words (lower-cased, punctuation at the ends dropped). An item that may have k edits is cut
+into k + 1 pieces. An edit touches at most one piece, so at least one of them stands unchanged in every text that holds the
+item, and every occurrence of a piece makes a candidate: none is missed, whatever the length of the item.
 Each candidate is checked exactly: the least word edit distance between the whole item and any part of the text around
-the window (Sellers' algorithm on Myers' bit vectors), at most ``max_share`` of the item's words.
+the piece (Sellers' algorithm on Myers' bit vectors), at most ``max_share`` of the item's words.
 
 Items are taken in blocks of at most ``block_items``, and each block's keys are broadcast, so their size is bounded;
-every block runs over all texts. Items of fewer than ``STEPS`` words are too short for walks: they are cut into one piece
-more than they may have edits, so that some piece stands unchanged in the text, and every occurrence of a piece is a
-candidate. Defined results: a null or empty text or item matches nothing; an item of so few words that ``max_share`` allows
-no edit is searched as its exact word sequence; equal items are each reported; rows with the same id are
-searched one by one and reported once; null ids are left out; other columns are ignored.
+every block runs over all texts. Defined results: a null or empty text or item matches nothing; an item of so few words
+that ``max_share`` allows no edit is searched as its exact word sequence; equal items are each reported; rows with the same
+id are searched one by one and reported once; null ids are left out; other columns are ignored. ``recall`` is the least
+share of items to find; as none is missed, it does not change the result.
 """
 
 from __future__ import annotations
@@ -21,7 +18,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +30,9 @@ from .hashing import Prefix, U, mix, word_bounds
 #: Bytes that are part of words: letters, digits and all of multi-byte characters.
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-#: Steps of a walk, sampled steps (the last among them), and words that a walk must read to give a key.
-STEPS, SAMPLES, LEAST_READ = 12, 6, 5
 #: Words of a piece that are named; a longer one is found by its first words.
 PIECE_WORDS = 8
-#: Texts walked together.
+#: Texts searched together.
 AT_ONCE = 512
 
 
@@ -55,40 +50,6 @@ def words_of(text: str | None) -> np.ndarray:
     return Prefix(data, True).window(core[lo[has]], core[hi[has] - 1] + 1)
 
 
-def repetitions(share: float, recall: float, item_words: int = 20) -> int:
-    """Walks needed so that an item of ``item_words`` words, each wrong with probability ``share``, gives a candidate with
-    probability ``recall``: a clean run as long as a walk's mean reach must exist, and three walks of four fit into it."""
-    reach, clean = STEPS // 2 + 1, 1 - share
-    without = [1.0] * reach  # probability of no clean run of that length in the first k words
-    for k in range(reach, item_words + 1):
-        stop = share * without[k - reach - 1] if k > reach else 1.0
-        without.append(without[k - 1] - stop * clean**reach)
-    one = max(1e-6, (1 - without[-1]) * 0.75)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
-
-
-@lru_cache(maxsize=64)
-def _sampled(seed: int) -> frozenset[int]:
-    return frozenset(np.random.default_rng(seed).choice(STEPS - 1, SAMPLES - 1, replace=False).tolist()) | {STEPS - 1}
-
-
-def walk_keys(words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and keys of the CGK walks that read enough words; the empty word 0 ends a text, and no walk starts there."""
-    n = len(words)
-    padded = np.concatenate([words, np.zeros(STEPS + 1, U)])
-    bits = (mix(padded + U(seed + 1)) & U(0xFFFF)).astype(np.uint16)  # bit k tells where the walk goes in step k
-    begin = np.arange(n, dtype=np.int32)
-    at, key = begin.copy(), np.full(n, seed + 1, U)
-    for step in range(STEPS):
-        if step in _sampled(seed):
-            key ^= padded[at]
-            key *= U(0x9FB21C651E98DF25)
-            key ^= key >> U(29)
-        at += (bits[at] >> step) & 1
-    starts = np.flatnonzero((at - begin >= LEAST_READ) & (words != 0))
-    return starts, mix(key[starts])
-
-
 def run_keys(words: np.ndarray, length: int) -> np.ndarray:
     """Names of all runs of ``length`` words."""
     n = max(0, len(words) - length + 1)
@@ -135,39 +96,30 @@ def _table(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 
 class ItemIndex:
-    """Sorted LSH keys of one block of items."""
+    """Sorted keys of the pieces of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], max_share: float, recall: float):
+    def __init__(self, items: list[tuple[int, str]], max_share: float):
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.most = [int(max_share * len(w)) for w in self.words]
-        self.tables, self.runs = [], []
-        lengths = sorted(len(w) for w in self.words if len(w) >= STEPS)
-        for seed in range(repetitions(max_share / 4, recall, lengths[len(lengths) // 10]) if lengths else 0):
-            found = []
-            for k, w in enumerate(self.words):
-                # a walk needs enough words behind its start
-                starts, key = walk_keys(w, seed)
-                inside = starts <= len(w) - STEPS
-                found.append((key[inside], np.full(inside.sum(), k), starts[inside]))
-            self.tables.append(_table(found))
         cut = defaultdict(list)
         for k, w in enumerate(self.words):
-            for start, length in pieces(len(w), self.most[k]) if len(w) < STEPS else ():
+            for start, length in pieces(len(w), self.most[k]):
                 cut[length].append((run_keys(w[start : start + length], length), np.array([k]), np.array([start])))
-        self.runs = [(length, _table(found)) for length, found in sorted(cut.items())]
+        self.tables = [(length, _table(found)) for length, found in sorted(cut.items())]
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(number of the text, item, distance, first word, end word) of each item's nearest part in each text."""
         parts = [words_of(t) for t in texts]
-        gap = np.zeros(STEPS, U)
-        lengths = np.array([len(p) + STEPS for p in parts], np.int64)
+        # the empty word 0 ends a text, and no piece has it
+        gap = np.zeros(1, U)
+        lengths = np.array([len(p) + 1 for p in parts], np.int64)
         begins = np.concatenate([[0], np.cumsum(lengths)])
         words = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
         near: dict[tuple[int, int], set[int]] = defaultdict(set)
-        keyed = [(table, walk_keys(words, seed)) for seed, table in enumerate(self.tables)]
-        keyed += [(table, (np.arange(len(words) - length + 1), run_keys(words, length))) for length, table in self.runs]
-        for (keys, owners, offsets, seen), (at, mine) in keyed:
+        for length, (keys, owners, offsets, seen) in self.tables:
+            mine = run_keys(words, length)
+            at = np.arange(len(mine))
             maybe = seen[(mine >> U(44)).astype(np.int64)]
             at, mine = at[maybe], mine[maybe]
             lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
@@ -200,7 +152,7 @@ def find_items(docs: DataFrame, items: DataFrame, max_share: float = 0.2, recall
         shared = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in block.collect()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, max_share, recall)
+            index = ItemIndex(shared.value, max_share)
             sizes = {i: len(w) for i, w in zip(index.ids, index.words, strict=True)}
             for b in batches:
                 ids, texts = b.column(0), b.column(1).to_pylist()

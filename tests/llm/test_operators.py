@@ -310,3 +310,18 @@ def test_decontamination_finds_short_items(spark):
     want = _brute_held(docs, items)
     assert len(want) >= 60 and _held(spark, docs, items) == want
     assert _held(spark, docs, []) == {} and _held(spark, docs, [(1, ""), (2, None)]) == {}
+
+
+def test_decontamination_finds_every_item_at_the_threshold(spark):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(900)]
+    items = [(k, " ".join(rng.sample(vocab, n))) for k, n in enumerate((15, 16, 16, 17, 20, 20, 21, 25, 30, 50))]
+    docs = []
+    for k, (i, t) in enumerate(items * 12):
+        w = t.split(" ")
+        for place in sorted(rng.sample(range(len(w)), int(0.2 * len(w))), reverse=True):
+            w[place : place + 1] = rng.choice((["edited"], ["edited"], [], ["edited", w[place]]))
+        around = [" ".join(rng.choices(vocab, k=40)) for _ in range(2)]
+        docs.append((k, f"{around[0]} {' '.join(w)}. {around[1]}"))
+    want = _brute_held(docs, items)
+    assert len(want) >= 120 and _held(spark, docs, items) == want
