@@ -2,8 +2,7 @@
 
 Lines are named by a hash of their stripped text. Overlapping documents are found through the names of telling lines (at
 least ``min_words`` words): the holders of a line are tied to its first holder, the one with the smallest id, so a line
-costs one pair a holder however many there are. A pair's lines are weighed by how rare they are in the corpus, and a
-pair takes part only where its rarest line is in at most ``rare_share`` of all documents. Each pair is aligned with
+costs one pair a holder however many there are, also for a line that most documents hold. Each pair is aligned with
 patience diff (lines that are unique in both anchor a longest increasing chain, and the stretches between are aligned in
 turn), and the aligned common blocks with a telling line are deleted from the later document.
 
@@ -96,21 +95,18 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
 
-def overlaps(lines: DataFrame, rare_share: float) -> DataFrame:
+def overlaps(lines: DataFrame) -> DataFrame:
     """Pairs (doc_id, early) of documents tied through a telling line, from ``doc_id`` and ``lines``."""
     each = lines.select("doc_id", F.explode(F.array_distinct(F.filter("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1))).alias("line"))
-    held = each.groupBy("line").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
-    held = materialize(held)
-    most = max(2, int(rare_share * lines.count()))
-    tied = each.join(held, "line").where("early < doc_id").groupBy("doc_id", "early").agg(F.min("n_docs").alias("rarest"))
-    return tied.where(F.col("rarest") <= most).select("doc_id", "early")
+    held = materialize(each.groupBy("line").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1"))
+    return each.join(held, "line").where("early < doc_id").select("doc_id", "early").distinct()
 
 
-def drop_common_blocks(docs: DataFrame, min_words: int = 4, rare_share: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_common_blocks(docs: DataFrame, min_words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the common blocks gone from ``text``, and ``n_lines`` and ``n_removed_lines``."""
     named = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.struct(line_names(F.col(text), min_words).alias("lines"), F.xxhash64(text).alias("whole")).alias("_s"))
     lines = materialize(named.groupBy("doc_id").agg(F.min("_s").alias("_s")).select("doc_id", "_s.lines", "_s.whole"))
-    pairs = overlaps(lines, rare_share)
+    pairs = overlaps(lines)
     late = lines.select("doc_id", F.col("lines").alias("late"))
     early = lines.select(F.col("doc_id").alias("early"), F.col("lines").alias("first"))
     # tables on both sides: a document with very many later partners is split like any skewed key

@@ -325,3 +325,11 @@ def test_decontamination_finds_every_item_at_the_threshold(spark):
         docs.append((k, f"{around[0]} {' '.join(w)}. {around[1]}"))
     want = _brute_held(docs, items)
     assert len(want) >= 120 and _held(spark, docs, items) == want
+
+
+def test_line_dedup_of_a_passage_that_all_documents_hold(spark):
+    notice = "this notice stands in all\nof the documents we have\nend"
+    for n in (2, 3, 5, 12):
+        docs = [(k, f"own line of document {k}\n{notice}") for k in range(n)]
+        got = {r.doc_id: r.text for r in line_dedup.drop_common_blocks(frame(spark, docs)).collect()}
+        assert got == {0: docs[0][1]} | {k: f"own line of document {k}" for k in range(1, n)}
