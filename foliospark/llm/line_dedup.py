@@ -4,7 +4,9 @@ Lines are named by a hash of their stripped text. Overlapping documents are foun
 least ``min_words`` words): the holders of a line are tied to its first holder, the one with the smallest id, so a line
 costs one pair a holder however many there are, also for a line that most documents hold. Each pair is aligned with
 patience diff (lines that are unique in both anchor a longest increasing chain, and the stretches between are aligned in
-turn), and the aligned common blocks with a telling line are deleted from the later document.
+turn), and the aligned common blocks with a telling line are deleted from the later document. Telling lines that the
+alignment leaves though the first holder has them (repeated, or in another order) go with the longest run of lines around
+them that the first holder has too. So no telling line stays that an earlier document has.
 
 Defined results: a null text stays null, an empty one empty; blank lines are deleted only inside a block; a document whose
 last line goes has the text ''; of rows with the same id the one with the smallest line sequence stands for the id, and
@@ -86,6 +88,30 @@ def common_blocks(early: list[int], late: list[int]) -> list[int]:
                 out += [y for _, y in block]
             block = []
         block.append((i, j))
+    return out + _left_over(early, late, set(out))
+
+
+def _left_over(early: list[int], late: list[int], gone: set[int]) -> list[int]:
+    """Places in ``late`` of the telling lines that ``early`` has and that are not gone, with the longest common run around each."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(early):
+        if x & 1:
+            places.setdefault(x, []).append(i)
+    out = []
+    for j, x in enumerate(late):
+        if j in gone or x not in places:
+            continue
+        best = range(j, j + 1)
+        for i in places[x]:
+            lo, hi = 0, 1
+            while lo < min(i, j) and j - lo - 1 not in gone and early[i - lo - 1] == late[j - lo - 1]:
+                lo += 1
+            while i + hi < len(early) and j + hi < len(late) and j + hi not in gone and early[i + hi] == late[j + hi]:
+                hi += 1
+            if lo + hi > len(best):
+                best = range(j - lo, j + hi)
+        gone.update(best)
+        out += best
     return out
 
 

@@ -333,3 +333,17 @@ def test_line_dedup_of_a_passage_that_all_documents_hold(spark):
         docs = [(k, f"own line of document {k}\n{notice}") for k in range(n)]
         got = {r.doc_id: r.text for r in line_dedup.drop_common_blocks(frame(spark, docs)).collect()}
         assert got == {0: docs[0][1]} | {k: f"own line of document {k}" for k in range(1, n)}
+
+
+def test_line_dedup_leaves_no_repeated_or_crossed_passage(spark):
+    rng = random.Random(4)
+    passages = [[f"telling line {p} {k} of it" for k in range(rng.randrange(1, 5))] + ["short"] * rng.randrange(2) for p in range(6)]
+    docs = []
+    for d in range(40):
+        parts = [rng.choice(passages) for _ in range(rng.randrange(1, 6))]
+        docs.append((d, "\n".join(x for k, part in enumerate(parts) for x in [f"own line {k} of {d}", *part])))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_common_blocks(frame(spark, docs)).collect()}
+    for d, text in docs:
+        earlier = {x for e, t in docs if e < d for x in t.split("\n")}
+        kept = [x for x in text.split("\n") if x not in earlier or len(x.split()) < 4]
+        assert [x for x in got[d] if x != "short"] == [x for x in kept if x != "short"]
