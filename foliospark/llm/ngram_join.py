@@ -3,12 +3,13 @@
 Every document is the set of its distinct word n-grams. Two documents link when the Jaccard similarity of their sets
 reaches the threshold, compared in whole numbers. The join runs in three steps:
 
-1. Blocks. The hash range is cut into more parts than two linked sets can differ in n-grams, so some part is equal in
-   both. A document is named once for each of its parts, under the cuts of its own size class and the next larger one
-   (linked sets lie in one class or two adjacent ones). Documents that share a name are tied to the smallest of them,
-   and the components of these ties are blocks: no link runs between two blocks. From ``DENSE`` n-grams on, parts
-   with fewer than ``PART_LEAST`` n-grams name nothing, as unrelated documents share them; then a link is missed only
-   where every equal part is that small, which for n-grams spread by a hash has a probability below 1e-9.
+1. Blocks. The hash range is cut into more parts than two linked sets can differ in n-grams, so some parts are equal in
+   both. A document is named under the cuts of its own size class and the next larger one (linked sets lie in one class
+   or two adjacent ones). Documents that share a name are tied to the smallest of them, and the components of these ties
+   are blocks: no link runs between two blocks. Small parts are shared by unrelated documents, so a set names its largest
+   parts only: one more than it can differ in from any set that it links with, and all of the same count as the least of
+   them. Of two linked sets take the one whose least count is higher. It leaves so few parts out that one of the equal
+   ones is named, and the other set names that part too, so no link is missed.
 2. Prefix tree. Inside a block n-grams are ordered by how many sets hold them, most first, and the ordered sets are
    stored in a tree with compressed paths. Each set walks the tree before it is added: sets below a node share the
    overlap counted so far, and a subtree is left when even all remaining n-grams can't give the overlap that its set
@@ -24,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -39,7 +41,8 @@ from .store import materialize, partitions
 
 #: n-grams that one task's block, or one chunk of a block, may hold.
 BLOCK_NGRAMS = 4_000_000
-DENSE, PART_LEAST = 64, 3
+#: Parts beyond the differences that two sets of a class can have, as a share of these.
+SPARE_PARTS = 0.15
 BATCH_BYTES = 24_000_000
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
@@ -66,19 +69,22 @@ def _class_ends(upto: int, num: int, den: int) -> list[int]:
 
 
 def part_names(grams: np.ndarray, num: int, den: int, firsts: list[int]) -> np.ndarray:
-    """Names of the parts of a set under its two cuts."""
+    """Names of the largest parts of a set under its two cuts."""
     size = len(grams)
     own = int(np.searchsorted(firsts, size, "right")) - 1
     out = []
     for c in (own, own + 1):
         top = firsts[c + 1] - 1
-        parts = (2 * top) * (den - num) // (num + den) + 1
+        differ = (2 * top) * (den - num) // (num + den)
+        parts = differ + 1 + math.ceil(SPARE_PARTS * differ)
         cuts = np.searchsorted(grams, np.arange(1, parts, dtype=U) * U(2**64 // parts)) if parts > 1 else np.zeros(0, np.int64)
         bounds = np.concatenate([[0], cuts, [size]])
         sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(grams * U(0xA24BAED4963EE407)))])
         counts = bounds[1:] - bounds[:-1]
         names = mix(sums[bounds[1:]] - sums[bounds[:-1]] + counts.astype(U) * U(0x9FB21C651E98DF25) + mix(np.arange(parts, dtype=U) + U(c) * U(1 << 40)))
-        out.append(names[counts >= PART_LEAST] if size >= DENSE else names)
+        # most differences from a set that links with this one: it has at most size * den / num n-grams, and at most top
+        most = (size + min(top, size * den // num)) * (den - num) // (num + den)
+        out.append(names[counts >= np.partition(counts, parts - most - 1)[parts - most - 1]])
     return np.concatenate(out)
 
 

@@ -347,3 +347,14 @@ def test_line_dedup_leaves_no_repeated_or_crossed_passage(spark):
         earlier = {x for e, t in docs if e < d for x in t.split("\n")}
         kept = [x for x in text.split("\n") if x not in earlier or len(x.split()) < 4]
         assert [x for x in got[d] if x != "short"] == [x for x in kept if x != "short"]
+
+
+def test_linked_sets_share_a_part_name():
+    rng = np.random.default_rng(6)
+    for num, small, large, both, pairs in ((90, 64, 71, 64, 12000), (90, 67, 70, 65, 12000), (80, 64, 79, 64, 12000), (80, 9, 11, 9, 2000), (80, 900, 1100, 889, 300)):
+        firsts = ngram_join._class_ends(1 << 12, num, 100)
+        assert 100 * both >= num * (small + large - both)
+        for _ in range(pairs):
+            grams = rng.integers(0, 2**64, small + large - both, dtype=np.uint64)
+            a, b = np.sort(grams[:small]), np.sort(grams[small - both :])
+            assert set(ngram_join.part_names(a, num, 100, firsts).tolist()) & set(ngram_join.part_names(b, num, 100, firsts).tolist())
