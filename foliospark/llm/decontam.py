@@ -1,16 +1,24 @@
-"""Benchmark decontamination: pieces of items that edits leave unchanged, exact edit verification.
+"""Benchmark decontamination: CGK random walks, bit sampling over repeated walks, exact edit verification.
+
+Texts and items are sequences of words (lower-cased, punctuation at the ends dropped). A CGK walk reads a sequence from
+some start and, at each step, stays or moves on by a coin that the step and the word under it give. Two sequences that
+differ by few edits see the same words at most steps, so edit distance becomes Hamming distance. A key is a walk's words at
+a few sampled steps. Walks start at every word of a text and of every item (so at every place of an item-sized window), and
+a walk with other coins and other sampled steps is one repetition. Equal keys make candidates.
+
+How many walks an item needs is worked out for its length and for ``max_share``, by trials on made-up sequences with as
+many edits as the item may have, half of them placed at random and half evenly, which leaves the shortest clean
+runs; the larger number counts. An item of so few words that ``max_share`` allows no edit has its whole word sequence
+as its key. An item for which ``MOST_WALKS`` don't reach ``recall`` is cut into one piece more than it may have edits, one
+of which always stands unchanged. So items of every length are found.
 
-Texts and items are sequences of words (lower-cased, punctuation at the ends dropped). An item that may have k edits is cut
-into k + 1 pieces. An edit touches at most one piece, so at least one of them stands unchanged in every text that holds the
-item, and every occurrence of a piece makes a candidate: none is missed, whatever the length of the item.
 Each candidate is checked exactly: the least word edit distance between the whole item and any part of the text around
-the piece (Sellers' algorithm on Myers' bit vectors), at most ``max_share`` of the item's words.
+the place (Sellers' algorithm on Myers' bit vectors), at most ``max_share`` of the item's words.
 
-Items are taken in blocks of at most ``block_items``, and each block's keys are broadcast, so their size is bounded;
-every block runs over all texts. Defined results: a null or empty text or item matches nothing; an item of so few words
-that ``max_share`` allows no edit is searched as its exact word sequence; equal items are each reported; rows with the same
-id are searched one by one and reported once; null ids are left out; other columns are ignored. ``recall`` is the least
-share of items to find; as none is missed, it does not change the result.
+Items are taken in blocks of at most ``block_items`` rows and ``block_words`` words (a longer item is a block of its own),
+and each block is broadcast, so its size is bounded; every block runs over all texts. Defined results: a null or empty text
+or item matches nothing; an empty item table finds nothing; equal items are each reported; one row for each ``doc_id`` and
+``item_id``, the nearest, whether documents or items repeat an id; null ids are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,22 +40,36 @@ _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Words of a piece that are named; a longer one is found by its first words.
 PIECE_WORDS = 8
-#: Texts searched together.
-AT_ONCE = 512
+#: Texts, or characters of texts, searched together; a longer text is searched alone.
+AT_ONCE, CHARS_AT_ONCE = 512, 2_000_000
+#: Sampled steps of a walk lie one to three steps apart; a key of n words is taken from the first n + 1 samples.
+GAPS, MOST_SAMPLES = (1, 2, 3), 6
+MOST_WALKS, TRIALS = 32, 200
+#: Items of more words need no more walks than items of this many.
+LONG = 40
 
 
 def words_of(text: str | None) -> np.ndarray:
     """Names of the words, without punctuation at their ends; words of punctuation only are left out."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return words_of_all([text])[0][:-1]
+
+
+def words_of_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, each text followed by the empty word 0, and where each text begins (and the last ends)."""
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(encoded), np.uint8)
     starts, ends = word_bounds(data)
-    if not len(starts):
-        return np.zeros(0, U)
-    core = np.flatnonzero(_CORE[data])
-    if not len(core):
-        return np.zeros(0, U)
-    lo, hi = np.searchsorted(core, starts), np.searchsorted(core, ends)
-    has = lo < hi
-    return Prefix(data, True).window(core[lo[has]], core[hi[has] - 1] + 1)
+    # a word begins at its first byte that is no punctuation and ends after its last one
+    core = _CORE[data]
+    before = np.concatenate([[0], np.cumsum(core, dtype=np.int64)])
+    has = before[starts] < before[ends]
+    starts, ends, at = starts[has], ends[has], np.flatnonzero(core)
+    starts, ends = at[before[starts]], at[before[ends] - 1] + 1
+    text_ends = np.cumsum([len(x) + 1 for x in encoded])
+    upto = np.searchsorted(starts, text_ends)
+    words = np.zeros(len(starts) + len(texts), U)
+    words[np.arange(len(starts)) + np.searchsorted(text_ends, starts, "right")] = Prefix(data, True).window(starts, ends)
+    return words, np.concatenate([[0], upto + np.arange(1, len(texts) + 1)])
 
 
 def run_keys(words: np.ndarray, length: int) -> np.ndarray:
@@ -65,6 +87,84 @@ def pieces(n_words: int, most: int) -> list[tuple[int, int]]:
     return [(a, min(b - a, PIECE_WORDS)) for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
 
 
+def sampled_steps(walk: int) -> list[int]:
+    """The steps of a walk whose words make its keys."""
+    gaps = np.random.default_rng(walk).choice(GAPS, MOST_SAMPLES - 1)
+    return [0, *np.cumsum(gaps).tolist()]
+
+
+def walk_keys(words: np.ndarray, walk: int, sizes: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, keys, places of the samples) of the walk from every word, for each size of key, smallest first."""
+    steps, n = sampled_steps(walk), len(words)
+    # a walk may run past the end, where only the empty word is
+    words = np.concatenate([words, np.zeros(steps[-1] + 1, U)])
+    coins = ((words ^ U(walk + 1)) * U(0xC2B2AE3D27D4EB4F)) >> U(40)
+    at, step, places = np.arange(n), 0, []
+    key = np.zeros(n, U)
+    for k, sample in enumerate(steps):
+        for step in range(step, sample):
+            at = at + ((coins.take(at) >> U(step)) & U(1)).view(np.int64)
+        step = sample
+        key = key * U(0x9FB21C651E98DF25) + words.take(at)
+        places.append(at)
+        if k in sizes:
+            yield k, key + U(walk), places
+        if k >= max(sizes):
+            return
+
+
+def key_size(n_words: int, most: int) -> int:
+    """Words of an item's keys: as many as the mean clean run has, so that edits leave some, from one to four."""
+    return max(1, min(MOST_SAMPLES - 2, n_words // (most + 1)))
+
+
+def item_keys(words: np.ndarray, walk: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and starts of the walks that stay inside the item and see enough different words."""
+    _, key, places = next(walk_keys(words, walk, {size}))
+    good = np.flatnonzero((places[-1] < len(words)) & (_different(places) >= size))
+    return key[good], good
+
+
+def _different(places: list[np.ndarray]) -> np.ndarray:
+    """How many of a walk's samples are of different places."""
+    return 1 + sum((b > a).astype(np.int64) for a, b in zip(places, places[1:], strict=False))
+
+
+def _edited(n_words: int, most: int, even: bool, rng: np.random.Generator) -> np.ndarray:
+    """The words 1 to ``n_words`` with ``most`` edits."""
+    places = [(k + 1) * n_words // (most + 1) for k in range(most)] if even else sorted(rng.choice(n_words, most, replace=False).tolist())
+    out = list(range(1, n_words + 1))
+    for place in reversed(places):
+        new = int(rng.integers(1 << 20, 1 << 40))
+        out[place : place + 1] = ([new], [], [new, out[place]])[int(rng.integers(3))]
+    return np.array(out, U)
+
+
+def walks_needed(n_words: int, most: int, recall: float) -> int | None:
+    """Walks that find ``recall`` of the items of this length with ``most`` edits; None where ``MOST_WALKS`` don't."""
+    size, worst = key_size(n_words, most), 0
+    for even in (False, True):
+        rng = np.random.default_rng(n_words)
+        # every trial has words of its own
+        firsts, gap = np.full(TRIALS, MOST_WALKS), np.zeros(1, U)
+        own = [np.arange(1, n_words + 1).astype(U), *(_edited(n_words, most, even, rng) for _ in range(TRIALS))]
+        salt = [mix(np.array([t + 1], U)) for t in range(TRIALS)]
+        item = np.concatenate([x for t in range(TRIALS) for x in (mix(own[0] ^ salt[t]), gap)])
+        text = np.concatenate([x for t in range(TRIALS) for x in (mix(own[t + 1] ^ salt[t]), gap)])
+        item_of, ends = np.repeat(np.arange(TRIALS), n_words + 1), np.arange(1, TRIALS + 1) * (n_words + 1) - 1
+        for walk in range(MOST_WALKS):
+            (_, want, places), (_, have, _) = next(walk_keys(item, walk, {size})), next(walk_keys(text, walk, {size}))
+            inside = (_different(places) >= size) & (ends[item_of] > places[-1])
+            found = item_of[inside & np.isin(want, have)]
+            firsts[found] = np.minimum(firsts[found], walk)
+            if (firsts < MOST_WALKS).mean() >= recall:
+                worst = max(worst, walk + 1)
+                break
+        else:
+            return None
+    return worst
+
+
 def edit_hits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
     """(distance, end) of the part of ``text`` nearest to the whole item, the first of equals; None above ``most``."""
     m = len(item)
@@ -86,90 +186,129 @@ def edit_hits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]
     return best
 
 
-def _table(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order, their items and offsets, and one bit of 2^20 a key, which spares most texts' keys the search."""
-    key, owners, offsets = (np.concatenate(x) for x in zip(*found, strict=True))
-    by = np.argsort(key, kind="stable")
-    seen = np.zeros(1 << 20, bool)
-    seen[(key >> U(44)).astype(np.int64)] = True
-    return key[by], owners[by], offsets[by], seen
+class _Keys:
+    """Sorted keys with their items and offsets, and one bit of 2^20 a key, which spares most texts' keys the search."""
+
+    def __init__(self, found: list[tuple[np.ndarray, int, np.ndarray]]):
+        key = np.concatenate([f[0] for f in found])
+        owner, offset = np.repeat([f[1] for f in found], [len(f[0]) for f in found]), np.concatenate([f[2] for f in found])
+        by = np.argsort(key, kind="stable")
+        self.key, self.owner, self.offset = key[by], owner[by], offset[by]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(key >> U(44)).astype(np.int64)] = True
+
+    def hits(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``mine``, items and offsets of all equal keys."""
+        at = np.flatnonzero(self.seen[(mine >> U(44)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.key, mine[at]), np.searchsorted(self.key, mine[at], "right")
+        many = hi - lo
+        each = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else lo
+        return np.repeat(at, many), self.owner[each], self.offset[each]
+
+
+def walks_by_length(items: list[tuple[int, str]], max_share: float, recall: float) -> dict[int, int | None]:
+    """``walks_needed`` for the lengths of these items, those above ``LONG`` counting as that; None for no edits."""
+    lengths = {min(len(words_of(t)), LONG) for _, t in items}
+    return {n: walks_needed(n, most, recall) if (most := int(max_share * n)) else None for n in sorted(lengths)}
 
 
 class ItemIndex:
-    """Sorted keys of the pieces of one block of items."""
+    """Keys of one block of items: of walks, and of pieces where walks don't serve."""
 
-    def __init__(self, items: list[tuple[int, str]], max_share: float):
+    def __init__(self, items: list[tuple[int, str]], max_share: float, walks: dict[int, int | None]):
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.most = [int(max_share * len(w)) for w in self.words]
-        cut = defaultdict(list)
+        self.sets = [frozenset(w.tolist()) for w in self.words]
+        cut, walked = defaultdict(list), defaultdict(list)
         for k, w in enumerate(self.words):
-            for start, length in pieces(len(w), self.most[k]):
-                cut[length].append((run_keys(w[start : start + length], length), np.array([k]), np.array([start])))
-        self.tables = [(length, _table(found)) for length, found in sorted(cut.items())]
-
-    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(number of the text, item, distance, first word, end word) of each item's nearest part in each text."""
-        parts = [words_of(t) for t in texts]
-        # the empty word 0 ends a text, and no piece has it
-        gap = np.zeros(1, U)
-        lengths = np.array([len(p) + 1 for p in parts], np.int64)
-        begins = np.concatenate([[0], np.cumsum(lengths)])
-        words = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
-        near: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for length, (keys, owners, offsets, seen) in self.tables:
-            mine = run_keys(words, length)
-            at = np.arange(len(mine))
-            maybe = seen[(mine >> U(44)).astype(np.int64)]
-            at, mine = at[maybe], mine[maybe]
-            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-            hit = lo < hi
-            doc = np.searchsorted(begins, at[hit], "right") - 1
-            for d, start, a, b in zip(doc.tolist(), (at[hit] - begins[doc]).tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                for k in range(a, b):
-                    # nearby alignments of one item are checked together
-                    near[d, int(owners[k])].add((start - int(offsets[k])) // 8)
-        for (d, k), places in sorted(near.items()):
-            item, most, best = self.words[k], self.most[k], None
-            for place in sorted(places):
-                lo = max(0, place * 8 - most)
-                hit = edit_hits(item, parts[d][lo : place * 8 + 8 + len(item) + most], most)
-                if hit and (best is None or hit[0] < best[2]):
-                    best = (d, self.ids[k], hit[0], max(0, lo + hit[1] - len(item) - hit[0]), lo + hit[1])
-            if best:
-                yield best
-
-
-def find_items(docs: DataFrame, items: DataFrame, max_share: float = 0.2, recall: float = 0.99, block_items: int = 20_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+            if not len(w):
+                continue
+            n = min(len(w), LONG)
+            if walks[n] is None:
+                for start, length in pieces(len(w), self.most[k]):
+                    cut[length].append((run_keys(w[start : start + length], length), k, np.array([start])))
+                continue
+            size = key_size(n, int(max_share * n))
+            for walk in range(walks[n]):
+                key, start = item_keys(w, walk, size)
+                walked[walk, size].append((key, k, start))
+        self.runs = {length: _Keys(found) for length, found in sorted(cut.items())}
+        self.walks: dict[int, dict[int, _Keys]] = defaultdict(dict)
+        for (walk, size), found in sorted(walked.items()):
+            self.walks[walk][size] = _Keys(found)
+
+    def _hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for length, keys in self.runs.items():
+            yield keys.hits(run_keys(words, length))
+        for walk, sizes in self.walks.items():
+            for size, key, _ in walk_keys(words, walk, set(sizes)):
+                yield sizes[size].hits(key)
+
+    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(number of the text, item, distance, words of the item, first word, end word) of each item's nearest part in each text."""
+        words, begins = words_of_all(texts)
+        near = [np.zeros((0, 3), np.int64)]
+        for at, owner, offset in self._hits(words):
+            doc = np.searchsorted(begins, at, "right") - 1
+            # nearby alignments of one item are checked together
+            near.append(np.stack([doc, owner, (at - begins[doc] - offset) // 8], 1))
+        best: dict[tuple[int, int], tuple] = {}
+        for d, k, place in np.unique(np.concatenate(near), axis=0).tolist():
+            item, most = self.words[k], self.most[k]
+            lo = max(0, place * 8 - most)
+            part = words[begins[d] + lo : max(begins[d], min(begins[d + 1] - 1, begins[d] + place * 8 + 8 + len(item) + most))]
+            # each word that the part lacks is an edit
+            if len(self.sets[k].difference(part.tolist())) > most:
+                continue
+            hit = edit_hits(item, part, most)
+            if hit and ((d, k) not in best or hit[0] < best[d, k][2]):
+                best[d, k] = (d, self.ids[k], hit[0], len(item), max(0, lo + hit[1] - len(item) - hit[0]), lo + hit[1])
+        yield from best.values()
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts in runs of a bounded size, each with the number of its first."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > at and (k - at == AT_ONCE or size + len(t or "") > CHARS_AT_ONCE):
+            yield at, texts[at:k]
+            at, size = k, 0
+        size += len(t or "")
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def find_items(docs: DataFrame, items: DataFrame, max_share: float = 0.2, recall: float = 0.99, block_items: int = 20_000, block_words: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``, ``distance``, ``n_words``, ``first_word``, ``end_word``: one row for each item that a text holds."""
     spark = docs.sparkSession
     mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    schema = "doc_id long, item_id long, distance long, n_words long, first_word long, end_word long"
+    places = ["distance", "n_words", "first_word", "end_word"]
+    names = ["doc_id", "item_id", *places]
 
     def search(block: DataFrame) -> DataFrame:
-        # at most block_items rows, which bounds what is sent
-        shared = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in block.collect()))
+        # at most block_items rows and block_words words, which bounds what is sent
+        rows = sorted((r[0], r[1]) for r in block.collect())
+        shared, walks = spark.sparkContext.broadcast(rows), walks_by_length(rows, max_share, recall)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, max_share)
-            sizes = {i: len(w) for i, w in zip(index.ids, index.words, strict=True)}
+            index = ItemIndex(shared.value, max_share, walks)
             for b in batches:
                 ids, texts = b.column(0), b.column(1).to_pylist()
-                rows = [(ids[n + k].as_py(), i, d, sizes[i], lo, hi) for n in range(0, len(texts), AT_ONCE) for k, i, d, lo, hi in index.search(texts[n : n + AT_ONCE])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["doc_id", "item_id", "distance", "n_words", "first_word", "end_word"])
+                rows = [(ids[n + k].as_py(), i, d, m, lo, hi) for n, part in _parts(texts) for k, i, d, m, lo, hi in index.search(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=names)
 
-        return mine.mapInArrow(run, schema)
+        return mine.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    blocks = math.ceil(asked.count() / block_items)
-    if blocks <= 1:
-        return search(asked)
     # items are dealt by hash into twice the blocks they would fill, so that none holds more than its share
+    n, n_words = asked.select(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0)) / 4).first()
+    blocks = max(math.ceil(n / block_items), math.ceil(n_words / block_words))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * blocks))
-    return reduce(DataFrame.unionByName, [search(asked.where(part == k)) for k in range(2 * blocks)])
+    found = search(asked) if blocks <= 1 else reduce(DataFrame.unionByName, [search(asked.where(part == k)) for k in range(2 * blocks)])
+    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct(*places)).alias("_near")).select("doc_id", "item_id", *[F.col(f"_near.{p}").alias(p) for p in places])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``n_items``, ``item_ids`` and ``least_distance`` of the documents that hold an item."""
-    found = find_items(docs, items, **options).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.min("distance").alias("least_distance"))
+    return find_items(docs, items, **options).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.min("distance").alias("least_distance"))

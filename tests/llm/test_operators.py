@@ -286,45 +286,77 @@ def test_feistel_is_a_permutation(spark):
     assert all(r.v == r.b for r in rows) and sum(r.v == r.p for r in rows) < 20
 
 
-def _held(spark, docs, items):
-    got = decontam.find_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-    return {(r.doc_id, r.item_id): r.distance for r in got}
+def plain_words(text):
+    """Words without punctuation at their ends, by a plain scan."""
+    import re
 
+    bare = (re.sub(r"^[^0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff]+$", "", w) for w in brute.words(text))
+    return [w for w in bare if w]
 
-def _brute_held(docs, items):
-    asked = [(i, decontam.words_of(t)) for i, t in items]
-    return {(d, i): hit[0] for d, t in docs for i, w in asked if len(w) and (hit := decontam.edit_hits(w, decontam.words_of(t), int(0.2 * len(w))))}
 
+def plain_distance(item, text):
+    """Least word edit distance between the item and any part of the text, by the full table."""
+    row = list(range(len(item) + 1))
+    least = row[-1]
+    for x in text:
+        new = [0]
+        for i, y in enumerate(item):
+            new.append(min(new[-1] + 1, row[i + 1] + 1, row[i] + (x != y)))
+        row = new
+        least = min(least, row[-1])
+    return least
 
-def test_decontamination_finds_short_items(spark):
-    rng = random.Random(8)
-    vocab = [f"w{k}" for k in range(500)]
-    items = [(k, " ".join(rng.sample(vocab, n))) for k, n in enumerate((1, 2, 4, 5, 5, 7, 9, 10, 11, 11))]
-    docs = []
-    for k, (i, t) in enumerate(items * 6):
-        w = t.split(" ")
-        for _ in range(rng.randrange(int(0.2 * len(w)) + 1)):
-            w[rng.randrange(len(w))] = "edited"
-        around = [" ".join(rng.choices(vocab, k=30)) for _ in range(2)]
-        docs.append((k, f"{around[0]} {' '.join(w)}. {around[1]}"))
-    want = _brute_held(docs, items)
-    assert len(want) >= 60 and _held(spark, docs, items) == want
-    assert _held(spark, docs, []) == {} and _held(spark, docs, [(1, ""), (2, None)]) == {}
 
+def edited(rng, words, k):
+    out = list(words)
+    for place in sorted(rng.sample(range(len(out)), k), reverse=True):
+        out[place : place + 1] = rng.choice((["edited"], [], ["edited", out[place]]))
+    return out
 
-def test_decontamination_finds_every_item_at_the_threshold(spark):
-    rng = random.Random(9)
+
+def test_decontamination_reaches_its_recall_at_every_length_and_threshold():
+    rng = random.Random(8)
     vocab = [f"w{k}" for k in range(900)]
-    items = [(k, " ".join(rng.sample(vocab, n))) for k, n in enumerate((15, 16, 16, 17, 20, 20, 21, 25, 30, 50))]
-    docs = []
-    for k, (i, t) in enumerate(items * 12):
-        w = t.split(" ")
-        for place in sorted(rng.sample(range(len(w)), int(0.2 * len(w))), reverse=True):
-            w[place : place + 1] = rng.choice((["edited"], ["edited"], [], ["edited", w[place]]))
-        around = [" ".join(rng.choices(vocab, k=40)) for _ in range(2)]
-        docs.append((k, f"{around[0]} {' '.join(w)}. {around[1]}"))
-    want = _brute_held(docs, items)
-    assert len(want) >= 120 and _held(spark, docs, items) == want
+    for n in range(1, 61):
+        for k in sorted({0, n // 10, n // 5}):
+            items = [(i, " ".join(rng.sample(vocab, n))) for i in range(30)]
+            index = decontam.ItemIndex(items, 0.2, decontam.walks_by_length(items, 0.2, 0.99))
+            around = lambda: " ".join(rng.choices(vocab, k=25))
+            texts = [f"{around()}, {' '.join(edited(rng, t.split(), k))}. {around()}" for _, t in items]
+            found = {(d, i): dist for d, i, dist, *_ in index.search(texts)}
+            assert sum((i, i) in found for i in range(30)) >= 27, (n, k)
+            for (d, i), dist in list(found.items())[:4]:
+                assert dist == plain_distance(plain_words(items[i][1]), plain_words(texts[d])) <= 0.2 * n
+
+
+def test_decontamination_reports_each_pair_once_and_takes_odd_rows(spark):
+    item, long = "who wrote the first book", "filler words here " * 40_000
+    rows = [(5, f"a {item} b"), (5, f"c {item}"), (6, "Who wrote the first book? " + long), (7, None), (8, ""), (None, item), (9, "who wrote a first book"), (10, "who wrote")]
+    docs = spark.createDataFrame([(d, t, 0, 1, 2, 3) for d, t in rows], "doc_id long, text string, item_id int, distance int, n_words int, first_word int")
+    items = spark.createDataFrame([(1, item, "x"), (1, item + " ever", "x"), (1, item, "x"), (2, item, "x"), (3, "", "x"), (4, None, "x"), (None, item, "x")], "item_id long, text string, doc_id string")
+    got = decontam.find_items(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(d, i, n) for d, n in ((5, 0), (6, 0), (9, 1)) for i in (1, 2)]
+    assert sorted((r.doc_id, r.n_items) for r in decontam.contaminated(docs, items).collect()) == [(5, 2), (6, 2), (9, 2)]
+    assert decontam.find_items(docs, items.limit(0)).collect() == [] and decontam.find_items(docs.limit(0), items).collect() == []
+
+
+def test_decontamination_in_blocks(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.randrange(900)}" for _ in range(12))) for k in range(30)]
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    got = decontam.find_items(docs, docs.withColumnRenamed("doc_id", "item_id"), block_items=8).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(30)]
+
+
+def test_functions_sent_to_executors_need_no_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    sent = [decontam.ItemIndex, decontam.words_of, line_dedup._align, ngram_join.join_block, suffix_dedup._cut, sentencepiece_sa.encode]
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps(sent))
+    subprocess.run([sys.executable, "-c", f"import pickle; assert len(pickle.load(open('{tmp_path}/sent', 'rb'))) == {len(sent)}"], cwd=tmp_path, check=True)
 
 
 def test_line_dedup_of_a_passage_that_all_documents_hold(spark):
