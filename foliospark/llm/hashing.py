@@ -62,6 +62,18 @@ class Prefix:
         return mix((self.sums[k:] - self.sums[:n]) * self.scale[:n] + U(k))
 
 
+class Runs:
+    """Prefix sums of a sequence of 64-bit names; ``window(starts, ends)`` names its runs, never with 0."""
+
+    def __init__(self, names: np.ndarray):
+        self.sums = np.zeros(len(names) + 1, U)
+        np.cumsum(mix(names) * _powers(len(names), _INVERSE), out=self.sums[1:])
+        self.scale = _powers(len(names) + 1, _BASE)
+
+    def window(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.scale[starts] + (ends - starts).astype(U)) | U(1)
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than tab, newlines and space."""
     inside = np.concatenate([[False], ~_table("gaps")[data], [False]])

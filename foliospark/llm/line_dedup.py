@@ -1,16 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Lines are named by a hash of their stripped text. Overlapping documents are found through the names of telling lines (at
-least ``min_words`` words): the holders of a line are tied to its first holder, the one with the smallest id, so a line
-costs one pair a holder however many there are, also for a line that most documents hold. Each pair is aligned with
-patience diff (lines that are unique in both anchor a longest increasing chain, and the stretches between are aligned in
-turn), and the aligned common blocks with a telling line are deleted from the later document. Telling lines that the
-alignment leaves though the first holder has them (repeated, or in another order) go with the longest run of lines around
-them that the first holder has too. So no telling line stays that an earlier document has.
-
-Defined results: a null text stays null, an empty one empty; blank lines are deleted only inside a block; a document whose
+Lines are named by a hash of their stripped text. Overlapping documents are found through names of telling lines (at
+least ``min_words`` words) and of runs: from each line that is not telling, the run back to the last telling line and the
+run on to the next one. The holders of a name are tied to its first holder, the one with the smallest id, so a name costs
+one pair a holder however many there are, also for a line that most documents hold. Each pair is aligned with patience
+diff (lines that are unique in both anchor a longest increasing chain, and the stretches between are aligned in turn),
+and the aligned common blocks with a telling line are deleted from the later document. What the alignment leaves of the
+names that both have (repeated, or in another order) goes too.
+
+So the result does not depend on which pairs are aligned: a line goes exactly where it lies in a run of lines, one of them
+telling, that some earlier document has too. Each line of such a run has its telling line or its run to one as a name, the
+run's holder has the name, and so has the name's first holder.
+
+Defined results: a null text stays null, an empty one empty; blank lines are lines that are not telling; a document whose
 last line goes has the text ''; of rows with the same id the one with the smallest line sequence stands for the id, and
-only rows with its text are changed; a row with a null id is left alone; other columns pass through.
+only rows with its text are changed; a row with a null id is left alone; other columns pass through, whatever their names,
+but ``n_lines`` and ``n_removed_lines``, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import Runs, U
 from .store import materialize
 
 BLANK = 0
@@ -79,40 +86,32 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def run_names(lines: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the names of the runs back to the last telling line and on to the next one, 0 where there is none."""
+    names = np.array(lines, np.int64).view(U)
+    n, telling, runs = len(names), np.flatnonzero(names & U(1)), Runs(names)
+    at = np.arange(n)
+    out = []
+    for near, fits in ((np.searchsorted(telling, at, "right") - 1, lambda k: k >= 0), (np.searchsorted(telling, at), lambda k: k < len(telling))):
+        name, good = np.zeros(n, U), np.flatnonzero(fits(near))
+        to = telling[near[good]]
+        name[good] = runs.window(np.minimum(good, to), np.maximum(good, to) + 1)
+        out.append(name)
+    return out[0], out[1]
+
+
 def common_blocks(early: list[int], late: list[int]) -> list[int]:
-    """Places in ``late`` of the aligned blocks that have a telling line."""
-    out, block = [], []
+    """Places in ``late`` of the aligned blocks that have a telling line, and of what else has a name that ``early`` has."""
+    out, block = set(), []
     for i, j in [*patience(early, late), (-1, -1)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             if any(late[y] & 1 for _, y in block):
-                out += [y for _, y in block]
+                out.update(y for _, y in block)
             block = []
         block.append((i, j))
-    return out + _left_over(early, late, set(out))
-
-
-def _left_over(early: list[int], late: list[int], gone: set[int]) -> list[int]:
-    """Places in ``late`` of the telling lines that ``early`` has and that are not gone, with the longest common run around each."""
-    places: dict[int, list[int]] = {}
-    for i, x in enumerate(early):
-        if x & 1:
-            places.setdefault(x, []).append(i)
-    out = []
-    for j, x in enumerate(late):
-        if j in gone or x not in places:
-            continue
-        best = range(j, j + 1)
-        for i in places[x]:
-            lo, hi = 0, 1
-            while lo < min(i, j) and j - lo - 1 not in gone and early[i - lo - 1] == late[j - lo - 1]:
-                lo += 1
-            while i + hi < len(early) and j + hi < len(late) and j + hi not in gone and early[i + hi] == late[j + hi]:
-                hi += 1
-            if lo + hi > len(best):
-                best = range(j - lo, j + hi)
-        gone.update(best)
-        out += best
-    return out
+    for mine, other in zip(run_names(late), run_names(early), strict=True):
+        out.update(np.flatnonzero(np.isin(mine, other) & (mine != 0)).tolist())
+    return sorted(out)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +120,18 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
 
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lines -> doc_id and each name that ties it."""
+    for b in batches:
+        for doc, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            names = np.unique(np.concatenate(run_names(lines)))
+            names = names[names != 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), doc, np.int64)), pa.array(names.view(np.int64))], names=["doc_id", "line"])
+
+
 def overlaps(lines: DataFrame) -> DataFrame:
-    """Pairs (doc_id, early) of documents tied through a telling line, from ``doc_id`` and ``lines``."""
-    each = lines.select("doc_id", F.explode(F.array_distinct(F.filter("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1))).alias("line"))
+    """Pairs (doc_id, early) of documents tied through a name, from ``doc_id`` and ``lines``."""
+    each = lines.where(F.exists("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1)).select("doc_id", "lines").mapInArrow(_names, "doc_id long, line long")
     held = materialize(each.groupBy("line").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1"))
     return each.join(held, "line").where("early < doc_id").select("doc_id", "early").distinct()
 
@@ -140,9 +148,11 @@ def drop_common_blocks(docs: DataFrame, min_words: int = 4, doc_id: str = "doc_i
     aligned = materialize(pairs).join(late, "doc_id").select("doc_id", "first", "late").mapInArrow(_align, "doc_id long, gone array<int>")
     gone = materialize(aligned.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
     gone = gone.join(lines, "doc_id").select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), "gone").hint("shuffle_hash")
-    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_whole": F.xxhash64(text)})
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_whole"))
     out = keyed.join(gone, ["_id", "_whole"], "left")
-    parts = F.split(F.col(text), "\n", -1)
+    whole = F.col("_doc")[text]
+    parts = F.split(whole, "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    counts = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed_lines": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    return out.withColumns(counts).withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)).withColumn("n_removed_lines", F.greatest("n_removed_lines", F.lit(0))).drop("_id", "_whole", "gone")
+    counts = {"n_lines": F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed_lines": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")}
+    columns = [F.when(F.col("gone").isNull(), whole).otherwise(left).alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns if c not in counts]
+    return out.select(*columns, *[v.alias(k) for k, v in counts.items()])

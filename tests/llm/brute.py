@@ -57,55 +57,27 @@ def repeats(docs, length):
     return out
 
 
-def _chain(places):
-    best = []
-    for i, j in places:
-        c = max((b for b in best if b[-1][1] < j), key=lambda b: (len(b), -b[-1][1]), default=[])
-        best.append([*c, (i, j)])
-    return max(best, key=lambda b: (len(b), -b[-1][1]), default=[])
-
-
-def _diff(a, b, oa=0, ob=0):
-    out = []
-    while a and b and a[0] == b[0]:
-        out.append((oa, ob))
-        a, b, oa, ob = a[1:], b[1:], oa + 1, ob + 1
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-        out.append((oa + len(a), ob + len(b)))
-    c = _chain([(i, b.index(x)) for i, x in enumerate(a) if x and a.count(x) == 1 and b.count(x) == 1]) if a and b else []
-    if c:
-        ends = [(-1, -1), *c, (len(a), len(b))]
-        out += [(oa + i, ob + j) for i, j in c]
-        for (i, j), (k, m) in zip(ends, ends[1:]):
-            out += _diff(a[i + 1 : k], b[j + 1 : m], oa + i + 1, ob + j + 1)
-    return out
-
-
 def common_blocks(docs, min_words=4):
-    """doc -> (text left, removed lines)."""
+    """doc -> (text left, removed lines): all runs with a telling line that two documents have, over all pairs."""
     telling = lambda x: len(x.split()) >= min_words
     split = {d: [x.strip(GAPS) for x in t.split("\n")] for d, t in docs if t is not None}
-    first, held, gone = {}, defaultdict(int), defaultdict(set)
-    for d in sorted(split):
-        for x in {x for x in split[d] if telling(x)}:
-            first.setdefault(x, d)
-            held[x] += 1
+    places = {d: defaultdict(list) for d in split}
+    for d, own in split.items():
+        for k, x in enumerate(own):
+            if telling(x):
+                places[d][x].append(k)
+    gone = defaultdict(set)
     for d, own in split.items():
-        rarest = defaultdict(list)
-        for x in set(own):
-            if telling(x) and first[x] < d:
-                rarest[first[x]].append(held[x])
-        for p, counts in rarest.items():
-            if min(counts) > max(2, len(split) // 2):
-                continue
-            block = []
-            for q in [*sorted(_diff(split[p], own)), (-9, -9)]:
-                if block and q != (block[-1][0] + 1, block[-1][1] + 1):
-                    if any(telling(own[y]) for _, y in block):
-                        gone[d] |= {y for _, y in block}
-                    block = []
-                block.append(q)
+        for e, other in split.items():
+            for x in places[d].keys() & places[e].keys() if e < d else ():
+                for j in places[d][x]:
+                    for i in places[e][x]:
+                        lo = hi = 0
+                        while lo <= min(i, j) and own[j - lo] == other[i - lo]:
+                            lo += 1
+                        while j + hi < len(own) and i + hi < len(other) and own[j + hi] == other[i + hi]:
+                            hi += 1
+                        gone[d].update(range(j - lo + 1, j + hi))
     return {d: (None, 0) if t is None else ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]), len(gone[d])) for d, t in docs}
 
 
