@@ -10,17 +10,19 @@ reaches the threshold, compared in whole numbers. The join runs in three steps:
    parts only: one more than it can differ in from any set that it links with, and all of the same count as the least of
    them. Of two linked sets take the one whose least count is higher. It leaves so few parts out that one of the equal
    ones is named, and the other set names that part too, so no link is missed.
-2. Prefix tree. Inside a block n-grams are ordered by how many sets hold them, most first, and the ordered sets are
-   stored in a tree with compressed paths. Each set walks the tree before it is added: sets below a node share the
-   overlap counted so far, and a subtree is left when even all remaining n-grams can't give the overlap that its set
-   sizes need, or when all of it is already in the walker's group. A block above ``BLOCK_NGRAMS`` is dealt into chunks,
-   and every pair of chunks is a task of its own.
+2. Prefix tree. All n-grams have one global order: by how often their cell of a count sketch (``CELLS`` cells over the
+   whole corpus) was met, most first, then by hash. The ordered sets are stored in a tree with compressed paths. Each set
+   walks the tree before it is added: sets below a node share the overlap counted so far, and a subtree is left when even
+   all remaining n-grams can't give the overlap that its set sizes need, or when all of it is already in the walker's
+   group. A block is dealt into cells by size class: the tree of a cell holds one class, and the sets of that class and
+   of the next one walk it, as linked sets lie in the same or adjacent classes. A class of more than ``CELL_NGRAMS``
+   is cut into several trees, and the walks of several trees are tasks of their own.
 3. Components over the links found.
 
-Equal sets within a batch are tied directly and travel once. Defined results: a null or empty text, or one without
-words, has the empty set, links with nothing and is its own group; a text with fewer than n words has one n-gram, the
-whole sequence; rows with the same id count as one vertex with the n-grams of the first; a null id is left out; other
-columns are ignored.
+Equal sets stand for one another: only the one with the smallest id is a member of a block. Defined results: a null or
+empty text, or one without words, has the empty set, links with nothing and is its own group; a text with fewer than n
+words has one n-gram, the whole sequence; rows with the same id count as one vertex with the smallest set (by size, then
+hash); a null id is left out; ids may be any 64-bit number; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +34,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, mix, pack, shingle_set, unpack, word_hashes
 from .store import materialize, partitions
 
-#: n-grams that one task's block, or one chunk of a block, may hold.
-BLOCK_NGRAMS = 4_000_000
+#: n-grams that one tree may hold; cells of the count sketch, a fixed number whatever the input.
+CELL_NGRAMS, CELLS = 1_000_000, 1 << 18
 #: Parts beyond the differences that two sets of a class can have, as a share of these.
 SPARE_PARTS = 0.15
 BATCH_BYTES = 24_000_000
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-_LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-_NAMES, _SIZES, _EQUAL = 0, 1, 2
+_LINKS = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in "abcde")])
+_NAMES, _SETS, _COUNTS = 0, 1, 2
 
 
 def set_of(text: str | None, n: int) -> np.ndarray:
@@ -102,33 +104,42 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
         yield np.array(ids, np.int64), texts
 
 
+def cell_of(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) >> U(46)).astype(np.int64)
+
+
+def whole_name(grams: np.ndarray) -> np.ndarray:
+    """128 bits that name a set."""
+    return mix(np.array([grams.sum(dtype=U) + U(len(grams)), np.bitwise_xor.reduce(mix(grams))], U))
+
+
 def _name_parts(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each batch: names of parts by bucket, set sizes, and ties between equal sets."""
+    """For each batch: names of parts by bucket, the counts of the sketch's cells, and size, class and hash of every set."""
     firsts = _class_ends(1 << 12, num, den)
+    slices = np.linspace(0, CELLS, buckets + 1).astype(np.int64)
     for ids, texts in _batches(batches):
         order = np.argsort(ids, kind="stable")
-        first: dict[bytes, int] = {}
-        sizes, names, owners, equal = [], [], [], []
-        for i in order:
+        seen: set[bytes] = set()
+        sets, names, owners = np.zeros((len(ids), 4), np.int64), [], []
+        counts = np.zeros(CELLS, np.uint32)
+        for at, i in enumerate(order):
             grams = set_of(texts[i], n)
-            sizes.append(len(grams))
             if not len(grams):
                 continue
-            mine = int(ids[i])
-            whole = mix(np.array([grams.sum(dtype=U), np.bitwise_xor.reduce(mix(grams)), U(len(grams))])).tobytes()
-            if first.setdefault(whole, mine) != mine:
-                equal.append((mine, first[whole]))
-                continue
+            np.add.at(counts, cell_of(grams), np.uint32(1))
+            whole = whole_name(grams)
             while firsts[-1] <= len(grams) or firsts[-2] <= len(grams):
                 firsts = _class_ends(2 * firsts[-1], num, den)
+            sets[at] = len(grams), np.searchsorted(firsts, len(grams), "right") - 1, *whole.view(np.int64)
+            if whole.tobytes() in seen:
+                continue
+            seen.add(whole.tobytes())
             part = np.unique(part_names(grams, num, den, firsts))
             names.append(part)
-            owners.append(np.full(len(part), len(sizes) - 1, np.int64))
+            owners.append(np.full(len(part), at, np.int64))
         ids = ids[order]
-        home = int(ids[0]) % buckets
-        out = [(home, _SIZES, np.stack([ids, np.array(sizes, np.int64)], 1).tobytes())]
-        if equal:
-            out.append((home, _EQUAL, np.array(equal, np.int64).tobytes()))
+        out = [(int(ids[0]) % buckets, _SETS, np.concatenate([ids[:, None], sets], 1).tobytes())]
+        out += [(k, _COUNTS, np.array([slices[k]]).tobytes() + counts[slices[k] : slices[k + 1]].tobytes()) for k in range(buckets)]
         if names:
             name, owner = np.concatenate(names), np.concatenate(owners)
             by = np.argsort(name, kind="stable")
@@ -145,19 +156,31 @@ def _name_parts(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, b
 
 
 def _tie(table: pa.Table) -> pa.Table:
-    """One bucket: ties every document of a name to the smallest; sizes and equal sets pass."""
+    """One bucket: ties every document of a name to the smallest, adds up its cells' counts; sets pass."""
     kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-    found, names, docs = [np.zeros((0, 3), np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    found, names, docs, counts = [np.zeros((0, 6), np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)], {}
+
+    def add(kind: int, *columns: np.ndarray) -> None:
+        rows = np.zeros((len(columns[0]), 6), np.int64)
+        rows[:, 0] = kind
+        for k, c in enumerate(columns, 1):
+            rows[:, k] = c
+        found.append(rows)
+
     for kind, data in zip(kinds, payloads, strict=True):
-        if kind != _NAMES:
-            pairs = np.frombuffer(data, np.int64).reshape(-1, 2)
-            found.append(np.concatenate([np.full((len(pairs), 1), kind), pairs], 1))
-            continue
-        n = int(np.frombuffer(data, np.int64, 1)[0])
-        ids = np.frombuffer(data, np.int64, n, 8)
-        rows = np.frombuffer(data, np.uint8, offset=8 + 8 * n).reshape(-1, 11)
-        names.append(unpack(rows[:, :8]))
-        docs.append(ids[unpack(rows[:, 8:]).astype(np.int64)])
+        if kind == _SETS:
+            add(kind, *np.frombuffer(data, np.int64).reshape(-1, 5).T)
+        elif kind == _COUNTS:
+            first, more = int(np.frombuffer(data, np.int64, 1)[0]), np.frombuffer(data, np.uint32, offset=8).astype(np.int64)
+            counts[first] = counts[first] + more if first in counts else more
+        else:
+            n = int(np.frombuffer(data, np.int64, 1)[0])
+            ids = np.frombuffer(data, np.int64, n, 8)
+            rows = np.frombuffer(data, np.uint8, offset=8 + 8 * n).reshape(-1, 11)
+            names.append(unpack(rows[:, :8]))
+            docs.append(ids[unpack(rows[:, 8:]).astype(np.int64)])
+    for first, sums in counts.items():
+        add(_COUNTS, np.arange(first, first + len(sums)), sums)
     name, doc = np.concatenate(names), np.concatenate(docs)
     if len(name):
         by = np.lexsort((doc, name))
@@ -166,10 +189,9 @@ def _tie(table: pa.Table) -> pa.Table:
         least = np.repeat(doc[starts], np.diff(np.append(starts, len(name))))
         far = doc != least
         if far.any():
-            pairs = np.unique(np.stack([doc[far], least[far]], 1), axis=0)
-            found.append(np.concatenate([np.full((len(pairs), 1), _NAMES), pairs], 1))
+            add(_NAMES, *np.unique(np.stack([doc[far], least[far]], 1), axis=0).T)
     rows = np.concatenate(found)
-    return pa.Table.from_arrays([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], schema=_LINKS)
+    return pa.Table.from_arrays([pa.array(rows[:, 0].astype(np.int32)), *(pa.array(rows[:, k]) for k in range(1, 6))], schema=_LINKS)
 
 
 class _Node:
@@ -252,54 +274,63 @@ class PrefixTree:
             node, k = child, k + shared
 
 
-def join_block(ids: list[int], sets: list[np.ndarray], num: int, den: int, halves: tuple[set, set] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the block's links connect. With ``halves``, only links between the two of them count."""
-    grams, counts = np.unique(np.concatenate(sets), return_counts=True)
+def join_cell(tree: dict[int, np.ndarray], walkers: dict[int, np.ndarray], home: bool, num: int, den: int, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the cell's links connect: between walkers and the tree's sets, and inside the tree if it is at ``home``."""
+    sets = tree | walkers
+    if not sets:
+        return []
+    grams = np.unique(np.concatenate(list(sets.values())))
     rank = np.empty(len(grams), np.int64)
-    rank[np.lexsort((grams, -counts))] = np.arange(len(grams))
-    ordered = [np.sort(rank[np.searchsorted(grams, s)]).tolist() for s in sets]
-    # close sizes and equal beginnings next to each other: groups grow early, and the walks find them
-    order = sorted(range(len(ids)), key=lambda i: (-len(ordered[i]), ordered[i][:8], ids[i]))
-    tree, out = PrefixTree(num, den), []
-    if halves is None:
-        for i in order:
-            out += [(ids[i], other) for other in tree.links(ids[i], ordered[i])]
-            tree.add(ids[i], ordered[i])
-        return out
-    for i in (i for i in order if ids[i] in halves[0]):
-        tree.add(ids[i], ordered[i])
-    for i in (i for i in order if ids[i] in halves[1]):
-        out += [(ids[i], other) for other in tree.links(ids[i], ordered[i])]
+    rank[np.lexsort((grams, -counts[cell_of(grams)]))] = np.arange(len(grams))
+    ordered = {i: np.sort(rank[np.searchsorted(grams, s)]).tolist() for i, s in sets.items()}
+
+    def close(ids) -> list[int]:
+        """Close sizes and equal beginnings next to each other: groups grow early, and the walks find them."""
+        return sorted(ids, key=lambda i: (-len(ordered[i]), ordered[i][:8], i))
+
+    held, out = PrefixTree(num, den), []
+    for i in close(tree):
+        if home:
+            out += [(i, other) for other in held.links(i, ordered[i])]
+        held.add(i, ordered[i])
+    for i in close(walkers):
+        out += [(i, other) for other in held.links(i, ordered[i])]
     return out
 
 
+def trees_of(chunk: int, below: int, own: int, above: int) -> list[tuple[int, int, int, bool]]:
+    """(class relative to the set's, chunk of the tree, task of the tree, whether the set is in the tree) for a set of
+    ``chunk``, where its class and the ones below and above have so many chunks. A tree is at home in task 0, which
+    the next class's chunk 0 walks too; other chunks of its class walk it in tasks 1 on, other chunks of the next class in -1 on."""
+    out = [(0, chunk, 0, True)]
+    out += [(0, chunk, other, True) for other in range(chunk + 1, own)] + [(0, other, chunk, False) for other in range(chunk)]
+    out += [(0, chunk, -other, True) for other in range(1, above)]
+    return out + [(-1, other, -chunk, False) for other in range(below)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int, bins: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, block, chunks -> one row for each task that needs the set."""
-    schema = pa.schema([("bin", pa.int32()), ("block", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("grams", pa.binary())])
+    """doc_id, text, block, class, chunks of three classes, hash of the set that counts for the id -> one row for each task that needs the set."""
+    schema = pa.schema([("bin", pa.int32()), ("block", pa.int64()), ("class", pa.int64()), ("chunk", pa.int32()), ("task", pa.int32()), ("inside", pa.bool_()), ("doc_id", pa.int64()), ("grams", pa.binary())])
     for b in batches:
         out = []
-        for doc, text, block, chunks in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            data = set_of(text, n).tobytes()
-            mine = int(mix(np.array([doc], np.int64).view(U))[0] % U(chunks))
-            for other in range(chunks):
-                i, j = min(mine, other), max(mine, other)
-                at = int(mix(np.array([block * 1_000_003 + i * 1009 + j], np.int64).view(U))[0] % U(bins))
-                out.append((at, block, i, j, mine, doc, data))
+        for doc, text, block, size_class, below, own, above, h, i in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+            grams = set_of(text, n)
+            if not len(grams) or whole_name(grams).view(np.int64).tolist() != [h, i]:
+                continue
+            data = grams.tobytes()
+            mine = int(mix(np.array([doc], np.int64).view(U))[0] % U(own))
+            for step, chunk, task, inside in trees_of(mine, below, own, above):
+                key = mix(np.array([block, size_class + step, chunk, task], np.int64).view(U))
+                at = int(mix(key * np.array([1, 3, 5, 7], U)).sum(dtype=U) % U(bins))
+                out.append((at, block, size_class + step, chunk, task, inside, doc, data))
         yield pa.RecordBatch.from_pydict({k: [r[x] for r in out] for x, k in enumerate(schema.names)}, schema=schema)
 
 
-def _join_bin(table: pa.Table, num: int, den: int) -> pa.Table:
-    cells = defaultdict(list)
-    for block, i, j, chunk, doc, data in zip(*(table.column(k).to_pylist() for k in ("block", "i", "j", "chunk", "doc_id", "grams")), strict=True):
-        cells[block, i, j].append((doc, chunk, np.frombuffer(data, U)))
-    found = []
-    for (_, i, j), rows in sorted(cells.items()):
-        first: dict[int, tuple] = {}
-        for doc, chunk, grams in sorted(rows, key=lambda r: r[0]):
-            first.setdefault(doc, (chunk, grams))
-        ids, sets = list(first), [x[1] for x in first.values()]
-        halves = None if i == j else ({d for d, x in first.items() if x[0] == i}, {d for d, x in first.items() if x[0] == j})
-        found += join_block(ids, sets, num, den, halves)
+def _join_bin(table: pa.Table, num: int, den: int, counts: np.ndarray) -> pa.Table:
+    cells: dict[tuple, tuple[dict, dict]] = defaultdict(lambda: ({}, {}))
+    for block, size_class, chunk, task, inside, doc, data in zip(*(table.column(k).to_pylist() for k in ("block", "class", "chunk", "task", "inside", "doc_id", "grams")), strict=True):
+        cells[block, size_class, chunk, task][0 if inside else 1][doc] = np.frombuffer(data, U)
+    found = [link for key, (tree, walkers) in sorted(cells.items()) for link in join_cell(tree, walkers, key[3] == 0, num, den, counts)]
     return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -309,18 +340,27 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, d
     buckets = partitions(spark)
     mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     named = mine.mapInArrow(partial(_name_parts, n=n, num=num, den=den, buckets=buckets), "bucket int, kind int, payload binary")
-    ties = materialize(named.groupBy("bucket").applyInArrow(_tie, "kind int, a long, b long"))
-    sizes = ties.where(f"kind = {_SIZES}").groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("n_shingles"))
+    ties = materialize(named.groupBy("bucket").applyInArrow(_tie, "kind int, a long, b long, c long, d long, e long"))
+    # at most CELLS numbers
+    sketch = ties.where(f"kind = {_COUNTS}").select("a", "b").toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[sketch.column("a").to_numpy()] = sketch.column("b").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    sets = materialize(ties.where(f"kind = {_SETS}").groupBy(F.col("a").alias("doc_id")).agg(F.min(F.struct("b", "c", "d", "e")).alias("s")).select("doc_id", F.col("s.b").alias("n_shingles"), F.col("s.c").alias("class"), F.col("s.d").alias("h"), F.col("s.e").alias("i")))
+    first = materialize(sets.where("n_shingles > 0").groupBy("h", "i").agg(F.min("doc_id").alias("first")))
     blocks = components(ties.where(f"kind = {_NAMES}").select("a", "b")).withColumnsRenamed({"v": "doc_id", "root": "block"})
-    blocks = materialize(blocks.join(sizes, "doc_id"))
-    chunks = blocks.groupBy("block").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_NGRAMS)).cast("int").alias("chunks"))
-    members = blocks.join(materialize(chunks), "block").select("doc_id", "block", "chunks")
-    rows = mine.join(members, "doc_id").select("doc_id", "text", "block", "chunks").mapInArrow(partial(_sets, n=n, bins=buckets), "bin int, block long, i int, j int, chunk int, doc_id long, grams binary")
+    blocks = materialize(blocks.join(sets.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "doc_id").select("doc_id", "block", "class", "n_shingles", "h", "i"))
+    cells = blocks.groupBy("block", "class").agg(F.ceil(F.sum("n_shingles") / F.lit(CELL_NGRAMS)).cast("int").alias("own"), F.count(F.lit(1)).alias("n"))
+    near = Window.partitionBy("block").orderBy("class")
+    beside = lambda f, step: F.when(f("class").over(near) == F.col("class") + step, f("own").over(near)).otherwise(0)
+    cells = cells.select("block", "class", "own", "n", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above")).where("n > 1 OR below > 0 OR above > 0")
+    members = blocks.join(materialize(cells.drop("n")), ["block", "class"])
+    rows = mine.join(materialize(members), "doc_id").select("doc_id", "text", "block", "class", "below", "own", "above", "h", "i").mapInArrow(partial(_sets, n=n, bins=buckets), "bin int, block long, class long, chunk int, task int, inside boolean, doc_id long, grams binary")
 
     def join_bin(table: pa.Table) -> pa.Table:
-        return _join_bin(table, num, den)
+        return _join_bin(table, num, den, shared.value)
 
     linked = rows.groupBy("bin").applyInArrow(join_bin, "a long, b long")
-    equal = ties.where(f"kind = {_EQUAL}").select("a", "b")
-    groups = materialize(components(linked.unionByName(equal)).withColumnsRenamed({"v": "doc_id", "root": "component_id"}))
-    return materialize(sizes).join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    groups = materialize(components(linked).withColumnsRenamed({"v": "first", "root": "component_id"}))
+    of = first.join(groups, "first", "left").select("h", "i", F.coalesce("component_id", "first").alias("component_id"))
+    return sets.join(materialize(of), ["h", "i"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -58,8 +58,27 @@ def test_ngram_groups_of_nothing(spark):
     assert ngram_join.jaccard_groups(df.limit(0)).collect() == []
 
 
+def test_ngram_groups_take_any_id_and_equal_sets(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = [((1 << 62) + 5, text), (-(1 << 62), text + " end"), (-3, text), (7, "w1 w2"), ((1 << 62) + 6, "W1\tw2"), (8, "w2 w1"), (9, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(frame(spark, docs), 3, 90, 100).collect()}
+    assert got == brute.jaccard_groups(docs, 3, 90, 100)
+
+
+def test_every_pair_of_chunks_meets_once():
+    counts = {0: 2, 1: 3, 2: 0, 3: 1, 4: 4}
+    tasks = {}
+    for c, own in counts.items():
+        for chunk in range(own):
+            for step, tree, task, inside in ngram_join.trees_of(chunk, counts.get(c - 1, 0), own, counts.get(c + 1, 0)):
+                tasks.setdefault((c + step, tree, task), ([], []))[0 if inside else 1].append((c, chunk))
+    met = [frozenset([a, b]) for (_, _, task), (tree, walkers) in tasks.items() for k, a in enumerate(tree) for b in walkers + (tree[k:] if task == 0 else [])]
+    every = [(c, k) for c, own in counts.items() for k in range(own)]
+    assert sorted(map(sorted, met)) == sorted(map(sorted, {frozenset([a, b]) for a in every for b in every if abs(a[0] - b[0]) <= 1}))
+
+
 def test_large_blocks_are_dealt_into_chunks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 300)
+    monkeypatch.setattr(ngram_join, "CELL_NGRAMS", 300)
     rng = random.Random(1)
     base = [f"w{k}" for k in range(120)]
     docs = [(i, " ".join(w if rng.random() > 0.01 else "x%d" % rng.randrange(9) for w in base)) for i in range(40)]
@@ -79,7 +98,10 @@ def test_prefix_tree_finds_what_links_connect():
                 x = up[x]
             return x
 
-        for a, b in ngram_join.join_block(list(range(20)), sets, 70, 100):
+        home = dict(enumerate(sets[:12]))
+        counts = rng.integers(0, 9, ngram_join.CELLS)
+        links = ngram_join.join_cell(home, dict(enumerate(sets[12:], 12)), True, 70, 100, counts)
+        for a, b in links + ngram_join.join_cell(dict(enumerate(sets[12:], 12)), {}, True, 70, 100, counts):
             both = len(np.intersect1d(sets[a], sets[b]))
             assert 100 * both >= 70 * (len(sets[a]) + len(sets[b]) - both)
             up[top(a)] = top(b)
@@ -366,7 +388,7 @@ def test_functions_sent_to_executors_need_no_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    sent = [decontam.ItemIndex, decontam.words_of, line_dedup._align, ngram_join.join_block, suffix_dedup._cut, sentencepiece_sa.encode]
+    sent = [decontam.ItemIndex, decontam.words_of, line_dedup._align, ngram_join.join_cell, suffix_dedup._cut, sentencepiece_sa.encode]
     (tmp_path / "sent").write_bytes(cloudpickle.dumps(sent))
     subprocess.run([sys.executable, "-c", f"import pickle; assert len(pickle.load(open('{tmp_path}/sent', 'rb'))) == {len(sent)}"], cwd=tmp_path, check=True)
 
@@ -381,7 +403,7 @@ def test_line_dedup_of_a_passage_that_all_documents_hold(spark):
 
 def test_linked_sets_share_a_part_name():
     rng = np.random.default_rng(6)
-    for num, small, large, both, pairs in ((90, 64, 71, 64, 12000), (90, 67, 70, 65, 12000), (80, 64, 79, 64, 12000), (80, 9, 11, 9, 2000), (80, 900, 1100, 889, 300)):
+    for num, small, large, both, pairs in ((90, 64, 71, 64, 30000), (90, 67, 70, 65, 30000), (80, 64, 79, 64, 30000), (80, 9, 11, 9, 10000), (80, 900, 1100, 889, 500)):
         firsts = ngram_join._class_ends(1 << 12, num, 100)
         assert 100 * both >= num * (small + large - both)
         for _ in range(pairs):
