@@ -355,7 +355,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, d
     beside = lambda f, step: F.when(f("class").over(near) == F.col("class") + step, f("own").over(near)).otherwise(0)
     cells = cells.select("block", "class", "own", "n", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above")).where("n > 1 OR below > 0 OR above > 0")
     members = blocks.join(materialize(cells.drop("n")), ["block", "class"])
-    rows = mine.join(materialize(members), "doc_id").select("doc_id", "text", "block", "class", "below", "own", "above", "h", "i").mapInArrow(partial(_sets, n=n, bins=buckets), "bin int, block long, class long, chunk int, task int, inside boolean, doc_id long, grams binary")
+    rows = mine.join(materialize(members).hint("merge"), "doc_id").select("doc_id", "text", "block", "class", "below", "own", "above", "h", "i").mapInArrow(partial(_sets, n=n, bins=buckets), "bin int, block long, class long, chunk int, task int, inside boolean, doc_id long, grams binary")
 
     def join_bin(table: pa.Table) -> pa.Table:
         return _join_bin(table, num, den, shared.value)
