@@ -86,20 +86,35 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def run_names(lines: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each line the names of the runs back to the last telling line and on to the next one, 0 where there is none."""
-    names = np.array(lines, np.int64).view(U)
-    n, telling, runs = len(names), np.flatnonzero(names & U(1)), Runs(names)
-    at = np.arange(n)
+def run_names(lines: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of texts that begin at ``begins`` (and end where the next one does), the names of the runs back to its
+    text's last telling line and on to the next one, 0 where there is none."""
+    names = lines.view(U)
+    at, telling, runs = np.arange(len(names)), np.flatnonzero(names & U(1)), Runs(names)
+    text = np.searchsorted(begins, at, "right") - 1
     out = []
-    for near, fits in ((np.searchsorted(telling, at, "right") - 1, lambda k: k >= 0), (np.searchsorted(telling, at), lambda k: k < len(telling))):
-        name, good = np.zeros(n, U), np.flatnonzero(fits(near))
-        to = telling[near[good]]
-        name[good] = runs.window(np.minimum(good, to), np.maximum(good, to) + 1)
+    for near in (np.searchsorted(telling, at, "right") - 1, np.searchsorted(telling, at)):
+        to = np.append(telling, -1)[near]
+        good = np.flatnonzero((to >= begins[text]) & (to < begins[text + 1]))
+        name = np.zeros(len(names), U)
+        name[good] = runs.window(np.minimum(good, to[good]), np.maximum(good, to[good]) + 1)
         out.append(name)
     return out[0], out[1]
 
 
+def _left_over(early: list[int], late: list[int], gone: set[int]) -> bool:
+    """Whether ``late`` has a run of lines of ``early``, with a telling one, that is not all gone."""
+    have, telling, left = set(early), False, False
+    for j, x in enumerate(late):
+        if x not in have:
+            telling = left = False
+            continue
+        telling, left = telling or bool(x & 1), left or j not in gone
+        if telling and left:
+            return True
+    return False
+
+
 def common_blocks(early: list[int], late: list[int]) -> list[int]:
     """Places in ``late`` of the aligned blocks that have a telling line, and of what else has a name that ``early`` has."""
     out, block = set(), []
@@ -109,8 +124,10 @@ def common_blocks(early: list[int], late: list[int]) -> list[int]:
                 out.update(y for _, y in block)
             block = []
         block.append((i, j))
-    for mine, other in zip(run_names(late), run_names(early), strict=True):
-        out.update(np.flatnonzero(np.isin(mine, other) & (mine != 0)).tolist())
+    if _left_over(early, late, out):
+        texts = [np.array(x, np.int64) for x in (late, early)]
+        for mine, other in zip(*(run_names(x, np.array([0, len(x)])) for x in texts), strict=True):
+            out.update(np.flatnonzero(np.isin(mine, other) & (mine != 0)).tolist())
     return sorted(out)
 
 
@@ -123,16 +140,21 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, lines -> doc_id and each name that ties it."""
     for b in batches:
-        for doc, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            names = np.unique(np.concatenate(run_names(lines)))
-            names = names[names != 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), doc, np.int64)), pa.array(names.view(np.int64))], names=["doc_id", "line"])
+        lists = b.column(1)
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        lines = lists.values.slice(begins[0], begins[-1] - begins[0]).to_numpy()
+        begins = begins - begins[0]
+        docs = np.repeat(b.column(0).to_numpy(), np.diff(begins))
+        back, on = run_names(lines, begins)
+        # of a telling line the two runs are one
+        found = np.concatenate([np.stack([docs, back.view(np.int64)], 1)[back != 0], np.stack([docs, on.view(np.int64)], 1)[(on != 0) & (on != back)]])
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "line"])
 
 
 def overlaps(lines: DataFrame) -> DataFrame:
     """Pairs (doc_id, early) of documents tied through a name, from ``doc_id`` and ``lines``."""
     each = lines.where(F.exists("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1)).select("doc_id", "lines").mapInArrow(_names, "doc_id long, line long")
-    held = materialize(each.groupBy("line").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1"))
+    held = materialize(each.groupBy("line").agg(F.min("doc_id").alias("early"), F.max("doc_id").alias("last")).where("early < last"))
     return each.join(held, "line").where("early < doc_id").select("doc_id", "early").distinct()
 
 

@@ -1,14 +1,22 @@
 """Format-preserving Feistel pseudonyms for personal data, in column expressions only.
 
 E-mail addresses, IPv4 addresses, payment cards (Luhn-valid), US social security numbers, IBAN (mod 97-valid), phone
-numbers and dates are found and replaced inside the text. Each is mapped by a keyed Feistel network over its own
-characters: a digit stays a digit, a letter a letter of its case, separators stay where they are. The map is a
+numbers, dates and long numbers are found and replaced inside the text. Each is mapped by a keyed Feistel network over its
+own characters: a digit stays a digit, a letter a letter of its case, separators stay where they are. The map is a
 permutation of the canonical value (digits or letters without separators), so equal values get equal pseudonyms in all
 documents however they are written, and different values different ones. Checked numbers stay valid: the last digit of
 a card is recomputed, IPv4 parts stay below 256, dates stay dates (cycle-walked day numbers).
 
-Defined results: a null text stays null, an empty one empty; leftmost matches win, in the order of ``KINDS`` at equal
-start; rows are mapped one by one, so repeated rows agree; other columns pass through, and ``text`` is replaced in place.
+A run of digits in groups is read from its left: its longest beginning of whole groups that has 13 to 19 digits and a
+valid Luhn sum is the card, and what follows (an expiry date, another number) is mapped on its own; where no beginning is valid,
+the whole run is mapped as a number, so no number with a wrong check stays in clear text. A date may be written year
+first, day first or month first (where the day is above 12), with one or two digits for day and month. A date
+that the calendar lacks is mapped digit by digit. Of an e-mail address the part before the ``@`` is mapped in lower
+case, as addresses are equal whatever their case, and the domain, which is not personal, stays as written.
+
+Defined results: a null text stays null, an empty one empty; leftmost matches win, in the order of ``ORDER`` at equal
+start; rows are mapped one by one, so repeated rows agree; ``text`` is replaced in place, ``pii`` is added (or replaced),
+and all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +33,10 @@ KINDS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
     "ip": f"(?<![0-9.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9]|\\.[0-9])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": "(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
+    "date": "(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}\\1[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[\\x20.-]?)?(?:\\([0-9]{2,4}\\)[\\x20.-]?|[0-9]{2,4}[\\x20.-])[0-9]{3,4}[\\x20.-][0-9]{3,4}(?![0-9])|(?<![0-9+])\\+[0-9]{1,3}(?:[\\x20.-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "card": "(?<![0-9])[0-9](?:[\\x20-]?[0-9]){12,18}(?![0-9])",
+    "card": "(?<![0-9])[0-9](?:[\\x20-]?[0-9]){12,}+(?![0-9])",
 }
 #: Cards go first among the numbers, or their groups would read as phone numbers.
 ORDER = ("email", "ip", "iban", "card", "date", "ssn", "phone")
