@@ -11,7 +11,7 @@ A run of digits in groups is read from its left: its longest beginning of whole
 valid Luhn sum is the card, and what follows (an expiry date, another number) is mapped on its own; where no beginning is valid,
 the whole run is mapped as a number, so no number with a wrong check stays in clear text. A date may be written year
 first, day first or month first (where the day is above 12), with one or two digits for day and month. A date
-that the calendar lacks is mapped digit by digit. Of an e-mail address the part before the ``@`` is mapped in lower
+that the calendar lacks, or outside the years from 1900 to 2100, stays. Of an e-mail address the part before the ``@`` is mapped in lower
 case, as addresses are equal whatever their case, and the domain, which is not personal, stays as written.
 
 Defined results: a null text stays null, an empty one empty; leftmost matches win, in the order of ``ORDER`` at equal
@@ -33,10 +33,10 @@ KINDS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
     "ip": f"(?<![0-9.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9]|\\.[0-9])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": "(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}\\1[0-9]{4})(?![0-9]|[/.-][0-9])",
+    "date": "(?<![0-9/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[\\x20.-]?)?(?:\\([0-9]{2,4}\\)[\\x20.-]?|[0-9]{2,4}[\\x20.-])[0-9]{3,4}[\\x20.-][0-9]{3,4}(?![0-9])|(?<![0-9+])\\+[0-9]{1,3}(?:[\\x20.-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "card": "(?<![0-9])[0-9](?:[\\x20-]?[0-9]){12,}+(?![0-9])",
+    "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[\\x20.-]?)?(?:\\([0-9]{2,4}\\)[\\x20.-]?|[0-9]{2,4}[\\x20.-])[0-9]{3,4}[\\x20.-][0-9]{3,4}(?![0-9]|[\\x20.-][0-9]{3,4}(?![0-9]))|(?<![0-9+])\\+[0-9]{1,3}(?:[\\x20.-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "card": "(?<![0-9])(?:[0-9]{4}(?:[\\x20-][0-9]{4}){3}(?:[\\x20-][0-9]{1,3})?(?![0-9])|(?=[0-9](?:[\\x20-]?[0-9]){12})(?:[0-9]{13,}|[0-9]{3,}(?:[\\x20-][0-9]{3,})+)(?![0-9]))",
 }
 #: Cards go first among the numbers, or their groups would read as phone numbers.
 ORDER = ("email", "ip", "iban", "card", "date", "ssn", "phone")
@@ -115,6 +115,42 @@ def _walk(value: Column, step: Callable[[Column], Column], good: Callable[[Colum
     return _bind(walked, lambda x: F.when(good(x), x).otherwise(value))
 
 
+def _card_end(match: Column) -> Column:
+    """Length of the longest beginning of whole groups that is a valid card number, else 0."""
+    def digits(p: Column) -> Column:
+        return F.regexp_replace(F.substr(match, F.lit(1), p), "[^0-9]", "")
+
+    def valid(p: Column) -> Column:
+        ends = F.substr(match, p, F.lit(2)).rlike("^[0-9](?:[^0-9]|$)")
+        return ends & _bind(digits(p), lambda d: F.length(d).between(13, 19) & (F.pmod(luhn_sum(d), F.lit(10)) == 0))
+
+    # 19 digits have at most 18 separators between them
+    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(13), F.least(F.length(match), F.lit(37))), valid)), F.lit(0))
+
+
+def _card(match: Column, key: str) -> Column:
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    return _bind(feistel(F.substr(digits, F.lit(1), F.length(digits) - 1), key), lambda p: _refill(match, F.concat(p, _check_digit(p)), "[^0-9]"))
+
+
+def _moved_date(match: Column, parts: Column, key: str) -> Column:
+    """The date's pseudonym in the order, and with the separators and digits, of ``match``; null where it is none."""
+    a, b, c = (F.get(parts, F.lit(k)) for k in range(3))
+    year_first, month_first = F.length(a) == 4, (b.cast("int") > 12) & (a.cast("int") <= 12)
+    y, m, d = (F.when(year_first, x).when(month_first, z).otherwise(w) for x, z, w in ((a, c, c), (b, a, b), (c, b, a)))
+    day = F.datediff(F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
+    moved = _walk(F.lpad(day.cast("string"), 5, "0"), lambda x: feistel(x, key + "d"), lambda x: x.cast("int") < DAYS)
+    written = lambda new, form, old: F.lpad(F.date_format(new, form), F.greatest(F.length(F.date_format(new, form)), F.length(old)), F.lit("0"))
+
+    def put(new: Column) -> Column:
+        ny, nm, nd = written(new, "yyyy", y), written(new, "M", m), written(new, "d", d)
+        gap = F.substr(match, F.length(a) + 1, F.lit(1))
+        first, last = F.when(year_first, ny).when(month_first, nm).otherwise(nd), F.when(year_first, nd).otherwise(ny)
+        return F.concat(first, gap, F.when(year_first | ~month_first, nm).otherwise(nd), gap, last)
+
+    return F.when((day >= 0) & (day < DAYS), _bind(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), put))
+
+
 def pseudonym(match: Column, key: str) -> Column:
     """struct<kind,value>: the kind of a match of ``PATTERN`` (null where a check fails), and what replaces it."""
     digits = F.regexp_replace(match, "[^0-9]", "")
@@ -125,14 +161,8 @@ def pseudonym(match: Column, key: str) -> Column:
     ip_new = _bind(_hex_feistel(ip_hex, key), lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10)), "."))
     local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
     email_new = F.concat(feistel(F.lower(local), key), F.lit("@"), domain)
-    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    card_new = _bind(feistel(payload, key), lambda p: _refill(match, F.concat(p, _check_digit(p)), "[^0-9]"))
-    iso = match.rlike("^[0-9]{4}")
-    day = F.datediff(F.when(iso, F.try_to_timestamp(match, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.translate(match, ".", "/"), F.lit("dd/MM/yyyy"))).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    in_range = (day >= 0) & (day < DAYS)
-    moved = _walk(F.lpad(day.cast("string"), 5, "0"), lambda x: feistel(x, key + "d"), lambda x: x.cast("int") < DAYS)
-    moved_date = F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int"))
-    date_new = F.when(iso, F.date_format(moved_date, "yyyy-MM-dd")).when(match.contains("/"), F.date_format(moved_date, "dd/MM/yyyy")).otherwise(F.date_format(moved_date, "dd.MM.yyyy"))
+    card_new = _bind(_card_end(match), lambda end: F.when(end == 0, _numeric(match, key)).otherwise(F.concat(_card(F.substr(match, F.lit(1), end), key), _numeric(F.substr(match, end + 1, F.length(match)), key))))
+    date_new = _bind(F.split(match, "[/.-]"), lambda p: _moved_date(match, p, key))
     compact = F.regexp_replace(match, "\\x20", "")
     bban = F.substr(compact, F.lit(5), F.length(compact))
     iban_new = _bind(F.concat(F.substr(compact, F.lit(1), F.lit(2)), F.lit("00"), feistel(bban, key)), lambda x: _refill(match, _iban_checked(x), "\\x20"))
@@ -143,11 +173,10 @@ def pseudonym(match: Column, key: str) -> Column:
         F.when(is_kind["email"], made("email", email_new))
         .when(is_kind["ip"], made("ip", ip_new))
         .when(is_kind["iban"] & _iban_valid(compact), made("iban", iban_new))
-        .when(is_kind["card"] & (F.pmod(luhn_sum(digits), F.lit(10)) == 0), made("card", card_new))
-        .when(is_kind["date"] & in_range, made("date", date_new))
+        .when(is_kind["card"], F.struct(F.when(_card_end(match) > 0, "card").otherwise("number").alias("kind"), card_new.alias("value")))
+        .when(is_kind["date"], _bind(date_new, lambda d: F.when(d.isNull(), kept).otherwise(made("date", d))))
         .when(is_kind["ssn"], made("ssn", _numeric(match, key)))
         .when(is_kind["phone"] & (n >= 8) & (n <= 15), made("phone", _numeric(match, key)))
-        .when(is_kind["card"] & match.rlike("^[0-9]+$"), made("number", _numeric(match, key)))
         .otherwise(kept)
     )
 
@@ -188,4 +217,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         )
 
     found = F.when(t.rlike(PATTERN), _bind(_bind(parts, rewrite), join))
-    return docs.withColumn("_pii", found).withColumn(text, F.coalesce("_pii.text", t)).withColumn("pii", F.coalesce("_pii.pii", F.array().cast("array<struct<kind:string,value:string>>"))).drop("_pii")
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    judged = docs.select(F.struct("*").alias("_doc"), found.alias("_pii"))
+    columns = [F.coalesce("_pii.text", f"_doc.`{c}`").alias(c) if c == text else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "pii"]
+    return judged.select(*columns, F.coalesce("_pii.pii", none).alias("pii"))
