@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import secrets, url_filter
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,3 +49,38 @@ REPEATS = """with h as (select doc_id, hex(encode(coalesce(text, ''))) as x, oct
  q as (select *, coalesce(lag(e) over (partition by doc_id order by s), 0) as pe from span),
  r as (select q.doc_id, sum(e - s) as removed, count(*) as n_spans, string_agg(substr(x, 2 * pe + 1, 2 * (s - pe)), '' order by s) || substr(any_value(x), 2 * max(e) + 1) as kept from q join h using (doc_id) group by q.doc_id)
  select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256 from h left join r using (doc_id)"""
+
+
+def _urls(rounds: int = 12, damping: int = 85, threshold: float = 0.5) -> str:
+    """Rules, and the rounds of propagation written out one by one."""
+    one = url_filter.ONE
+    host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}')"
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[0] != "block", r[1]))
+    fits = [(v, r, f"(host = '{r.partition('/')[0]}' or host like '%.{r.partition('/')[0]}') and starts_with(path, '/{r.partition('/')[2]}')") for v, r in rules]
+    case = lambda at: "case " + " ".join(f"when {f[2]} then '{f[at]}'" for f in fits) + " end"
+    link = url_filter.LINK.replace("'", "''")
+    steps = []
+    for name, seed, src, dst in (("t", "allowed", "src", "dst"), ("d", "blocked", "dst", "src")):
+        steps.append(f"{name}e as (select {src} as src, {dst} as dst, n * {one} // (sum(n) over (partition by {src})) as share from edges)")
+        steps.append(f"{name}0 as (select host, cast({seed} * {100 - damping} // 100 as hugeint) as score from hosts where {seed} > 0)")
+        for k in range(rounds):
+            steps.append(f"{name}{k + 1} as (select host, sum(score) as score from (select * from {name}0 union all select dst, score * share * {damping} // {100 * one} from {name}{k} join {name}e on src = host) group by host)")
+    return f"""with u as (select page_id, {host('url')} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+ j as (select *, {case(1)} as rule, {case(0)} as said from u),
+ hosts as (select host, count(*) filter (said = 'allow') * {one} // count(*) as allowed, count(*) filter (said = 'block') * {one} // count(*) as blocked from j group by host),
+ l as (select {host('url')} as src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') as dst from pages where html like '%//%'),
+ edges as (select src, dst, count(*) as n from l where src <> dst and src <> '' group by src, dst),
+ {', '.join(steps)},
+ s as (select host, cast(coalesce(t.score, 0) * 100 // {100 - damping} as bigint) as trust, cast(coalesce(d.score, 0) * 100 // {100 - damping} as bigint) as distrust from hosts left join t{rounds} t using (host) left join d{rounds} d using (host))
+ select page_id, host, path, rule, coalesce(said, case when host <> '' and distrust - trust > {int(threshold * one)} then 'block' else 'allow' end) as verdict, trust, distrust from j left join s using (host)"""
+
+
+URLS = _urls()
+
+STATISTICS = """with w as (select doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as l from documents),
+ g as (select doc_id, unnest(list_transform(range(1, len(l) - 3), lambda i: {'i': i, 'x': l[i : i + 4]})) as s from w where len(l) > 4),
+ r as (select doc_id, s.i as i from g qualify count(*) over (partition by doc_id, s.x) > 1),
+ c as (select doc_id, count(distinct i + k) as n from r, range(0, 5) as o(k) group by doc_id),
+ z as (select w.doc_id, cast(len(l) as bigint) as n_words, cast(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines, coalesce(c.n, 0) as n_repeat_words from w left join c using (doc_id))
+ select doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from z"""

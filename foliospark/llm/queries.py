@@ -44,11 +44,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("long").alias("rule"))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 judges by, without the learned list, which SQL can't express."""
+    out = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.collapse_and_render(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op6_url_filter, op7_secret_scan, op8_quality_rules, op10_chat_collapse)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op6_url_filter, op7_secret_scan, op8_quality_rules, quality_statistics, op10_chat_collapse)}
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +96,4 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op5_sentencepiece"] = op5_sentencepiece
 
 
-ORACLES = {"op3_suffix_dedup": oracles.REPEATS, "op7_secret_scan": oracles.SECRETS, "op9_ngram_jaccard": oracles.NGRAMS, "op10_chat_collapse": oracles.CHAT}
+ORACLES = {"op3_suffix_dedup": oracles.REPEATS, "op6_url_filter": oracles.URLS, "op7_secret_scan": oracles.SECRETS, "quality_statistics": oracles.STATISTICS, "op9_ngram_jaccard": oracles.NGRAMS, "op10_chat_collapse": oracles.CHAT}

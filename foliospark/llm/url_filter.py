@@ -50,10 +50,10 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: int) -> DataFrame:
     """Scores (host, score): ``damping`` per cent of a host's score goes on along its edges (src, dst, share in ONE)."""
-    base = seeds.select("host", (F.col("seed") * (100 - damping) / F.lit(100)).cast("long").alias("score"))
+    base = seeds.select("host", F.expr(f"seed * {100 - damping} div 100").alias("score"))
     score = base
     for k in range(rounds):
-        sent = edges.join(score, edges["src"] == score["host"]).select(F.col("dst").alias("host"), (F.col("score").cast("decimal(38,0)") * F.col("share") * damping / F.lit(100) / F.lit(ONE)).cast("long").alias("score"))
+        sent = edges.join(score, edges["src"] == score["host"]).select(F.col("dst").alias("host"), F.expr(f"cast(score as decimal(38, 0)) * share * {damping} div {100 * ONE}").alias("score"))
         score = base.unionByName(sent).groupBy("host").agg(F.sum("score").alias("score"))
         if k % 3 == 2:
             score = materialize(score)
@@ -62,12 +62,12 @@ def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: int) -> Da
 
 def _shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
     out = edges.groupBy(F.col(src).alias("src")).agg(F.sum("n").alias("_all"))
-    return materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n").join(materialize(out), "src").select("src", "dst", (F.col("n") * F.lit(ONE) / F.col("_all")).cast("long").alias("share")))
+    return materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n").join(materialize(out), "src").select("src", "dst", F.expr(f"n * {ONE} div _all").alias("share")))
 
 
 def host_scores(judged: DataFrame, links: DataFrame, rounds: int = 12, damping: int = 85) -> DataFrame:
     """``host``, ``trust`` and ``distrust`` of every host with pages, from judged pages (host, verdict) and links (src, dst)."""
-    share = lambda v: (F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)) * F.lit(ONE) / F.count(F.lit(1))).cast("long")
+    share = lambda v: F.expr(f"sum(CASE WHEN verdict = '{v}' THEN 1 ELSE 0 END) * {ONE} div count(1)")
     hosts = materialize(judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
     edges = materialize(links.where((F.col("src") != F.col("dst")) & (F.col("src") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
     trust, distrust = hosts.select("host", F.col("allowed").alias("seed")), hosts.select("host", F.col("blocked").alias("seed"))
@@ -75,8 +75,7 @@ def host_scores(judged: DataFrame, links: DataFrame, rounds: int = 12, damping:
         rounds = 0
     forward, backward = (_shares(edges, "src", "dst"), _shares(edges, "dst", "src")) if rounds else (edges, edges)
     scores = [_spread(e, s.where(F.col("seed") > 0), rounds, damping) for e, s in ((forward, trust), (backward, distrust))]
-    whole = F.lit(100) / F.lit(100 - damping)
-    named = [s.select("host", (F.col("score") * whole).cast("long").alias(n)) for s, n in zip(scores, ("trust", "distrust"), strict=True)]
+    named = [s.select("host", F.expr(f"score * 100 div {100 - damping}").alias(n)) for s, n in zip(scores, ("trust", "distrust"), strict=True)]
     joined = reduce(lambda a, b: a.join(b, "host", "left"), named, hosts.select("host"))
     return materialize(joined.fillna(0, ["trust", "distrust"]))
 

@@ -296,6 +296,58 @@ def test_distrust_flows_against_links(spark):
     assert got[3].verdict == "allow" and got[3].trust > 0
 
 
+def plain_scores(judged, links, rounds=12, damping=85):
+    """host -> (trust, distrust), by a plain loop in whole numbers."""
+    one, hosts = url_filter.ONE, sorted({h for h, _ in judged})
+    out = {h: [] for h in hosts}
+    for verdict, turn in (("allow", lambda a, b: (a, b)), ("block", lambda a, b: (b, a))):
+        edges = {}
+        for a, b in links:
+            if a != b and a != "":
+                edges.setdefault(turn(a, b)[0], []).append(turn(a, b)[1])
+        of = {h: [v for x, v in judged if x == h] for h in hosts}
+        base = {h: of[h].count(verdict) * one // len(of[h]) * (100 - damping) // 100 for h in hosts if verdict in of[h]}
+        score = dict(base)
+        for _ in range(rounds):
+            new = dict(base)
+            for src, targets in edges.items():
+                for dst in set(targets):
+                    share = targets.count(dst) * one // len(targets)
+                    new[dst] = new.get(dst, 0) + score.get(src, 0) * share * damping // (100 * one)
+            score = new
+        for h in hosts:
+            out[h].append(score.get(h, 0) * 100 // (100 - damping))
+    return {h: tuple(v) for h, v in out.items()}
+
+
+def test_propagation_on_a_random_graph(spark):
+    """Fifty hosts with hubs, dangling hosts, hosts without pages and repeated links, against the plain loop and the SQL."""
+    import duckdb
+
+    from foliospark.llm import oracles
+
+    rng = random.Random(31)
+    hosts = [f"h{k}.{rng.choice(['net', 'org', 'example.com'])}" for k in range(45)]
+    names, rows, links = [*hosts, *(f"nopage{k}.io" for k in range(5))], [], []
+    for k in range(260):
+        host = hosts[min(int(rng.expovariate(0.12)), 44)]
+        targets = rng.choices(names, k=rng.randrange(5)) if host not in hosts[10:16] else []
+        html = "<p>" + "".join(f"<A href='//{t.upper()}/x'>y</A><a href='/own'>" for t in targets)
+        rows.append((k, f"http://{host}/{rng.choice(['fr', 'en', 'de'])}/{k}", html if rng.random() < 0.9 or targets else None))
+        links += [(host, t) for t in targets]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    judged = [(r.host, r.verdict if r.rule else None) for r in got]
+    want = plain_scores(judged, links)
+    assert {r.host: (r.trust, r.distrust) for r in got} == want and sum(min(v) > 0 for v in want.values()) > 20
+    open_hosts = {r.host: r.verdict for r in got if not r.rule}
+    assert open_hosts == {h: "block" if want[h][1] - want[h][0] > url_filter.ONE // 2 else "allow" for h in open_hosts} and set(open_hosts.values()) == {"allow", "block"}
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(f"select {', '.join(got[0].__fields__)} from ({oracles.URLS})").fetchall()))
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_pseudonyms(spark):
     text = "Mail ann.lee7@x.example.com or +1 (212) 555-7713, 10.20.30.40, card 4111 1111 1111 1111 or 4111-1111-1111-1111, born 1980-02-29 or 29/02/1980, ssn 123-45-6789, GB82 WEST 1234 5698 7654 32. v1.2.3.4.5 12:30"
     out = pii.pseudonymize(frame(spark, [(1, text), (2, text), (3, None), (4, ""), (5, "nothing 12")]), "key").orderBy("doc_id").collect()
