@@ -108,13 +108,18 @@ def overlay_only(c: Column, least: int = 200) -> Column:
 
 def usable(c: Column, least: int = 200) -> Column:
     """Whether the text layer reads like a document rather than a broken encoding."""
+    return ~overlay_only(c, least) & readable(c)
+
+
+def readable(c: Column) -> Column:
+    """``usable`` for a text that is known to be no overlay."""
     t = strip(text_of(c))
     words = F.regexp_count(t, F.lit(LONG_WORD))
     letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", ""))
     solid = F.length(F.regexp_replace(t, r"(?U)\s", ""))
     controls = F.length(t) - F.length(F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
     share = F.coalesce(F.try_divide(letters, solid), F.lit(0.0)) >= 0.45
-    return ~overlay_only(c, least) & (words >= 20) & share & (controls <= 20) & (has(F.lower(t), *HINTS) | (words >= 40))
+    return (words >= 20) & share & (controls <= 20) & (has(F.lower(t), *HINTS) | (words >= 40))
 
 
 def ocr_usable(c: Column, least: int = 40) -> Column:
@@ -142,6 +147,7 @@ def _clauses(t: Column) -> Column:
 def kind_of_text(c: Column) -> Column:
     """Kind of a document by its words; collective agreements first, as they quote the other forms."""
     t = F.lower(text_of(c))
+    # fixed values: the words of each kind, in the order in which they count
     ladder = (
         (_cct(t) | _clauses(t), "cct"),
         (_act(t), "act"),
@@ -159,6 +165,7 @@ def kind_of_text(c: Column) -> Column:
 def kind_of_index(tipo: Column, titulo: Column) -> Column:
     """Kind of a document by its row in the index."""
     t = norm_line(F.concat_ws(" ", text_of(tipo), text_of(titulo)))
+    # fixed values: the words of each kind, in the order in which they count
     ladder = (
         (has(t, "trct", "termo de rescisão"), "trct"),
         (has(t, "cd/sd", "comunicação de dispensa") | (t.contains("seguro") & t.contains("desemprego")), "cd_sd"),

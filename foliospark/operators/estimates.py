@@ -19,7 +19,10 @@ def find_estimates(pdfs: DataFrame, files: DataFrame) -> DataFrame:
     """(pdf_id, sanitized, log, openai, gemini, outcome): the newest sanitised copy, and the newest log that holds an estimate."""
     p = pdfs.select("pdf_id", "folder", F.lower(document_stem(F.col("name"))).alias("_stem"))
     f = files.select("folder", F.col("name").alias("file"), "mtime", "content", F.lower("name").alias("_low"))
-    near = p.join(f, "folder").where(F.col("_low").startswith(F.col("_stem")))
+    # a file belongs to each stem that ends before one of its underscores: a join by equal keys, not over all files of a folder
+    parts = F.split("_low", "_", -1)
+    stems = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "_"))
+    near = p.join(f.select("*", F.explode(F.array_distinct(stems)).alias("_stem")), ["folder", "_stem"])
     clean = F.col("_low").startswith(F.concat("_stem", F.lit("_full_sanitized")))
     log = F.col("_low").endswith(".txt") & F.col("_low").contains("log_split") & F.col("_low").startswith(F.concat("_stem", F.lit("_")))
     told = near.withColumn("_o", F.when(log, last_estimate(F.col("content"), "openai"))).withColumn("_g", F.when(log, last_estimate(F.col("content"), "gemini")))

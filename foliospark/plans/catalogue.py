@@ -132,7 +132,7 @@ def e3_case_number(spark, d):
     return docket(spark, d).select("pdf_id", _long(F.col("page_no")).alias("page_no"), stamps.case_number(F.col("pdf_id"), F.col("raw_text")).alias("case_number"))
 
 
-_D_STACKED = "'Fls.: ' || (page_no % 45) || (50 + page_no * 7 % 300) || chr(10) || 'Fls.: ' || page_no || ' ' || (page_no + 3)"
+_D_STACKED = "raw_text || chr(10) || 'Fls.: ' || (page_no % 45) || (50 + page_no * 7 % 300) || chr(10) || 'Fls.: ' || page_no || ' ' || (page_no + 3)"
 
 
 @query(f"""{with_tables('docket')}, s as (select pdf_id, page_no, {_D_STACKED} as raw_text from docket), n as (select pdf_id, page_no, list_transform({_D_FOLIOS}, lambda x: cast(x as bigint)) as l from s),
@@ -143,7 +143,7 @@ _D_STACKED = "'Fls.: ' || (page_no % 45) || (50 + page_no * 7 % 300) || chr(10)
  select pdf_id, page_no, cast(sum(len(f)) as bigint) as n_folios, max(list_max(f)) as folio from x group by pdf_id, page_no""")
 def e4_folios(spark, d):
     n = F.col("page_no")
-    text = F.concat(F.lit("Fls.: "), (n % 45).cast("string"), (F.lit(50) + n * 7 % 300).cast("string"), F.lit("\nFls.: "), n.cast("string"), F.lit(" "), (n + 3).cast("string"))
+    text = F.concat("raw_text", F.lit("\nFls.: "), (n % 45).cast("string"), (F.lit(50) + n * 7 % 300).cast("string"), F.lit("\nFls.: "), n.cast("string"), F.lit(" "), (n + 3).cast("string"))
     f = docket(spark, d).select("pdf_id", _long(n).alias("page_no"), stamps.folios(text).alias("f"))
     return f.select("pdf_id", "page_no", _long(F.size("f")).alias("n_folios"), F.array_max("f").alias("folio"))
 
@@ -281,9 +281,9 @@ def c9_usable_text(spark, d):
     return _docs(spark, d).select("doc_id", pages.usable(F.col("text")).alias("usable"))
 
 
-@query(f"with r as (select doc_id, regexp_replace(regexp_replace(regexp_replace({_d_residue('left(text, 60) || chr(10) || ' + _q('3i-PJe Fls 12 Documento assinado por x'))}, '(?i)\\bPJe\\b', ' ', 'g'), '(?i)\\bFls\\.?\\s*:?\\s*\\d+\\b', ' ', 'g'), '(?is)\\bDocumento\\s+assinado\\b.*', ' ', 'g') as t from documents) select doc_id, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 40 as usable from r")
+@query(f"with r as (select doc_id, regexp_replace(regexp_replace(regexp_replace({_d_residue('text || chr(10) || ' + _q('3i-PJe Fls 12 Documento assinado por x'))}, '(?i)\\bPJe\\b', ' ', 'g'), '(?i)\\bFls\\.?\\s*:?\\s*\\d+\\b', ' ', 'g'), '(?is)\\bDocumento\\s+assinado\\b.*', ' ', 'g') as t from documents) select doc_id, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 40 as usable from r")
 def c20_ocr_usable(spark, d):
-    return _docs(spark, d).select("doc_id", pages.ocr_usable(F.concat(F.substr("text", F.lit(1), F.lit(60)), F.lit("\n3i-PJe Fls 12 Documento assinado por x"))).alias("usable"))
+    return _docs(spark, d).select("doc_id", pages.ocr_usable(F.concat("text", F.lit("\n3i-PJe Fls 12 Documento assinado por x"))).alias("usable"))
 
 
 # -- images and classes ---------------------------------------------------------------------------------------------------
@@ -327,7 +327,9 @@ _D_CLASS = f"""{_D_IMAGES}, {_D_AGGS}, p as (select doc_id, {_D_OVERLAY('text')}
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     aggs = _image_aggregates(spark, d)
-    p = _docs(spark, d).select("doc_id", "source", (F.col("doc_id") % 97).alias("page_no"), pages.overlay_only(F.col("text")).alias("overlay"), pages.usable(F.col("text")).alias("usable"), (F.col("doc_id") % 11 == 0).alias("forced"))
+    p = _docs(spark, d).select("doc_id", "source", (F.col("doc_id") % 97).alias("page_no"), "text", tx.word_count(F.col("text")).alias("word_count"), F.length("text").alias("char_count"), pages.overlay_only(F.col("text")).alias("overlay"), (F.col("doc_id") % 11 == 0).alias("forced"))
+    # an overlay is never usable, so the costly test runs on the rest only
+    p = p.withColumn("usable", F.when(F.col("overlay"), False).otherwise(pages.readable(F.col("text")))).drop("text")
     p = p.join(aggs, "page_no", "left").fillna(0, ["figures", "strips", "tall", "scans"])
     p = p.withColumn("page_class", pages.page_class(F.col("forced"), F.col("overlay"), F.col("usable"), F.col("figures")))
     return p.withColumn("subtype", pages.subtype(F.col("page_class"), F.col("tall"), F.col("strips"), F.col("scans"), F.col("figures")))
@@ -359,8 +361,7 @@ def l10_dpi(spark, d):
  cast(count(*) filter (where page_class = 'image_page') as bigint) as image_pages, cast(count(*) filter (where doc_id % 4 = 0) as bigint) as pages_with_tables, cast(count(*) filter (where doc_id % 9 = 0) as bigint) as ocr_failed_pages,
  cast(sum({_d_words('text')}) as bigint) as total_words, cast(sum(length(text)) as bigint) as total_characters, round(cast(sum(doc_id % 50) as double) / count(*), 2) as avg_time_per_page from cls join documents using (doc_id) group by source""")
 def f1_doc_stats(spark, d):
-    p = _classes(spark, d).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
-    p = p.select(F.col("source").alias("pdf_id"), "page_class", (F.col("doc_id") % 4 == 0).alias("has_tables"), (F.col("doc_id") % 9 == 0).alias("ocr_failed"), tx.word_count(F.col("text")).alias("word_count"), F.length("text").alias("char_count"), (F.col("doc_id") % 50).cast("double").alias("processing_time"))
+    p = _classes(spark, d).select(F.col("source").alias("pdf_id"), "page_class", (F.col("doc_id") % 4 == 0).alias("has_tables"), (F.col("doc_id") % 9 == 0).alias("ocr_failed"), "word_count", "char_count", (F.col("doc_id") % 50).cast("double").alias("processing_time"))
     return page_ops.document_statistics(p)
 
 
@@ -374,7 +375,7 @@ _D_CCT = lambda t: f"({_d_re(t, 'conven[cçg][aãá]?o\\s+coletiva')} or {_d_re(
 _D_ACT = lambda t: f"(contains({t}, 'acordo coletivo de trabalho') or {_d_re(t, 'trabalho\\s*\\(act\\)')} or ({_d_re(t, _WORD('act'))} and contains({t}, 'coletivo')))"
 
 
-@query(f"""with k as (select doc_id, lower(left(text, 200) || ' ' || [{', '.join(_q(t) for t in KIND_TEXTS)}][doc_id % {len(KIND_TEXTS)} + 1]) as t from documents) select doc_id, case
+@query(f"""with k as (select doc_id, lower(text || ' ' || [{', '.join(_q(t) for t in KIND_TEXTS)}][doc_id % {len(KIND_TEXTS)} + 1]) as t from documents) select doc_id, case
  when {_D_CCT('t')} or ({_d_re('t', 'cl[aá]usula')} and ({_d_re('t', f'cl[aá]usula\\s+({pages.ORDINALS})')} or len(regexp_extract_all(t, 'cl[aá]usula')) >= 2 or ({_d_re('t', 'par[aá]grafo\\s+(primeiro|segundo|terceiro|quarto|quinto|sexto)')} and {_d_re('t', 'sindicato|categoria|empregad|piso salarial|data-base')}))) then 'cct'
  when {_D_ACT('t')} then 'act' when contains(t, 'termo de homologação de rescisão') or (contains(t, 'termo de rescisão') and contains(t, 'contrato de trabalho')) or {_d_re('t', _WORD('trct'))} then 'trct'
  when {_d_has('t', ('comunicação de dispensa', 'seguro-desemprego', 'seguro desemprego'))} or (contains(t, 'requerimento') and contains(t, 'seguro') and contains(t, 'desemprego')) then 'cd_sd'
@@ -382,7 +383,7 @@ _D_ACT = lambda t: f"(contains({t}, 'acordo coletivo de trabalho') or {_d_re(t,
  when {_d_has('t', ('carteira nacional de habilita', 'senatran'))} or (contains(t, 'habilita') and {_d_has('t', ('cnh', 'driver license'))}) then 'cnh' when {_d_has('t', ('documento de identificação', 'carteira de identidade'))} then 'identidade' end as kind from k""")
 def c12_doc_kind(spark, d):
     extra = F.get(F.array(*[F.lit(t) for t in KIND_TEXTS]), (F.col("doc_id") % len(KIND_TEXTS)).cast("int"))
-    return _docs(spark, d).select("doc_id", pages.kind_of_text(F.concat(F.substr("text", F.lit(1), F.lit(200)), F.lit(" "), extra)).alias("kind"))
+    return _docs(spark, d).select("doc_id", pages.kind_of_text(F.concat("text", F.lit(" "), extra)).alias("kind"))
 
 
 _D_INDEX_NORM = _d_norm("tipo || ' ' || titulo")
@@ -418,7 +419,7 @@ def d1_index_join(spark, d):
 
 # -- lines and letterheads -------------------------------------------------------------------------------------------------
 SAMPLE_LINES = ("Maria da Silva Souza", "Rua das Flores, 12", "(21) 98765-4321", "OAB/RJ 12345", "Excelentíssimo Juiz da Vara", "contato@escritorio.example.org", "Fonseca & Braga Advogados", "CPF 123.456.789-00", "www.exemplo.example.org", "conta 60008841-5")
-_D_SAMPLES = f"l as (select doc_id, unnest(list_concat(list_filter({_d_lines('text')}, lambda x: {_d_strip('x')} <> '')[1:2], [[{', '.join(_q(x) for x in SAMPLE_LINES)}][doc_id % {len(SAMPLE_LINES)} + 1]])) as line from documents)"
+_D_SAMPLES = f"l as (select doc_id, unnest(list_concat(list_filter({_d_lines('text')}, lambda x: {_d_strip('x')} <> ''), [[{', '.join(_q(x) for x in SAMPLE_LINES)}][doc_id % {len(SAMPLE_LINES)} + 1]])) as line from documents)"
 _D_MATCH = lambda s, *ps: "(" + " or ".join(_d_re(s, p, "i") for p in ps) + ")"
 _D_NAME = lambda s: f"""(not {_D_MATCH(s, banners.BAR_NUMBER, banners.FIRM, 'advogad', banners.EMAIL, banners.URL)} and not {_d_re(s, banners.PHONE)} and not {_d_re(s, '\\d')} and len(list_filter(regexp_extract_all({s}, {_q(banners.NAME_WORD)}), lambda w: not {_d_re('w', banners.PARTICLE, 'i')})) between 2 and 6
  and len(list_filter(regexp_extract_all({s}, {_q(banners.NAME_WORD)}), lambda w: not {_d_re('w', banners.PARTICLE, 'i')} and {_d_re('w', '^\\p{Lu}')})) >= greatest(2, len(list_filter(regexp_extract_all({s}, {_q(banners.NAME_WORD)}), lambda w: not {_d_re('w', banners.PARTICLE, 'i')})) - 1))"""
@@ -429,7 +430,7 @@ _D_BANNER = lambda s: f"(length({_d_norm(s)}) between 8 and 70 and not {_D_MATCH
 
 def _sample_lines(spark: SparkSession, d: str) -> DataFrame:
     own = F.get(F.array(*[F.lit(x) for x in SAMPLE_LINES]), (F.col("doc_id") % len(SAMPLE_LINES)).cast("int"))
-    return _docs(spark, d).select("doc_id", F.explode(F.concat(F.slice(tx.filled_lines(F.col("text")), 1, 2), F.array(own))).alias("line")).withColumn("line", tx.strip(F.col("line")))
+    return _docs(spark, d).select("doc_id", F.explode(F.concat(tx.filled_lines(F.col("text")), F.array(own))).alias("line")).withColumn("line", tx.strip(F.col("line")))
 
 
 def _per_line(rule: Callable[[Column], Column], name: str):
@@ -471,14 +472,13 @@ def g4_drop_bands(spark, d):
 
 
 # -- boxes -----------------------------------------------------------------------------------------------------------------
-_D_WORDS = f"""l as (select doc_id, unnest({_d_lines('text')}[1:4]) as line, unnest(range(len({_d_lines('text')}[1:4]))) as line_no from documents),
+_D_WORDS = f"""l as (select doc_id, unnest({_d_lines('text')}) as line, unnest(range(len({_d_lines('text')}))) as line_no from documents),
  w as (select doc_id, line_no, unnest(string_split({_d_collapse('line')}, ' ')) as word, unnest(range(len(string_split({_d_collapse('line')}, ' ')))) as word_no from l where {_d_strip('line')} <> ''),
  words as (select doc_id, line_no, word_no, word, word_no * 40 as x, line_no * 20 as y, greatest(20, length(word) * 8) as w, 16 as h from w)"""
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    top = F.array_join(F.slice(tx.lines(F.col("text")), 1, 4), "\n")
-    return layout.plain_words(_docs(spark, d).select("doc_id", top.alias("text")), "doc_id", "text")
+    return layout.plain_words(_docs(spark, d).select("doc_id", "text"), "doc_id", "text")
 
 
 @query(f"with {_D_WORDS} select doc_id, line_no, word_no, md5(word) as word, x, y, cast(w as bigint) as w from words")
@@ -564,10 +564,10 @@ def _d_ocr(x: str) -> str:
     return out
 
 
-@query(f"with s as (select doc_id, [{', '.join(_q(x) for x in OCR_SAMPLES)}][doc_id % {len(OCR_SAMPLES)} + 1] || ' ' || doc_id as t from documents) select doc_id, {_d_ocr('t')} as text from s")
+@query(f"with s as (select doc_id, [{', '.join(_q(x) for x in OCR_SAMPLES)}][doc_id % {len(OCR_SAMPLES)} + 1] || ' ' || doc_id || ' ' || text as t from documents) select doc_id, md5({_d_ocr('t')}) as text from s")
 def i1_ocr_fixes(spark, d):
     own = F.get(F.array(*[F.lit(x) for x in OCR_SAMPLES]), (F.col("doc_id") % len(OCR_SAMPLES)).cast("int"))
-    return _docs(spark, d).select("doc_id", forms.corrected(F.concat(own, F.lit(" "), F.col("doc_id").cast("string"))).alias("text"))
+    return _docs(spark, d).select("doc_id", _digest(forms.corrected(F.concat(own, F.lit(" "), F.col("doc_id").cast("string"), F.lit(" "), "text"))).alias("text"))
 
 
 _D_SIMPLE = f"replace(replace(replace(replace(replace(lower(translate(text, {_q(tx.ACCENTED)}, {_q(tx.PLAIN)})), 'gao', 'cao'), 'goes', 'coes'), 'gdo', 'cao'), 'emorecador', 'empregador'), 'empreaador', 'empregador')"
@@ -630,11 +630,11 @@ def k11_html_table(spark, d):
     return table(spark, d, "nation").select("n_nationkey", forms.html_table(["Nome", "Chave"], rows).alias("html"))
 
 
-@query(f"""{with_tables('docket')}, s as (select pdf_id, page_no, '## Página ' || page_no || ' — Fls.: ' || page_no || case when page_no % 9 = 0 then chr(10) || chr(10) || '> **OCR falhou**: `ocr_failed`' else '' end || chr(10) || chr(10) || case when {_d_body('raw_text')} = '' then case when page_no % 9 = 0 then '*Nenhum texto utilizável após falha de OCR.*' else '*Nenhum texto extraído desta página*' end else {_d_body('raw_text')} end as t from docket)
+@query(f"""{with_tables('docket')}, s as (select pdf_id, page_no, '## Página ' || page_no || ' — Fls.: ' || page_no || case when page_no % 9 = 0 then chr(10) || chr(10) || '> **OCR falhou**: `' || case when page_no % 2 = 0 then 'timeout' else 'ocr_failed' end || '`' else '' end || chr(10) || chr(10) || case when {_d_body('raw_text')} = '' then case when page_no % 9 = 0 then '*Nenhum texto utilizável após falha de OCR.*' else '*Nenhum texto extraído desta página*' end else {_d_body('raw_text')} end as t from docket)
  select pdf_id, md5('# ' || pdf_id || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by page_no)) as markdown from s group by pdf_id""")
 def l7_markdown(spark, d):
     body = stamps.clean_body(F.col("raw_text"), F.lit(False), F.array().cast("array<string>"))
-    p = docket(spark, d).select("pdf_id", "page_no", F.col("page_no").alias("fls"), body.alias("body"), (F.col("page_no") % 9 == 0).alias("ocr_failed"), F.lit(None).cast("string").alias("ocr_failure_reason"))
+    p = docket(spark, d).select("pdf_id", "page_no", F.col("page_no").alias("fls"), body.alias("body"), (F.col("page_no") % 9 == 0).alias("ocr_failed"), F.when(F.col("page_no") % 2 == 0, "timeout").alias("ocr_failure_reason"))
     return page_ops.markdown(p).select("pdf_id", _digest(F.col("markdown")).alias("markdown"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import forms
+from ..functions.text import filled_lines
 from ..operators import estimates, figures, index
 from ..sources.tables import SQL, page_images, rubric_lines, table, with_tables
 from ..streaming import audit
@@ -86,7 +87,9 @@ def g15_merge_figures(spark, d):
 @query()
 def c22_duplicate_ratio(spark, d):
     t = F.col("text")
-    df = table(spark, d, "documents").select("doc_id", F.substr(t, F.lit(1), F.lit(400)).alias("native"), F.replace(F.substr(t, F.col("doc_id").cast("int") % 60 + 1, F.lit(200)), F.lit("e"), F.lit("c")).alias("ocr"))
+    # a figure's text is one line of its page, misread
+    own = filled_lines(t)
+    df = table(spark, d, "documents").select("doc_id", t.alias("native"), F.replace(F.coalesce(F.get(own, (F.col("doc_id") % F.greatest(F.size(own), F.lit(1))).cast("int")), F.lit("")), F.lit("e"), F.lit("c")).alias("ocr"))
     return figures.duplicate_text(df, "ocr", "native").select("doc_id", "duplicate")
 
 

@@ -5,9 +5,11 @@ Everything is worked out with functions that DuckDB has too, so the same rows ca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pages of a document.
+PAGES = 64
 # invented values
 TIPOS = ("Petição Inicial", "Intimação", "Despacho (cópia)", "Ficha de Registro de Empregado", "Contracheque", "Documento Diverso", "Convenção Coletiva", "Decisão")
 BANNERS = ("Fonseca & Braga Advogados", "E-mail: contato@fonseca.example.org", "www.fonseca.example.org")
@@ -18,9 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages: a source is a document, its texts in order of id are pages; every third page starts a new act."""
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("pdf_id"), "doc_id", "text", page.alias("page_no"))
+    """Pages: ``PAGES`` texts in order of id are a document; every third page starts a new act. Ids are counted from 0, so
+    numbering takes no shuffle, and no document grows with the data."""
+    pdf, page = F.concat(F.lit("case-"), F.floor(F.col("doc_id") / PAGES).cast("string")), (F.col("doc_id") % PAGES + 1).cast("int")
+    docs = table(spark, sf_dir, "documents").select(pdf.alias("pdf_id"), "doc_id", "text", page.alias("page_no"))
     docs = docs.withColumn("act", F.floor((F.col("page_no") - 1) / 3).cast("int"))
     docs = docs.withColumn("sig", F.substr(F.md5(F.concat_ws(":", "pdf_id", F.col("act").cast("string"))), F.lit(1), F.lit(7)))
     nl, n = F.lit("\n"), F.col("page_no")
@@ -59,7 +62,7 @@ def rubric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RESIDUE_PARTS = f"""case when page_no % 4 = 0 then '{BANNERS[0]}' || chr(10) || '{BANNERS[1]}' || chr(10) else '' end || text || case when page_no % 4 = 0 then chr(10) || '{BANNERS[2]}' else '' end"""
 #: The same tables in DuckDB's SQL, as common table expressions.
 SQL = {
-    "docket": f"""d0 as (select source as pdf_id, doc_id, text, row_number() over (partition by source order by doc_id) as page_no from documents),
+    "docket": f"""d0 as (select 'case-' || (doc_id // {PAGES}) as pdf_id, doc_id, text, doc_id % {PAGES} + 1 as page_no from documents),
  d1 as (select *, cast((page_no - 1) // 3 as int) as act from d0),
  d2 as (select *, substr(md5(pdf_id || ':' || act), 1, 7) as sig from d1),
  docket as (select *, 'Fls.: ' || page_no || chr(10) || case when page_no % 4 = 0 then '{BANNERS[0]}' || chr(10) || '{BANNERS[1]}' || chr(10) else '' end || text || chr(10)
