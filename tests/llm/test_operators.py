@@ -126,6 +126,16 @@ def test_suffix_dedup(spark, docs):
         assert got == brute.repeats(docs, length)
 
 
+def test_plain_prefix_doubling_agrees(spark, docs):
+    docs = [(d, t) for d, t in docs if len(t or "") < 1500][:25]
+    found = {(r.doc_id, r.pos) for r in suffix_dedup.doubling_ranks(frame(spark, docs), 50).collect()}
+    spans = {r.doc_id: [(x.start, x.end) for x in r.removed] for r in suffix_dedup.remove_repeats(frame(spark, docs), 50).collect()}
+    for d, t in docs:
+        covered = sorted({k for e, pos in found if e == d for k in range(pos, pos + 50)})
+        assert covered == [k for s, e in spans[d] for k in range(s, e)]
+    assert found
+
+
 def test_suffix_dedup_of_odd_rows(spark):
     t = "0123456789" * 8
     got = suffix_dedup.remove_repeats(frame(spark, [(None, t), (5, t), (5, t), (6, t), (7, None)])).collect()
