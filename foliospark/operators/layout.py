@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,25 +68,34 @@ def paragraphs(blocks: DataFrame, key: str, gap: int = 14) -> DataFrame:
     return grouped.select(key, "paragraph", F.array_join(F.transform("_b", lambda b: b["text"]), " ").alias("text"))
 
 
+def _visual(words: list[tuple[float, float, float, str]], tolerance: float) -> list[str]:
+    """Lines of words (y, x, h, word), sorted: a word joins the current line while their centres are close; the line's centre
+    and height follow the words that joined."""
+    out: list[list[tuple[float, str]]] = []
+    top = height = 0.0
+    for y, x, h, word in words:
+        if out and abs(y + h / 2 - (top + height / 2)) <= max(height, h) * tolerance:
+            bottom, top = max(top + height, y + h), min(top, y)
+            height = bottom - top
+            out[-1].append((x, word))
+        else:
+            top, height = y, h
+            out.append([(x, word)])
+    return [" ".join(w for _, w in sorted(line)) for line in out]
+
+
 def visual_lines(words: DataFrame, key: str, tolerance: float = 0.55) -> DataFrame:
-    """(key, line_no, text): words in (y, x) order join the current line while their centres are close; the line's centre and
-    height follow the words that joined, so the grouping is a fold over each page's words."""
-    kind = "array<struct<y:double,h:double,words:array<struct<x:double,word:string>>>>"
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("h").cast("double").alias("h"), "word")))
-
-    def step(acc: Column, w: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        mid = lambda top, height: top + height / 2
-        near = F.coalesce(F.abs(mid(w["y"], w["h"]) - mid(last["y"], last["h"])) <= F.greatest(last["h"], w["h"]) * tolerance, F.lit(False))
-        one = F.struct(w["x"].alias("x"), w["word"].alias("word"))
-        top = F.least(last["y"], w["y"])
-        grown = F.struct(top.alias("y"), (F.greatest(last["y"] + last["h"], w["y"] + w["h"]) - top).alias("h"), F.array_append(last["words"], one).alias("words"))
-        fresh = F.struct(w["y"].alias("y"), w["h"].alias("h"), F.array(one).alias("words"))
-        return F.when(near, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, fresh))
-
-    grouped = words.groupBy(key).agg(ordered.alias("_w")).withColumn("_l", F.aggregate("_w", F.array().cast(kind), step))
-    each = grouped.select(key, F.posexplode("_l").alias("line_no", "_line"))
-    return each.select(key, "line_no", F.array_join(F.transform(F.array_sort("_line.words"), lambda w: w["word"]), " ").alias("text"))
+    """(key, line_no, text) of words (x, y, h, word) in (y, x) order. Where a line ends depends on what joined it, so each page is
+    walked as a whole, in one pass."""
+    kind = words.schema[key].dataType.simpleString()
+
+    def walk(table: pa.Table) -> pa.Table:
+        page = sorted(zip(*(table.column(c).to_pylist() for c in ("y", "x", "h", "word")), strict=True))
+        lines_ = _visual(page, tolerance)
+        return pa.table({key: pa.array([table.column(key)[0].as_py()] * len(lines_), table.schema.field(key).type), "line_no": pa.array(range(len(lines_)), pa.int32()), "text": pa.array(lines_, pa.string())})
+
+    double = lambda c: F.col(c).cast("double").alias(c)
+    return words.select(key, double("y"), double("x"), double("h"), "word").groupBy(key).applyInArrow(walk, f"{key} {kind}, line_no int, text string")
 
 
 def markup_blocks(df: DataFrame, key: str, html: str, tag: str = "p") -> DataFrame:
