@@ -52,7 +52,7 @@ def a4_accepted_pages(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(pages, "\f")).alias("pages"))
 
 
-@query(f"{with_tables('page_images')}, f as (select page_no, num, case num % 3 when 0 then num when 1 then num - 1 else num + 40 end as i from page_images) select f.page_no, 'p-' || f.num || '-' || lpad(cast(i as varchar), greatest(3, length(cast(i as varchar))), '0') || '.png' as file_name, coalesce(a.num, b.num) as num from f left join page_images a on a.page_no = f.page_no and a.num = i left join page_images b on b.page_no = f.page_no and b.num = i + 1")
+@query(f"{with_tables('page_images')}, f as (select page_no, num, case num % 3 when 0 then num when 1 then num - 1 else num + 40 end as i from page_images) select f.page_no, 'p-' || f.num || '-' || lpad(cast(i as varchar), cast(greatest(3, length(cast(i as varchar))) as integer), '0') || '.png' as file_name, coalesce(a.num, b.num) as num from f left join page_images a on a.page_no = f.page_no and a.num = i left join page_images b on b.page_no = f.page_no and b.num = i + 1")
 def d5_image_of_file(spark, d):
     n = F.col("num")
     i = F.when(n % 3 == 0, n).when(n % 3 == 1, n - 1).otherwise(n + 40).cast("string")
