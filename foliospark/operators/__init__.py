@@ -1,0 +1,7 @@
+"""Set operators. Functions that run on executors are pickled by value, so a cluster needs no copy of the package on its workers."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
