@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import compare, layout
 from ..operators import pages as page_ops
 from ..sources.tables import doc_index, docket, page_images, rubric_lines, table, with_tables
-from . import extraction, intake, reporting  # noqa: F401  (they register their queries)
+from . import extraction, forms as form_queries, intake, reporting  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
