@@ -59,6 +59,26 @@ def colspans(cells: DataFrame, key: str) -> DataFrame:
     return spans.select(key, "row", "col", "text", "colspan")
 
 
+def ruled_cells(marks: DataFrame, key: str, gap: float = 8, least_rows: int = 2, least_cols: int = 2) -> DataFrame:
+    """(key, row, col, cx, cy, cw, ch) of the grid that ruled lines span. ``marks`` (key, axis, at) are positions of vertical lines
+    (axis x) and horizontal ones (axis y); close ones are one line, and a page with too few lines has no grid."""
+    def tracks(axis: str, least: int, number: str) -> DataFrame:
+        line = clusters(marks.where(F.col("axis") == axis), key, "at", gap)
+        order = Window.partitionBy(key).orderBy("cluster")
+        each = line.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("_next", F.lead("centre").over(order)).where((F.col("_n") > least) & F.col("_next").isNotNull())
+        return each.select(key, F.col("cluster").alias(number), F.col("centre").alias("c" + axis), (F.col("_next") - F.col("centre")).alias("cw" if axis == "x" else "ch"))
+
+    return tracks("y", least_rows, "row").join(tracks("x", least_cols, "col"), key).select(key, "row", "col", "cx", "cy", "cw", "ch")
+
+
+def ruled_tables(marks: DataFrame, words: DataFrame, key: str, gap: float = 8, least_rows: int = 2, least_cols: int = 2) -> DataFrame:
+    """(key, row, col, text, colspan) of the grids of pages: words (word, x, y, w, h) in the cells that hold them, in (y, x) order."""
+    cells = ruled_cells(marks, key, gap, least_rows, least_cols)
+    held = words_in_cells(words, cells, key).groupBy(key, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "word"))), lambda w: w["word"]), " ").alias("_t"))
+    texts = cells.join(held, [key, "row", "col"], "left").select(key, "row", "col", strip(F.coalesce("_t", F.lit(""))).alias("text"))
+    return colspans(texts, key)
+
+
 def paragraphs(blocks: DataFrame, key: str, gap: int = 14) -> DataFrame:
     """(key, paragraph, text) of blocks (y, x, height, text) merged while the next one starts within ``gap`` of the bottom."""
     order = Window.partitionBy(key).orderBy("y", "x", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import formatters as fm
-from ..operators import driver, tables
+from ..operators import driver, layout, tables
 from ..sources import sinks
 from ..sources.tables import page_images, rubric_lines, table, with_tables
 from .registry import query
@@ -125,6 +125,19 @@ def k5_banded_events(spark, d):
     return e.select("l_orderkey", (F.col("line_no") - len(heads)).cast("long").alias("k"), "code", "description", "amount")
 
 
+@query("""with p as (select p_partkey, p_partkey % 3 + 2 as n from part), c as (select p_partkey, n, r, c from p, range(3) a(r), range(4) b(c) where c < n and n > 2)
+ select p_partkey, r as row, c as col, 'a' || r || ' b' || c as text, cast(case when c = n - 2 then 2 else 1 end as bigint) as colspan from c where c < n - 1""")
+def j4_ruled_tables(spark, d):
+    part, n = table(spark, d, "part"), F.col("p_partkey") % 3 + 2
+    # each line was seen twice; the last column is empty; pages with two columns or fewer have no grid
+    twice = lambda axis, places: F.transform(places, lambda k: F.struct(F.lit(axis).alias("axis"), (F.floor(k / 2) * 100 + k % 2 * 5).alias("at")))
+    marks = part.select("p_partkey", F.explode(F.concat(twice("x", F.sequence(F.lit(0), (n * 2 + 1))), twice("y", F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")))).alias("m")).select("p_partkey", "m.*")
+    word = lambda r, c, k: F.struct(F.concat(F.lit("ab"[k]), (r if k == 0 else c).cast("string")).alias("word"), (c * 100 + 20 + 30 * k).alias("x"), (r * 100 + 30).alias("y"), F.lit(20).alias("w"), F.lit(10).alias("h"))
+    rows = part.select("p_partkey", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r")).select("p_partkey", "r", F.explode(F.sequence(F.lit(0), (F.col("n") - 2).cast("int"))).alias("c"))
+    words = rows.select("p_partkey", F.explode(F.array(word(F.col("r"), F.col("c"), 0), word(F.col("r"), F.col("c"), 1))).alias("w")).select("p_partkey", "w.*")
+    return layout.ruled_tables(marks, words, "p_partkey", least_cols=3)
+
+
 # -- the page driver ------------------------------------------------------------------------------------------------------------
 _STRIP = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
 

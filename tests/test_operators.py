@@ -97,3 +97,10 @@ def test_figures_between_lines(spark):
     bodies = spark.createDataFrame([(1, "l1\nl2\nl3\nl4", 842.0), (2, "", 842.0)], "k int, body string, height double")
     captions = spark.createDataFrame([(1, 400.0, 1.0, "FIG"), (1, 1.0, 1.0, "TOP"), (2, 1.0, 1.0, "ONLY")], "k int, y double, x double, caption string")
     assert {r.k: r.body for r in figures.merge_figures(bodies, captions, "k").collect()} == {1: "TOP\n\nl1\nl2\n\nFIG\n\nl3\nl4", 2: "ONLY"}
+
+
+def test_ruled_tables(spark):
+    marks = [(1, a, at) for a in "xy" for at in (0, 3, 100, 200)] + [(2, "x", 0), (2, "x", 100), (2, "x", 200), (2, "y", 0), (2, "y", 9)]
+    words = [(1, "b", 60, 10, 20, 10), (1, "a", 10, 10, 20, 10), (1, "c", 110, 110, 20, 10), (1, "fora", 500, 500, 20, 10), (2, "x", 10, 1, 5, 5)]
+    got = layout.ruled_tables(spark.createDataFrame(marks, "k int, axis string, at int"), spark.createDataFrame(words, "k int, word string, x int, y int, w int, h int"), "k")
+    assert sorted((r.k, r.row, r.col, r.text, r.colspan) for r in got.collect()) == [(1, 0, 0, "a b", 2), (1, 1, 1, "c", 1)]
