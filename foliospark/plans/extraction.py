@@ -49,7 +49,8 @@ def g11_column_bands(spark, d):
     return figures.column_bands(words, "page_no").groupBy("page_no").agg(F.count("*").alias("n_bands"))
 
 
-@query()
+@query("""select n_nationkey::varchar as pdf_id, substr(md5(n_nationkey::varchar), 1, 7) as doc_id, n_name || ' segunda linha' as titulo, 'Documento de Identificação' as tipo, '01/02/2020 10:30' as data_assinatura from nation
+ union all select n_nationkey::varchar, reverse(substr(md5(n_nationkey::varchar), 1, 7)), 'Ata', 'Despacho', '03/04/2021 9:05' from nation""")
 def e9_index_state(spark, d):
     k = F.col("n_nationkey")
     sig = F.substr(F.md5(k.cast("string")), F.lit(1), F.lit(7))

@@ -1,4 +1,4 @@
-from foliospark.operators import compare, layout
+from foliospark.operators import compare, forms, layout
 from foliospark.operators import pages as ops
 
 
@@ -47,8 +47,6 @@ def test_colspans(spark):
 
 
 def test_numbered_fields(spark):
-    from foliospark.operators import forms
-
     rows = [
         (1, 0, 0, "01", 0, 20), (1, 0, 1, "CNPJ", 30, 40), (1, 0, 2, "02", 300, 20), (1, 0, 3, "Nome", 330, 40),
         (1, 1, 0, "123", 10, 30), (1, 1, 1, "ANA", 310, 30), (1, 1, 2, "SOUZA", 350, 40),
@@ -59,8 +57,6 @@ def test_numbered_fields(spark):
 
 
 def test_pay_slip_caps(spark):
-    from foliospark.operators import forms
-
     slip = "Recibo de Pagamento\nNome: ANA\nCNPJ: 12.345.678/0001-90\n0001 Salário 1.000,00\n0002 Hora 30,5 10,00\nValor Líquido 1.010,00"
     df = spark.createDataFrame([(1, slip), (2, slip + "\n0003 Extra 5,00"), (3, None)], "k int, t string")
     got = {r.k: (r.n_events, r.fill_ratio, r.ok) for r in forms.pay_slips(df, "k", "t").collect()}
@@ -104,3 +100,18 @@ def test_ruled_tables(spark):
     words = [(1, "b", 60, 10, 20, 10), (1, "a", 10, 10, 20, 10), (1, "c", 110, 110, 20, 10), (1, "fora", 500, 500, 20, 10), (2, "x", 10, 1, 5, 5)]
     got = layout.ruled_tables(spark.createDataFrame(marks, "k int, axis string, at int"), spark.createDataFrame(words, "k int, word string, x int, y int, w int, h int"), "k")
     assert sorted((r.k, r.row, r.col, r.text, r.colspan) for r in got.collect()) == [(1, 0, 0, "a b", 2), (1, 1, 1, "c", 1)]
+
+
+def test_value_parts():
+    assert forms.value_parts("12.345.678/0001-90 ACME LTDA 01/02/2020", 3) == ["12.345.678/0001-90", "ACME LTDA", "01/02/2020"]
+    assert forms.value_parts("a  b  c", 2) == ["a", "b c"]
+    assert forms.value_parts("x 1,00", 3) == ["x", "1,00", ""]
+    assert forms.value_parts("x y", 3) == ["x y"]
+    assert forms.value_parts("x y", 1) == ["x y"]
+
+
+def test_glued_labels_and_values_by_place(spark):
+    line = lambda n, *ws: [(1, n, i, w, x, 8 * len(w)) for i, (w, x) in enumerate(ws)]
+    rows = [*line(0, ("01CNPJ", 0), ("02Nome", 400)), *line(1, ("12.345.678/0001-90", 900), ("ANA", 1100)), *line(2, ("24", 0), ("Data", 30), ("01/02/2020", 200)), *line(3, ("30", 0), ("31", 40), ("Nada", 80))]
+    words = spark.createDataFrame(rows, "k int, line_no int, word_no int, word string, x int, w int")
+    assert sorted((r.number, r.value) for r in forms.numbered_fields(words, "k").collect()) == [("01", "12.345.678/0001-90"), ("02", "ANA")]
