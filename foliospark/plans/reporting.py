@@ -107,11 +107,11 @@ def k6_fund_statements(spark, d):
 
 
 @query("""with c as (select c_custkey, c_mktsegment, c_custkey % 2 = 0 as paired from customer)
- select c_custkey, '01' as number, case when paired then '12.345.678/0001-90' else '02' end as value from c union all select c_custkey, '02', c_mktsegment from c where paired or 40 + 4 * length(c_mktsegment) >= 80 - 8 union all select c_custkey, '10', '123' from c""")
+ select c_custkey, '01' as number, case when paired then '12.345.678/0001-90' else '02' end as value from c union all select c_custkey, '02', c_mktsegment from c where paired or (c_custkey > 49 and 40 + 4 * length(c_mktsegment) >= 80 - 8) union all select c_custkey, '10', '123' from c""")
 def k3_numbered_fields(spark, d):
     k = F.col("c_custkey")
     # labels glued to their numbers above values that only their place tells apart, or labels with a number that reads as a value
-    # and a second band that holds a word whose middle lies in it
+    # and a second band that holds a word whose middle lies in it; up to 49 the values' line reads as a label itself
     top = F.when(k % 2 == 0, F.concat(F.lit("01CNPJ 02Nome\n"), F.lit("12.345.678/0001-90 "), "c_mktsegment")).otherwise(F.concat(F.lit("01 CNPJ 02 Nome\n"), k.cast("string"), F.lit(" "), "c_mktsegment"))
     text = F.concat(F.lit("IDENTIFICAÇÃO DO EMPREGADOR\n"), top, F.lit("\n10 PIS\n123\n50 Saldo 9,99\n"))
     words = layout.plain_words(table(spark, d, "customer").select("c_custkey", text.alias("t")), "c_custkey", "t")
