@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .hashing import Prefix, U, mix, pack, unpack
 from .store import materialize, partitions
 
-#: Text and rows of a batch, and buckets for each shuffle partition: they bound what a worker holds.
-BATCH_BYTES, BATCH_DOCS, SPREAD = 8_000_000, 60_000, 4
+#: Text and rows of a batch, buckets for each shuffle partition, and text for a bucket: they bound what a worker holds.
+BATCH_BYTES, BATCH_DOCS, SPREAD, BUCKET_BYTES = 8_000_000, 60_000, 4, 64_000_000
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
 _REPLIES = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("names", pa.binary())])
 _NAMES, _COVERED, _OPEN, _WINDOWS = 0, 1, 2, 3
@@ -120,14 +120,12 @@ def _send(heads: list[np.ndarray], tails: list[np.ndarray], owners: list[np.ndar
     head, tail, owner = head[starts], tail[starts], owner[starts]
     bucket = ((head >> U(32)) * U(buckets)) >> U(32)
     by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=U))
+    filled, at = np.unique(bucket[by], return_index=True)
     out = []
-    for k in range(buckets):
-        if cuts[k] < cuts[k + 1]:
-            part = by[cuts[k] : cuts[k + 1]]
-            used, local = np.unique(owner[part], return_inverse=True)
-            rows = np.concatenate([pack(head[part], WIDTH), pack(tail[part], WIDTH), pack(local.astype(U), 2)], 1)
-            out.append((k, np.array([len(used)], np.int64).tobytes() + ids[used].tobytes() + rows.tobytes()))
+    for k, part in zip(filled.tolist(), np.split(by, at[1:]), strict=True):
+        used, local = np.unique(owner[part], return_inverse=True)
+        rows = np.concatenate([pack(head[part], WIDTH), pack(tail[part], WIDTH), pack(local.astype(U), 2)], 1)
+        out.append((k, np.array([len(used)], np.int64).tobytes() + ids[used].tobytes() + rows.tobytes()))
     n = len(out)
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([_NAMES] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([r[1] for r in out], pa.binary())], schema=_ROWS)
 
@@ -228,10 +226,18 @@ def _flags(replies: DataFrame) -> DataFrame:
     return replies.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "names")).alias("flags")).hint("shuffle_hash")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``kept`` (binary) and ``removed`` (array<struct<start,end>>, bytes) of every document."""
-    buckets = SPREAD * partitions(docs.sparkSession)
+def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``kept`` (binary) and ``removed`` (array<struct<start,end>>, bytes) of every document. Buckets hold
+    the names of ``bucket_bytes`` of text, so a worker's share does not grow with the table; the result does not depend on them."""
     mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    least = SPREAD * partitions(docs.sparkSession)
+    n_bytes = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(least, -(-n_bytes // bucket_bytes))
+
+    def dealt(named: DataFrame) -> DataFrame:
+        # more buckets than the session's partitions were meant for get partitions of their own
+        return (named.repartition(-(-buckets // SPREAD), "bucket") if buckets > least else named).groupBy("bucket")
+
     rows = "bucket int, kind int, doc_id long, payload binary"
     replies = "doc_id long, kind int, names binary"
 
@@ -241,9 +247,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     def rank_windows(table: pa.Table) -> pa.Table:
         return _rank(table, _WINDOWS, False)
 
-    first = materialize(mine.mapInArrow(partial(_sample, length=length, buckets=buckets), rows).groupBy("bucket").applyInArrow(rank_runs, replies))
+    first = materialize(dealt(mine.mapInArrow(partial(_sample, length=length, buckets=buckets), rows)).applyInArrow(rank_runs, replies))
     known = mine.join(_flags(first), "doc_id", "left")
-    second = known.mapInArrow(partial(_refine, length=length, buckets=buckets), rows).groupBy("bucket").applyInArrow(rank_windows, replies)
+    second = dealt(known.mapInArrow(partial(_refine, length=length, buckets=buckets), rows)).applyInArrow(rank_windows, replies)
     more = _flags(second).withColumnRenamed("flags", "more")
     none = F.array().cast("array<struct<kind:int,names:binary>>")
     flagged = known.join(more, "doc_id", "left").select("doc_id", "text", F.concat(F.coalesce("flags", none), F.coalesce("more", none)).alias("flags"))

@@ -126,6 +126,11 @@ def test_suffix_dedup(spark, docs):
         assert got == brute.repeats(docs, length)
 
 
+def test_suffix_dedup_does_not_depend_on_its_buckets(spark, docs):
+    want, got = (sorted((r.doc_id, r.kept) for r in suffix_dedup.remove_repeats(frame(spark, docs), **more).collect()) for more in ({}, {"bucket_bytes": 700}))
+    assert got == want
+
+
 def test_plain_prefix_doubling_agrees(spark, docs):
     docs = [(d, t) for d, t in docs if len(t or "") < 1500][:25]
     found = {(r.doc_id, r.pos) for r in suffix_dedup.doubling_ranks(frame(spark, docs), 50).collect()}
