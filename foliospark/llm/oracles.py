@@ -84,3 +84,66 @@ STATISTICS = """with w as (select doc_id, coalesce(text, '') as t, list_filter(r
  z as (select w.doc_id, cast(len(l) as bigint) as n_words, cast(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines, coalesce(c.n, 0) as n_repeat_words from w left join c using (doc_id))
  select doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from z"""
+
+# the checksum's table, one entry a byte, and its steps over the digits of an id
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end))"
+
+
+def _crc(of: str, table: str = "crc_table") -> str:
+    bytes_ = f"list_transform(string_split(cast({of} as varchar), ''), lambda z: cast(ascii(z) as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {bytes_}), lambda a, b: xor(a >> 8, {table}[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda z: z <> '')"
+
+LANGUAGES = f"""with crc as (select {_CRC_TABLE} as crc_table),
+ d as (select doc_id, text, lang, coalesce({_crc('doc_id')} % 3 = 1, false) as held_out from documents, crc),
+ t as materialized (select row_number() over () as r, *, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' ' as x from d),
+ u as (select * from t where regexp_matches(text, '\\p{{L}}')),
+ g as (select r, unnest(list_transform(range(1, length(x) + 1), lambda i: substr(x, i, 1))) as s from u
+  union all select r, unnest(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) from u
+  union all select r, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) from u),
+ c as (select r, s, count(*) as n from g where s <> ' ' and not (length(s) = 3 and substr(s, 2, 1) = ' ') group by r, s),
+ k as (select s, list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(s, ''), lambda z: case when z = ' ' then 1 else cast(unicode(z) as bigint) end)), lambda a, b: a * 2097152 + b) as code from (select distinct s from c)),
+ mine as (select r, code, row_number() over (partition by r order by n desc, code) - 1 as pos from c join k using (s) qualify pos < 300),
+ learned as (select lang, code, row_number() over (partition by lang order by n desc, code) - 1 as place from (select lang, code, sum(n) as n from c join k using (s) join u using (r) where not held_out and lang is not null group by lang, code) qualify place < 300),
+ langs as (select distinct lang from learned),
+ far as (select r, l.lang, sum(coalesce(abs(place - pos), 300)) as distance, count(*) as size from mine m cross join langs l left join learned e on e.lang = l.lang and e.code = m.code group by r, l.lang),
+ best as (select r, lang, distance, size from far qualify row_number() over (partition by r order by distance, lang) = 1)
+ select doc_id, held_out, coalesce(best.lang, 'und') as lang_pred, coalesce(1.0::double - distance::double / (size * 300), 0.0::double) as score from t left join best using (r)"""
+
+# runs of a period are islands of words that equal the word one period on; of such stretches that lie in one of a smaller
+# period, the period is a multiple and no smallest one
+RUNS = f"""with crc as (select {_CRC_TABLE} as crc_table),
+ a as (select doc_id, {_WORDS} as w, {_crc('doc_id')} as h from documents, crc),
+ b as (select *, len(w) as n, h // 10 as g from a),
+ c as (select *, case when h % 10 = 0 and n > 0 then g % n end as a, case when h % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) end as p from b),
+ d as (select doc_id, n, case when p is null then w else list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) end as w from c),
+ e as (select doc_id, n, unnest(w) as word, unnest(range(0, n)) as i from d),
+ f as (select x.doc_id, x.i, y.i - x.i as q from e x join e y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+ s as (select doc_id, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as island from f) group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)),
+ runs as (select * from s x where not exists (select 1 from s y where y.doc_id = x.doc_id and y.q < x.q and y.start <= x.start and y.start + y.length >= x.start + x.length)),
+ best as (select * from runs qualify row_number() over (partition by doc_id order by length desc, start, q) = 1),
+ said as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as t from runs group by doc_id),
+ gone as (select distinct doc_id, unnest(range(start + q, start + length)) as i from runs),
+ left_over as (select doc_id, string_agg(word, ' ' order by i) as t from e where not exists (select 1 from gone where gone.doc_id = e.doc_id and gone.i = e.i) group by doc_id)
+ select d.doc_id, coalesce(n_runs, 0) as n_runs, cast(start as bigint) as start, cast(length as bigint) as length, cast(q as bigint) as period, cast(1000 * length // q as bigint) as exponent_milli, sha256(coalesce(said.t, '')) as runs_sha256, sha256(coalesce(left_over.t, '')) as collapsed_sha256
+ from d left join best on best.doc_id = d.doc_id left join said on said.doc_id = d.doc_id left join left_over on left_over.doc_id = d.doc_id"""
+
+# every document goes through every order by itself
+_FAIL = {
+    "A": "len(w) < 200", "B": "100 * len(list_distinct(w)) < 50 * len(w)", "C": "100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x)", "D": "regexp_matches(x, '[#$%&*|]')",
+    "E": "coalesce(doc_id > min(doc_id) over (partition by x), false)",
+}
+AUDIT = f"""with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as x, {_WORDS} as w from documents),
+ marks as (select doc_id, max(quality) filter (quality = 1) as good, max(toxic) filter (toxic = 1) as toxic from labels group by doc_id),
+ j as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, {', '.join(f'{v} as f{k}' for k, v in _FAIL.items())} from d left join marks using (doc_id)),
+ k as (select part, fA, fB, fC, fD, fE, count(*) as n, sum(good) as good, sum(toxic) as toxic from j group by all),
+ perms(o) as (select '' union all select o || f from perms, (select unnest(['A', 'B', 'C', 'D', 'E']) as f) where not contains(o, f)),
+ orders as (select o as filter_order from perms where length(o) = 5),
+ fails as (select *, concat(case when fA then 'A' else '' end, case when fB then 'B' else '' end, case when fC then 'C' else '' end, case when fD then 'D' else '' end, case when fE then 'E' else '' end) as failing from k),
+ went as (select part, filter_order, n, good, toxic, failing, coalesce(list_min(list_transform(string_split(failing, ''), lambda z: case when z = '' then null else strpos(filter_order, z) end)), 9) as went_at from fails, orders),
+ steps as (select part, filter_order, step, sum(n) filter (went_at > step) as kept, sum(n) filter (went_at = step) as removed, sum(n) filter (contains(failing, filter_order[step]) and went_at < step) as redundant,
+  sum(n) filter (failing = filter_order[step]) as unique_fails, sum(good) filter (went_at = step) as good_lost, sum(toxic) filter (went_at = step) as toxic_lost from went, (select unnest(range(1, 6)) as step) group by part, filter_order, step)
+ select part, filter_order, cast(step as integer) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails,
+ cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(sum(coalesce(removed, 0)) over (partition by part, filter_order[step]) as bigint) as shapley from steps"""

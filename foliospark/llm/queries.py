@@ -1,4 +1,4 @@
-"""The ten queries, each over its whole table with production parameters, and their DuckDB SQL where there is one."""
+"""The queries, each over its whole table with production parameters, and their DuckDB SQL where there is one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, line_dedup, ngram_join, oracles, pii, quality_rules, secrets, sentencepiece_sa, suffix_dedup, url_filter
+from . import chat_format, decontam, filter_audit, language_id, line_dedup, ngram_join, oracles, periodic_runs, pii, quality_rules, secrets, sentencepiece_sa, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,4 +96,31 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op5_sentencepiece"] = op5_sentencepiece
 
 
-ORACLES = {"op3_suffix_dedup": oracles.REPEATS, "op6_url_filter": oracles.URLS, "op7_secret_scan": oracles.SECRETS, "quality_statistics": oracles.STATISTICS, "op9_ngram_jaccard": oracles.NGRAMS, "op10_chat_collapse": oracles.CHAT}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_id.held_out().alias("held_out"))
+    profiles = language_id.fit(docs.where("NOT held_out"))
+    return language_id.predict(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES["op11_language_id"] = op11_language_id
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.summary(periodic_runs.periodic_runs(docs, least=6, power=4))
+
+
+QUERIES["op12_periodic_runs"] = op12_periodic_runs
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op13_filter_audit"] = op13_filter_audit
+
+
+ORACLES = {
+    "op3_suffix_dedup": oracles.REPEATS, "op6_url_filter": oracles.URLS, "op7_secret_scan": oracles.SECRETS, "quality_statistics": oracles.STATISTICS, "op9_ngram_jaccard": oracles.NGRAMS, "op10_chat_collapse": oracles.CHAT,
+    "op11_language_id": oracles.LANGUAGES, "op12_periodic_runs": oracles.RUNS, "op13_filter_audit": oracles.AUDIT,
+}
