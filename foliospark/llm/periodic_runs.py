@@ -64,7 +64,7 @@ class Stretches:
 
     def _longest(self, least: int, most: int, same) -> int:
         """Largest k of least..most with ``same(k)``, which holds up to some k and not beyond."""
-        step = NEAR
+        step = max(NEAR, 1)
         while least < most and same(min(least + step, most)):
             least = min(least + step, most)
             step *= 2
