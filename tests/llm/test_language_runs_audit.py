@@ -205,7 +205,7 @@ def plain_audit(docs, labels):
         if d is not None:
             first[t or ""] = min(d, first.get(t or "", d))
     good, toxic = ({d for d, *v in labels if v[k] == 1} for k in (0, 1))
-    judged = []
+    good, toxic, judged = good - {None}, toxic - {None}, []
     for d, t, lang in docs:
         x = t or ""
         w = x.encode().split()
