@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.flow import logo_file
 from ..functions.stamps import signature_ids, squeeze, stamp_ids
 from ..functions.text import filled_lines, strip
 
@@ -72,3 +73,15 @@ def index_pages(pages: DataFrame, marker: str, last: int = 40) -> DataFrame:
     late = F.col("page_no") > F.max("page_no").over(whole) - last
     told = F.max(F.when(late, F.col("text").contains(marker)).otherwise(False)).over(whole)
     return pages.withColumn("_late", late).withColumn("_told", told).where("_late OR NOT _told").drop("_late", "_told")
+
+
+def content_files(files: DataFrame, images: DataFrame, least: int = 2048) -> DataFrame:
+    """Image files (page_no, file_name, n_bytes, file_width, file_height; null sizes: unreadable) that show content, with ``num``.
+
+    Files of under ``least`` bytes go. The image row of a file's index (page_no, num, content) decides; a file without one stays
+    unless it looks like a logo by itself.
+    """
+    known = images.select("page_no", F.col("num").cast("long").alias("num"), F.coalesce("content", F.lit(False)).alias("_content"))
+    each = image_of_file(files.where(F.col("n_bytes") >= least), known).join(known, ["page_no", "num"], "left")
+    keep = F.when(F.col("_content").isNotNull(), F.col("_content")).otherwise(~logo_file(F.col("file_width"), F.col("file_height"), F.col("n_bytes")))
+    return each.where(keep).select(*files.columns, "num")

@@ -648,3 +648,6 @@ def g18_visible_log(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f10_money_recall(spark, sf_dir)
+
+
+from . import files  # noqa: E402, F401  (its queries use the tables above)
