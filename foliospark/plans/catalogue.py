@@ -650,4 +650,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f10_money_recall(spark, sf_dir)
 
 
-from . import files  # noqa: E402, F401  (its queries use the tables above)
+from . import files, runs  # noqa: E402, F401  (their queries use the tables above)

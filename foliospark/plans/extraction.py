@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import forms
 from ..functions.text import filled_lines
 from ..operators import estimates, figures, index
+from ..sources import sinks
 from ..sources.tables import SQL, page_images, rubric_lines, table, with_tables
 from ..streaming import audit
 from .registry import query
@@ -138,8 +137,7 @@ def n_sessions_batch(spark, d):
 def stream_audit_sessions(spark, d):
     schema = table(spark, d, "events").schema
     stream = audit.sessions(audit.read_arriving(spark, d, schema, "events*.parquet"))
-    name = f"audit_sessions_{uuid.uuid4().hex}"
-    query_ = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query_.awaitTermination()
+    folder = sinks.shared_folder(spark)
+    audit.run_to_folder(stream, f"{folder}/sessions", f"{folder}/checkpoint")
     # sessions that may still grow when the stream ends are not given out
-    return spark.table(name).withColumn("value", F.round("value", 6))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/sessions").withColumn("value", F.round("value", 6))

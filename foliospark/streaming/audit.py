@@ -24,3 +24,9 @@ def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "a
     """Runs a stream over all that has arrived and adds the result to a table."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).toTable(table)
     query.awaitTermination()
+
+
+def run_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Runs a stream over all that has arrived and appends the result to a folder of Parquet files; both folders are shared ones."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+    query.awaitTermination()
