@@ -6,7 +6,7 @@ speculative task leaves nothing half-written that a reader could see, and the dr
 files were written. Files are spread over one folder a task, so no folder lists them all.
 
 Input columns: ``folder`` and ``file_name`` (plain names without separators; equal pairs must not occur), ``content``. A null
-content is an empty file; a null name is refused. Folders may be local paths or any URI that pyarrow's file systems know.
+content is an empty file; Spark's reader passes over empty files; a null name is refused. Folders may be local paths or any URI that pyarrow's file systems know.
 """
 
 from __future__ import annotations
