@@ -28,20 +28,23 @@ from pyspark.sql import functions as F
 
 DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-# fixed values: the patterns, each of one kind, without capturing groups; a guard at the start keeps matches off longer runs
+# fixed values: the patterns, each of one kind, without capturing groups; a guard at the start keeps matches off longer runs. Java
+# matches a group that repeats by recursion, so repetitions are bounded (a domain has 127 labels at most) or possessive
 KINDS = {
-    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){0,125}\\.[A-Za-z]{2,}",
     "ip": f"(?<![0-9.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9]|\\.[0-9])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": "(?<![0-9/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[\\x20.-]?)?(?:\\([0-9]{2,4}\\)[\\x20.-]?|[0-9]{2,4}[\\x20.-])[0-9]{3,4}[\\x20.-][0-9]{3,4}(?![0-9]|[\\x20.-][0-9]{3,4}(?![0-9]))|(?<![0-9+])\\+[0-9]{1,3}(?:[\\x20.-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "card": "(?<![0-9])(?:[0-9]{4}(?:[\\x20-][0-9]{4}){3}(?:[\\x20-][0-9]{1,3})?(?![0-9])|(?=[0-9](?:[\\x20-]?[0-9]){12})(?:[0-9]{13,}|[0-9]{3,}(?:[\\x20-][0-9]{3,})+)(?![0-9]))",
+    "card": "(?<![0-9])(?:[0-9]{4}(?:[\\x20-][0-9]{4}){3}(?:[\\x20-][0-9]{1,3})?(?![0-9])|(?=[0-9](?:[\\x20-]?[0-9]){12})(?:[0-9]{13,}+|[0-9]{3,}+(?:[\\x20-][0-9]{3,}+)++)(?![0-9]))",
 }
 #: Cards go first among the numbers, or their groups would read as phone numbers.
 ORDER = ("email", "ip", "iban", "card", "date", "ssn", "phone")
 PATTERN = "|".join(f"(?:{KINDS[k]})" for k in ORDER)
 ROUNDS = 8
+#: Characters that are put together at a time.
+BLOCK = 256
 #: Dates between these move within them, others are left alone; days are counted from the first.
 FIRST_DAY, DAYS = "1900-01-01", 73_414
 
@@ -96,12 +99,24 @@ def _iban_valid(compact: Column) -> Column:
 
 
 def _refill(match: Column, canonical: Column, drop: str) -> Column:
-    """``match`` with its characters outside class ``drop`` replaced by those of ``canonical``, in order."""
-    def put(acc: Column, c: Column) -> Column:
-        kept = c.rlike(drop)
-        return F.struct((acc["k"] + F.when(kept, 0).otherwise(1)).alias("k"), F.concat(acc["out"], F.when(kept, c).otherwise(F.substr(canonical, acc["k"], F.lit(1)))).alias("out"))
+    """``match`` with its characters outside class ``drop`` replaced by those of ``canonical``, in order; block by block, as a
+    string that grows is copied with each character."""
+    def one(part: Column, source: Column) -> Column:
+        def put(acc: Column, c: Column) -> Column:
+            kept = c.rlike(drop)
+            return F.struct((acc["k"] + F.when(kept, 0).otherwise(1)).alias("k"), F.concat(acc["out"], F.when(kept, c).otherwise(F.substr(source, acc["k"], F.lit(1)))).alias("out"))
 
-    return F.aggregate(F.split(match, ""), F.struct(F.lit(1).alias("k"), F.lit("").alias("out")), put, lambda a: a["out"])
+        return F.aggregate(F.split(part, ""), F.struct(F.lit(1).alias("k"), F.lit("").alias("out")), put, lambda a: a["out"])
+
+    def block(both: Column, b: Column) -> Column:
+        before = F.length(F.regexp_replace(F.substr(both["m"], F.lit(1), b * BLOCK), drop, ""))
+        return one(F.substr(both["m"], b * BLOCK + 1, F.lit(BLOCK)), F.substr(both["c"], before + 1, F.lit(BLOCK)))
+
+    def long(both: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.length(both["m"]) - 1) / BLOCK).cast("int"))
+        return F.array_join(F.transform(blocks, lambda b: block(both, b)), "")
+
+    return F.when(F.length(match) <= BLOCK, one(match, canonical)).otherwise(_bind(F.struct(match.alias("m"), canonical.alias("c")), long))
 
 
 def _numeric(match: Column, key: str, drop: str = "[^0-9]") -> Column:
