@@ -27,6 +27,13 @@ TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 #: A candidate token has a digit, a letter and this many different characters.
 MIN_DISTINCT = 10
+#: Spans that are scanned together, so that the work on a text grows with its hits and not with their square.
+BLOCK = 512
+
+
+def _numbers(block: Column, n: Column) -> Column:
+    """The places from 0 to n - 1 that lie in a block."""
+    return F.sequence(block * BLOCK, F.least(block * BLOCK + (BLOCK - 1), n - 1))
 
 
 def _spans(text: Column, kind: str, pattern: str, value_group: int = 0) -> Column:
@@ -39,14 +46,24 @@ def _spans(text: Column, kind: str, pattern: str, value_group: int = 0) -> Colum
     )
 
     def place(p: Column) -> Column:
+        def size(i: Column) -> Column:
+            return (F.length(F.get(p["s"], i)) + F.length(F.get(p["m"], i))).cast("long")
+
         def step(acc: Column, i: Column) -> Column:
             start = acc["pos"] + F.length(F.get(p["s"], i))
             end = start + F.length(F.get(p["m"], i))
             one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), F.get(p["v"], i).alias("value"))
             return F.struct(end.alias("pos"), F.array_append(acc["out"], one).alias("out"))
 
-        start = F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out"))
-        return F.when(F.size(p["m"]) == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(p["m"]) - 1), start, step, lambda a: a["out"]))
+        def within(b: Column, begin: Column) -> Column:
+            return F.aggregate(_numbers(b, F.size(p["m"])), F.struct(begin.alias("pos"), empty.alias("out")), step, lambda a: a["out"])
+
+        # an array that grows is copied with each element, so only arrays of BLOCK grow: where blocks begin, then each block
+        blocks = F.sequence(F.lit(0), F.floor((F.size(p["m"]) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda b: F.aggregate(_numbers(b, F.size(p["m"])), F.lit(0).cast("long"), lambda a, i: a + size(i)))
+        begins = F.aggregate(totals, F.array(F.lit(0).cast("long")), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        found = F.get(F.transform(F.array(begins), lambda at: F.flatten(F.transform(blocks, lambda b: within(b, F.get(at, b))))), F.lit(0))
+        return F.when(F.size(p["m"]) == 0, empty).otherwise(found)
 
     # a struct bound to a lambda variable is computed once
     return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(parts), place))).otherwise(empty)
@@ -63,10 +80,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         v = x["value"]
         return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= MIN_DISTINCT)
 
-    def outside(x: Column) -> Column:
-        return ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def block(b: Column) -> Column:
+        spans = F.slice("_base", b * BLOCK + 1, BLOCK)
+        return F.struct(F.array_min(F.transform(spans, lambda x: x["start"])).alias("start"), F.array_max(F.transform(spans, lambda x: x["end"])).alias("end"), spans.alias("spans"))
+
+    # spans are sorted, so a token meets one or two blocks of them
+    blocks = F.when(F.size("_base") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_base") - 1) / BLOCK).cast("int")), block))
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def free(b: Column) -> Column:
+        return F.filter("_mixed", lambda x: ~F.coalesce(F.exists(b, lambda y: meets(y, x) & F.exists(y["spans"], lambda z: meets(z, x))), F.lit(False)))
 
-    return found.withColumn("_token", F.filter("_any", lambda x: mixed(x) & outside(x))).drop("_any", "_assign", "_access", "_hex")
+    found = found.withColumn("_mixed", F.filter("_any", mixed))
+    return found.withColumn("_token", F.when(F.size("_mixed") == 0, F.col("_mixed")).otherwise(F.flatten(F.transform(F.array(blocks), free)))).drop("_any", "_mixed", "_assign", "_access", "_hex")
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = 1) -> DataFrame:
