@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout, progress, rasters
+from ..functions import pages
+from ..operators import layout, progress, rasters, run
 from ..sources import sinks
-from ..sources.tables import PAGES, table
+from ..sources.tables import PAGES, doc_index, docket, table, with_tables
 from ..streaming import audit, breaker
-from .catalogue import _D_CLASS, _classes
+from .catalogue import _D_CLASS, _D_OVERLAY, _D_USABLE, _classes, _d_has, _d_norm, _d_residue
 from .registry import query
 
 
@@ -16,8 +17,8 @@ from .registry import query
  select pdf_id, cast(row_number() over (partition by pdf_id order by page_no) as int) as place, 'page' as kind, page_no as page, total, null::bigint as native_pages, null::bigint as hybrid_pages, null::bigint as image_pages, null::bigint as force_ocr_skipped from q join t using (pdf_id)
  union all select pdf_id, 0, 'classification', 0, count(*), count(*) filter (page_class = 'native'), count(*) filter (page_class = 'hybrid'), count(*) filter (page_class = 'image_page'), count(*) filter (forced and page_class <> 'image_page') from q group by pdf_id""")
 def b10_progress_events(spark, d):
-    pages = _classes(spark, d).select(F.concat(F.lit("case-"), F.floor(F.col("doc_id") / PAGES).cast("string")).alias("pdf_id"), (F.col("doc_id") % PAGES + 1).alias("page_no"), "page_class", "forced")
-    return progress.events(pages)
+    judged = _classes(spark, d).select(F.concat(F.lit("case-"), F.floor(F.col("doc_id") / PAGES).cast("string")).alias("pdf_id"), (F.col("doc_id") % PAGES + 1).alias("page_no"), "page_class", "forced")
+    return progress.events(judged)
 
 
 @query("""with p as (select p_partkey, 165 + p_partkey % 3 * 40 as w from part where p_partkey % 4 > 0), g as (select p_partkey, r, c from p, range(3) a(r), range(5) b(c) where (c + 1) * 40 + 5 < w)
@@ -31,8 +32,8 @@ def j4_raster_tables(spark, d):
     plain, stroke, line = row(lambda i: dark((i % x).isin(5, 6))), row(lambda i: dark((i % x).isin(5, 6) | (i % x).between(12, 28))), F.repeat(F.lit("10"), w.cast("int"))
     shown = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when((i % y).isin(4, 5) & (k % 4 > 0), F.col("line")).when(i % y == 15, F.col("stroke")).otherwise(F.col("plain")))
     parts = table(spark, d, "part").select("p_partkey", plain.alias("plain"), stroke.alias("stroke"), line.alias("line"))
-    pages = parts.select("p_partkey", w.alias("width"), F.lit(100).alias("height"), F.unhex(F.array_join(shown, "")).alias("pixels"))
-    marks = rasters.ruling_lines(pages, "p_partkey")
+    drawn = parts.select("p_partkey", w.alias("width"), F.lit(100).alias("height"), F.unhex(F.array_join(shown, "")).alias("pixels"))
+    marks = rasters.ruling_lines(drawn, "p_partkey")
     cells = table(spark, d, "part").select("p_partkey", w.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r")).select("p_partkey", "w", "r", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c")).where("(c + 1) * 40 + 5 < w")
     words = cells.select("p_partkey", F.concat(F.lit("w"), F.col("r").cast("string"), F.col("c").cast("string")).alias("word"), (F.col("c") * 40 + 12).alias("x"), (F.col("r") * 30 + 10).alias("y"), F.lit(16).alias("w"), F.lit(8).alias("h"))
     found = layout.ruled_tables(marks, words, "p_partkey")
@@ -70,3 +71,27 @@ def m9_breaker_stream(spark, d):
     stream = breaker.streamed(_calls(audit.read_arriving(spark, d, table(spark, d, "events").schema, "events*.parquet")), FAILURES, COOL)
     audit.run_to_folder(stream, f"{folder}/changes", f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/changes")
+
+
+_RUN_CLASS = f"""{with_tables('docket', 'doc_index')}, r as (select pdf_id, page_no, doc_id, sig, {_d_residue('raw_text')} as t from docket),
+ f as (select r.*, coalesce({_d_has(_d_norm('tipo') + " || ' ' || " + _d_norm('titulo'), pages.FORCED)}, false) as forced, case when r.doc_id % 3 = 0 then 1 else 0 end as figures from r left join doc_index i on i.pdf_id = r.pdf_id and i.doc_id = r.sig),
+ u as (select *, {_D_OVERLAY('t')} as overlay, {_D_USABLE('t')} as usable from f),
+ k as (select *, case when (forced and not usable) or overlay then 'image_page' when usable then case when figures > 0 then 'hybrid' else 'native' end when figures > 0 then 'image_page' else 'native' end as page_class from u)"""
+
+
+@query(f"""{_RUN_CLASS} select pdf_id, cast(count(*) as bigint) as total_pages, count(*) filter (page_class = 'native') as native_pages, count(*) filter (page_class = 'hybrid') as hybrid_pages, count(*) filter (page_class = 'image_page') as image_pages,
+ count(*) filter (page_class = 'image_page' and doc_id % 5 = 1 or doc_id % 17 = 0) as ocr_failed_pages, count(*) as n_sections, true as titled, true as counted from k group by pdf_id""")
+def l1_documents(spark, d):
+    i = F.col("doc_id")
+    source = docket(spark, d)
+    keys = source.select("pdf_id", "page_no", "doc_id")
+    # every third page has a figure of 700 by 900 pixels in its middle, every fifth can't be read, every seventeenth ends in an error
+    third = keys.where(i % 3 == 0)
+    none = F.lit(None)
+    images = third.select("pdf_id", "page_no", F.lit(700).alias("width"), F.lit(900).alias("height"), F.lit(300.0).alias("y"), F.lit(300.0).alias("display_width"), F.lit(385.0).alias("display_height"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    figures = third.select("pdf_id", "page_no", i.alias("num"), F.lit(9000).alias("size"), F.concat(F.lit("Foto "), i.cast("string")).alias("caption"), F.lit(300.0).alias("y"), F.lit(90.0).alias("x"))
+    engine = keys.select("pdf_id", "page_no", F.when(i % 5 != 1, F.concat(F.lit("texto lido da página "), i.cast("string"))).alias("ocr_text"), F.when(i % 5 == 1, "boom").otherwise(none).alias("ocr_error"), F.when(i % 17 == 0, "late").otherwise(none).alias("error"))
+    out = run.documents(source.select("pdf_id", "page_no", "raw_text"), doc_index(spark, d), images, figures, engine)
+    sections = F.size(F.regexp_extract_all("markdown", F.lit("(?m)^## Página [0-9]+ — Fls\\.: "), F.lit(0))).cast("long")
+    titled = F.col("markdown").startswith(F.concat(F.lit("# Documento: "), F.col("pdf_id"), F.lit("\n\n")))
+    return out.select("pdf_id", "total_pages", "native_pages", "hybrid_pages", "image_pages", "ocr_failed_pages", sections.alias("n_sections"), titled.alias("titled"), F.col("markdown").rlike("\n- \\*\\*Tokens Gemini\\*\\*: [0-9,]+$").alias("counted"))

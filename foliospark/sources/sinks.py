@@ -21,6 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/out_{uuid.uuid4().hex}"
 
 
+def through_files(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what reads it more than once finds it done, and executors may be
+    lost. The files go when the session ends."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def write_markdown(df: DataFrame, folder: str, name: str = "file_name", text: str = "markdown") -> None:
     """One text file a row, ended by a newline, in a folder named after it, so that a reader can skip to a document. Names must
     differ."""
