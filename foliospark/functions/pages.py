@@ -115,9 +115,9 @@ def readable(c: Column) -> Column:
     """``usable`` for a text that is known to be no overlay."""
     t = strip(text_of(c))
     words = F.regexp_count(t, F.lit(LONG_WORD))
-    letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", ""))
-    solid = F.length(F.regexp_replace(t, r"(?U)\s", ""))
-    controls = F.length(t) - F.length(F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
+    letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))
+    solid = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
+    controls = F.length(t) - F.length(F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]+", ""))
     share = F.coalesce(F.try_divide(letters, solid), F.lit(0.0)) >= 0.45
     return (words >= 20) & share & (controls <= 20) & (has(F.lower(t), *HINTS) | (words >= 40))
 
@@ -127,7 +127,7 @@ def ocr_usable(c: Column, least: int = 40) -> Column:
     t = residue(c)
     for pattern in (flagged(r"\bPJe\b", "i"), flagged(r"\bFls\.?\s*:?\s*\d+\b", "i"), flagged(r"\bDocumento\s+assinado\b[\s\S]*", "i")):
         t = F.regexp_replace(t, pattern, " ")
-    return F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")) >= least
+    return F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")) >= least
 
 
 def _cct(t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intake
+from ..operators import fallbacks, intake
 from ..sources import file_tree, layouts, sinks
 from ..sources.tables import PAGES, page_images, table
 from .catalogue import _D_IMAGES, _judged_images
@@ -81,3 +81,36 @@ def d11_page_layouts(spark, d):
     found = layouts.with_layout(asked, layouts.read_layouts(spark, _layout_files(spark, d)))
     top = found.withColumn("rect", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(400.0).alias("width"), F.lit(305.0).alias("height")))
     return layouts.covered(top).select("doc_id", F.size("layout.texts").cast("long").alias("n_texts"), "covered").withColumn("n_texts", F.when(F.col("n_texts") >= 0, F.col("n_texts")))
+
+
+@query(f"""with p as (select doc_id, list_transform(string_split(replace(text, chr(10), chr(12)), chr(12)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')) as parts, doc_id % 5 + 1 as expected from documents),
+ f as (select *, list_filter(parts, lambda x: x <> '') as filled from p), g as (select *, case when len(parts) > 1 then case when len(filled) = expected then filled when len(filled) = expected + 1 and parts[-1] = '' then parts[1:expected] end end as pages from f)
+ select 'doc-' || doc_id as path, unnest(range(1, expected + 1))::int as page_no, md5(unnest(coalesce(pages, list_transform(range(1, expected + 1), lambda k: 'doc-' || doc_id || ' page ' || k)))) as text, pages is null as by_page from g""")
+def a5_pages_by_page(spark, d):
+    i = F.col("doc_id")
+    files = table(spark, d, "documents").select(F.concat(F.lit("doc-"), i.cast("string")).alias("path"), F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"), (i % 5 + 1).cast("int").alias("n_pages"))
+    return fallbacks.page_texts(files, lambda path, page: f" {path} page {page}\n").withColumn("text", F.md5("text"))
+
+
+@query("""with l as (select l_orderkey as o_orderkey, l_linenumber, min(l_returnflag) as l_returnflag from lineitem where l_orderkey % 7 > 0 group by all), o as (select *, count(*) over (partition by o_orderkey) as n, row_number() over (partition by o_orderkey order by l_linenumber) as k from l),
+ s as (select *, n >= 2 and o_orderkey % 3 > 0 and o_orderkey % 5 > 0 as from_batch from o)
+ select o_orderkey, l_linenumber as page_no, from_batch, case when from_batch then 'lote ' || k else l_returnflag end as text, case when from_batch then k % 2 = 0 else false end as has_tables, case when from_batch then 'por' end as language, case when from_batch and k % 4 = 0 then 1 else 0 end as n_tables from s""")
+def m4_batch_results(spark, d):
+    # a batch an order: every third lacks its last result, every fifth has none
+    key, k = F.col("o_orderkey"), F.col("l_linenumber")
+    lines = table(spark, d, "lineitem").where("l_orderkey % 7 > 0").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    counts = lines.groupBy("o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n")).where(key % 5 > 0)
+    result = lambda i: F.struct(F.concat(F.lit("lote "), i.cast("string"), F.lit("\n")).alias("text"), F.when(i % 2 == 0, F.array(F.when(i % 4 == 0, "| a |").otherwise(""))).alias("tables"), F.lit("por").alias("language"))
+    batches = counts.select("o_orderkey", F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - (key % 3 == 0).cast("int"))), result).alias("results"))
+    pages = lines.select("o_orderkey", k.alias("page_no"))
+    singles = lines.select("o_orderkey", k.alias("page_no"), F.struct(F.col("l_returnflag").alias("text"), F.lit(None).cast("array<string>").alias("tables"), F.lit(None).cast("string").alias("language")).alias("result"))
+    out = fallbacks.batch_results(pages, batches, singles, ["o_orderkey"])
+    return out.select("o_orderkey", F.col("page_no").cast("int").alias("page_no"), "from_batch", "text", "has_tables", "language", F.size("tables").alias("n_tables"))
+
+
+@query(f"select 'case-' || (doc_id // {PAGES}) || '_images' as folder, 'raster_page_' || lpad((doc_id % {PAGES} + 1)::varchar, 4, '0') || '.png' as file_name, octet_length(encode(text))::bigint as n_bytes, sha256(text) as digest from documents where doc_id % 4 = 0 and text <> ''")
+def b3_raster_files(spark, d):
+    i, folder = F.col("doc_id"), sinks.shared_folder(spark)
+    rasters = table(spark, d, "documents").where(i % 4 == 0).select(F.concat(F.lit("case-"), F.floor(i / PAGES).cast("string"), F.lit("_images")).alias("folder"), file_tree.raster_name(i % PAGES + 1).alias("file_name"), F.col("text").alias("content"))
+    file_tree.write_files(rasters, folder)
+    return file_tree.read_files(spark, folder, "raster_page_*.png").select("folder", "file_name", "n_bytes", F.sha2("content", 256).alias("digest"))

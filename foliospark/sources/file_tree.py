@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -110,6 +110,11 @@ class FileTree(DataSource):
         return FileTreeWriter(self.options["path"], overwrite)
 
 
+def raster_name(page_no: Column) -> Column:
+    """File name of a page's raster."""
+    return F.concat(F.lit("raster_page_"), F.lpad(page_no.cast("string"), F.greatest(F.lit(4), F.length(page_no.cast("string"))), F.lit("0")), F.lit(".png"))
+
+
 def write_files(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Writes rows (folder, file_name, content) as files; all files of a folder go to one task."""
     df.sparkSession.dataSource.register(FileTree)

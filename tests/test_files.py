@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import intake, progress, rasters
+from foliospark.operators import fallbacks, intake, progress, rasters
 from foliospark.sources import file_tree, layouts
 from foliospark.streaming import audit, breaker
 
@@ -214,3 +214,27 @@ def test_breaker_in_batch_and_stream(spark, tmp_path, failures):
     audit.run_to_folder(found, str(tmp_path / "out"), str(tmp_path / "check"))
     assert said(spark.read.schema(found.schema).parquet(str(tmp_path / "out"))) == want
     assert breaker.changes(frame(calls).limit(0)).collect() == []
+
+
+def test_pages_by_page_only_where_refused(spark):
+    files = [("ok", "a\fb \f", 2), ("few", "a\fb", 3), ("none", None, 1), ("empty", "x", 0), ("unknown", "a\fb", None)]
+    df = spark.createDataFrame(files, "path string, text string, n_pages int")
+
+    def read(path, page):
+        if path == "ok":
+            raise ValueError("accepted pages are not read again")
+        return None if page == 2 else f" {path}{page}\n"
+
+    got = sorted((r.path, r.page_no, r.text, r.by_page) for r in fallbacks.page_texts(df, read).collect())
+    assert got == [("few", 1, "few1", True), ("few", 2, "", True), ("few", 3, "few3", True), ("none", 1, "none1", True), ("ok", 1, "a", False), ("ok", 2, "b", False)]
+
+
+def test_batches_count_as_a_whole(spark):
+    pages = [("a", 1), ("a", 5), ("b", 1), ("b", 2), ("c", 1), ("d", 1), ("d", 2), ("e", 9)]
+    one = lambda t, tables=None: (t, tables, "por")
+    batches = [("a", [one(" x "), one("y", ["", "|t|"])]), ("b", [one("lost")]), ("c", [one("alone")]), ("d", None)]
+    singles = [(k, n, (f"{k}{n}", None, None)) for k, n in pages if k != "e"]
+    out = fallbacks.batch_results(spark.createDataFrame(pages, "k string, page_no int"), spark.createDataFrame(batches, f"k string, results array<{fallbacks.RESULT}>"), spark.createDataFrame(singles, f"k string, page_no int, result {fallbacks.RESULT}"), ["k"])
+    got = {(r.k, r.page_no): (r.text, r.from_batch, r.has_tables, r.tables) for r in out.collect()}
+    assert got.pop(("a", 1)) == ("x", True, False, []) and got.pop(("a", 5)) == ("y", True, True, ["|t|"]) and got.pop(("e", 9)) == ("", False, False, [])
+    assert got == {(k, n): (f"{k}{n}", False, False, []) for k, n in pages if k in "bcd"}
