@@ -15,8 +15,9 @@ of which always stands unchanged. So items of every length are found.
 Each candidate is checked exactly: the least word edit distance between the whole item and any part of the text around
 the place (Sellers' algorithm on Myers' bit vectors), at most ``max_share`` of the item's words.
 
-Items are taken in blocks of at most ``block_items`` rows and ``block_words`` words (a longer item is a block of its own),
-and each block is broadcast, so its size is bounded; every block runs over all texts. Defined results: a null or empty text
+Items are dealt by hash into twice as many blocks as ``block_items`` rows or ``block_words`` words a block ask for, and each block is
+broadcast, so its size is bounded on average, beside one item; every block runs over all texts. Keys that very many items share
+give hits that are taken some at a time, and an item's rarest words then tell which of them can be one. Defined results: a null or empty text
 or item matches nothing; an empty item table finds nothing; equal items are each reported; one row for each ``doc_id`` and
 ``item_id``, the nearest, whether documents or items repeat an id; null ids are left out; other columns are ignored.
 """
@@ -42,6 +43,8 @@ _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 PIECE_WORDS = 8
 #: Texts, or characters of texts, searched together; a longer text is searched alone.
 AT_ONCE, CHARS_AT_ONCE = 512, 2_000_000
+#: Hits that are held at a time.
+HITS = 2_000_000
 #: Sampled steps of a walk lie one to three steps apart; a key of n words is taken from the first n + 1 samples.
 GAPS, MOST_SAMPLES = (1, 2, 3), 6
 MOST_WALKS, TRIALS = 32, 200
@@ -197,13 +200,54 @@ class _Keys:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(key >> U(44)).astype(np.int64)] = True
 
-    def hits(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``mine``, items and offsets of all equal keys."""
+    def hits(self, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in ``mine``, items and offsets of all equal keys, some ``HITS`` at a time."""
         at = np.flatnonzero(self.seen[(mine >> U(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.key, mine[at]), np.searchsorted(self.key, mine[at], "right")
-        many = hi - lo
-        each = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else lo
-        return np.repeat(at, many), self.owner[each], self.offset[each]
+        lo = np.searchsorted(self.key, mine[at])
+        many = np.searchsorted(self.key, mine[at], "right") - lo
+        at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
+        ends = np.cumsum(many)
+        begin = 0
+        while begin < len(at):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + HITS, "right")))
+            n = many[begin:end]
+            each = np.repeat(lo[begin:end] - (ends[begin:end] - n - done), n) + np.arange(n.sum())
+            yield np.repeat(at[begin:end], n), self.owner[each], self.offset[each]
+            begin = end
+
+
+class _Anchors:
+    """Where items can lie in a text by their rarest words: of any ``most`` + 1 words of an item one stands unchanged in a part of
+    the text that is within ``most`` edits of it. Items with a common word only, whose places would be more than ``HITS``
+    together, are not bound by it."""
+
+    def __init__(self, index: ItemIndex, words: np.ndarray):
+        self.reach, self.span = 2 * np.array(index.most, np.int64) + 8, np.int64(len(words) + index.longest + 1)
+        owner, offset, word = index.anchors
+        by = np.argsort(words, kind="stable")
+        ordered = words[by]
+        lo = np.searchsorted(ordered, word)
+        many = np.searchsorted(ordered, word, "right") - lo
+        of = np.bincount(owner, many, len(self.reach)).astype(np.int64)
+        rank = np.argsort(of, kind="stable")
+        self.free = np.zeros(len(of), bool)
+        self.free[rank[np.cumsum(of[rank]) > HITS]] = True
+        bound = ~self.free[owner]
+        owner, offset, lo, many = owner[bound], offset[bound], lo[bound], many[bound]
+        each = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else lo
+        # where the whole item would begin; before the text's first word for some
+        self.starts = np.unique(np.repeat(owner, many) * self.span + by[each] - np.repeat(offset, many) + index.longest)
+        self.shift = index.longest
+
+    def meet(self, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether the item can lie at about ``start``."""
+        place = owner * self.span + start + self.shift
+        at = np.searchsorted(self.starts, place - self.reach[owner])
+        found = np.zeros(len(place), bool)
+        inside = at < len(self.starts)
+        found[inside] = self.starts[at[inside]] <= (place + self.reach[owner])[inside]
+        return found | self.free[owner]
 
 
 def walks_by_length(items: list[tuple[int, str]], max_share: float, recall: float) -> dict[int, int | None]:
@@ -233,6 +277,11 @@ class ItemIndex:
             for walk in range(walks[n]):
                 key, start = item_keys(w, walk, size)
                 walked[walk, size].append((key, k, start))
+        # for each item the places of its rarest words, one more than it may have edits
+        self.longest = max((len(w) for w in self.words), default=0)
+        names, counts = np.unique(np.concatenate([np.unique(w) for w in self.words]), return_counts=True) if self.words else (np.zeros(0, U), np.zeros(0, np.int64))
+        rare = [np.argsort(counts[np.searchsorted(names, w)], kind="stable")[: m + 1] for w, m in zip(self.words, self.most, strict=True)]
+        self.anchors = np.repeat(np.arange(len(rare)), [len(r) for r in rare]), np.concatenate([*rare, np.zeros(0, np.int64)]), np.concatenate([*(w[r] for w, r in zip(self.words, rare, strict=True)), np.zeros(0, U)])
         self.runs = {length: _Keys(found) for length, found in sorted(cut.items())}
         self.walks: dict[int, dict[int, _Keys]] = defaultdict(dict)
         for (walk, size), found in sorted(walked.items()):
@@ -240,31 +289,57 @@ class ItemIndex:
 
     def _hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for length, keys in self.runs.items():
-            yield keys.hits(run_keys(words, length))
+            yield from keys.hits(run_keys(words, length))
         for walk, sizes in self.walks.items():
             for size, key, _ in walk_keys(words, walk, set(sizes)):
-                yield sizes[size].hits(key)
+                yield from sizes[size].hits(key)
+
+    def _candidates(self, words: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
+        """(text, item, place in eighths) of the hits; nearby alignments of one item are one. Where items share their keys, so that
+        hits are very many, their rarest words decide which are kept, and what is still too much comes in several parts."""
+        near, held, anchors = [], 0, None
+        for at, owner, offset in self._hits(words):
+            start = at - offset
+            if anchors is not None:
+                kept = anchors.meet(owner, start)
+                at, owner, start = at[kept], owner[kept], start[kept]
+            doc = np.searchsorted(begins, at, "right") - 1
+            near.append(np.unique(np.stack([doc, owner, (start - begins[doc]) // 8], 1), axis=0))
+            held += len(near[-1])
+            if held <= HITS:
+                continue
+            near = [np.unique(np.concatenate(near), axis=0)]
+            if anchors is None:
+                anchors = _Anchors(self, words)
+                one = near[0]
+                near = [one[anchors.meet(one[:, 1], begins[one[:, 0]] + one[:, 2] * 8)]]
+            held = len(near[0])
+            if held > HITS // 2:
+                yield near[0]
+                near, held = [], 0
+        if near:
+            yield np.unique(np.concatenate(near), axis=0)
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(number of the text, item, distance, words of the item, first word, end word) of each item's nearest part in each text."""
         words, begins = words_of_all(texts)
-        near = [np.zeros((0, 3), np.int64)]
-        for at, owner, offset in self._hits(words):
-            doc = np.searchsorted(begins, at, "right") - 1
-            # nearby alignments of one item are checked together
-            near.append(np.stack([doc, owner, (at - begins[doc] - offset) // 8], 1))
         best: dict[tuple[int, int], tuple] = {}
-        for d, k, place in np.unique(np.concatenate(near), axis=0).tolist():
-            item, most = self.words[k], self.most[k]
-            lo = max(0, place * 8 - most)
-            part = words[begins[d] + lo : max(begins[d], min(begins[d + 1] - 1, begins[d] + place * 8 + 8 + len(item) + most))]
-            # each word that the part lacks is an edit
-            if len(self.sets[k].difference(part.tolist())) > most:
-                continue
-            hit = edit_hits(item, part, most)
-            if hit and ((d, k) not in best or hit[0] < best[d, k][2]):
-                best[d, k] = (d, self.ids[k], hit[0], len(item), max(0, lo + hit[1] - len(item) - hit[0]), lo + hit[1])
-        yield from best.values()
+        for part in self._candidates(words, begins):
+            for d, k, place in part.tolist():
+                self._check(words, begins, d, k, place, best)
+        yield from (found for _, found in best.values())
+
+    def _check(self, words: np.ndarray, begins: np.ndarray, d: int, k: int, place: int, best: dict[tuple[int, int], tuple]) -> None:
+        """Keeps the nearest part at a place, if it is nearer than what is known, or as near and earlier."""
+        item, most = self.words[k], self.most[k]
+        lo = max(0, place * 8 - most)
+        part = words[begins[d] + lo : max(begins[d], min(begins[d + 1] - 1, begins[d] + place * 8 + 8 + len(item) + most))]
+        # each word that the part lacks is an edit
+        if len(self.sets[k].difference(part.tolist())) > most:
+            return
+        hit = edit_hits(item, part, most)
+        if hit and ((d, k) not in best or (hit[0], place) < best[d, k][0]):
+            best[d, k] = (hit[0], place), (d, self.ids[k], hit[0], len(item), max(0, lo + hit[1] - len(item) - hit[0]), lo + hit[1])
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
