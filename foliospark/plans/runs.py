@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pages
-from ..operators import layout, progress, rasters, run
+from ..operators import driver, layout, progress, rasters, run
 from ..sources import sinks
 from ..sources.tables import PAGES, doc_index, docket, table, with_tables
 from ..streaming import audit, breaker
@@ -95,3 +95,36 @@ def l1_documents(spark, d):
     sections = F.size(F.regexp_extract_all("markdown", F.lit("(?m)^## Página [0-9]+ — Fls\\.: "), F.lit(0))).cast("long")
     titled = F.col("markdown").startswith(F.concat(F.lit("# Documento: "), F.col("pdf_id"), F.lit("\n\n")))
     return out.select("pdf_id", "total_pages", "native_pages", "hybrid_pages", "image_pages", "ocr_failed_pages", sections.alias("n_sections"), titled.alias("titled"), F.col("markdown").rlike("\n- \\*\\*Tokens Gemini\\*\\*: [0-9,]+$").alias("counted"))
+
+
+# -- forms from templates and models -----------------------------------------------------------------------------------------------
+_DETAILS = "{} || chr(10) || chr(10) || '<details><summary>Texto OCR completo</summary>' || chr(10) || chr(10) || {} || chr(10) || chr(10) || '</details>'"
+_FORMS = ", ".join(f"'{k}'" for k in driver.FORM_KINDS)
+_TEMPLATES = f"""with o as (select o_orderkey, o_custkey, ['trct', 'fgts', 'outro', null][o_orderkey % 4 + 1] as kind, case when o_orderkey % 5 = 0 then '' else 'texto ' || o_custkey end as said, '# F' || o_orderkey as md, (o_orderkey % 10)::double / 10 as ratio, (o_custkey % 7)::int as n from orders),
+ r as (select *, case when not coalesce(kind in ({_FORMS}), false) then 'unknown_kind' when said = '' then 'empty_ocr' end as reason from o),
+ t as (select *, reason is null and ratio >= 0.45::double as ok, case when reason is null then {_DETAILS.format('md', 'said')} else '' end as markdown, case when reason is null then ratio else 0.0::double end as fill_ratio, case when reason is null then n else 0 end as n_table_rows from r)"""
+
+
+def _templates(spark, d):
+    k = F.col("o_orderkey")
+    kind = F.get(F.array(F.lit("trct"), F.lit("fgts"), F.lit("outro"), F.lit(None).cast("string")), (k % 4).cast("int"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", kind.alias("kind"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("texto "), F.col("o_custkey").cast("string"))).alias("said"))
+    made = driver.template_result(F.col("kind"), F.col("said"), F.concat(F.lit("# F"), k.cast("string")), (k % 10).cast("double") / 10, (F.col("o_custkey") % 7).cast("int"))
+    return orders.withColumn("t", made)
+
+
+@query(f"{_TEMPLATES} select o_orderkey, ok, reason, markdown, fill_ratio, n_table_rows from t")
+def k2_template_results(spark, d):
+    return _templates(spark, d).select("o_orderkey", "t.ok", "t.reason", "t.markdown", "t.fill_ratio", "t.n_table_rows")
+
+
+@query(f"""{_TEMPLATES}, s as (select *, o_orderkey % 6 = 0 as unasked, case when o_custkey % 3 = 0 then 'visto ' || o_orderkey when o_custkey % 3 = 1 then '' end as seen from t),
+ w as (select *, case when ok and not unasked then 'template' when kind in ({_FORMS}) and seen <> '' then 'vlm' when not unasked then 'template' end as source from s)
+ select o_orderkey, source, case source when 'template' then ok when 'vlm' then true end as ok, case source when 'template' then markdown when 'vlm' then case when said = '' then seen else {_DETAILS.format('seen', 'said')} end end as markdown,
+ case source when 'template' then fill_ratio when 'vlm' then 1.0::double end as fill_ratio, case source when 'template' then n_table_rows when 'vlm' then 0 end as n_table_rows from w""")
+def k1_structured_forms(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    # every sixth page has no template; a model told something of every third, and nothing readable of another third
+    asked = _templates(spark, d).withColumn("t", F.when(k % 6 != 0, F.col("t"))).withColumn("seen", F.when(c % 3 == 0, F.concat(F.lit(" visto "), k.cast("string"))).when(c % 3 == 1, " "))
+    out = asked.select("o_orderkey", driver.structured(F.col("t"), F.col("kind"), F.col("seen"), F.col("said")).alias("s"))
+    return out.select("o_orderkey", "s.source", "s.ok", "s.markdown", "s.fill_ratio", "s.n_table_rows")
