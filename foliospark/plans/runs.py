@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import pages
+from ..functions import formatters, pages
 from ..operators import driver, layout, progress, rasters, run
 from ..sources import sinks
-from ..sources.tables import PAGES, doc_index, docket, table, with_tables
+from ..sources.tables import PAGES, doc_index, docket, rubric_lines, table, with_tables
 from ..streaming import audit, breaker
 from .catalogue import _D_CLASS, _D_OVERLAY, _D_USABLE, _classes, _d_has, _d_norm, _d_residue
 from .registry import query
@@ -128,3 +128,36 @@ def k1_structured_forms(spark, d):
     asked = _templates(spark, d).withColumn("t", F.when(k % 6 != 0, F.col("t"))).withColumn("seen", F.when(c % 3 == 0, F.concat(F.lit(" visto "), k.cast("string"))).when(c % 3 == 1, " "))
     out = asked.select("o_orderkey", driver.structured(F.col("t"), F.col("kind"), F.col("seen"), F.col("said")).alias("s"))
     return out.select("o_orderkey", "s.source", "s.ok", "s.markdown", "s.fill_ratio", "s.n_table_rows")
+
+
+@query("""select c_custkey, case when c_custkey % 4 > 0 then '**Registro**: ' || c_custkey || ' | **Cargo**: Cargo ' || c_mktsegment || ' | **Setor**: S' || c_nationkey || ' | **Conta Corrente**: ' || c_custkey * 7 else '' end as footer,
+ '**11 Nome**: ' || c_name || chr(10) || '**18 CPF**: ' || case when c_custkey % 3 > 0 then '1' || c_custkey else '' end || chr(10) || '**49 49**: ' as fields, case when c_custkey % 5 > 0 then 'Foi prestada, gratuitamente, a ' || c_name || chr(10) || 'conforme a Instrução Normativa ' || c_nationkey else '' end as prose from customer""")
+def k3_form_footers(spark, d):
+    k, s = F.col("c_custkey"), lambda c: F.col(c).cast("string")
+    footer = F.when(k % 4 > 0, F.concat(F.lit("fim\nREGISTRO : "), s("c_custkey"), F.lit(" | | Cargo: Cargo "), "c_mktsegment", F.lit(" | Setor: S"), s("c_nationkey"), F.lit(" | Conta Corrente: "), (k * 7).cast("string"), F.lit(" |"))).otherwise(F.concat(F.lit("Registro: "), s("c_custkey")))
+    prose = F.when(k % 5 > 0, F.concat(F.lit("x\nFoi prestada, gratuitamente, a "), "c_name", F.lit("\nconforme a Instrução Normativa "), s("c_nationkey"), F.lit("\nfim"))).otherwise("Foi prestada")
+    fields = F.create_map(F.lit("11"), F.concat(F.lit(" "), "c_name"), F.lit("18"), F.when(k % 3 > 0, F.concat(F.lit("1"), s("c_custkey"))))
+    return table(spark, d, "customer").select("c_custkey", formatters.form_footer(footer).alias("footer"), formatters.numbered_lines(fields, ["11", "18", "49"]).alias("fields"), formatters.homologation_prose(prose).alias("prose"))
+
+
+@query("""with f as (select c_custkey, case when c_custkey % 2 = 0 then '**Pai**: P' || c_custkey end as pai, case when c_custkey % 3 > 0 then '**Mae**: ' || c_name end as mae, case when c_custkey % 5 > 0 then '**CPF**: ' || c_custkey end as cpf, case when c_custkey % 7 = 0 then '**Cargo**: ' || c_mktsegment end as cargo from customer)
+ select c_custkey, concat_ws(chr(10) || chr(10), case when pai is not null or mae is not null then '## Dados Pessoais' || chr(10) || chr(10) || concat_ws(chr(10), pai, mae) end, case when cpf is not null then '## Documentos' || chr(10) || chr(10) || cpf end, case when cargo is not null then '## Dados Funcionais' || chr(10) || chr(10) || cargo end) as sections from f""")
+def k4_register_sections(spark, d):
+    k = F.col("c_custkey")
+    pair = lambda when, key, value: F.when(when, F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
+    # the mother's name is spelt in two ways, and one key is in no section
+    pairs = [pair(k % 7 == 0, "Cargo", F.col("c_mktsegment")), pair(k % 5 > 0, "CPF", k), pair(k % 3 == 1, "Mãe", F.col("c_name")), pair(k % 3 == 2, "Mae", F.col("c_name")), pair(k % 2 == 0, "Pai", F.concat(F.lit("P"), k.cast("string"))), pair(k > 0, "Outro", k)]
+    return table(spark, d, "customer").select("c_custkey", formatters.register_sections(F.map_from_entries(F.array_compact(F.array(*pairs)))).alias("sections"))
+
+
+@query(f"""{with_tables('rubric_lines')}, a as (select l_orderkey, list(amount order by l_linenumber, number, line) as found from rubric_lines group by 1),
+ r as (select l_orderkey, case when l_orderkey % 4 = 0 then []::varchar[] else list_concat(found[1:6], [case when l_orderkey % 3 = 0 then '5/30' else '' end], ['', '', '', '', '', '', ''])[1:7] end as cells from a)
+ select l_orderkey, len(cells) as n_cells, array_to_string(cells, ';') as cells from r""")
+def k5_base_amounts(spark, d):
+    k = F.col("l_orderkey")
+    said = rubric_lines(spark, d).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "number", "line", "amount"))), lambda x: x["amount"]).alias("found"))
+    # every fourth slip lacks the heading
+    head = F.when(k % 4 == 0, "Total").otherwise("Salário  Base Calc. FGTS  Faixa")
+    text = F.concat(F.lit("Recibo\n"), head, F.lit("\n\n"), F.array_join("found", "  "), F.when(k % 3 == 0, "  5/30").otherwise(""), F.lit("\nfim 1,00"))
+    cells = formatters.base_amounts(text)
+    return said.select("l_orderkey", F.size(cells).cast("long").alias("n_cells"), F.array_join(cells, ";").alias("cells"))
