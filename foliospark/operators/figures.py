@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -65,11 +66,16 @@ def merge_words(words: DataFrame, key: str, threshold: float = 0.35) -> DataFram
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["source"], r["word_no"]))
         kept = [r for r in rows if r["source"] == 0]
+        grid = _Grid(rows)
+        for k, r in enumerate(kept):
+            grid.add(k, r)
         for r in rows[len(kept) :]:
-            close = [k for k, o in enumerate(kept) if _iou(r, o) >= threshold]
+            close = [k for k in grid.near(r) if _iou(r, kept[k]) >= threshold]
             if not close:
+                grid.add(len(kept), r)
                 kept.append(r)
             elif weaker := [k for k in close if kept[k]["conf"] < r["conf"]]:
+                grid.move(weaker[0], kept[weaker[0]], r)
                 kept[weaker[0]] = r
         kept.sort(key=lambda r: (r["y"], r["x"]))
         return pa.table({n: pa.array([r[n] for r in kept], table.schema.field(n).type) for n in (key, *names)})
@@ -78,6 +84,42 @@ def merge_words(words: DataFrame, key: str, threshold: float = 0.35) -> DataFram
     return words.groupBy(key).applyInArrow(merge, ", ".join(f"{n} {fields[n]}" for n in (key, *names)))
 
 
+class _Grid:
+    """Boxes by the cells of a page that they lie on, so that a box meets its neighbours only. A box on very many cells is met by all."""
+
+    MOST = 64
+
+    def __init__(self, boxes: list[dict]):
+        middle = lambda n: max(sorted(b[n] for b in boxes)[len(boxes) // 2], 1e-9) if boxes else 1.0
+        self.w, self.h, self.cells, self.large = 2 * middle("w"), 2 * middle("h"), defaultdict(set), set()
+
+    def _of(self, b: dict) -> list[tuple[int, int]] | None:
+        x0, x1 = int(b["x"] // self.w), int((b["x"] + b["w"]) // self.w)
+        y0, y1 = int(b["y"] // self.h), int((b["y"] + b["h"]) // self.h)
+        if (x1 - x0 + 1) * (y1 - y0 + 1) > self.MOST:
+            return None
+        return [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+
+    def _sets(self, b: dict) -> list[set[int]]:
+        cells = self._of(b)
+        return [self.large] if cells is None else [self.cells[c] for c in cells]
+
+    def add(self, k: int, b: dict) -> None:
+        for held in self._sets(b):
+            held.add(k)
+
+    def move(self, k: int, old: dict, new: dict) -> None:
+        for held in self._sets(old):
+            held.discard(k)
+        self.add(k, new)
+
+    def near(self, b: dict) -> list[int]:
+        """Numbers of the boxes that may overlap ``b``, in order."""
+        cells = self._of(b)
+        found = self.cells.values() if cells is None else (self.cells[c] for c in cells if c in self.cells)
+        return sorted(self.large.union(*found))
+
+
 def _iou(a: dict, b: dict) -> float:
     w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
     h = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
@@ -118,7 +160,9 @@ def duplicate_text(df: DataFrame, ocr: str, native: str) -> DataFrame:
     a, b = F.col("_a"), F.col("_b")
     known = df.withColumn("_a", norm(ocr)).withColumn("_b", norm(native)).withColumn("_d", F.when((F.length(a) < 24) | (b == ""), False).when(b.contains(a), True))
     words = F.filter(F.split(a, " "), lambda w: F.length(w) > 2)
-    share = F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: F.array_contains(F.split(b, " "), w))), F.size(words)), F.lit(0.0))
+    # only words that both have are looked up, and the page is split once
+    held = F.get(F.transform(F.array(F.array_intersect(words, F.split(b, " "))), lambda both: F.size(F.filter(words, lambda w: F.array_contains(both, w)))), F.lit(0))
+    share = F.coalesce(F.try_divide(held, F.size(words)), F.lit(0.0))
     settled = known.where("_d IS NOT NULL").withColumn("duplicate", F.col("_d"))
     open_ = known.where("_d IS NULL").withColumn("_ratio", sequence_ratio(F.col("_a"), F.col("_b"))).withColumn("duplicate", (F.col("_ratio") >= 0.72) | (share >= 0.82)).drop("_ratio")
     return settled.unionByName(open_).drop("_a", "_b", "_d")

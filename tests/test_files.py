@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import fallbacks, intake, progress, rasters
+from foliospark.operators import fallbacks, figures, intake, progress, rasters
 from foliospark.sources import file_tree, layouts
 from foliospark.streaming import audit, breaker
 
@@ -238,3 +238,40 @@ def test_batches_count_as_a_whole(spark):
     got = {(r.k, r.page_no): (r.text, r.from_batch, r.has_tables, r.tables) for r in out.collect()}
     assert got.pop(("a", 1)) == ("x", True, False, []) and got.pop(("a", 5)) == ("y", True, True, ["|t|"]) and got.pop(("e", 9)) == ("", False, False, [])
     assert got == {(k, n): (f"{k}{n}", False, False, []) for k, n in pages if k in "bcd"}
+
+
+def plain_merge(rows, threshold=0.35):
+    kept = [r for r in rows if r[1] == 0]
+    for r in rows:
+        if r[1] == 1:
+            def iou(o):
+                w, h = min(r[4] + r[6], o[4] + o[6]) - max(r[4], o[4]), min(r[5] + r[7], o[5] + o[7]) - max(r[5], o[5])
+                both = max(0, w) * max(0, h)
+                return both / (r[6] * r[7] + o[6] * o[7] - both)
+
+            close = [k for k, o in enumerate(kept) if iou(o) >= threshold]
+            weaker = [k for k in close if kept[k][8] < r[8]]
+            if not close:
+                kept.append(r)
+            elif weaker:
+                kept[weaker[0]] = r
+    return sorted((r[0], r[3], r[4], r[5], r[6], r[7], r[8]) for r in kept)
+
+
+@pytest.mark.parametrize("most", [64, 1])
+def test_merged_words_meet_their_neighbours(spark, monkeypatch, most):
+    monkeypatch.setattr(figures._Grid, "MOST", most)
+    rng = random.Random(most)
+    rows = [(p, s, n, f"w{n}", rng.randrange(-20, 300), rng.randrange(200), rng.choice([5, 20, 30, 250]), rng.choice([5, 9, 120]), rng.randrange(100)) for p in range(3) for s in (0, 1) for n in range(80)]
+    rows += [(9, 1, 0, "only", 1, 1, 5, 5, 1)]
+    df = spark.createDataFrame(rows, "page long, source int, word_no int, word string, x long, y long, w long, h long, conf long")
+    got = [tuple(r) for r in figures.merge_words(df, "page").select("page", "word", "x", "y", "w", "h", "conf").collect()]
+    assert sorted(got) == sorted(x for p in (0, 1, 2, 9) for x in plain_merge([r for r in rows if r[0] == p]))
+
+
+def test_many_boxes_of_a_page_end_soon():
+    boxes = [{"x": 12 * (k % 500), "y": 9 * (k // 500), "w": 10, "h": 8} for k in range(40_000)]
+    grid = figures._Grid(boxes)
+    for k, b in enumerate(boxes):
+        grid.add(k, b)
+    assert max(len(grid.near(b)) for b in boxes) <= 24
