@@ -11,7 +11,7 @@ from ..functions import banners, forms, pages, stamps, tokens
 from ..functions import text as tx
 from ..operators import compare, layout
 from ..operators import pages as page_ops
-from ..sources.tables import doc_index, docket, page_images, rubric_lines, table, with_tables
+from ..sources.tables import PAGES, doc_index, docket, page_images, rubric_lines, table, with_tables
 from . import extraction, forms as form_queries, intake, reporting  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -320,14 +320,14 @@ def f4_image_aggs(spark, d):
     return _image_aggregates(spark, d).select("page_no", "figures", "strips", "coverage")
 
 
-_D_CLASS = f"""{_D_IMAGES}, {_D_AGGS}, p as (select doc_id, {_D_OVERLAY('text')} as overlay, {_D_USABLE('text')} as usable, doc_id % 11 = 0 as forced, coalesce(figures, 0) as figures, coalesce(strips, 0) as strips, coalesce(tall, 0) as tall, coalesce(scans, 0) as scans from documents left join a on a.page_no = doc_id % 97),
+_D_CLASS = f"""{_D_IMAGES}, {_D_AGGS}, p as (select doc_id, {_D_OVERLAY('text')} as overlay, {_D_USABLE('text')} as usable, doc_id % 11 = 0 as forced, coalesce(figures, 0) as figures, coalesce(strips, 0) as strips, coalesce(tall, 0) as tall, coalesce(scans, 0) as scans from documents left join a on a.page_no = doc_id // 10),
  k as (select *, case when (forced and not usable) or overlay then 'image_page' when usable then case when figures > 0 then 'hybrid' else 'native' end when figures > 0 then 'image_page' else 'native' end as page_class from p),
  cls as (select doc_id, page_class, case page_class when 'hybrid' then 'petition_hybrid' when 'native' then 'native_text' else case when tall > 0 then 'print_chat' when strips >= 3 then 'govbr_strip_id' when scans > 0 then 'a4_scan' when figures = 0 then 'vector_outline' else 'image_page' end end as subtype from k)"""
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     aggs = _image_aggregates(spark, d)
-    p = _docs(spark, d).select("doc_id", "source", (F.col("doc_id") % 97).alias("page_no"), "text", tx.word_count(F.col("text")).alias("word_count"), F.length("text").alias("char_count"), pages.overlay_only(F.col("text")).alias("overlay"), (F.col("doc_id") % 11 == 0).alias("forced"))
+    p = _docs(spark, d).select("doc_id", "source", F.floor(F.col("doc_id") / 10).alias("page_no"), "text", tx.word_count(F.col("text")).alias("word_count"), F.length("text").alias("char_count"), pages.overlay_only(F.col("text")).alias("overlay"), (F.col("doc_id") % 11 == 0).alias("forced"))
     # an overlay is never usable, so the costly test runs on the rest only
     p = p.withColumn("usable", F.when(F.col("overlay"), False).otherwise(pages.readable(F.col("text")))).drop("text")
     p = p.join(aggs, "page_no", "left").fillna(0, ["figures", "strips", "tall", "scans"])
@@ -345,9 +345,10 @@ def f2_class_summary(spark, d):
     return _classes(spark, d).groupBy("page_class").agg(F.count("*").alias("n_pages"))
 
 
-@query(f"{_D_CLASS}, r as (select doc_id, doc_id - row_number() over (order by doc_id) as run from (select doc_id, source, row_number() over (partition by source order by doc_id) as page_no, page_class from cls join documents using (doc_id)) where false) select source as pdf_id, page_no, run, cast((row_number() over (partition by source, run order by page_no) - 1) // 4 as bigint) as chunk from (select source, page_no, page_no - row_number() over (partition by source order by page_no) as run from (select source, row_number() over (partition by source order by doc_id) as page_no, page_class from cls join documents using (doc_id)) where page_class = 'image_page')")
+@query(f"""{_D_CLASS}, q as (select 'case-' || (doc_id // {PAGES}) as pdf_id, doc_id % {PAGES} + 1 as page_no from cls where page_class = 'image_page'), r as (select *, page_no - row_number() over (partition by pdf_id order by page_no) as run from q)
+ select pdf_id, page_no, run, cast((row_number() over (partition by pdf_id, run order by page_no) - 1) // 4 as bigint) as chunk from r""")
 def g6_runs(spark, d):
-    p = _classes(spark, d).select(F.col("source").alias("pdf_id"), _long(F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).alias("page_no"), "page_class")
+    p = _classes(spark, d).select(F.concat(F.lit("case-"), F.floor(F.col("doc_id") / PAGES).cast("string")).alias("pdf_id"), (F.col("doc_id") % PAGES + 1).alias("page_no"), "page_class")
     return page_ops.image_runs(p)
 
 
@@ -508,10 +509,10 @@ def d4_ordinal_join(spark, d):
     return layout.ordinal_join(im.select("page_no", "num"), rects, "page_no", "num", "place").select("page_no", "num", "rect")
 
 
-@query(f"{with_tables('page_images')}, p as (select a.page_no, a.num, b.num as other, greatest(0, least(a.width + a.num % 100, b.width + b.num % 100) - greatest(a.num % 100, b.num % 100)) * greatest(0, least(a.height, b.height)) as i, a.width * a.height as s, b.width * b.height as t from page_images a join page_images b on a.page_no = b.page_no and b.num = a.num + 97) select page_no, num, other, round(i::double / (s + t - i), 6) as iou from p")
+@query(f"{with_tables('page_images')}, p as (select a.page_no, a.num, b.num as other, greatest(0, least(a.width + a.num % 100, b.width + b.num % 100) - greatest(a.num % 100, b.num % 100)) * greatest(0, least(a.height, b.height)) as i, a.width * a.height as s, b.width * b.height as t from page_images a join page_images b on a.page_no = b.page_no and b.num = a.num + 1) select page_no, num, other, round(i::double / (s + t - i), 6) as iou from p")
 def i13_iou(spark, d):
     side = lambda p, shift: page_images(spark, d).select("page_no", (F.col("num") + shift).alias("k"), F.col("num").alias(p + "num"), (F.col("num") % 100).alias(p + "x"), F.lit(0).alias(p + "y"), F.col("width").alias(p + "w"), F.col("height").alias(p + "h"))
-    j = side("a_", 97).join(side("b_", 0), ["page_no", "k"])
+    j = side("a_", 1).join(side("b_", 0), ["page_no", "k"])
     return j.select("page_no", F.col("a_num").alias("num"), F.col("b_num").alias("other"), F.round(layout.iou(layout.box("a_"), layout.box("b_")), 6).alias("iou"))
 
 

@@ -120,11 +120,11 @@ def g2_page_ids(spark, d):
     return docket(spark, d).select("pdf_id", F.col("page_no").cast("long").alias("page_no"), F.try_element_at(intake.page_ids(given, F.col("raw_text")), F.lit(1)).alias("first_id"))
 
 
-@query("""with b as (select l_orderkey, l_linenumber * 13 % 5 as y, l_suppkey as x, case when l_linenumber % 3 = 0 then 1 else 0 end as k, trim(case when l_linenumber = 2 then ' ' else l_returnflag || l_partkey end) as t from lineitem where l_linenumber < 7)
+@query("""with b as (select l_orderkey, l_linenumber * 13 % 5 as y, l_suppkey as x, case when l_linenumber % 3 = 0 then 1 else 0 end as k, trim(case when l_linenumber = 2 then ' ' else l_returnflag || l_partkey end) as t from lineitem)
  select l_orderkey, string_agg(t, chr(10) || chr(10) order by y, x, k, t) as text from b where t <> '' group by 1""")
 def g16_interleaved(spark, d):
     n = F.col("l_linenumber")
-    b = table(spark, d, "lineitem").where(n < 7).select("l_orderkey", (n * 13 % 5).alias("y"), F.col("l_suppkey").alias("x"), n.alias("n"), F.when(n == 2, " ").otherwise(F.concat("l_returnflag", F.col("l_partkey").cast("string"))).alias("text"))
+    b = table(spark, d, "lineitem").select("l_orderkey", (n * 13 % 5).alias("y"), F.col("l_suppkey").alias("x"), n.alias("n"), F.when(n == 2, " ").otherwise(F.concat("l_returnflag", F.col("l_partkey").cast("string"))).alias("text"))
     return intake.interleaved(b.where("n % 3 <> 0").drop("n"), b.where("n % 3 = 0").drop("n"), "l_orderkey")
 
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pages of a document.
-PAGES = 64
+#: Pages of a document, and images of a page.
+PAGES, IMAGES = 64, 20
 # invented values
 TIPOS = ("Petição Inicial", "Intimação", "Despacho (cópia)", "Ficha de Registro de Empregado", "Contracheque", "Documento Diverso", "Convenção Coletiva", "Decisão")
 BANNERS = ("Fonseca & Braga Advogados", "E-mail: contato@fonseca.example.org", "www.fonseca.example.org")
@@ -46,7 +46,7 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     placed = lambda c: F.when(k % 5 != 0, c.cast("double"))
     return table(spark, sf_dir, "part").select(
-        (k % 97).alias("page_no"), k.alias("num"), (F.lit(50) + k * 37 % 3000).cast("int").alias("width"), (F.lit(30) + k * 53 % 3600).cast("int").alias("height"),
+        F.floor(k / IMAGES).alias("page_no"), k.alias("num"), (F.lit(50) + k * 37 % 3000).cast("int").alias("width"), (F.lit(30) + k * 53 % 3600).cast("int").alias("height"),
         placed(k * 11 % 842).alias("y"), placed(F.lit(20) + k * 7 % 560).alias("display_width"), placed(F.lit(10) + k * 13 % 400).alias("display_height"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"),
     )
 
@@ -70,7 +70,7 @@ SQL = {
    || case when page_no % 4 = 0 then '{BANNERS[2]}' || chr(10) else '' end || 'Documento assinado eletronicamente por FULANO DE TAL - ' || sig || chr(10) as raw_text,
    {_RESIDUE_PARTS} as residual_text from d2)""",
     "doc_index": "doc_index as (select distinct pdf_id, sig as doc_id, [" + ", ".join(f"'{t}'" for t in TIPOS) + "][act % 8 + 1] as tipo, 'Ato ' || act as titulo from docket where act % 5 <> 4)",
-    "page_images": """page_images as (select p_partkey % 97 as page_no, p_partkey as num, cast(50 + p_partkey * 37 % 3000 as int) as width, cast(30 + p_partkey * 53 % 3600 as int) as height,
+    "page_images": f"""page_images as (select p_partkey // {IMAGES} as page_no, p_partkey as num, cast(50 + p_partkey * 37 % 3000 as int) as width, cast(30 + p_partkey * 53 % 3600 as int) as height,
    case when p_partkey % 5 <> 0 then cast(p_partkey * 11 % 842 as double) end as y, case when p_partkey % 5 <> 0 then cast(20 + p_partkey * 7 % 560 as double) end as display_width,
    case when p_partkey % 5 <> 0 then cast(10 + p_partkey * 13 % 400 as double) end as display_height, 595.0::double as page_width, 842.0::double as page_height from part)""",
     "rubric_lines": """r0 as (select *, cast(round(l_extendedprice * 100) as bigint) % 100000 as cents, cast(50 + l_suppkey % 80 as varchar) as number from lineitem),
