@@ -108,7 +108,7 @@ def e14_control_tokens(spark, d):
     return table(spark, d, "events").select("event_id", figures.without_control_tokens(raw).alias("said"))
 
 
-@query("select doc_id, ['poppler.pdftotext', 'poppler.pdftotext+kreuzberg+tesseract', 'kreuzberg+tesseract'][doc_id % 3 + 1] as library, ['CPU', 'CPU', 'CPU'][doc_id % 3 + 1] as device from documents".replace("kreuzberg+", ""))
+@query("select doc_id, ['poppler.pdftotext', 'poppler.pdftotext+tesseract', 'tesseract'][doc_id % 3 + 1] as library, 'CPU' as device from documents")
 def l12_labels(spark, d):
     cls = F.get(F.array(F.lit("native"), F.lit("hybrid"), F.lit("image_page")), (F.col("doc_id") % 3).cast("int"))
     library = F.when(cls == "native", "poppler.pdftotext").when(cls == "hybrid", "poppler.pdftotext+tesseract").otherwise("tesseract")
