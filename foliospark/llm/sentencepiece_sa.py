@@ -5,8 +5,12 @@ eight-byte keys; longer pieces are compared in full). Every piece of the vocabul
 occurrences, and the ranges become edges (word, first byte, piece). The edges are sorted and relaxed over all words at
 once: a word keeps its piece ends as bits, and an edge takes effect where both its ends are ends and one end lies
 between, which then goes. For a BPE model the edges of a word are relaxed by score and then by position, which gives the
-ids of the model's own encoder. Words where that order could differ (a piece that can also arise from a part with a
-lower score, at a place where it was not ready) and words above 63 bytes are merged one by one.
+ids of the model's own encoder. Where that order could differ (a piece that can also arise from a part with a lower score,
+at a place where it was not ready), the part is merged one by one.
+
+A word above 63 bytes, as text without spaces has, falls into parts wherever no occurrence of a piece reaches across: no merge
+can either. A part is a word of its own; one that is still longer keeps its ends as a linked list instead of bits, and
+the edges of one piece are relaxed there at once. Occurrences are expanded a bounded number at a time, by score.
 
 A word is a run of spaces and what follows up to the next space; no piece reaches across, which is checked on loading.
 Characters without a piece become byte pieces. Decoding concatenates pieces, and drops the space put before each text.
@@ -30,9 +34,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words that a worker remembers, words indexed together, code points taken at once, and bytes of a word whose ends fit
-#: in one number.
-CACHE_WORDS, INDEXED_WORDS, AT_ONCE, FIT = 250_000, 40_000, 1_500_000, 63
+#: Words that a worker remembers and their characters, words indexed together, code points taken at once, bytes of a part
+#: whose ends fit in one number, and occurrences expanded at once (but those of one piece).
+CACHE_WORDS, CACHE_CHARS, INDEXED_WORDS, AT_ONCE, FIT, OCCURRENCES = 250_000, 8_000_000, 40_000, 1_500_000, 63, 2_000_000
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -136,8 +140,8 @@ class SuffixIndex:
             order[again] = order[again][np.lexsort((second[order[again]], block[again]))]
         self.data, self.places, self.first, self.second = data, places[order], first[order], second[order]
 
-    def find(self, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """(place, piece number) of every occurrence of a piece of several characters."""
+    def bounds(self, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Range of each piece of several characters in the suffix array (of its first 16 bytes)."""
         lo = np.searchsorted(self.first, v.low[:, 0], "left")
         hi = np.searchsorted(self.first, v.high[:, 0], "right")
         deep = np.flatnonzero(v.sizes > 8)
@@ -151,27 +155,70 @@ class SuffixIndex:
                 right = open_ & ((x < bound) if side == "left" else (x <= bound))
                 a, b = np.where(right, mid + 1, a), np.where(open_ & ~right, mid, b)
             out[deep] = a
-        piece = np.repeat(np.arange(len(v.many)), hi - lo)
-        place = self.places[ranges(lo, hi - lo)]
-        long = np.flatnonzero(v.sizes[piece] > 16)
-        if len(long):
-            good = [self.data[p : p + v.sizes[k]].tobytes() == v.data[k] for p, k in zip(place[long], piece[long], strict=True)]
-            keep = np.ones(len(piece), bool)
-            keep[long] = good
-            place, piece = place[keep], piece[keep]
-        return place, piece
+        return lo, hi
+
+    def occurrences(self, v: Vocabulary, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, piece number) of every occurrence of a piece of several characters; the best-scored pieces first."""
+        total = np.cumsum(hi - lo)
+        a = 0
+        while a < len(lo):
+            done = total[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(total, done + OCCURRENCES, "right")))
+            size = hi[a:b] - lo[a:b]
+            piece, place = np.repeat(np.arange(a, b), size), self.places[ranges(lo[a:b], size)]
+            long = np.flatnonzero(v.sizes[piece] > 16)
+            if len(long):
+                keep = np.ones(len(piece), bool)
+                keep[long] = [self.data[p : p + v.sizes[k]].tobytes() == v.data[k] for p, k in zip(place[long], piece[long], strict=True)]
+                place, piece = place[keep], piece[keep]
+            if len(piece):
+                yield place, piece
+            a = b
+
+
+class Chain:
+    """Piece ends of parts of any length, as a linked list over the bytes."""
+
+    def __init__(self, at: np.ndarray, size: int):
+        self.end, self.next = np.zeros(size + 1, bool), np.zeros(size + 1, np.int64)
+        self.end[at] = True
+        self.next[at[:-1]] = at[1:]
+
+    def relax(self, place: np.ndarray, piece: np.ndarray, v: Vocabulary, token: np.ndarray) -> np.ndarray:
+        """Edges by piece, best score first; returns places where a piece was not ready that may become so later."""
+        by = np.lexsort((place, piece))
+        place, piece = place[by], piece[by]
+        cuts = np.concatenate([np.flatnonzero(np.diff(piece, prepend=-1)), [len(piece)]])
+        doubt = [np.zeros(0, np.int64)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            k, lo = piece[a], place[a:b]
+            size = v.sizes[k]
+            lo = lo[self.end[lo] & self.end[lo + size]]
+            middle = self.next[lo]
+            single = (middle < lo + size) & (self.next[middle] == lo + size)
+            if v.late[k]:
+                doubt.append(lo[(middle < lo + size) & ~single])
+            lo, middle = lo[single], middle[single]
+            # of a chain of overlapping ones every other takes effect: the one before has taken its start
+            fresh = np.diff(lo, prepend=-size) >= size
+            order = np.arange(len(lo))
+            taken = (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0
+            lo, middle = lo[taken], middle[taken]
+            self.end[middle] = False
+            self.next[lo] = lo + size
+            token[lo] = v.many_ids[k]
+        return np.concatenate(doubt)
 
 
 def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in a row, and how many each has."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    size = np.array([len(x) for x in raw], np.int64)
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    word_size = np.array([len(x) for x in raw], np.int64)
+    word_start = np.concatenate([[0], np.cumsum(word_size + 1)[:-1]])
     data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
     inside = np.ones(len(data), bool)
-    inside[start + size] = False
+    inside[word_start + word_size] = False
     places = np.flatnonzero(inside & ((data & 0xC0) != 0x80))
-    owner = np.repeat(np.arange(len(words)), size + 1)
     # every character is a piece of its own at first
     width = np.diff(np.append(places, len(data)))
     width -= ~inside[places + width - 1]
@@ -179,20 +226,43 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     letters, which = np.unique(code, return_inverse=True)
     token = np.full(len(data), -1, np.int32)
     token[places] = np.array([v.ids.get(chr(c), -1) for c in letters], np.int32)[which]
-    ends = np.zeros(len(words), np.uint64)
+    index = SuffixIndex(data, places)
+    bounds = index.bounds(v)
+    # words, of which long ones fall into parts
+    heads = np.zeros(len(data), bool)
+    heads[word_start] = True
+    if (word_size > FIT).any():
+        reach = np.zeros(len(data) + 1, np.int64)
+        for place, piece in index.occurrences(v, *bounds):
+            reach += np.bincount(place + 1, minlength=len(reach))
+            reach -= np.bincount(place + v.sizes[piece], minlength=len(reach))
+        apart = np.cumsum(reach)[places] == 0
+        heads[places[apart & np.repeat(word_size > FIT, np.add.reduceat(inside & ((data & 0xC0) != 0x80), word_start))]] = True
+    start = np.flatnonzero(heads)
+    owner = np.cumsum(heads) - 1
+    size = np.diff(np.append(start, len(data)))
+    size -= ~inside[start + size - 1]
+    ends = np.zeros(len(start), np.uint64)
     fits = size <= FIT
     offset = places - start[owner[places]]
     short = fits[owner[places]]
     np.add.at(ends, owner[places][short], np.uint64(1) << offset[short].astype(np.uint64))
     ends[fits] |= np.uint64(1) << size[fits].astype(np.uint64)
-    place, piece = SuffixIndex(data, places[short]).find(v)
+    slow, one = np.zeros(len(start), bool), np.uint64(1)
+    chain = None if fits.all() else Chain(np.union1d(places[~short], (start + size)[~fits]), len(data))
+    found = []
+    for place, piece in index.occurrences(v, *bounds):
+        far = ~fits[owner[place]]
+        if far.any():
+            slow[owner[chain.relax(place[far], piece[far], v, token)]] = True
+        found.append((place[~far], piece[~far]))
+    place, piece = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
     word = owner[place]
     by = np.argsort((word << 22) | (v.ranks[piece] << 6) | (place - start[word]), kind="stable")
     word, place, piece = word[by], place[by], piece[by]
-    many = np.bincount(word, minlength=len(words))
+    many = np.bincount(word, minlength=len(start))
     at = np.concatenate([[0], np.cumsum(many)[:-1]])
     turn = np.argsort(-many, kind="stable")
-    slow, one = ~fits, np.uint64(1)
     upto = np.searchsorted(-many[turn], -np.arange(many.max(initial=0)), "left")
     for k, n in enumerate(upto):
         mine = turn[:n]
@@ -211,6 +281,8 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     # what starts at an end is a piece; a character without one gives its bytes
     started = np.zeros(len(places), bool)
     started[short] = ((ends[owner[places][short]] >> offset[short].astype(np.uint64)) & one).astype(bool)
+    if chain:
+        started[~short] = chain.end[places[~short]]
     started &= ~slow[owner[places]]
     known = started & (token[places] >= 0)
     spread = started & ~known
@@ -219,12 +291,15 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     ids = np.zeros(int(counts.sum()), np.int32)
     ids[first[known]] = token[places[known]]
     ids[ranges(first[spread], counts[spread])] = v.byte_ids[data[ranges(places[spread], counts[spread])]]
-    lengths = np.bincount(owner[places], weights=counts, minlength=len(words)).astype(np.int64)
+    lengths = np.bincount(owner[places], weights=counts, minlength=len(start)).astype(np.int64)
     if slow.any():
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        out = [np.array(merged(words[k], v), np.int32) if slow[k] else ids[begin[k] : begin[k + 1]] for k in range(len(words))]
-        ids, lengths = np.concatenate(out), np.array([len(x) for x in out], np.int64)
-    return ids, lengths
+        begin, out, last = np.concatenate([[0], np.cumsum(lengths)]), [], 0
+        for k in np.flatnonzero(slow):
+            one_by_one = merged(data[start[k] : start[k] + size[k]].tobytes().decode("utf-8", "surrogatepass"), v)
+            out += [ids[last : begin[k]], np.array(one_by_one, np.int32)]
+            lengths[k], last = len(one_by_one), begin[k]
+        ids = np.concatenate([*out, ids[last:]])
+    return ids, np.add.reduceat(lengths, owner[word_start]) if words else lengths
 
 
 class Encoder:
@@ -236,11 +311,12 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._forget()
         known, before, used, words = self.known, len(self.known), [], []
         for t in texts:
@@ -249,6 +325,7 @@ class Encoder:
             used += [known.setdefault(w, len(known)) for w in mine]
         if len(known) > before:
             fresh = list(known)[before:]
+            self.chars += sum(map(len, fresh))
             found = [encode_words(fresh[k : k + INDEXED_WORDS], self.v) for k in range(0, len(fresh), INDEXED_WORDS)]
             ids, sizes = (np.concatenate([x[k] for x in found]) for k in (0, 1))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])])

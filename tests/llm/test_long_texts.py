@@ -1,8 +1,13 @@
+import base64
 import random
 
+import numpy as np
+import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from foliospark.llm import pii, secrets
+from foliospark.llm import pii, secrets, sentencepiece_sa
+from foliospark.llm.queries import tokenizer_file
 
 from . import brute
 
@@ -47,3 +52,31 @@ def test_very_many_secrets_in_a_text(spark):
     taken = [(b.start, b.end) for b in row.base]
     assert len(row.spans) - len(row.base) == text.count("aB3dE6gH9jK2mN5pQ8sT")
     assert sorted(taken) == taken
+
+
+def test_words_of_any_length_equal_the_model():
+    model = tokenizer_file("piece_bpe_32k.model")
+    sp, v, rng = sentencepiece.SentencePieceProcessor(model_file=model), sentencepiece_sa.load(model), random.Random(5)
+    signs = {"han": [chr(c) for c in range(0x4E00, 0x9FA5)], "thai": [chr(c) for c in range(0xE01, 0xE3B)], "letters": "etaoinshrdlu", "two": "ae", "one": "-", "pieces": [p for p in v.ids if sentencepiece_sa.MARK not in p]}
+    words = []
+    for _ in range(300):
+        kind, n = rng.choice([*signs, "base64"]), rng.choice([5, 30, 63, 64, 100, 400, 1500])
+        words.append(base64.b64encode(rng.randbytes(n)).decode() if kind == "base64" else "".join(rng.choice(signs[kind]) for _ in range(n)))
+    for occurrences in (1, 5_000, sentencepiece_sa.OCCURRENCES):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(sentencepiece_sa, "OCCURRENCES", occurrences)
+            some = words if occurrences > 1 else words[:5]
+            ids, sizes = sentencepiece_sa.encode_words([sentencepiece_sa.MARK + w for w in some], v)
+        ends = np.cumsum(sizes)
+        for w, n, end in zip(some, sizes, ends, strict=True):
+            assert ids[end - n : end].tolist() == sp.encode(w)
+
+
+def test_long_words_are_not_merged_one_by_one(monkeypatch):
+    v, rng, sizes = sentencepiece_sa.load(tokenizer_file("piece_bpe_32k.model")), random.Random(6), []
+    merged = sentencepiece_sa.merged
+    monkeypatch.setattr(sentencepiece_sa, "merged", lambda word, v: sizes.append(len(word)) or merged(word, v))
+    for word in ("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(50_000)), base64.b64encode(rng.randbytes(50_000)).decode()):
+        sizes.clear()
+        sentencepiece_sa.encode_words([word], v)
+        assert sum(sizes) < len(word) / 2
