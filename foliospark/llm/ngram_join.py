@@ -31,10 +31,11 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -46,6 +47,8 @@ CELL_NGRAMS, CELLS = 1_000_000, 1 << 18
 #: Parts beyond the differences that two sets of a class can have, as a share of these.
 SPARE_PARTS = 0.15
 BATCH_BYTES = 24_000_000
+#: Bytes of text whose names go in one bucket, bytes of sets that go in one bin, and slices of the sketch at most.
+BUCKET_BYTES, BIN_BYTES, SLICES = 64_000_000, 64_000_000, 64
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _LINKS = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in "abcde")])
 _NAMES, _SETS, _COUNTS = 0, 1, 2
@@ -116,7 +119,7 @@ def whole_name(grams: np.ndarray) -> np.ndarray:
 def _name_parts(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """For each batch: names of parts by bucket, the counts of the sketch's cells, and size, class and hash of every set."""
     firsts = _class_ends(1 << 12, num, den)
-    slices = np.linspace(0, CELLS, buckets + 1).astype(np.int64)
+    slices = np.linspace(0, CELLS, min(buckets, SLICES) + 1).astype(np.int64)
     for ids, texts in _batches(batches):
         order = np.argsort(ids, kind="stable")
         seen: set[bytes] = set()
@@ -139,26 +142,29 @@ def _name_parts(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, b
             owners.append(np.full(len(part), at, np.int64))
         ids = ids[order]
         out = [(int(ids[0]) % buckets, _SETS, np.concatenate([ids[:, None], sets], 1).tobytes())]
-        out += [(k, _COUNTS, np.array([slices[k]]).tobytes() + counts[slices[k] : slices[k + 1]].tobytes()) for k in range(buckets)]
+        met = np.flatnonzero(counts)
+        for k, (lo, hi) in enumerate(pairwise(np.searchsorted(met, slices))):
+            if lo < hi:
+                out.append((k, _COUNTS, np.stack([met[lo:hi].astype(np.uint32), counts[met[lo:hi]]]).tobytes()))
         if names:
             name, owner = np.concatenate(names), np.concatenate(owners)
             by = np.argsort(name, kind="stable")
             name, owner = name[by], owner[by]
             bucket = ((name >> U(32)) * U(buckets)) >> U(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
-            for k in range(buckets):
-                if (lo := cuts[k]) < (hi := cuts[k + 1]):
-                    used, local = np.unique(owner[lo:hi], return_inverse=True)
-                    head = np.array([len(used)], np.int64).tobytes() + ids[used].tobytes()
-                    rows = np.concatenate([pack(name[lo:hi], 8), pack(local.astype(U), 3)], 1)
-                    out.append((k, _NAMES, head + rows.tobytes()))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                lo, hi = cuts[k], cuts[k + 1]
+                used, local = np.unique(owner[lo:hi], return_inverse=True)
+                head = np.array([len(used)], np.int64).tobytes() + ids[used].tobytes()
+                rows = np.concatenate([pack(name[lo:hi], 8), pack(local.astype(U), 3)], 1)
+                out.append((k, _NAMES, head + rows.tobytes()))
         yield pa.RecordBatch.from_pydict({k: [r[i] for r in out] for i, k in enumerate(_ROWS.names)}, schema=_ROWS)
 
 
 def _tie(table: pa.Table) -> pa.Table:
     """One bucket: ties every document of a name to the smallest, adds up its cells' counts; sets pass."""
     kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-    found, names, docs, counts = [np.zeros((0, 6), np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)], {}
+    found, names, docs, counts = [np.zeros((0, 6), np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)], np.zeros(CELLS, np.int64)
 
     def add(kind: int, *columns: np.ndarray) -> None:
         rows = np.zeros((len(columns[0]), 6), np.int64)
@@ -171,16 +177,16 @@ def _tie(table: pa.Table) -> pa.Table:
         if kind == _SETS:
             add(kind, *np.frombuffer(data, np.int64).reshape(-1, 5).T)
         elif kind == _COUNTS:
-            first, more = int(np.frombuffer(data, np.int64, 1)[0]), np.frombuffer(data, np.uint32, offset=8).astype(np.int64)
-            counts[first] = counts[first] + more if first in counts else more
+            cell, more = np.frombuffer(data, np.uint32).reshape(2, -1)
+            counts[cell] += more
         else:
             n = int(np.frombuffer(data, np.int64, 1)[0])
             ids = np.frombuffer(data, np.int64, n, 8)
             rows = np.frombuffer(data, np.uint8, offset=8 + 8 * n).reshape(-1, 11)
             names.append(unpack(rows[:, :8]))
             docs.append(ids[unpack(rows[:, 8:]).astype(np.int64)])
-    for first, sums in counts.items():
-        add(_COUNTS, np.arange(first, first + len(sums)), sums)
+    met = np.flatnonzero(counts)
+    add(_COUNTS, met, counts[met])
     name, doc = np.concatenate(names), np.concatenate(docs)
     if len(name):
         by = np.lexsort((doc, name))
@@ -334,13 +340,20 @@ def _join_bin(table: pa.Table, num: int, den: int, counts: np.ndarray) -> pa.Tab
     return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of every document."""
+def _dealt(rows: DataFrame, key: str, many: int) -> GroupedData:
+    """``rows`` by ``key``, of which there are ``many``: more than the session's partitions were meant for get partitions of their own."""
+    return (rows.repartition(many, key) if many > partitions(rows.sparkSession) else rows).groupBy(key)
+
+
+def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, bin_bytes: int = BIN_BYTES) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of every document. Buckets hold the names
+    of ``bucket_bytes`` of text and bins ``bin_bytes`` of sets, so a worker's share does not grow with the table; the result does
+    not depend on them."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
     mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    buckets = max(partitions(spark), -(-(mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
     named = mine.mapInArrow(partial(_name_parts, n=n, num=num, den=den, buckets=buckets), "bucket int, kind int, payload binary")
-    ties = materialize(named.groupBy("bucket").applyInArrow(_tie, "kind int, a long, b long, c long, d long, e long"))
+    ties = materialize(_dealt(named, "bucket", buckets).applyInArrow(_tie, "kind int, a long, b long, c long, d long, e long"))
     # at most CELLS numbers
     sketch = ties.where(f"kind = {_COUNTS}").select("a", "b").toArrow()
     counts = np.zeros(CELLS, np.int64)
@@ -350,17 +363,21 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, d
     first = materialize(sets.where("n_shingles > 0").groupBy("h", "i").agg(F.min("doc_id").alias("first")))
     blocks = components(ties.where(f"kind = {_NAMES}").select("a", "b")).withColumnsRenamed({"v": "doc_id", "root": "block"})
     blocks = materialize(blocks.join(sets.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "doc_id").select("doc_id", "block", "class", "n_shingles", "h", "i"))
-    cells = blocks.groupBy("block", "class").agg(F.ceil(F.sum("n_shingles") / F.lit(CELL_NGRAMS)).cast("int").alias("own"), F.count(F.lit(1)).alias("n"))
+    cells = blocks.groupBy("block", "class").agg(F.ceil(F.sum("n_shingles") / F.lit(CELL_NGRAMS)).cast("int").alias("own"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("grams"))
     near = Window.partitionBy("block").orderBy("class")
     beside = lambda f, step: F.when(f("class").over(near) == F.col("class") + step, f("own").over(near)).otherwise(0)
-    cells = cells.select("block", "class", "own", "n", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above")).where("n > 1 OR below > 0 OR above > 0")
-    members = blocks.join(materialize(cells.drop("n")), ["block", "class"])
-    rows = mine.join(materialize(members).hint("merge"), "doc_id").select("doc_id", "text", "block", "class", "below", "own", "above", "h", "i").mapInArrow(partial(_sets, n=n, bins=buckets), "bin int, block long, class long, chunk int, task int, inside boolean, doc_id long, grams binary")
+    cells = cells.select("block", "class", "own", "n", "grams", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above")).where("n > 1 OR below > 0 OR above > 0")
+    cells = materialize(cells.drop("n"))
+    # a set goes to as many trees as ``trees_of`` lists, with 8 bytes an n-gram
+    sent = cells.agg(F.sum(8 * F.col("grams") * (F.col("own") + F.greatest(F.col("above") - 1, F.lit(0)) + F.col("below")))).first()[0] or 0
+    bins = max(partitions(spark), -(-sent // bin_bytes))
+    members = blocks.join(cells.drop("grams"), ["block", "class"])
+    rows = mine.join(materialize(members).hint("merge"), "doc_id").select("doc_id", "text", "block", "class", "below", "own", "above", "h", "i").mapInArrow(partial(_sets, n=n, bins=bins), "bin int, block long, class long, chunk int, task int, inside boolean, doc_id long, grams binary")
 
     def join_bin(table: pa.Table) -> pa.Table:
         return _join_bin(table, num, den, shared.value)
 
-    linked = rows.groupBy("bin").applyInArrow(join_bin, "a long, b long")
+    linked = _dealt(rows, "bin", bins).applyInArrow(join_bin, "a long, b long")
     groups = materialize(components(linked).withColumnsRenamed({"v": "first", "root": "component_id"}))
     of = first.join(groups, "first", "left").select("h", "i", F.coalesce("component_id", "first").alias("component_id"))
     return sets.join(materialize(of), ["h", "i"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

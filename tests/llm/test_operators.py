@@ -52,6 +52,13 @@ def test_ngram_groups(spark, docs):
         assert got == brute.jaccard_groups(docs, n, num, 100)
 
 
+def test_ngram_groups_do_not_depend_on_buckets(spark, docs):
+    want = brute.jaccard_groups(docs, 3, 80, 100)
+    for bucket_bytes, bin_bytes in ((2_000, 1_000), (100, 1 << 30), (1 << 30, 100)):
+        out = ngram_join.jaccard_groups(frame(spark, docs), 3, 80, 100, bucket_bytes=bucket_bytes, bin_bytes=bin_bytes)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
+
+
 def test_ngram_groups_of_nothing(spark):
     df = frame(spark, [(1, None), (2, ""), (None, "a b c")])
     assert sorted(map(tuple, ngram_join.jaccard_groups(df).collect())) == [(1, 0, 1), (2, 0, 2)]
