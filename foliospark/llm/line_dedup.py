@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment.
 
 Lines are named by a hash of their stripped text. Overlapping documents are found through names of telling lines (at
-least ``min_words`` words) and of runs: from each line that is not telling, the run back to the last telling line and the
+least ``min_words`` words, where two characters of a script without spaces between words count as one) and of runs: from each line that is not telling, the run back to the last telling line and the
 run on to the next one. The holders of a name are tied to its first holder, the one with the smallest id, so a name costs
 one pair a holder however many there are, also for a line that most documents hold. Each pair is aligned with patience
 diff (lines that are unique in both anchor a longest increasing chain, and the stretches between are aligned in turn),
@@ -33,13 +33,16 @@ from .hashing import Runs, U
 from .store import materialize
 
 BLANK = 0
+#: Scripts that put no spaces between words.
+UNSPACED = "".join(f"\\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 
 
 def line_names(text: Column, min_words: int) -> Column:
     """Name of each line: 0 for a blank one, odd for a telling one, else even."""
     def name(x: Column) -> Column:
         bare = F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
-        telling = bare.rlike("^(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]++){%d}[^\\x20\\x09-\\x0D]" % (min_words - 1))
+        spaced = bare.rlike("^(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]++){%d}[^\\x20\\x09-\\x0D]" % (min_words - 1))
+        telling = spaced | bare.rlike("^(?:[^%s]*+[%s]){%d}" % (UNSPACED, UNSPACED, 2 * min_words))
         return F.when(bare == "", F.lit(BLANK).cast("long")).otherwise(F.xxhash64(bare).bitwiseAND(F.lit(-2)).bitwiseOR(telling.cast("long")))
 
     return F.transform(F.split(text, "\n", -1), name)
@@ -137,6 +140,20 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
 
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and places of lines that go, in any order and repeated -> whether each line up to the last of them stays, and how many go."""
+    for b in batches:
+        masks, counts = [], []
+        for row in b.column(1):
+            gone = row.values.to_numpy(zero_copy_only=False)
+            masks.append(np.ones(gone.max() + 1, bool))
+            masks[-1][gone] = False
+            counts.append(len(masks[-1]) - int(masks[-1].sum()))
+        ends = np.cumsum([0, *map(len, masks)]).astype(np.int32)
+        kept = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(masks) if masks else np.zeros(0, bool)))
+        yield pa.RecordBatch.from_arrays([b.column(0), kept, pa.array(counts, pa.int64())], names=["doc_id", "kept", "n_gone"])
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, lines -> doc_id and each name that ties it."""
     for b in batches:
@@ -168,13 +185,13 @@ def drop_common_blocks(docs: DataFrame, min_words: int = 4, doc_id: str = "doc_i
     # tables on both sides: a document with very many later partners is split like any skewed key
     pairs = materialize(pairs).join(early, "early").select("doc_id", "first")
     aligned = materialize(pairs).join(late, "doc_id").select("doc_id", "first", "late").mapInArrow(_align, "doc_id long, gone array<int>")
-    gone = materialize(aligned.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
-    gone = gone.join(lines, "doc_id").select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), "gone").hint("shuffle_hash")
+    gone = materialize(aligned.where(F.size("gone") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone")).mapInArrow(_kept, "doc_id long, kept array<boolean>, n_gone long"))
+    gone = gone.join(lines, "doc_id").select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), "kept", "n_gone").hint("shuffle_hash")
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_whole"))
     out = keyed.join(gone, ["_id", "_whole"], "left")
     whole = F.col("_doc")[text]
     parts = F.split(whole, "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    counts = {"n_lines": F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed_lines": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")}
-    columns = [F.when(F.col("gone").isNull(), whole).otherwise(left).alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns if c not in counts]
+    left = F.array_join(F.filter(parts, lambda x, i: F.coalesce(F.get("kept", i), F.lit(True))), "\n")
+    counts = {"n_lines": F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed_lines": F.coalesce("n_gone", F.lit(0).cast("long"))}
+    columns = [F.when(F.col("n_gone").isNull(), whole).otherwise(left).alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns if c not in counts]
     return out.select(*columns, *[v.alias(k) for k, v in counts.items()])

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import regex
+
 GAPS = " \t\n\x0b\x0c\r"
 
 
@@ -59,7 +61,8 @@ def repeats(docs, length):
 
 def common_blocks(docs, min_words=4):
     """doc -> (text left, removed lines): all runs with a telling line that two documents have, over all pairs."""
-    telling = lambda x: len(x.split()) >= min_words
+    unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+    telling = lambda x: len(x.split()) >= min_words or len(unspaced.findall(x)) >= 2 * min_words
     split = {d: [x.strip(GAPS) for x in t.split("\n")] for d, t in docs if t is not None}
     places = {d: defaultdict(list) for d in split}
     for d, own in split.items():

@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from foliospark.llm import pii, secrets, sentencepiece_sa
+from foliospark.llm import line_dedup, pii, secrets, sentencepiece_sa
 from foliospark.llm.queries import tokenizer_file
 
 from . import brute
@@ -80,3 +80,19 @@ def test_long_words_are_not_merged_one_by_one(monkeypatch):
         sizes.clear()
         sentencepiece_sa.encode_words([word], v)
         assert sum(sizes) < len(word) / 2
+
+
+def test_line_dedup_of_texts_without_spaces(spark):
+    shared = ["这是第一行共同的文字内容", "短", "これは二番目の共通の行です", "บรรทัดที่สามเหมือนกัน"]
+    docs = [(1, "\n".join(["甲", *shared])), (2, "\n".join(["乙", *shared, "丙"])), (3, "短\n短\n" + shared[0][:7]), (4, shared[0][:7]), (5, shared[0] + "\n" + "短")]
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.drop_common_blocks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.common_blocks(docs)
+    assert got[2] == ("乙\n丙", 4) and got[4] == (shared[0][:7], 0) and got[5] == ("", 2)
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    lines = [f"line number {k} of the text" for k in range(200_000)]
+    docs = [(1, "\n".join(lines[::2])), (2, "\n".join(lines)), (3, "\n".join(["own words of the third"] * 100_000))]
+    got = {r.doc_id: r for r in line_dedup.drop_common_blocks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].n_removed_lines == 0 and got[3].n_removed_lines == 0
+    assert got[2].n_removed_lines == 100_000 and got[2].text == "\n".join(lines[1::2])
