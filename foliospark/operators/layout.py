@@ -40,7 +40,8 @@ def words_in_cells(words: DataFrame, cells: DataFrame, key: str, share: float =
     a, b = box(""), {k: F.col("c" + k) for k in "xywh"}
     mid_x, mid_y = a["x"] + a["w"] / 2, a["y"] + a["h"] / 2
     inside = mid_x.between(b["x"], b["x"] + b["w"]) & mid_y.between(b["y"], b["y"] + b["h"])
-    return words.join(cells, key).where(inside | (overlap_share(a, b) >= share))
+    # both sides come from exploded rows, whose estimate is that of the rows before: a broadcast would be chosen for any size
+    return words.join(cells.hint("merge"), key).where(inside | (overlap_share(a, b) >= share))
 
 
 def clusters(df: DataFrame, key: str, at: str, gap: float) -> DataFrame:
@@ -68,14 +69,14 @@ def ruled_cells(marks: DataFrame, key: str, gap: float = 8, least_rows: int = 2,
         each = line.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("_next", F.lead("centre").over(order)).where((F.col("_n") > least) & F.col("_next").isNotNull())
         return each.select(key, F.col("cluster").alias(number), F.col("centre").alias("c" + axis), (F.col("_next") - F.col("centre")).alias("cw" if axis == "x" else "ch"))
 
-    return tracks("y", least_rows, "row").join(tracks("x", least_cols, "col"), key).select(key, "row", "col", "cx", "cy", "cw", "ch")
+    return tracks("y", least_rows, "row").join(tracks("x", least_cols, "col").hint("merge"), key).select(key, "row", "col", "cx", "cy", "cw", "ch")
 
 
 def ruled_tables(marks: DataFrame, words: DataFrame, key: str, gap: float = 8, least_rows: int = 2, least_cols: int = 2) -> DataFrame:
     """(key, row, col, text, colspan) of the grids of pages: words (word, x, y, w, h) in the cells that hold them, in (y, x) order."""
     cells = ruled_cells(marks, key, gap, least_rows, least_cols)
     held = words_in_cells(words, cells, key).groupBy(key, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "word"))), lambda w: w["word"]), " ").alias("_t"))
-    texts = cells.join(held, [key, "row", "col"], "left").select(key, "row", "col", strip(F.coalesce("_t", F.lit(""))).alias("text"))
+    texts = cells.join(held.hint("merge"), [key, "row", "col"], "left").select(key, "row", "col", strip(F.coalesce("_t", F.lit(""))).alias("text"))
     return colspans(texts, key)
 
 
