@@ -1,7 +1,10 @@
 """Plans that must not change with size, and values that must be worked out once."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions import pages
+from foliospark.functions.text import strip
 from foliospark.operators import layout
 
 
@@ -18,3 +21,16 @@ def test_ruled_tables_broadcast_no_exploded_rows(spark, tmp_path):
     out = layout.ruled_tables(marks, words, "k")
     assert "Broadcast" not in _plan(out)
     assert [(r.row, r.col, r.text, r.colspan) for r in out.where("k = 7").orderBy("row", "col").collect()] == [(0, 0, "w0", 1), (0, 1, "w1", 1), (1, 0, "w2", 1), (1, 1, "w3", 1)]
+
+
+@pytest.mark.parametrize("rule, words", [(pages.readable, "lower"), (pages.overlay_only, "lower"), (pages.readable, "trim(coalesce"), (pages.overlay_only, "trim(coalesce")])
+def test_a_page_is_lowered_and_stripped_once(spark, rule, words):
+    assert _plan(spark.createDataFrame([("a",)], "x string").select(rule(F.col("x")).alias("y"))).count(words) == 1
+
+
+def test_strip_takes_all_white_space_that_the_pattern_takes(one):
+    white = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    other = [chr(c) for c in (0x180E, 0x200B, 0x2060, 0xFEFF, 0x1C, 0x1F)]
+    values = [None, "", " \n ", "a b", *[w + "a" + w + "b" + w for w in white], *[o + "a" + o for o in other]]
+    by_pattern = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    assert one(strip, *values) == one(by_pattern, *values)
