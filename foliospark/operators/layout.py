@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_markup, lines, strip
+from .walks import walked
 
 
 def plain_words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -108,15 +108,9 @@ def _visual(words: list[tuple[float, float, float, str]], tolerance: float) -> l
 def visual_lines(words: DataFrame, key: str, tolerance: float = 0.55) -> DataFrame:
     """(key, line_no, text) of words (x, y, h, word) in (y, x) order. Where a line ends depends on what joined it, so each page is
     walked as a whole, in one pass."""
-    kind = words.schema[key].dataType.simpleString()
-
-    def walk(table: pa.Table) -> pa.Table:
-        page = sorted(zip(*(table.column(c).to_pylist() for c in ("y", "x", "h", "word")), strict=True))
-        lines_ = _visual(page, tolerance)
-        return pa.table({key: pa.array([table.column(key)[0].as_py()] * len(lines_), table.schema.field(key).type), "line_no": pa.array(range(len(lines_)), pa.int32()), "text": pa.array(lines_, pa.string())})
-
     double = lambda c: F.col(c).cast("double").alias(c)
-    return words.select(key, double("y"), double("x"), double("h"), "word").groupBy(key).applyInArrow(walk, f"{key} {kind}, line_no int, text string")
+    walk = lambda page: list(enumerate(_visual(page, tolerance)))
+    return walked(words.select(key, double("y"), double("x"), double("h"), "word"), key, ["y", "x", "h", "word"], walk, "line_no int, text string")
 
 
 def markup_blocks(df: DataFrame, key: str, html: str, tag: str = "p") -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
+from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import forms
 from ..functions.formatters import WORDY_EVENT
 from ..functions.text import ACCENTED, PLAIN, collapse, flagged, ocr_fold, ocr_simplify, strip
+from .walks import walked
 
 # fixed values: titles, headings and opening patterns of an employee register's tables; marks of a page's end; headings of slips
 REGISTER_TABLES = [
@@ -27,6 +29,17 @@ MARGIN, LAST_REACH, LEAST_REACH = 8, 40, 10
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
+class Word(NamedTuple):
+    line_no: int
+    word_no: int
+    word: str
+    x: float
+    w: float
+    bare: str
+    fold: str
+    simple: str
+
+
 def _bare(token: str) -> str:
     return re.sub(r"\W", "", token).lower()
 
@@ -36,7 +49,7 @@ def _like(seen: str, wanted: str) -> bool:
     return seen == wanted or (len(seen) >= 4 and (seen.startswith(wanted[:4]) or wanted.startswith(seen[:4])))
 
 
-def heading_bands(line: list[dict], headings: list[str]) -> list[tuple[float, float]] | None:
+def heading_bands(line: list[Word], headings: list[str]) -> list[tuple[float, float]] | None:
     """Left and right of each heading's column, or null unless all headings stand on the line in order. A column ends where the
     next heading begins. Words as they are go before words that only look alike."""
     spans, at = [], 0
@@ -44,32 +57,29 @@ def heading_bands(line: list[dict], headings: list[str]) -> list[tuple[float, fl
         exact = [_bare(t) for t in heading.split()]
         alike = [t.translate(_FOLD) for t in exact]
         places = range(at, len(line) - len(exact) + 1)
-        same = (k for k in places if [w["bare"] for w in line[k : k + len(exact)]] == exact)
-        near = (k for k in places if all(_like(w["fold"], t) for w, t in zip(line[k:], alike, strict=False)))
+        same = (k for k in places if [w.bare for w in line[k : k + len(exact)]] == exact)
+        near = (k for k in places if all(_like(w.fold, t) for w, t in zip(line[k:], alike, strict=False)))
         k = next(same, None)
         k = next(near, None) if k is None else k
         if k is None:
             return None
         at = k + len(exact)
-        spans.append((line[k]["x"], line[at - 1]["x"] + line[at - 1]["w"]))
-    ends = [left for left, _ in spans[1:]] + [line[-1]["x"] + line[-1]["w"] + LAST_REACH]
+        spans.append((line[k].x, line[at - 1].x + line[at - 1].w))
+    ends = [left for left, _ in spans[1:]] + [line[-1].x + line[-1].w + LAST_REACH]
     return [(left, max(end, right + LEAST_REACH)) for (left, right), end in zip(spans, ends, strict=True)]
 
 
-def cells_of(line: list[dict], bands: list[tuple[float, float]]) -> list[str]:
+def cells_of(line: list[Word], bands: list[tuple[float, float]]) -> list[str]:
     """Words of a line by the column that their middle lies in."""
-    return [" ".join(w["word"] for w in line if left - MARGIN <= w["x"] + w["w"] / 2 <= right + MARGIN) for left, right in bands]
+    return [" ".join(w.word for w in line if left - MARGIN <= w.x + w.w / 2 <= right + MARGIN) for left, right in bands]
 
 
-def _lines(table: pa.Table) -> list[list[dict]]:
-    out: dict[int, list[dict]] = {}
-    for w in sorted(table.to_pylist(), key=lambda r: (r["line_no"], r["word_no"])):
-        out.setdefault(w["line_no"], []).append(w)
-    return list(out.values())
+def _lines(words: list[tuple]) -> list[list[Word]]:
+    return [list(line) for _, line in groupby(map(Word._make, words), lambda w: w.line_no)]
 
 
-def _said(line: list[dict], what: str = "word") -> str:
-    return " ".join(w[what] for w in line)
+def _said(line: list[Word]) -> str:
+    return " ".join(w.word for w in line)
 
 
 def _spelt(words: DataFrame, key: str) -> DataFrame:
@@ -77,30 +87,29 @@ def _spelt(words: DataFrame, key: str) -> DataFrame:
     return words.select(key, "line_no", "word_no", "word", "x", "w", F.lower(F.regexp_replace("word", r"(?U)[^\w]", "")).alias("bare"), ocr_fold(word).alias("fold"), ocr_simplify(word).alias("simple"))
 
 
-def _table_below(page: list[list[dict]], head: int, bands: list[tuple[float, float]], stops: list[re.Pattern]) -> dict[int, list[str]]:
+def _table_below(page: list[list[Word]], said: list[str], head: int, bands: list[tuple[float, float]], stops: re.Pattern) -> dict[int, list[str]]:
     """Line -> cells of the filled lines below a heading, up to another table, a page's end, or the first empty line after rows."""
     rows: dict[int, list[str]] = {}
     for k in range(head + 1, len(page)):
         cells = cells_of(page[k], bands)
-        if any(s.search(_said(page[k])) for s in stops) or (rows and not any(cells)):
+        if stops.search(said[k]) or (rows and not any(cells)):
             break
         if any(cells):
             rows[k] = cells
     return rows
 
 
-def _named(page: list[list[dict]], specs: list[tuple[str, list[str], str]]) -> list[tuple[str, list[str], list[list[str]]]]:
-    opens = {title: re.compile(start, re.I) for title, _, start in specs}
+def _named(page: list[list[Word]], specs: list[tuple[str, list[str], re.Pattern, re.Pattern]]) -> list[tuple[str, list[str], list[list[str]]]]:
+    said, simple = [_said(line) for line in page], [" ".join(w.simple for w in line) for line in page]
     found, taken = [], set()
-    for title, headings, _ in specs:
-        stops = [p for t, p in opens.items() if t != title] + [re.compile(PAGE_END, re.I)]
-        for k, line in enumerate(page):
-            if k in taken or not (opens[title].search(_said(line)) or opens[title].search(_said(line, "simple"))):
+    for title, headings, opens, stops in specs:
+        for k in range(len(page)):
+            if k in taken or not (opens.search(said[k]) or opens.search(simple[k])):
                 continue
             # headings stand on the title's line or on the next
             head, bands = next(((h, b) for h in (k, k + 1) if h < len(page) and (b := heading_bands(page[h], headings))), (None, None))
             if bands:
-                rows = _table_below(page, head, bands, stops)
+                rows = _table_below(page, said, head, bands, stops)
                 taken |= {k, head, *rows}
                 if rows:
                     found.append((title, headings, list(rows.values())))
@@ -111,38 +120,31 @@ def _named(page: list[list[dict]], specs: list[tuple[str, list[str], str]]) -> l
 def named_tables(words: DataFrame, key: str, specs: list[tuple[str, list[str], str]] | None = None) -> DataFrame:
     """(key, place, title, headers, rows) of tables (title, headings, opening pattern) on pages of words (line_no, word_no, word, x,
     w). Which lines a table takes depends on the tables before it, so each page is walked as a whole."""
-    kind = words.schema[key].dataType.simpleString()
     specs = REGISTER_TABLES if specs is None else specs
+    stops = lambda title: "|".join(f"(?:{p})" for t, _, p in specs if t != title) + f"|(?:{PAGE_END})"
+    ready = [(t, h, re.compile(p, re.I), re.compile(stops(t).lstrip("|"), re.I)) for t, h, p in specs]
 
-    def walk(table: pa.Table) -> pa.Table:
-        found = _named(_lines(table), specs)
-        texts = pa.list_(pa.string())
-        return pa.table({
-            key: pa.array([table.column(key)[0].as_py()] * len(found), table.schema.field(key).type), "place": pa.array(range(len(found)), pa.int32()),
-            "title": pa.array([t for t, _, _ in found], pa.string()), "headers": pa.array([h for _, h, _ in found], texts), "rows": pa.array([r for _, _, r in found], pa.list_(texts)),
-        })
+    def walk(page: list[tuple]) -> list[tuple]:
+        return [(k, *table) for k, table in enumerate(_named(_lines(page), ready))]
 
-    return _spelt(words, key).groupBy(key).applyInArrow(walk, f"{key} {kind}, place int, title string, headers array<string>, rows array<array<string>>")
+    return walked(_spelt(words, key), key, ["line_no", "word_no"], walk, "place int, title string, headers array<string>, rows array<array<string>>")
 
 
 def banded_lines(words: DataFrame, key: str, opening: str, headings: list[list[str]]) -> DataFrame:
     """(key, line_no, text, opens, n_heads, cells): lines of pages, each cut by the headings of the last line above it whose folded
     letters match ``opening``; the first list of headings that stands there counts, and without one there are no cells."""
-    kind, opens = words.schema[key].dataType.simpleString(), re.compile(opening)
+    opens = re.compile(opening)
 
-    def walk(table: pa.Table) -> pa.Table:
+    def walk(page: list[tuple]) -> list[tuple]:
         out, bands = [], None
-        for line in _lines(table):
-            head = bool(opens.search("".join(w["fold"] for w in line)))
+        for line in _lines(page):
+            head = bool(opens.search("".join(w.fold for w in line)))
             if head:
                 bands = next((b for h in headings if (b := heading_bands(line, h))), None)
-            out.append((line[0]["line_no"], _said(line), head, len(bands or []), cells_of(line, bands) if bands and not head else None))
-        columns = list(zip(*out, strict=True))
-        types = (pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()))
-        arrays = {n: pa.array(v, t) for n, v, t in zip(("line_no", "text", "opens", "n_heads", "cells"), columns, types, strict=True)}
-        return pa.table({key: pa.array([table.column(key)[0].as_py()] * len(out), table.schema.field(key).type), **arrays})
+            out.append((line[0].line_no, _said(line), head, len(bands or []), cells_of(line, bands) if bands and not head else None))
+        return out
 
-    return _spelt(words, key).groupBy(key).applyInArrow(walk, f"{key} {kind}, line_no int, text string, opens boolean, n_heads int, cells array<string>")
+    return walked(_spelt(words, key), key, ["line_no", "word_no"], walk, "line_no int, text string, opens boolean, n_heads int, cells array<string>")
 
 
 def slip_events(words: DataFrame, key: str) -> DataFrame:

@@ -104,9 +104,9 @@ def _words(spark, d, heads, cells):
     """Words of pages, one for each order: heading lines of (word, x), then the cells of a line for each order line."""
     word = lambda line, no, w, x: F.struct(line.cast("int").alias("line_no"), F.lit(no).alias("word_no"), w.alias("word"), F.lit(x).alias("x"), (F.length(w) * 8).alias("w"))
     r = rubric_lines(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "number", "line")))
-    body = r.select("l_orderkey", F.explode(F.array(*[word(F.col("k") + len(heads), n, w, x) for n, (w, x) in enumerate(cells)])).alias("x"))
-    top = r.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(*[word(F.lit(k), n, F.lit(w), x) for k, head in enumerate(heads) for n, (w, x) in enumerate(head)])).alias("x"))
-    return top.unionByName(body).select("l_orderkey", "x.*")
+    body = F.array(*[word(F.col("k") + len(heads), n, w, x) for n, (w, x) in enumerate(cells)])
+    top = F.array(*[word(F.lit(k), n, F.lit(w), x) for k, head in enumerate(heads) for n, (w, x) in enumerate(head)])
+    return r.select("l_orderkey", F.explode(F.when(F.col("k") == 1, F.concat(top, body)).otherwise(body)).alias("x")).select("l_orderkey", "x.*")
 
 
 @query(f"""{_RUBRICS} select l_orderkey, 'Alterações de Sindicato' as title, count(*) as n_rows, string_agg('05/06/2019|' || number || ' ' || amount, ';' order by l_linenumber, number, line) as cells from rubric_lines group by 1""")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import pages
 from foliospark.functions.text import strip
-from foliospark.operators import layout
+from foliospark.operators import layout, tables, walks
 
 
 def _plan(df) -> str:
@@ -34,3 +34,23 @@ def test_strip_takes_all_white_space_that_the_pattern_takes(one):
     values = [None, "", " \n ", "a b", *[w + "a" + w + "b" + w for w in white], *[o + "a" + o for o in other]]
     by_pattern = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
     assert one(strip, *values) == one(by_pattern, *values)
+
+
+def test_walks_take_many_keys_a_batch_and_keys_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(200).select((F.col("id") % 23).alias("k"), (200 - F.col("id")).alias("n")).unionByName(spark.createDataFrame([(None, 1), (None, 2)], "k long, n long"))
+        out = walks.walked(rows, "k", ["n"], lambda page: [] if page[0][0] % 23 == 5 else [(len(page), [n for n, in page])], "size int, seen array<bigint>")
+        got = {r.k: (r.size, r.seen) for r in out.collect()}
+        want: dict = {None: [1, 2]}
+        for i in range(200):
+            want.setdefault(i % 23, []).append(200 - i)
+        assert got == {k: (len(v), sorted(v)) for k, v in want.items() if min(v) % 23 != 5}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("rule", [lambda w: tables.named_tables(w, "k"), lambda w: tables.slip_events(w, "k"), lambda w: layout.visual_lines(w.withColumns({"y": F.col("line_no"), "h": F.lit(1)}), "k")])
+def test_pages_share_calls_of_python(spark, rule):
+    words = spark.createDataFrame([(1, 0, 0, "Nada", 0, 32)], "k long, line_no int, word_no int, word string, x int, w int")
+    assert "FlatMapGroups" not in _plan(rule(words))
