@@ -6,7 +6,7 @@ speculative task leaves nothing half-written that a reader could see, and the dr
 files were written. Files are spread over one folder a task, so no folder lists them all.
 
 Input columns: ``folder`` and ``file_name`` (plain names without separators; equal pairs must not occur), ``content``. A null
-content is an empty file; Spark's reader passes over empty files; a null name is refused. Folders may be local paths or any URI that pyarrow's file systems know.
+content is an empty file; the reader passes over empty files; a null name is refused. Folders may be local paths or any URI that pyarrow's file systems know.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from functools import partial
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 MANIFEST = "_manifest-"
+#: Bytes of files that a reading task holds, and one file more.
+READ_BYTES = 8 << 20
 
 
 def place_of(uri: str) -> tuple[fs.FileSystem, str]:
@@ -135,8 +139,31 @@ def parts_of(path: str) -> list[str]:
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(folder, file_name, content, n_bytes) of the files under ``path`` that were committed and fit ``pattern``."""
     parts = parts_of(path)
+    schema = "folder string, file_name string, content binary, n_bytes long"
     if not parts:
-        return spark.createDataFrame([], "folder string, file_name string, content binary, n_bytes long")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(parts)
-    steps = F.split("path", "/")
-    return found.select(F.element_at(steps, -2).alias("folder"), F.element_at(steps, -1).alias("file_name"), "content", F.col("length").alias("n_bytes"))
+        return spark.createDataFrame([], schema)
+    told = spark.createDataFrame([(p,) for p in parts], "part string").repartition(len(parts))
+    return told.mapInArrow(partial(_read, pattern=pattern), schema)
+
+
+def _read(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    """The files of parts, which tasks list: the driver gets the names of parts only, however many files there are."""
+    for part in (p for b in batches for p in b.column("part").to_pylist()):
+        files, root = place_of(part)
+        held, size = [], 0
+        for x in files.get_file_info(fs.FileSelector(root, recursive=True)):
+            if not x.is_file or not x.size or not fnmatchcase(x.base_name, pattern):
+                continue
+            with files.open_input_stream(x.path) as source:
+                held.append((x.path.split("/")[-2], x.base_name, source.read(), x.size))
+            size += x.size
+            if size >= READ_BYTES:
+                yield _files(held)
+                held, size = [], 0
+        if held:
+            yield _files(held)
+
+
+def _files(held: list[tuple[str, str, bytes, int]]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=["folder", "file_name", "content", "n_bytes"])

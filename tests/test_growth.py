@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import pages
 from foliospark.functions.text import strip
 from foliospark.operators import layout, tables, walks
+from foliospark.sources import file_tree
 
 
 def _plan(df) -> str:
@@ -54,3 +55,11 @@ def test_walks_take_many_keys_a_batch_and_keys_over_batches(spark):
 def test_pages_share_calls_of_python(spark, rule):
     words = spark.createDataFrame([(1, 0, 0, "Nada", 0, 32)], "k long, line_no int, word_no int, word string, x int, w int")
     assert "FlatMapGroups" not in _plan(rule(words))
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    rows = [("a", "x.bin", b"1"), ("a", "y.txt", b"2"), ("b", "x.bin", b"345"), ("b", "z.bin", b"")]
+    file_tree.write_files(spark.createDataFrame(rows, "folder string, file_name string, content binary"), f"{tmp_path}/f")
+    found = file_tree.read_files(spark, f"{tmp_path}/f", "*.bin")
+    assert not found.inputFiles()
+    assert sorted((r.folder, r.file_name, bytes(r.content), r.n_bytes) for r in found.collect()) == [("a", "x.bin", b"1", 1), ("b", "x.bin", b"345", 3)]
