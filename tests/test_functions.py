@@ -47,6 +47,12 @@ def test_contacts_and_prose(one):
     assert one(banners.banner, "Fonseca & Braga Advogados", "Maria da Silva Souza", "continua a linha", "curto") == [True, False, False, False]
 
 
+def test_contacts_part_words_as_told(one):
+    lines = ("ALÑCIÓNRAES!! QUE!! CI!!", "Avérla no.", "Al mente.", "Rua das Flores, 12", "ñoab 12", "Alameda", "ñ20000-123", "OAB 12 dojuizñ", "OAB 12 ñjuiz")
+    assert one(banners.contact, *lines) == [False, False, True, True, False, True, False, True, True]
+    assert one(lambda c: banners.contact(c, tx.flagged_ascii), *lines) == [True, True, True, True, True, True, True, True, False]
+
+
 def test_preserved_acts(one):
     assert one(pages.preserved, "Intimação", "DESPACHO (cópia)", "Sentença de mérito", "Petição", "Acórdão", None) == [True, True, True, False, False, False]
 
