@@ -37,7 +37,8 @@ BATCH_BYTES, BATCH_DOCS, SPREAD, BUCKET_BYTES = 8_000_000, 60_000, 4, 64_000_000
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
 _REPLIES = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("names", pa.binary())])
 _NAMES, _COVERED, _OPEN, _WINDOWS = 0, 1, 2, 3
-WIDTH = 6
+#: Bytes of a name, and of a head within its bucket: with the bucket's own share that compares names at 95 bits from 128 buckets on.
+WIDTH, HEAD = 6, 5
 
 
 class Windows:
@@ -119,15 +120,31 @@ def _send(heads: list[np.ndarray], tails: list[np.ndarray], owners: list[np.ndar
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(replies), home, np.int32)), replies.column(1), replies.column(0), replies.column(2)], schema=_ROWS)
     head, tail, owner = head[starts], tail[starts], owner[starts]
     bucket = ((head >> U(32)) * U(buckets)) >> U(32)
-    by = np.argsort(bucket, kind="stable")
+    by = np.argsort((bucket << U(32)) | owner.astype(U), kind="stable")
     filled, at = np.unique(bucket[by], return_index=True)
-    out = []
-    for k, part in zip(filled.tolist(), np.split(by, at[1:]), strict=True):
-        used, local = np.unique(owner[part], return_inverse=True)
-        rows = np.concatenate([pack(head[part], WIDTH), pack(tail[part], WIDTH), pack(local.astype(U), 2)], 1)
-        out.append((k, np.array([len(used)], np.int64).tobytes() + ids[used].tobytes() + rows.tobytes()))
+    out = [_packed(ids, owner[part], head[part], tail[part]) for part in np.split(by, at[1:])]
     n = len(out)
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([_NAMES] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([r[1] for r in out], pa.binary())], schema=_ROWS)
+    yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([_NAMES] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(out, pa.binary())], schema=_ROWS)
+
+
+def _packed(ids: np.ndarray, owner: np.ndarray, head: np.ndarray, tail: np.ndarray) -> bytes:
+    """Names of one bucket, by owner: counts, the owners' ids as the first and steps of as few bytes as they need, a bit for each name
+    that begins another owner, then heads and tails. The bucket stands for a head's upper bits, so few of the others are kept."""
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])
+    used = ids[owner[new]]
+    steps = np.diff(used).astype(U)
+    size = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    top = np.array([len(owner), len(used), size, used[0]], np.int64)
+    return top.tobytes() + pack(steps, size).tobytes() + np.packbits(new).tobytes() + pack(head, HEAD).tobytes() + pack(tail, WIDTH).tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Heads, tails and ids of a part."""
+    n, n_used, size, first = np.frombuffer(data, np.int64, 4).tolist()
+    raw, sizes = np.frombuffer(data, np.uint8, offset=32), (size * (n_used - 1), -(-n // 8), HEAD * n)
+    steps, new, head, tail = np.split(raw, np.cumsum(sizes))
+    used = np.cumsum(np.concatenate([[first], unpack(steps.reshape(-1, size)).view(np.int64)]))
+    return unpack(head.reshape(n, HEAD)), unpack(tail.reshape(n, WIDTH)), used[np.cumsum(np.unpackbits(new, count=n)) - 1]
 
 
 def _sample(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -171,11 +188,8 @@ def _rank(table: pa.Table, covered: int, report_open: bool) -> pa.Table:
         if kind != _NAMES:
             out.append((doc, kind, data))
             continue
-        n = int(np.frombuffer(data, np.int64, 1)[0])
-        rows = np.frombuffer(data, np.uint8, offset=8 + 8 * n).reshape(-1, 2 * WIDTH + 2)
-        heads.append(unpack(rows[:, :WIDTH]))
-        tails.append(unpack(rows[:, WIDTH : 2 * WIDTH]))
-        docs.append(np.frombuffer(data, np.int64, n, 8)[unpack(rows[:, 2 * WIDTH :]).astype(np.int64)])
+        for found, part in zip((heads, tails, docs), _unpacked(data), strict=True):
+            found.append(part)
     passed = pa.RecordBatch.from_pydict({k: [r[i] for r in out] for i, k in enumerate(_REPLIES.names)}, schema=_REPLIES)
     head, tail, doc = np.concatenate(heads), np.concatenate(tails), np.concatenate(docs)
     if not len(head):

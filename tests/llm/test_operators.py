@@ -138,6 +138,21 @@ def test_suffix_dedup_does_not_depend_on_its_buckets(spark, docs):
     assert got == want
 
 
+def test_suffix_dedup_sends_few_bytes_a_name():
+    rng = np.random.default_rng(5)
+    ids = np.sort(np.concatenate([[-(2**63), -7, -7, 0, 2**63 - 1], rng.integers(0, 10**6, 400)]))
+    owner = np.sort(rng.integers(0, len(ids), 2000))
+    head, tail = (rng.integers(0, 2**63, 2000).astype(np.uint64) for _ in range(2))
+    for some in (slice(0, 1), slice(100, 1900), slice(0, 2000)):
+        got = suffix_dedup._unpacked(suffix_dedup._packed(ids, owner[some], head[some], tail[some]))
+        low = lambda x, n: x & np.uint64(256**n - 1)
+        assert [g.tolist() for g in got] == [low(head[some], suffix_dedup.HEAD).tolist(), low(tail[some], suffix_dedup.WIDTH).tolist(), ids[owner[some]].tolist()]
+    # ids that lie close take few bytes: two numbers a name and little else
+    near = np.arange(10**12, 10**12 + 4000)
+    data = suffix_dedup._packed(near, np.repeat(np.arange(1000), 2), head, tail)
+    assert len(data) < 12 * 2000
+
+
 def test_plain_prefix_doubling_agrees(spark, docs):
     docs = [(d, t) for d, t in docs if len(t or "") < 1500][:25]
     found = {(r.doc_id, r.pos) for r in suffix_dedup.doubling_ranks(frame(spark, docs), 50).collect()}
