@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flow import logo_file
 from ..functions.stamps import signature_ids, squeeze, stamp_ids
-from ..functions.text import filled_lines, strip
+from ..functions.text import bound, filled_lines, strip
 
 
 def resolved(path: Column) -> Column:
@@ -39,13 +39,14 @@ def image_of_file(files: DataFrame, images: DataFrame) -> DataFrame:
 def values_below(df: DataFrame, key: str, text: str, labels: list[str]) -> DataFrame:
     """(key, label, value): labels alone on a line with the next line's text, unless that is a label too; the first of a label."""
     def label_of(line: Column) -> Column:
-        bare = F.lower(F.regexp_replace(line, "^[ :]+|[ :]+$", ""))
         # the longest label first, then by name
-        return F.coalesce(*[F.when(bare == x.lower(), x) for x in sorted(set(labels), key=lambda x: (-len(x), x))], F.lit(None).cast("string"))
+        named = lambda bare: F.coalesce(*[F.when(bare == x.lower(), x) for x in sorted(set(labels), key=lambda x: (-len(x), x))], F.lit(None).cast("string"))
+        return bound(F.lower(F.regexp_replace(line, "^[ :]+|[ :]+$", "")), named)
 
-    lines = filled_lines(F.col(text))
-    pairs = F.transform(lines, lambda x, i: F.struct(i.alias("i"), label_of(x).alias("label"), strip(F.get(lines, i + 1)).alias("value")))
-    each = df.select(key, F.explode(F.filter(pairs, lambda p: p["label"].isNotNull() & p["value"].isNotNull() & label_of(p["value"]).isNull())).alias("_p"))
+    def pairs(lines: Column) -> Column:
+        return F.transform(lines, lambda x, i: F.struct(i.alias("i"), label_of(x).alias("label"), strip(F.get(lines, i + 1)).alias("value")))
+
+    each = df.select(key, F.explode(F.filter(bound(filled_lines(F.col(text)), pairs), lambda p: p["label"].isNotNull() & p["value"].isNotNull() & label_of(p["value"]).isNull())).alias("_p"))
     return each.groupBy(key, F.col("_p.label").alias("label")).agg(F.min_by("_p.value", "_p.i").alias("value"))
 
 
