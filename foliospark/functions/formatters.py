@@ -231,11 +231,11 @@ def register_sections(fields: Column) -> Column:
     known = F.coalesce(fields, F.create_map().cast("map<string,string>"))
     spelt = lambda key: [key] + [a for a, b in forms.ALIASES.items() if b == key]
 
-    def section(title: str, keys: list[str]) -> Column:
+    def section(known: Column, title: str, keys: list[str]) -> Column:
         each = [F.concat(F.lit(f"**{k}**: "), F.try_element_at(known, flow.first_present(known, spelt(k)))) for k in keys]
         return _bound(F.array_compact(F.array(*each)), lambda e: F.when(F.size(e) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(e, "\n"))))
 
-    return F.concat_ws("\n\n", *[section(t, k) for t, k in REGISTER_SECTIONS])
+    return _bound(known, lambda known: F.concat_ws("\n\n", *[section(known, t, k) for t, k in REGISTER_SECTIONS]))
 
 
 # -- pay slips and fund statements --------------------------------------------------------------------------------------------
