@@ -165,8 +165,9 @@ def formatted(text: Column, kind: Column, tables: Column | None = None) -> Colum
 
 # -- termination forms ----------------------------------------------------------------------------------------------------------
 def _position(each: Column, rule) -> Column:
-    """Index of the first element that fits, or null."""
-    return F.get(F.filter(F.transform(each, lambda x, i: F.when(rule(x), i)), lambda i: i.isNotNull()), F.lit(0))
+    """Index of the first element that fits, or null; elements after it are not tried."""
+    step = lambda acc, x: F.struct((acc["i"] + 1).alias("i"), F.when(acc["at"].isNotNull(), acc["at"]).when(rule(x), acc["i"]).alias("at"))
+    return F.aggregate(each, F.struct(F.lit(0).alias("i"), F.lit(None).cast("int").alias("at")), step, lambda acc: acc["at"])
 
 
 def amount_rows(text: Column) -> Column:
@@ -177,8 +178,8 @@ def amount_rows(text: Column) -> Column:
 
     def part(own: Column) -> Column:
         later = F.slice(own, F.coalesce(_position(own, opens), F.size(own)) + 1, F.size(own) + 1)
-        body = F.filter(later, lambda x: ~heading(x))
-        return F.flatten(F.transform(F.slice(body, F.lit(1), F.coalesce(_position(body, lambda x: x.rlike(flagged(VERBAS_CLOSE, "i"))), F.size(body))), forms.rubrics))
+        close = lambda x: x.rlike(flagged(VERBAS_CLOSE, "i"))
+        return _bound(F.filter(later, lambda x: ~heading(x)), lambda body: F.flatten(F.transform(F.slice(body, F.lit(1), F.coalesce(_position(body, close), F.size(body))), forms.rubrics)))
 
     return _bound(filled_lines(text), part)
 
@@ -245,24 +246,30 @@ def _event(code, description, reference, amount, discount) -> Column:
 
 def _wordy_event(line: Column) -> Column:
     g = forms.groups(line, WORDY_EVENT, ["code", "description", "reference", "amount", "discount"])
-    return F.when(g.isNotNull(), g.withField("description", strip(g["description"])))
+    return _bound(g, lambda g: g.withField("description", strip(g["description"])))
 
 
-def event_heading(line: Column) -> Column:
-    """Whether a line heads the events of a pay slip."""
-    low = ocr_fold(line)
+def event_heading(line: Column, low: Column | None = None) -> Column:
+    """Whether a line heads the events of a pay slip; ``low`` is the folded line where that is known."""
+    if low is None:
+        return _bound(ocr_fold(line), lambda low: event_heading(line, low))
     return (low.contains("descricao") & low.rlike("vencimento|referencia|desconto")) | line.rlike(flagged(r"c[oó]digo\s+descri", "i"))
 
 
 def slip_events(text: Column) -> Column:
     """Events between their heading, or the first line that reads like one, and the messages."""
     def part(own: Column) -> Column:
-        first = _position(own, lambda x: event_heading(x) | x.rlike(r"(?U)^\d{4}\b") | x.rlike(flagged(WORDY_EVENT)))
-        body = F.filter(F.slice(own, F.coalesce(first, F.size(own)) + 1, F.size(own) + 1), lambda x: ~event_heading(x))
-        read = F.slice(body, F.lit(1), F.coalesce(_position(body, lambda x: ocr_fold(x).contains("mensagens")), F.size(body)))
-        return F.filter(F.transform(read, lambda x: F.coalesce(forms.event_row(x), _wordy_event(x))), lambda e: e.isNotNull())
+        first = _position(own, lambda x: x["heading"] | x["line"].rlike(r"(?U)^\d{4}\b") | x["line"].rlike(flagged(WORDY_EVENT)))
+        return _bound(F.filter(F.slice(own, F.coalesce(first, F.size(own)) + 1, F.size(own) + 1), lambda x: ~x["heading"]), events)
 
-    return _bound(F.transform(filled_lines(text), strip), part)
+    def events(body: Column) -> Column:
+        read = F.slice(body, F.lit(1), F.coalesce(_position(body, lambda x: x["last"]), F.size(body)))
+        return F.filter(F.transform(read, lambda x: F.coalesce(forms.event_row(x["line"]), _wordy_event(x["line"]))), lambda e: e.isNotNull())
+
+    def told(x: Column, low: Column) -> Column:
+        return F.struct(x.alias("line"), event_heading(x, low).alias("heading"), low.contains("mensagens").alias("last"))
+
+    return _bound(F.transform(F.transform(filled_lines(text), strip), lambda x: _bound(ocr_fold(x), lambda low: told(x, low))), part)
 
 
 def column_events(text: Column) -> Column:
@@ -270,16 +277,16 @@ def column_events(text: Column) -> Column:
     own, money = flagged(SLIP_DESCRIPTIONS, "i"), flagged(forms.MONEY)
 
     def slip(part: Column) -> Column:
-        said = F.transform(filled_lines(F.regexp_extract(part, own, 1)), strip)
-        before = F.slice(said, F.lit(1), F.coalesce(_position(said, lambda x: x.rlike(flagged(SLIP_EMPLOYER, "i")) & ~x.rlike(r"(?U)^\d{4}$")), F.size(said)))
+        employer = lambda x: x.rlike(flagged(SLIP_EMPLOYER, "i")) & ~x.rlike(r"(?U)^\d{4}$")
+        before = _bound(F.transform(filled_lines(F.regexp_extract(part, own, 1)), strip), lambda said: F.slice(said, F.lit(1), F.coalesce(_position(said, employer), F.size(said))))
         names = F.filter(before, lambda x: ~x.rlike(flagged(f"^(?:{forms.MONEY})$")) & ~x.rlike(r"(?U)^\d{4}$"))
         values = F.regexp_extract_all(F.regexp_extract(part, flagged(SLIP_AMOUNTS, "i"), 1), F.lit(money), F.lit(0))
 
         def row(p: Column) -> Column:
             name, tail = text_of(p["name"]), r"(?U)^(.+?)\s+([\d.,]+)$"
             last = F.regexp_extract(name, tail, 2)
-            parted = name.rlike(tail) & ~last.rlike(flagged(f"^(?:{forms.MONEY})$"))
-            return _event(F.lit(""), F.when(parted, strip(F.regexp_extract(name, tail, 1))).otherwise(name), F.when(parted, last).otherwise(""), text_of(p["value"]), F.lit(""))
+            parted = (last != "") & ~last.rlike(flagged(f"^(?:{forms.MONEY})$"))  # group 2 is never empty in a match
+            return _bound(parted, lambda parted: _event(F.lit(""), F.when(parted, strip(F.regexp_extract(name, tail, 1))).otherwise(name), F.when(parted, last).otherwise(""), text_of(p["value"]), F.lit("")))
 
         return _bound(F.arrays_zip(names.alias("name"), values.alias("value")), lambda z: F.when(F.size(z) < 2, F.array().cast(_EVENT)).otherwise(F.transform(z, row)))
 
@@ -318,11 +325,12 @@ def column_history(text: Column) -> Column:
         level = F.concat(F.array_repeat(F.lit(""), n - F.size(fewer)), fewer)
         opening = lambda x: F.lower(x).contains(OPENING)
 
-        def row(x: Column, i: Column) -> Column:
-            dated = i - F.size(F.filter(F.slice(names, F.lit(1), i), opening))
-            return F.struct(F.when(opening(x), "").otherwise(text_of(F.get(days, dated))).alias("date"), x.alias("description"), text_of(F.get(level, i)).alias("amount"), text_of(F.get(balances, i)).alias("balance"))
+        def row(x: Column, i: Column, at: Column) -> Column:
+            dated = i - F.size(F.filter(at["openings"], lambda k: k < i))
+            return F.struct(F.when(F.array_contains(at["openings"], i), "").otherwise(text_of(F.get(days, dated))).alias("date"), x.alias("description"), text_of(F.get(at["level"], i)).alias("amount"), text_of(F.get(at["balances"], i)).alias("balance"))
 
-        return F.transform(names, row)
+        openings = F.filter(F.transform(names, lambda x, i: F.when(opening(x), i)), lambda i: i.isNotNull())
+        return _bound(F.struct(level.alias("level"), balances.alias("balances"), openings.alias("openings")), lambda at: F.transform(names, lambda x, i: row(x, i, at)))
 
     def read(b: Column) -> Column:
         stop = F.coalesce(_position(b, lambda x: x.rlike(flagged(FUND_END, "i"))), F.size(b))

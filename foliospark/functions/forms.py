@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import escape_html, flagged, replace_all, strip, text_of
+from .text import bound, escape_html, flagged, replace_all, strip, text_of
 
 # fixed values: the form patterns
 MONEY = r"-?\d{1,3}(?:\.\d{3})*,\d{2}"
@@ -72,8 +72,8 @@ def event_row(line: Column) -> Column:
     """An event of a pay slip: with a reference column where the line has one."""
     with_reference = groups(line, EVENT_REFERENCE_ROW, ["code", "description", "reference", "amount", "discount"])
     plain = groups(line, EVENT_ROW, ["code", "description", "amount", "discount"])
-    without = F.when(plain.isNotNull(), F.struct(plain["code"].alias("code"), plain["description"].alias("description"), F.lit("").alias("reference"), plain["amount"].alias("amount"), plain["discount"].alias("discount")))
-    return F.coalesce(with_reference, without)
+    without = lambda p: F.when(p.isNotNull(), F.struct(p["code"].alias("code"), p["description"].alias("description"), F.lit("").alias("reference"), p["amount"].alias("amount"), p["discount"].alias("discount")))
+    return F.coalesce(with_reference, bound(plain, without))
 
 
 def history_row(line: Column) -> Column:
@@ -101,6 +101,15 @@ def _quoted(label: str) -> str:
     return "\\Q" + label + "\\E"
 
 
+def _guarded(*labels: str) -> str:
+    return flagged(rf"(?<!\w)(?:{'|'.join(map(_quoted, labels))})(?!\w)", "iu")
+
+
+def has_label(line: Column, labels: list[str]) -> Column:
+    """Whether any of the labels stands on a line; without one, ``label_values`` has nothing to find."""
+    return line.rlike(_guarded(*labels))
+
+
 def label_values(line: Column, labels: list[str]) -> Column:
     """array<struct<label,value>> of one line: hits of labels, those that overlap an earlier one dropped; a value runs to the next hit.
 
@@ -110,8 +119,7 @@ def label_values(line: Column, labels: list[str]) -> Column:
     kind = "array<struct<start:int,end:int,label:string>>"
 
     def hits(label: str) -> Column:
-        guard = flagged(rf"(?<!\w){_quoted(label)}(?!\w)", "iu")
-        between = F.split(t, guard, -1)
+        guard = _guarded(label)
         n = len(label)
 
         def place(acc: Column, part: Column) -> Column:
@@ -120,7 +128,9 @@ def label_values(line: Column, labels: list[str]) -> Column:
             return F.struct((start + n).alias("pos"), F.array_append(acc["out"], one).alias("out"))
 
         start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-        return F.aggregate(F.slice(between, F.lit(1), F.size(between) - 1), start, place, lambda a: a["out"])
+        placed = bound(F.split(t, guard, -1), lambda between: F.aggregate(F.slice(between, F.lit(1), F.size(between) - 1), start, place, lambda a: a["out"]))
+        # a split compiles its pattern for each value, a test once
+        return F.when(t.rlike(guard), placed).otherwise(F.array().cast(kind))
 
     every = F.array_sort(F.concat(*[hits(x) for x in labels]))
     kept = F.aggregate(every, F.array().cast(kind), lambda acc, h: F.when(F.exists(acc, lambda k: (h["start"] < k["end"]) & (h["end"] > k["start"])), acc).otherwise(F.array_append(acc, h)))

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import pages
-from foliospark.functions.text import strip
-from foliospark.operators import layout, tables, walks
+from foliospark.functions import formatters, forms, pages
+from foliospark.functions.text import filled_lines, strip
+from foliospark.operators import intake, layout, tables, walks
+from foliospark.operators import forms as form_ops
 from foliospark.sources import file_tree
 
 
@@ -63,3 +64,34 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     found = file_tree.read_files(spark, f"{tmp_path}/f", "*.bin")
     assert not found.inputFiles()
     assert sorted((r.folder, r.file_name, bytes(r.content), r.n_bytes) for r in found.collect()) == [("a", "x.bin", b"1", 1), ("b", "x.bin", b"345", 3)]
+
+
+@pytest.mark.parametrize("rule, part, most", [
+    (formatters.slip_events, "translate(", 1),
+    (formatters.slip_events, forms.EVENT_ROW, 5),
+    (formatters.amounts, formatters.VERBAS_OPEN, 2),
+    (formatters.column_events, formatters.SLIP_DESCRIPTIONS, 1),
+    (formatters.column_history, "array_repeat(", 1),
+    (lambda c: formatters.register_sections(F.map_from_entries(F.array(F.struct(c.alias("k"), c.alias("v"))))), "map_from_entries(", 1),
+    (filled_lines, "trim(", 0),
+])
+def test_a_form_is_read_once(spark, rule, part, most):
+    assert _plan(spark.createDataFrame([("a",)], "x string").select(rule(F.col("x")).alias("y"))).count(part) <= most
+
+
+def test_values_below_split_their_text_once(spark):
+    assert _plan(intake.values_below(spark.createDataFrame([(1, "Nome\nAna")], "k long, t string"), "k", "t", ["Nome"])).count("split(") == 1
+
+
+def test_lines_without_a_label_are_not_exploded(spark, one):
+    labels = ["Nome", "CPF"]
+    assert one(lambda c: forms.has_label(c, labels), "nome: Ana", "o CPF", "renome", "nomes", "", None) == [True, True, False, False, False, None]
+    df = spark.createDataFrame([(1, "x\nNome: Ana\n\ny\nnome: Eva CPF 1"), (2, "z"), (3, None)], "k long, t string")
+    exploded = [x for x in _plan(form_ops.key_values(df, "k", "t", labels)).split("\n") if "posexplode" in x]
+    assert any("RLIKE" in x for x in exploded)
+    assert sorted(map(tuple, form_ops.key_values(df, "k", "t", labels).collect())) == [(1, "CPF", "1"), (1, "Nome", "Ana")]
+
+
+def test_a_position_is_the_first_that_fits(spark):
+    df = spark.createDataFrame([(["a", "b", None, "b"],), (["a"],), ([],), (None,)], "x array<string>")
+    assert [r.y for r in df.select(formatters._position(F.col("x"), lambda v: v == "b").alias("y")).collect()] == [1, None, None, None]
