@@ -7,6 +7,7 @@ from foliospark.functions import formatters, forms, pages
 from foliospark.functions.text import filled_lines, strip
 from foliospark.operators import intake, layout, tables, walks
 from foliospark.operators import forms as form_ops
+from foliospark.operators import pages as page_ops
 from foliospark.sources import file_tree
 
 
@@ -95,3 +96,20 @@ def test_lines_without_a_label_are_not_exploded(spark, one):
 def test_a_position_is_the_first_that_fits(spark):
     df = spark.createDataFrame([(["a", "b", None, "b"],), (["a"],), ([],), (None,)], "x array<string>")
     assert [r.y for r in df.select(formatters._position(F.col("x"), lambda v: v == "b").alias("y")).collect()] == [1, None, None, None]
+
+
+def test_letterheads_judge_a_line_once_and_short_ones_only(spark, tmp_path):
+    body = "\n".join(f"corpo {k} " + "palavra " * 40 for k in range(20))
+    page = "Fonseca & Braga Advogados\n \n" + body + "\n\nRua do Sol\nwww.x.example.org\n"
+    long = "Rua do Sol " + "de muitas palavras " * 9
+    rows = [("d", 1, page), ("d", 2, page), ("d", 3, page + "\n"), ("d", 4, long + "\n" + body), ("e", 1, page), ("f", 1, "\n\n"), ("g", 1, "Rua do Sol")]
+    spark.createDataFrame(rows, "pdf_id string, page_no int, residual_text string").write.parquet(f"{tmp_path}/p")
+    pages_ = spark.read.parquet(f"{tmp_path}/p")
+    out = page_ops.strip_letterheads(pages_)
+    plan = _plan(out)
+    assert plan.count("Generate ") == 1 and "Broadcast" not in plan
+    assert _plan(page_ops.repeated_lines(page_ops.band_chrome(pages_))).count("Scan parquet") == 1
+    # a line of white space is no line of a band, and stays
+    want = {("d", k): body.strip() for k in (1, 2, 3)} | {("d", 4): (long + "\n" + body).strip(), ("e", 1): "Fonseca & Braga Advogados\n \n" + body.rstrip(), ("f", 1): "", ("g", 1): ""}
+    assert {(r.pdf_id, r.page_no): r.residual_text for r in out.collect()} == want
+    assert [(r.band, r.pdf_id, r.norm, r.n_pages) for r in page_ops.repeated_lines(page_ops.band_chrome(pages_)).collect()] == [("header", "d", "fonseca & braga advogados", 3)]
