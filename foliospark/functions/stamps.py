@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NBSP, flagged, lines, strip, text_of
+from .text import NBSP, bound, flagged, lines, strip, text_of
 
 # fixed values: the stamp patterns
 CASE_NUMBER = r"\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}"
@@ -127,12 +127,12 @@ def clean_body(c: Column, keep_signature: Column, signatures: Column) -> Column:
     body = t
     for pattern in BODY_DROPS:
         body = F.regexp_replace(body, flagged(pattern, "im"), "")
-    body = squeeze(body)
     given = F.coalesce(signatures, F.array().cast("array<string>"))
     mine = F.when(F.size(given) > 0, given).otherwise(signature_lines(t))
     signed = F.array_join(F.when(t == "", given).otherwise(mine), "\n")
     kept = F.when(keep_signature, signed).otherwise(F.lit(""))
-    return F.when(kept == "", F.when(t == "", "").otherwise(body)).otherwise(F.when((body == "") | (t == ""), kept).otherwise(F.concat_ws("\n\n", body, kept)))
+    joined = lambda x: F.when(x["kept"] == "", F.when(t == "", "").otherwise(x["body"])).otherwise(F.when((x["body"] == "") | (t == ""), x["kept"]).otherwise(F.concat_ws("\n\n", x["body"], x["kept"])))
+    return bound(F.struct(squeeze(body).alias("body"), kept.alias("kept")), joined)
 
 
 def non_blank(c: Column) -> Column:

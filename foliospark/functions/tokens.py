@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, flagged, text_of, word_count
+from .text import bound, collapse, flagged, text_of, words_of_collapsed
 
 # fixed values: characters for a token, tokens for a word
 FACTORS = {"openai": (2.05, 1.5), "gemini": (1.7, 1.8)}
@@ -13,11 +13,19 @@ CONTEXT_LIMIT, DIVERGENCE, MARGIN = 800_000, 0.20, 1.06
 ESTIMATE = r"Total estimado \(documentos selecionados / arquivo sanitizado\):\s*openai=(\d+)\s+gemini=(\d+)"
 
 
+def _heuristic(t: Column, provider: str) -> Column:
+    per_char, per_word = FACTORS[provider]
+    return F.greatest(F.floor(F.length(t) / F.lit(per_char)), F.floor(words_of_collapsed(t) * F.lit(per_word))).cast("long")
+
+
 def heuristic(c: Column, provider: str) -> Column:
     """max(characters / a, words * b), each rounded down, over collapsed text."""
-    per_char, per_word = FACTORS[provider]
-    t = collapse(text_of(c))
-    return F.greatest(F.floor(F.length(t) / F.lit(per_char)), F.floor(word_count(t) * F.lit(per_word))).cast("long")
+    return bound(collapse(text_of(c)), lambda t: _heuristic(t, provider))
+
+
+def heuristics(c: Column) -> Column:
+    """struct of the counts of all providers; the text is collapsed once."""
+    return bound(collapse(text_of(c)), lambda t: F.struct(*[_heuristic(t, p).alias(p) for p in FACTORS]))
 
 
 def over_limit(tokens: Column, limit: int = CONTEXT_LIMIT) -> Column:

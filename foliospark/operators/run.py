@@ -47,9 +47,10 @@ def classified(pages: DataFrame, index: DataFrame, images: DataFrame, least: int
     out = out.withColumn("_overlay", rules.overlay_only(text)).withColumn("_usable", F.when(F.col("_overlay"), False).otherwise(rules.readable(text)))
     out = out.withColumn("page_class", rules.page_class(F.col("forced"), F.col("_overlay"), F.col("_usable"), F.col("figures")))
     out = out.withColumn("subtype", rules.subtype(F.col("page_class"), F.col("tall"), F.col("strips"), F.col("scans"), F.col("figures"))).drop("_overlay", "_usable", "tall", "scans", "strips")
-    out = through_files(out)  # three branches and the letterheads read it
+    out = through_files(out)  # the letterheads read it three times
     bare = page_ops.strip_letterheads(out.withColumn("_keep", F.coalesce(rules.preserved(F.col("tipo")), F.lit(False))), least, exempt=F.col("_keep"))
-    return out.drop("residual_text").join(bare, PAGE)
+    # and three branches, figures and case numbers read what the letterheads leave
+    return through_files(out.drop("residual_text").join(bare, PAGE))
 
 
 def settled_pages(pages: DataFrame, figures: DataFrame, engine: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def assembled(pages: DataFrame, cases: DataFrame, mode: str = "CPU", engine: str
         bullet("Páginas com tabelas", c("pages_with_tables")), bullet("Total de palavras", _grouped(c("total_words"))), bullet("Total de caracteres", _grouped(c("total_characters"))),
     )
     whole = known.withColumn("_m", F.concat_ws("\n\n", head, about, analysis, sections, F.lit("## Estatísticas Gerais do Processamento"), contents))
-    counted = whole.withColumns({"openai_tokens": tokens.heuristic(c("_m"), "openai"), "gemini_tokens": tokens.heuristic(c("_m"), "gemini")})
+    counted = whole.withColumn("_tokens", tokens.heuristics(c("_m"))).withColumns({"openai_tokens": c("_tokens.openai"), "gemini_tokens": c("_tokens.gemini")})
     # token counts follow the last line of the statistics, and are of the text without them
     markdown = F.concat_ws("\n", c("_m"), bullet("Tokens OpenAI", _grouped(c("openai_tokens"))), bullet("Tokens Gemini", _grouped(c("gemini_tokens"))))
     return counted.select("pdf_id", markdown.alias("markdown"), "total_pages", "native_pages", "hybrid_pages", "image_pages", "pages_with_tables", "ocr_failed_pages", "total_words", "total_characters", "openai_tokens", "gemini_tokens")

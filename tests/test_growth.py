@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import formatters, forms, pages
+from foliospark.functions import formatters, forms, pages, stamps, tokens
 from foliospark.functions.text import filled_lines, strip
 from foliospark.operators import intake, layout, tables, walks
 from foliospark.operators import forms as form_ops
@@ -113,3 +113,16 @@ def test_letterheads_judge_a_line_once_and_short_ones_only(spark, tmp_path):
     want = {("d", k): body.strip() for k in (1, 2, 3)} | {("d", 4): (long + "\n" + body).strip(), ("e", 1): "Fonseca & Braga Advogados\n \n" + body.rstrip(), ("f", 1): "", ("g", 1): ""}
     assert {(r.pdf_id, r.page_no): r.residual_text for r in out.collect()} == want
     assert [(r.band, r.pdf_id, r.norm, r.n_pages) for r in page_ops.repeated_lines(page_ops.band_chrome(pages_)).collect()] == [("header", "d", "fonseca & braga advogados", 3)]
+
+
+def test_a_document_is_collapsed_once_and_a_body_pruned_once(spark, one):
+    x = spark.createDataFrame([("a",)], "x string")
+    assert _plan(x.select(tokens.heuristics(F.col("x")).alias("y"))).count("regexp_replace") == 1
+    assert _plan(x.select(tokens.heuristic(F.col("x"), "gemini").alias("y"))).count("regexp_replace") == 1
+    body = stamps.clean_body(F.col("x"), F.lit(True), F.lit(None).cast("array<string>"))
+    section = page_ops.page_section(F.lit(1), F.lit(2), body, F.lit(False), F.lit(""))
+    assert _plan(x.select(section.alias("y"))).count("Quadro") == 1
+    values = (None, "", "  \n ", "a", " a\u00a0 b\tc ", "um dois " * 30)
+    for provider in tokens.FACTORS:
+        assert one(lambda c, p=provider: tokens.heuristics(c)[p], *values) == one(lambda c, p=provider: tokens.heuristic(c, p), *values)
+    assert one(lambda c: tokens.heuristic(c, "openai"), *values) == [0, 0, 0, 1, 4, 116]
