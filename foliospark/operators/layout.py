@@ -35,21 +35,27 @@ def box(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}{k}") for k in "xywh"}
 
 
-def words_in_cells(words: DataFrame, cells: DataFrame, key: str, share: float = 0.45) -> DataFrame:
-    """Words (key, word, x, y, w, h) joined to cells (key, cell, cx, cy, cw, ch) that hold their centre or enough of their area."""
+def _held(share: float) -> Column:
+    """Whether a cell (cx, cy, cw, ch) holds a word's centre or enough of its area."""
     a, b = box(""), {k: F.col("c" + k) for k in "xywh"}
     mid_x, mid_y = a["x"] + a["w"] / 2, a["y"] + a["h"] / 2
     inside = mid_x.between(b["x"], b["x"] + b["w"]) & mid_y.between(b["y"], b["y"] + b["h"])
+    return inside | (overlap_share(a, b) >= share)
+
+
+def words_in_cells(words: DataFrame, cells: DataFrame, key: str, share: float = 0.45) -> DataFrame:
+    """Words (key, word, x, y, w, h) joined to cells (key, cell, cx, cy, cw, ch) that hold their centre or enough of their area."""
     # both sides come from exploded rows, whose estimate is that of the rows before: a broadcast would be chosen for any size
-    return words.join(cells.hint("merge"), key).where(inside | (overlap_share(a, b) >= share))
+    return words.join(cells.hint("merge"), key).where(_held(share))
 
 
-def clusters(df: DataFrame, key: str, at: str, gap: float) -> DataFrame:
+def clusters(df: DataFrame, key: str | list[str], at: str, gap: float) -> DataFrame:
     """(key, cluster, n, centre) of positions whose neighbours lie within ``gap``; the centre is rounded down."""
-    order = Window.partitionBy(key).orderBy(at)
+    keys = [key] if isinstance(key, str) else key
+    order = Window.partitionBy(*keys).orderBy(at)
     new = (F.col(at) - F.lag(at).over(order) > gap).cast("int")
-    each = df.select(key, at, F.coalesce(new, F.lit(0)).alias("_new")).withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return each.groupBy(key, F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"), F.floor(F.avg(at)).cast("long").alias("centre"))
+    each = df.select(*keys, at, F.coalesce(new, F.lit(0)).alias("_new")).withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return each.groupBy(*keys, F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"), F.floor(F.avg(at)).cast("long").alias("centre"))
 
 
 def colspans(cells: DataFrame, key: str) -> DataFrame:
@@ -63,20 +69,24 @@ def colspans(cells: DataFrame, key: str) -> DataFrame:
 def ruled_cells(marks: DataFrame, key: str, gap: float = 8, least_rows: int = 2, least_cols: int = 2) -> DataFrame:
     """(key, row, col, cx, cy, cw, ch) of the grid that ruled lines span. ``marks`` (key, axis, at) are positions of vertical lines
     (axis x) and horizontal ones (axis y); close ones are one line, and a page with too few lines has no grid."""
-    def tracks(axis: str, least: int, number: str) -> DataFrame:
-        line = clusters(marks.where(F.col("axis") == axis), key, "at", gap)
-        order = Window.partitionBy(key).orderBy("cluster")
-        each = line.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("_next", F.lead("centre").over(order)).where((F.col("_n") > least) & F.col("_next").isNotNull())
-        return each.select(key, F.col("cluster").alias(number), F.col("centre").alias("c" + axis), (F.col("_next") - F.col("centre")).alias("cw" if axis == "x" else "ch"))
-
-    return tracks("y", least_rows, "row").join(tracks("x", least_cols, "col").hint("merge"), key).select(key, "row", "col", "cx", "cy", "cw", "ch")
+    # both axes in one pass: marks may come from pixels, and each branch of a plan would work them out again
+    axis, side = F.col("axis"), Window.partitionBy(key, "axis")
+    dealt = marks.where(axis.isin("x", "y") & F.col(key).isNotNull()).repartition(key)
+    line = clusters(dealt, [key, "axis"], "at", gap).withColumn("_next", F.lead("centre").over(side.orderBy("cluster"))).withColumn("_n", F.count(F.lit(1)).over(side))
+    each = line.where((F.col("_n") > F.when(axis == "y", least_rows).otherwise(least_cols)) & F.col("_next").isNotNull())
+    track = F.struct("cluster", "centre", (F.col("_next") - F.col("centre")).alias("size"))
+    page = each.groupBy(key).agg(F.collect_list(F.when(axis == "y", track)).alias("_rows"), F.collect_list(F.when(axis == "x", track)).alias("_cols"))
+    grid = page.select(key, F.explode("_rows").alias("_r"), "_cols").select(key, "_r", F.explode("_cols").alias("_c"))
+    return grid.select(key, F.col("_r.cluster").alias("row"), F.col("_c.cluster").alias("col"), F.col("_c.centre").alias("cx"), F.col("_r.centre").alias("cy"), F.col("_c.size").alias("cw"), F.col("_r.size").alias("ch"))
 
 
 def ruled_tables(marks: DataFrame, words: DataFrame, key: str, gap: float = 8, least_rows: int = 2, least_cols: int = 2) -> DataFrame:
     """(key, row, col, text, colspan) of the grids of pages: words (word, x, y, w, h) in the cells that hold them, in (y, x) order."""
-    cells = ruled_cells(marks, key, gap, least_rows, least_cols)
-    held = words_in_cells(words, cells, key).groupBy(key, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "word"))), lambda w: w["word"]), " ").alias("_t"))
-    texts = cells.join(held.hint("merge"), [key, "row", "col"], "left").select(key, "row", "col", strip(F.coalesce("_t", F.lit(""))).alias("text"))
+    seen = words.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "word", *"xywh").hint("merge")
+    # cells are read once: those without a word stay in the same join
+    filled = ruled_cells(marks, key, gap, least_rows, least_cols).join(seen, (F.col(key) == F.col("_key")) & _held(0.45), "left")
+    held = F.array_sort(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("y", "x", "word"))))
+    texts = filled.groupBy(key, "row", "col").agg(strip(F.array_join(F.transform(held, lambda w: w["word"]), " ")).alias("text"))
     return colspans(texts, key)
 
 

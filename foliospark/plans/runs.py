@@ -21,20 +21,27 @@ def b10_progress_events(spark, d):
     return progress.events(judged)
 
 
+def _ruled_page(k, w):
+    """Gray paper, ``w`` wide and 100 high, with lines of two pixels, strokes too short for a line, and no horizontal lines on every fourth page."""
+    dark, paper = lambda n: F.repeat(F.lit("10"), F.lit(n)), lambda n: F.repeat(F.lit("E0"), F.lit(n))
+    row = lambda *shades: F.substring(F.repeat(F.concat(*shades), F.lit(7)), F.lit(1), (w * 2).cast("int"))
+    plain, stroke = row(paper(5), dark(2), paper(33)), row(paper(5), dark(2), paper(5), dark(17), paper(11))
+    line = F.when(k % 4 > 0, F.repeat(F.lit("10"), w.cast("int"))).otherwise(plain)
+    # a band of 30 rows again and again, up to the page's height
+    band = F.concat(F.repeat(plain, F.lit(4)), F.repeat(line, F.lit(2)), F.repeat(plain, F.lit(9)), stroke, F.repeat(plain, F.lit(14)))
+    return F.unhex(F.substring(F.repeat(band, F.lit(4)), F.lit(1), (w * 2 * 100).cast("int")))
+
+
 @query("""with p as (select p_partkey, 165 + p_partkey % 3 * 40 as w from part where p_partkey % 4 > 0), g as (select p_partkey, r, c from p, range(3) a(r), range(5) b(c) where (c + 1) * 40 + 5 < w)
  select p_partkey, r as row, c as col, 'w' || r || c as text, 1::bigint as colspan from g""")
 def j4_raster_tables(spark, d):
-    k, x, y = F.col("p_partkey"), F.lit(40), F.lit(30)
+    k = F.col("p_partkey")
     w = F.lit(165) + k % 3 * 40
-    # gray paper with lines of two pixels, strokes too short for a line, and no horizontal lines on every fourth page
-    dark = lambda when: F.when(when, "10").otherwise("E0")
-    row = lambda of: F.array_join(F.transform(F.sequence(F.lit(0), (w - 1).cast("int")), of), "")
-    plain, stroke, line = row(lambda i: dark((i % x).isin(5, 6))), row(lambda i: dark((i % x).isin(5, 6) | (i % x).between(12, 28))), F.repeat(F.lit("10"), w.cast("int"))
-    shown = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when((i % y).isin(4, 5) & (k % 4 > 0), F.col("line")).when(i % y == 15, F.col("stroke")).otherwise(F.col("plain")))
-    parts = table(spark, d, "part").select("p_partkey", plain.alias("plain"), stroke.alias("stroke"), line.alias("line"))
-    drawn = parts.select("p_partkey", w.alias("width"), F.lit(100).alias("height"), F.unhex(F.array_join(shown, "")).alias("pixels"))
+    # a part is a few bytes and its page 20 KB: parts are dealt out before they are drawn
+    parts = table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    drawn = parts.select("p_partkey", w.alias("width"), F.lit(100).alias("height"), _ruled_page(k, w).alias("pixels"))
     marks = rasters.ruling_lines(drawn, "p_partkey")
-    cells = table(spark, d, "part").select("p_partkey", w.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r")).select("p_partkey", "w", "r", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c")).where("(c + 1) * 40 + 5 < w")
+    cells = parts.select("p_partkey", w.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r")).select("p_partkey", "w", "r", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c")).where("(c + 1) * 40 + 5 < w")
     words = cells.select("p_partkey", F.concat(F.lit("w"), F.col("r").cast("string"), F.col("c").cast("string")).alias("word"), (F.col("c") * 40 + 12).alias("x"), (F.col("r") * 30 + 10).alias("y"), F.lit(16).alias("w"), F.lit(8).alias("h"))
     found = layout.ruled_tables(marks, words, "p_partkey")
     return found.select("p_partkey", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text", F.col("colspan").cast("long").alias("colspan"))

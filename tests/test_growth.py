@@ -1,5 +1,7 @@
 """Plans that must not change with size, and values that must be worked out once."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from foliospark.functions.text import filled_lines, strip
 from foliospark.operators import intake, layout, tables, walks
 from foliospark.operators import forms as form_ops
 from foliospark.operators import pages as page_ops
+from foliospark.plans import runs
 from foliospark.sources import file_tree
 
 
@@ -26,6 +29,20 @@ def test_ruled_tables_broadcast_no_exploded_rows(spark, tmp_path):
     assert [(r.row, r.col, r.text, r.colspan) for r in out.where("k = 7").orderBy("row", "col").collect()] == [(0, 0, "w0", 1), (0, 1, "w1", 1), (1, 0, "w2", 1), (1, 1, "w3", 1)]
 
 
+def test_a_raster_is_drawn_dealt_and_searched_once(spark, tmp_path):
+    spark.range(9).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    plan = _plan(runs.j4_raster_tables(spark, str(tmp_path)))
+    # the small table is dealt out before its pages are drawn, and neither branch of the grid works out the pixels again
+    assert plan.count("MapInArrow") == 1 and "array_join(transform(UnsafeArrayData" not in re.sub(r"org[.a-z]*expressions[.]|@[0-9a-f]*", "", plan) and "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") == 3 and "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow"):]
+    k = F.col("p_partkey")
+    drawn = spark.read.parquet(f"{tmp_path}/part.parquet").select(k, runs._ruled_page(k, F.lit(165) + k % 3 * 40).alias("pixels"))
+    for r in drawn.collect():
+        w = 165 + r.p_partkey % 3 * 40
+        ink = lambda x, y, k=r.p_partkey: x % 40 in (5, 6) or (y % 30 in (4, 5) and k % 4 > 0) or (y % 30 == 15 and 12 <= x % 40 <= 28)
+        assert bytes(r.pixels) == bytes(0x10 if ink(x, y) else 0xE0 for y in range(100) for x in range(w))
+
+
 @pytest.mark.parametrize("rule, words", [(pages.readable, "lower"), (pages.overlay_only, "lower"), (pages.readable, "trim(coalesce"), (pages.overlay_only, "trim(coalesce")])
 def test_a_page_is_lowered_and_stripped_once(spark, rule, words):
     assert _plan(spark.createDataFrame([("a",)], "x string").select(rule(F.col("x")).alias("y"))).count(words) == 1
