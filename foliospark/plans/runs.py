@@ -27,9 +27,10 @@ def _ruled_page(k, w):
     row = lambda *shades: F.substring(F.repeat(F.concat(*shades), F.lit(7)), F.lit(1), (w * 2).cast("int"))
     plain, stroke = row(paper(5), dark(2), paper(33)), row(paper(5), dark(2), paper(5), dark(17), paper(11))
     line = F.when(k % 4 > 0, F.repeat(F.lit("10"), w.cast("int"))).otherwise(plain)
-    # a band of 30 rows again and again, up to the page's height
-    band = F.concat(F.repeat(plain, F.lit(4)), F.repeat(line, F.lit(2)), F.repeat(plain, F.lit(9)), stroke, F.repeat(plain, F.lit(14)))
-    return F.unhex(F.substring(F.repeat(band, F.lit(4)), F.lit(1), (w * 2 * 100).cast("int")))
+    # three bands of 30 rows and the first ten of a fourth
+    top = F.concat(F.repeat(plain, F.lit(4)), F.repeat(line, F.lit(2)), F.repeat(plain, F.lit(4)))
+    band = F.concat(top, F.repeat(plain, F.lit(5)), stroke, F.repeat(plain, F.lit(14)))
+    return F.unhex(F.concat(F.repeat(band, F.lit(3)), top))
 
 
 @query("""with p as (select p_partkey, 165 + p_partkey % 3 * 40 as w from part where p_partkey % 4 > 0), g as (select p_partkey, r, c from p, range(3) a(r), range(5) b(c) where (c + 1) * 40 + 5 < w)
